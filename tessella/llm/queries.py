@@ -21,10 +21,10 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
 r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
-c AS (SELECT DISTINCT doc_id, k + j AS at FROM s JOIN r USING (win), range(0, 35) AS t(j)),
-g AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id),
-e AS (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS at FROM d),
-k AS (SELECT e.doc_id, string_agg(w[at], ' ' ORDER BY at) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.at = c.at GROUP BY e.doc_id)
+c AS (SELECT DISTINCT doc_id, k + j AS pos FROM s JOIN r USING (win), range(0, 35) AS t(j)),
+g AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id),
+e AS (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT e.doc_id, string_agg(w[pos], ' ' ORDER BY pos) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
