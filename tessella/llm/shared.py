@@ -26,14 +26,23 @@ def has_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute now, keep the rows in the shared folder and forget the lineage."""
-    has_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute now, keep the rows in the shared folder, forget the lineage and drop the shuffle files that led to them."""
+    spark = df.sparkSession
+    has_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, made under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps nothing refers to any more."""
+    """Let Spark's cleaner drop the checkpoints of steps nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
