@@ -17,6 +17,7 @@ documents; a row without doc_id is packed like any other; other columns are igno
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,15 +31,61 @@ from .words import Words, pieces, spread
 
 CAPACITY, END_ID, SHARD = 4096, 1, 40_000
 #: Distinct words whose ids one worker keeps.
-CACHE = 400_000
+CACHE = 2_000_000
 _tokenizers: dict[str, object] = {}
+_ids: dict[str, WordIds] = {}  # of this worker, for all its tasks
+
+
+_KIND = np.full(256, 3, dtype=np.uint8)  # punctuation
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[97:123] = _KIND[65:91] = _KIND[0x80:0xC0] = _KIND[0xC3] = 1
+_KIND[48:58] = 2
+_ODD = np.zeros(256, dtype=bool)
+_ODD[:9] = _ODD[14:32] = _ODD[127] = _ODD[0xC0:] = True
+_ODD[0xC3] = False
+_ODD[[39, 60]] = True  # contractions; special tokens
+
+
+class Units(Words):
+    """Words cut further where the word vocabularies' own rule always cuts: between letters, single digits and punctuation.
+
+    Letters here are A-Z (lower-cased, as that vocabulary does) and Latin-1
+    letters.  A word with any other character, an apostrophe or ``<`` stays
+    one unit, in its own case, and is left to the tokenizer's rule.
+    """
+
+    def __init__(self, column):
+        super().__init__(column)
+        data, n = self.data, len(self.data)
+        odd = _ODD[data]
+        after_c3 = np.zeros(n, dtype=bool)
+        after_c3[1:] = data[:-1] == 0xC3
+        odd |= after_c3 & ((data == 0x97) | (data == 0xB7))
+        many = np.append(0, np.cumsum(odd))
+        strange = many[self.end] > many[self.start]
+        edge = np.zeros(n + 1, dtype=np.int32)
+        edge[self.start[strange]] += 1
+        np.subtract.at(edge, self.end[strange], 1)
+        free = np.cumsum(edge)[:n] == 0
+        lower = data.copy()
+        lower[free & (((data >= 65) & (data <= 90)) | (after_c3 & (data >= 0x80) & (data <= 0x9E)))] += 32
+        kind = _KIND[lower]
+        new = np.zeros(n + 1, dtype=bool)
+        new[1:n] = free[1:] & (kind[1:] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        new[self.start] = True
+        new[n:] = False
+        start = np.flatnonzero(new)
+        stop = new[1:] & (kind > 0)  # a unit ends before the next one
+        stop[self.end - 1] = True
+        self.start, self.end = start, np.flatnonzero(stop) + 1
+        self.set(lower)
 
 
 class WordIds:
-    """Token ids of texts through ids of their words, which are kept.
+    """Token ids of texts through ids of their units, which are kept.
 
-    Sound for tokenizers that drop white space and split at it, as the word
-    vocabularies do: the ids of a text are those of its words, one after the other.
+    Sound for tokenizers that drop white space and split as described at
+    Units: the ids of a text are those of its units, one after the other.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -53,6 +100,7 @@ class WordIds:
 
     def tokenizer(self):
         if self.path not in _tokenizers:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
             from tokenizers import Tokenizer
 
             _tokenizers[self.path] = Tokenizer.from_file(self.path)
@@ -68,9 +116,9 @@ class WordIds:
             return
         raw = words.data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)]
-        got = [e.ids for e in self.tokenizer().encode_batch_fast(texts, add_special_tokens=False)]
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer().encode_batch_fast(texts, add_special_tokens=False)]
         length = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(length.sum()))
+        flat = np.concatenate(got)
         key = np.concatenate([self.key, unique[new]])
         begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
         order = np.argsort(key, kind="stable")
@@ -90,10 +138,10 @@ class WordIds:
 
 def cut_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = _ids.setdefault(path, WordIds(path))
         for whole in batches:
             for batch in pieces(whole, most=2 << 20):
-                words = Words(batch.column("text"))
+                words = Units(batch.column("text"))
                 flat, length = ids_of.of(words)
                 ends = np.append(0, np.cumsum(length))[words.first]
                 ids = batch.column("doc_id").to_pylist()
@@ -148,7 +196,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def place(capacity: int):
-    def of(key, table: pa.Table) -> pa.Table:
+    def of(key, table):
         length = table.column("length").to_numpy()
         ids = table.column("doc_id").to_numpy(zero_copy_only=False)
         order = np.lexsort((table.column("piece").to_numpy(), ids, -length))

@@ -81,7 +81,7 @@ class Words:
         if lower:
             data = _LOWER[data]
         n = len(data)
-        self.data, self.rows = data, len(offs) - 1
+        self.rows = len(offs) - 1
         inside = _WORD[data]
         before = np.zeros(n, dtype=bool)
         after = np.zeros(n, dtype=bool)
@@ -92,8 +92,14 @@ class Words:
         after[cuts - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
+        self.offs = offs
+        self.set(data)
+
+    def set(self, data: np.ndarray) -> None:
+        """Hashes and row bounds for ``start``, ``end`` over ``data``."""
+        self.data, n = data, len(data)
         #: words of row r are first[r]:first[r + 1]
-        self.first = np.searchsorted(self.start, offs)
+        self.first = np.searchsorted(self.start, self.offs)
         self.count = np.diff(self.first)
         sums = np.zeros(n + 1, dtype=U64)
         np.cumsum(_TABLE[data] * powers(_P, n), out=sums[1:])
