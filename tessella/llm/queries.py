@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, near_dedup, packing, substring
+from . import chat, near_dedup, packing, substring, suffixes
 from .shared import table
 
 
@@ -21,6 +21,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(given.unionByName(probe)))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_passages")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op5_chat": op5_chat,
+    "op6_suffixes": op6_suffixes,
     "op7_substring": op7_substring,
     "op8_packing": op8_packing,
 }
@@ -60,6 +65,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op6_suffixes": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, k + j AS pos FROM s JOIN r USING (win), range(0, 50) AS t(j)),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (step IS NULL OR step > 1) AS p
+  FROM (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM c) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(p, 0)::BIGINT AS n_passages FROM d LEFT JOIN g USING (doc_id)""",
     "op7_substring": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM d)),

@@ -6,7 +6,8 @@ one super-k-mer, which travels as one packed string (32-bit word codes) to the
 bucket of its minimiser.  Equal windows have equal minimisers, so a bucket sees
 every copy of its windows; it sorts them and knows which occur more than once.
 
-Rules: null texts count as empty; texts of fewer than ``window`` words have no
+Rules: rows without doc_id take no part and keep their text; rows with the same
+doc_id share their ranges; null texts count as empty; texts of fewer than ``window`` words have no
 window and keep all words; repeated rows are copies of each other like any
 other text; other columns, whatever their names, are ignored.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, release
+from .shared import cut
 from .words import U64, Words, binary, grams, mix, of_binary, pieces, sliding_min, spread
 
 WINDOW, GRAM = 35, 6
@@ -57,7 +58,7 @@ def pack(window: int, gram: int):
                     continue
                 row = words.row[begin]
                 code = (words.hash >> U64(32)).astype(np.uint32)
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = batch.column("doc_id").to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(low.view(np.int64)), pa.array(ids[row]), pa.array((begin - words.first[row]).astype(np.int32)), binary(code[spread(begin, count + window - 1)], count + window - 1)],
                     names=["bucket", "doc_id", "start", "packed"],
@@ -134,7 +135,7 @@ def count(window: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Word ranges (doc_id, start, stop) covered by windows whose words also start anywhere else; ranges may overlap."""
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack(window, gram), RUNS)
+    packed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack(window, gram), RUNS)
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count(window), SPANS)
 
 
@@ -152,8 +153,9 @@ def kept_words(words: Words, spans: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = spans.flatten()
     base = np.repeat(words.first[:-1], lists)
     if len(flat):
-        np.add.at(edge, base + flat.field("start").to_numpy(), 1)
-        np.add.at(edge, base + flat.field("stop").to_numpy(), -1)
+        most = np.repeat(words.count, lists)
+        np.add.at(edge, base + np.minimum(flat.field("start").to_numpy(), most), 1)
+        np.add.at(edge, base + np.minimum(flat.field("stop").to_numpy(), most), -1)
     return np.cumsum(edge)[:n] <= 0
 
 
@@ -171,7 +173,6 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 
 def _apply(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
-    release(docs.sparkSession)  # the packed strings are not needed any more
     # rows without an id have no spans; the left join keeps them
     joined = docs.join(spans.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans")), F.col("doc_id") == F.col("_of"), "left").drop("_of")
     names = [f.name for f in docs.schema.fields]
