@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, near_dedup, packing, substring, suffixes
+from . import chat, near_dedup, packing, substring, suffixes, topk
 from .shared import table
 
 
@@ -39,12 +40,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op5_chat": op5_chat,
     "op6_suffixes": op6_suffixes,
     "op7_substring": op7_substring,
     "op8_packing": op8_packing,
+    "op9_topk": op9_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +89,10 @@ e AS (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
 k AS (SELECT e.doc_id, string_agg(w[pos], ' ' ORDER BY pos) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op9_topk": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
