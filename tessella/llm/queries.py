@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near_dedup, packing, substring, suffixes, topk
+from . import chat, near_dedup, ngram, packing, substring, suffixes, topk
 from .shared import table
 
 
@@ -44,6 +44,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op5_chat": op5_chat,
@@ -51,6 +55,7 @@ QUERIES = {
     "op7_substring": op7_substring,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
+    "op10_ngram": op10_ngram,
 }
 
 ORACLE_SQL: dict[str, str] = {
