@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near_dedup, ngram, packing, substring, suffixes, topk
+from . import chat, near_dedup, ngram, packing, quality, substring, suffixes, topk
 from .shared import table
 
 
@@ -13,6 +13,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -50,6 +55,7 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_quality": op3_quality,
     "op5_chat": op5_chat,
     "op6_suffixes": op6_suffixes,
     "op7_substring": op7_substring,
