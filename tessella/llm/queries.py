@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near_dedup, ngram, packing, quality, substring, suffixes, topk
+from . import chat, html_text, near_dedup, ngram, packing, quality, substring, suffixes, topk
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -56,6 +60,7 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_quality": op3_quality,
+    "op4_html": op4_html,
     "op5_chat": op5_chat,
     "op6_suffixes": op6_suffixes,
     "op7_substring": op7_substring,
