@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, near_dedup, ngram, packing, quality, substring, suffixes, topk
+from . import chat, decontaminate, html_text, near_dedup, ngram, packing, quality, substring, suffixes, topk
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_html": op4_html,
     "op5_chat": op5_chat,
