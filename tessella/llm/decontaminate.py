@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .words import U64, Words, grams, mix, pieces, spread
 
-STEPS, BITS, LEAST, REPEATS, SHORT, ITEMS = 10, 5, 4, 10, 8, 20_000
+STEPS, BITS, LEAST, REPEATS, SHORT, ITEMS = 10, 5, 4, 6, 8, 20_000
 _MAP = 1 << 20
 
 
