@@ -1,11 +1,72 @@
-"""Corpus pipeline."""
+"""Corpus pipeline over ``documents``: five stages, each one operator of the subpackage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again as the next one's ``docs``.  All but the last return the columns
+of ``documents``; n_chars follows the text where a stage changes it.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, near_dedup, packing, quality, substring
+from tessella.llm.queries import tokenizer_path
+from tessella.llm.shared import has_checkpoint_dir, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.filter_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return left
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated windows go; a document of which nothing is left goes too."""
+    cut = substring.remove_repeats(docs)
+    left = cut.filter("n_removed = 0 OR n_removed < n_words")
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    if chars is not None:
+        left = left.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_dedup", one_of_each),
+    ("substring", without_repeats),
+    ("decontaminate", without_benchmark),
+    ("packing", packed),
+]
+
+#: A trained classifier and a packing order are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each result written to the shared folder and read again."""
+    root = f"{has_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        where = f"{root}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(where)
+        docs = spark.read.parquet(where)
     return docs
