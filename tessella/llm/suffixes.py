@@ -1,8 +1,8 @@
 """Repeated passages by sparse suffix arrays.
 
 Of all suffixes of the corpus only those stay that begin at the minimiser of
-some window of ``least`` words: the leftmost smallest hash among its m-word
-grams.  Equal windows choose equal offsets, so every repeated window is met by
+some windows of ``least`` words: the smallest hash among their m-word grams.
+Equal windows have equal minimisers, so every repeated window is met by
 suffixes of one bucket (the gram they begin with).  A suffix travels with the
 words that its windows reach to the left and right.  Buckets are sorted by what
 follows, neighbours are compared word by word and their matches are extended to
@@ -26,32 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .substring import groups, merged, repeated
-from .words import U64, Words, binary, grams, of_binary, pieces, sliding_min, spread
+from .substring import groups, merged, repeated, runs
+from .words import U64, Words, binary, grams, of_binary, pieces, spread
 
 LEAST, GRAM = 50, 6
-_PLACE = U64((1 << 28) - 1)
-SUFFIXES = "bucket long, doc_id long, start int, before binary, after binary"
+SUFFIXES = "bucket long, doc_id long, start int, before binary, after binary, loose boolean"
 
 
-def anchors(words: Words, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor word, gram hash): one for each run of windows with the same minimiser position."""
-    n = len(words) - least + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64)
+def anchors(words: Words, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor word, gram hash, loose): one for each run of windows with the same minimiser.
+
+    The anchor is where the minimiser first stands; loose runs hold it more
+    than once (words that repeat in place), so they may match at other offsets.
+    """
+    begin, count, low = runs(words, least, gram)
+    if not len(begin):
+        return begin, count, begin, low, np.zeros(0, dtype=bool)
     g = grams(words.hash, gram)
-    # 36 bits of hash, then the position, so that the leftmost wins
-    low = sliding_min((g & ~_PLACE) | (np.arange(len(g), dtype=U64) & _PLACE), least - gram + 1)
-    at = (low & _PLACE).astype(np.int64)
-    row = words.row
-    whole = row[:n] == row[least - 1 :]
-    new = np.ones(n, dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (row[1:n] != row[: n - 1])
-    begin = np.flatnonzero(new & whole)
-    stop = np.append(np.flatnonzero(new | ~whole), n)
-    end = stop[np.searchsorted(stop, begin, side="right")]
-    return begin, end - begin, at[begin], g[at[begin]]
+    size = count + least - gram
+    here = g[spread(begin, size)] == np.repeat(low, size)
+    first = np.cumsum(size) - size
+    hits = np.flatnonzero(here)
+    at = hits[np.searchsorted(hits, first)] - first
+    return begin, count, begin + at, low, np.add.reduceat(here, first) > 1
 
 
 def suffixes(least: int, gram: int):
@@ -59,7 +56,7 @@ def suffixes(least: int, gram: int):
         for whole in batches:
             for batch in pieces(whole):
                 words = Words(batch.column("text"))
-                begin, count, at, bucket = anchors(words, least, gram)
+                begin, count, at, bucket, loose = anchors(words, least, gram)
                 if not len(begin):
                     continue
                 row = words.row[begin]
@@ -67,8 +64,8 @@ def suffixes(least: int, gram: int):
                 ids = batch.column("doc_id").to_numpy()
                 before, after = at - begin, begin + count + least - 1 - at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), pa.array(ids[row]), pa.array((begin - words.first[row]).astype(np.int32)), binary(code[spread(begin, before)], before), binary(code[spread(at, after)], after)],
-                    names=["bucket", "doc_id", "start", "before", "after"],
+                    [pa.array(bucket.view(np.int64)), pa.array(ids[row]), pa.array((begin - words.first[row]).astype(np.int32)), binary(code[spread(begin, before)], before), binary(code[spread(at, after)], after), pa.array(loose)],
+                    names=["bucket", "doc_id", "start", "before", "after", "loose"],
                 )
 
     return of
@@ -105,11 +102,12 @@ def compare(least: int):
             b = nl[who] + np.concatenate([up, up])
             out = [(ids[who], start[who] + a, start[who] + b)]
 
-            # suffixes that one neighbour's match does not cover whole, in buckets of more than two
+            # suffixes that one neighbour's match does not cover whole, in buckets of more than two, and loose ones
             open_ = np.ones(n, dtype=bool)
             open_[who[(a == 0) & (b == nl[who] + nr[who])]] = False
             _, group, size = np.unique(bucket, return_inverse=True, return_counts=True)
-            unsettled = (np.bincount(group, weights=open_) > 0) & (size > 2)
+            loose = np.bincount(group, weights=table.column("loose").to_numpy()) > 0
+            unsettled = loose | (np.bincount(group, weights=open_) > 0) & (size > 2)
             rest = np.flatnonzero(unsettled[group])
             if len(rest):
                 length = nl[rest] + nr[rest]
