@@ -136,6 +136,14 @@ def overlaps(x: pa.Array, y: pa.Array) -> np.ndarray:
     return np.rint(a @ b.T).astype(np.int64)
 
 
+def rows_of(lists: pa.Array) -> np.ndarray:
+    """Lists of longs as rows of one width, filled up by repeating the first."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    wide, first = np.arange(int(size.max(initial=0)))[None, :], (np.cumsum(size) - size)[:, None]
+    return flat[first + np.where(wide < size[:, None], wide, 0)]
+
+
 def blocks(percent: int):
     """Pairs of two blocks that lie in different components and pass the estimate."""
 
@@ -154,6 +162,19 @@ def blocks(percent: int):
                 inter = overlaps(x.field("wide"), y.field("wide"))
                 apart &= np.where(np.maximum(nx, ny) <= WIDE, 100 * inter >= percent * (nx + ny - inter), inter >= WIDE_SHARED)
                 i, j = np.nonzero(apart)
+                # the pair belongs to the first list that both stand in
+                vx, vy = rows_of(x.field("vs")), rows_of(y.field("vs"))
+                shared = (vx[i][:, :, None] == vy[j][:, None, :]).any(axis=2)
+                mine = np.where(shared, vx[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == batch.column("v")[r].as_py()
+                i, j = i[mine], j[mine]
+                # of exactly known links between two components one is enough: the closest
+                exact = np.maximum(nx[i, 0], ny[0, j]) <= WIDE
+                near = inter[i, j] / (nx[i, 0] + ny[0, j] - inter[i, j])
+                order = np.lexsort((-near, y.field("root").to_numpy()[j], x.field("root").to_numpy()[i], exact))
+                i, j, exact = i[order], j[order], exact[order]
+                a, b = x.field("root").to_numpy()[i], y.field("root").to_numpy()[j]
+                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (exact[1:] != exact[:-1]))[: len(i)]
+                i, j = i[first | ~exact], j[first | ~exact]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cx[i], cy[j])), pa.array(np.maximum(cx[i], cy[j]))], names=["a", "b"])
 
@@ -218,11 +239,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     placed = lists.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("v", "cls", F.coalesce("component", "cls").alias("root"))
     open_lists = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("v")
     left = placed.join(open_lists, "v")
-    left = left.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("v").orderBy("root", "cls")) - 1) / BLOCK)).join(classes.select("cls", "n", "wide"), "cls")
-    packs = cut(left.groupBy("v", "block").agg(F.collect_list(F.struct("cls", "root", "n", "wide")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high")))
+    left = left.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("v").orderBy("root", "cls")) - 1) / BLOCK))
+    left = left.join(classes.select("cls", "n", "wide"), "cls").join(lists.groupBy("cls").agg(F.collect_list("v").alias("vs")), "cls")
+    packs = cut(left.groupBy("v", "block").agg(F.collect_list(F.struct("cls", "root", "n", "wide", "vs")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high")))
     other = packs.select("v", F.col("block").alias("j"), F.col("x").alias("y"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meet = packs.withColumnRenamed("block", "i").join(other, "v").filter("i <= j AND NOT (low = high AND low2 = high2 AND low = low2)")
-    more = cut(meet.select("i", "j", "x", "y").mapInArrow(blocks(percent), "a long, b long").distinct())
+    more = cut(meet.select("v", "i", "j", "x", "y").mapInArrow(blocks(percent), "a long, b long").distinct())
     if not more.isEmpty():
         links = cut(links.unionByName(verified(more, classes, docs, percent, size)))
         roots = cut(components(links))
