@@ -1,5 +1,13 @@
-"""Queries by name."""
+"""Queries by name, and their SQL counterparts."""
+
+from __future__ import annotations
+
+from . import scalars
 
 FLAGSHIP = "topk_bm25"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _name, (_query, _sql) in scalars.PAIRS.items():
+    QUERIES[_name] = _query
+    if _sql:
+        ORACLE_SQL[_name] = _sql
