@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
 from .words import U64, Words, grams, mix, pieces, spread
 
 STEPS, BITS, LEAST, REPEATS, SHORT, ITEMS = 10, 5, 4, 6, 8, 20_000
@@ -191,5 +192,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, repeats: int = REPEATS, steps:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item occurs."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_leak"), "left_anti")
+    name = unused(docs, "_leak")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")

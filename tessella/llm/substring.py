@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, unused
 from .words import U64, Words, binary, grams, mix, of_binary, pieces, sliding_min, spread
 
 WINDOW, GRAM = 35, 6
@@ -159,36 +159,39 @@ def kept_words(words: Words, spans: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.cumsum(edge)[:n] <= 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` without the repeated words: its columns, with the kept words joined by one space as ``text``, and n_words, n_removed.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """``docs`` without the repeated words: its columns, with the kept words joined by one space as ``text``, and two counts.
 
-    A document none of whose words goes keeps its text as it is.
+    A document none of whose words goes keeps its text as it is.  Columns of
+    ``docs`` with the names in ``counts`` are replaced by the counts.
     """
-    return _apply(docs, cut(by_document(repeated_spans(docs, window, gram))), digest=False)
+    return _apply(docs, cut(by_document(repeated_spans(docs, window, gram))), counts)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    return _apply(docs.select("doc_id", "text"), cut(by_document(repeated_spans(docs, window, gram))), digest=True)
+    return _apply(docs.select("doc_id", "text"), cut(by_document(repeated_spans(docs, window, gram))), None)
 
 
-def _apply(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
+def _apply(docs: DataFrame, spans: DataFrame, counts: tuple[str, str] | None) -> DataFrame:
+    digest = counts is None
+    of_, ranges = unused(docs, "_of"), unused(docs, "_spans")
     # rows without an id have no spans; the left join keeps them
-    joined = docs.join(spans.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans")), F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    names = [f.name for f in docs.schema.fields]
+    joined = docs.join(spans.select(F.col("doc_id").alias(of_), F.col("spans").alias(ranges)), F.col("doc_id") == F.col(of_), "left").drop(of_)
+    names = docs.columns
     if digest:
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:
-        plain = docs.drop(*[c for c in ("n_words", "n_removed") if c in names])
+        plain = docs.drop(*counts)
         names = plain.columns
-        schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-        joined = joined.select(*names, "_spans")
+        schema = T.StructType([*plain.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+        joined = joined.select(*names, ranges)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 words = Words(batch.column("text"))
-                keep = kept_words(words, batch.column("_spans"))
+                keep = kept_words(words, batch.column(ranges))
                 sums = np.append(0, np.cumsum(keep))
                 n_kept = sums[words.first[1:]] - sums[words.first[:-1]]
                 given = batch.column("text").to_pylist() if not digest else []
@@ -207,6 +210,6 @@ def _apply(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), total, gone, pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
                 else:
                     columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
-                    yield pa.RecordBatch.from_arrays([*columns, total, gone], names=[*names, "n_words", "n_removed"])
+                    yield pa.RecordBatch.from_arrays([*columns, total, gone], names=[*names, *counts])
 
     return joined.mapInArrow(of, schema)
