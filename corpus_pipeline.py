@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, near_dedup, packing, quality, substring
 from tessella.llm.queries import tokenizer_path
-from tessella.llm.shared import has_checkpoint_dir, table
+from tessella.llm.shared import has_checkpoint_dir, table, unused
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +24,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left
+    name = unused(docs, "_gone")
+    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated windows go; a document of which nothing is left goes too."""
-    cut = substring.remove_repeats(docs)
-    left = cut.filter("n_removed = 0 OR n_removed < n_words")
-    chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    if chars is not None:
+    words, removed = unused(docs, "n_words"), unused(docs, "n_removed")
+    cut = substring.remove_repeats(docs, counts=(words, removed))
+    left = cut.filter((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
 
