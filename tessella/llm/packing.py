@@ -163,24 +163,23 @@ def cut_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of each piece and the number of bins; pieces are taken in the order given.
 
-    Opening a bin puts one more at gap capacity - s; filling gap g takes one
-    from g and puts it at g - s (nowhere if that is 0).  Half the change of
-    the sum of squares is N[g - s] - N[g] + 1 (1/2 - N[g] for an exact fit,
-    N[capacity - s] + 1/2 for a new bin); the smallest wins, ties to the
-    smaller gap, an existing bin before a new one.
+    Filling gap g takes one from N[g] and puts it at N[g - s] (nowhere if that
+    is 0); half the change of the sum of squares is N[g - s] - N[g] + 1 (1/2 -
+    N[g] for an exact fit).  The smallest wins, ties to the smaller gap.  A bin
+    is opened only if nothing fits: with the longest first, that takes fewest.
     """
     count = np.zeros(capacity + 1, dtype=np.float64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset, bins = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
         fit = count[s:capacity]  # gaps s..capacity-1
-        best, change = -1, count[capacity - s] + 0.5 if s < capacity else 0.5
+        best = -1
         if len(fit):
             delta = count[: capacity - s] - fit + 1
             delta[0] = 0.5 - fit[0]
             delta[fit == 0] = np.inf
             g = int(delta.argmin())
-            if delta[g] <= change or (delta[g] < np.inf and s * 8 < capacity and fit.sum() > 64):
+            if delta[g] < np.inf:
                 best = g + s
         if best < 0:
             b, gap = bins, capacity
