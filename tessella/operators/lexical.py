@@ -32,7 +32,9 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         return F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
 
     weighted = F.flatten(F.array(*[with_weight(t, w) for t, w in fields]))
-    rows = chunks.select("chunk_id", length.alias("length"), F.explode(weighted).alias("p")).select("chunk_id", "length", "p.term", "p.w")
+    # below the generator, so that a text is tokenised once and not once for each of its tokens
+    counted = chunks.select("chunk_id", length.alias("length"), weighted.alias("all"))
+    rows = counted.select("chunk_id", "length", F.explode("all").alias("p")).select("chunk_id", "length", "p.term", "p.w")
     if wanted is not None:
         rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("frequency"))
