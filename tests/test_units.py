@@ -41,7 +41,7 @@ def test_identifiers(spark):
 def test_planner(spark):
     p = one(spark, Y.plan_lookup(F.lit("what is `World.afterEvents`?")))
     assert (p.intent, p.recommended_tool, p.search_query) == ("definition", "get_definition", "World.afterEvents")
-    assert one(spark, Y.plan_lookup(F.lit("show me sources"))).intent == "general"
+    assert one(spark, Y.plan_lookup(F.lit("show me blocks"))).intent == "example"
     assert one(spark, Y.plan_lookup(F.lit("list sources"))).recommended_tool == "list_sources"
 
 
