@@ -69,3 +69,16 @@ def fallback(queries: DataFrame, chunks: DataFrame, per_term: int = 15, most: in
     merged = back.groupBy("query_id", "chunk_id").agg(F.sum(1 / F.col("pos")).alias("points"), F.min("score").alias("best"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("points", 9)), F.round("best", 9), "chunk_id")
     return merged.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("query_id", "chunk_id", F.round("points", 6).alias("points"), "pos")
+
+
+def phrase_match(queries: DataFrame, chunks: DataFrame, column: str = "content") -> DataFrame:
+    """(query_id, chunk_id) of the chunks that hold a query's tokens in a row.
+
+    An equi-join on the first token finds the candidates; only those texts are compared.
+    """
+    asked = queries.select("query_id", X.fts_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
+    asked = asked.select("query_id", F.get("tokens", F.lit(0)).alias("term"), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("phrase"))
+    held = chunks.select("chunk_id", F.array_distinct(X.fts_tokens(F.col(column))).alias("all")).select("chunk_id", F.explode("all").alias("term"))
+    near = held.join(asked, "term").select("query_id", "chunk_id", "phrase")
+    text = F.concat(F.lit(" "), F.array_join(X.fts_tokens(F.col(column)), " "), F.lit(" "))
+    return near.join(chunks.select("chunk_id", text.alias("text")), "chunk_id").filter(F.contains("text", F.col("phrase"))).select("query_id", "chunk_id")

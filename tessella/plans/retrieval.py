@@ -181,7 +181,7 @@ PAIRS = {
     ),
     "rank_lexical": (_c(lambda c: lexical.ranked(lexical.bm25(c.queries, c.chunks), 100).select("query_id", "chunk_id", "pos")), duck(f"WITH {_BM} SELECT query_id, chunk_id, r::INT AS pos FROM (SELECT *, {_RANK} AS r FROM bm) WHERE r <= 100")),
     "phrase_match": (
-        _c(lambda c: c.chunks.join(c.queries, F.contains(F.array_join(F.concat(F.array(F.lit("")), X.fts_tokens(F.col("content")), F.array(F.lit(""))), " "), F.concat(F.lit(" "), F.array_join(X.fts_tokens(F.col("query")), " "), F.lit(" ")))).select("query_id", "chunk_id")),
+        _c(lambda c: lexical.phrase_match(c.queries, c.chunks)),
         duck("SELECT query_id, chunk_id FROM c_chunks JOIN c_queries ON contains(' ' || array_to_string(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || strip_accents(lower(query)) || ' ')"),
     ),
     "fallback_lexical": (
