@@ -23,10 +23,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    name = unused(docs, "_gone")
-    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    """One row of each group of near duplicates stays: the one with the smallest doc_id (none comes last), of repeated rows the first read.
+
+    Rows are told apart by their place in the files, which a second reading of ``docs`` repeats.
+    """
+    row, one = unused(docs, "_row"), unused(docs, "_one")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = near_dedup.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).join(keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
+    return keyed.join(first.select(F.col("least.row").alias(one)), F.col(row) == F.col(one), "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,22 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
             if name != "packing":
                 assert out.columns == docs.columns, name
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = {n: " ".join(f"{n}{i}" for i in range(60)) for n in ("twice", "named", "nameless", "alone")}
+    given = [(1, "twice"), (1, "twice"), (2, "named"), (None, "named"), (None, "nameless"), (None, "nameless"), (3, "alone")]
+    spark.createDataFrame([(i, text[n], None, None, None) for i, n in given], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that occurs in none of the documents")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "quality":
+            assert docs.count() == 7
+        else:
+            assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted([(1, text["twice"]), (2, text["named"]), (0, text["nameless"]), (3, text["alone"])]), name
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()} >= {1, 2, 3}
