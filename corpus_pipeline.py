@@ -17,6 +17,10 @@ from tessella.llm.queries import tokenizer_path
 from tessella.llm.shared import has_checkpoint_dir, table, unused
 
 
+#: Word-shingle sets as similar as this, in per cent, are near copies of each other (op1 has a threshold of its own).
+SIMILAR = 80
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.filter_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -29,7 +33,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row, one = unused(docs, "_row"), unused(docs, "_one")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    groups = near_dedup.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
+    groups = near_dedup.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), percent=SIMILAR)
     named = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).join(keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "row")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
     return keyed.join(first.select(F.col("least.row").alias(one)), F.col(row) == F.col(one), "left_semi").select(*docs.columns)

@@ -15,9 +15,9 @@
     values (which hold most sets whole); only what they let through becomes a
     row, and is verified as well.
 
-With k = 32 and m = 15, a pair exactly at 85 % fails to share 15 values with
-probability below 1e-7, and 180 of 256 likewise; sets of up to 27 shingles are
-held whole and lose nothing.
+m follows from the threshold: a pair exactly at it fails to share m values of 32
+with probability below 1e-7 (m = 15 at 85 %, 12 at 80 %), and of 256 with one below
+1e-9 (180 and 163); small sets are held whole and lose nothing.
 
 Rules: a text of one to four words is one shingle; a text without words (or
 null) has an empty set and is linked with nothing; rows are documents, so equal
@@ -27,6 +27,7 @@ ids are not merged; a row without doc_id takes part, but names no component
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from .shared import components, cut, release
 from .words import U64, Words, grams, mix, of_binary, pieces
 
-SHINGLE, PERCENT, K, SHARED, BLOCK = 5, 85, 32, 15, 64
-WIDE, WIDE_SHARED = 256, 180
+SHINGLE, PERCENT, K, BLOCK, WIDE = 5, 85, 32, 64, 256
+MISS, WIDE_MISS = 1e-7, 1e-9
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -146,6 +147,7 @@ def rows_of(lists: pa.Array) -> np.ndarray:
 
 def blocks(percent: int):
     """Pairs of two blocks that lie in different components and pass the estimate."""
+    wide_shared = least_shared(WIDE, percent, WIDE_MISS)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +162,7 @@ def blocks(percent: int):
                 if not apart.any():
                     continue
                 inter = overlaps(x.field("wide"), y.field("wide"))
-                apart &= np.where(np.maximum(nx, ny) <= WIDE, 100 * inter >= percent * (nx + ny - inter), inter >= WIDE_SHARED)
+                apart &= np.where(np.maximum(nx, ny) <= WIDE, 100 * inter >= percent * (nx + ny - inter), inter >= wide_shared)
                 i, j = np.nonzero(apart)
                 # the pair belongs to the first list that both stand in
                 vx, vy = rows_of(x.field("vs")), rows_of(y.field("vs"))
@@ -205,9 +207,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return two.select("a", "b", "fa", "fb").mapInArrow(verify(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, k: int = K, m: int = SHARED) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    spark = docs.sparkSession
+    spark, m = docs.sparkSession, least_shared(k, percent, MISS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.mapInArrow(sketches(k, size), "doc_id long, n long, cls long, sketch array<long>, wide binary")
     # the rows without sketches, and one row for each distinct set
@@ -257,6 +259,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def least_shared(k: int, percent: int, miss: float) -> int:
+    """Most values that a pair at the threshold shares of a sketch of k, but with probability ``miss``."""
+    tail, m, p = 0.0, 0, percent / 100
+    while m < k and (tail := tail + math.comb(k, m) * p**m * (1 - p) ** (k - m)) < miss:
+        m += 1
+    return m
+
+
 def _holds(k: int, percent: int) -> int:
     """Smallest set whose partners may be too large to be held whole."""
     return next(s for s in range(1, k + 1) if 100 * s > percent * k)

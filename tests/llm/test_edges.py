@@ -163,3 +163,21 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
         else:
             assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted([(1, text["twice"]), (2, text["named"]), (0, text["nameless"]), (3, text["alone"])]), name
     assert {r.doc_id for r in corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()} >= {1, 2, 3}
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [(near_dedup.least_shared(32, p, near_dedup.MISS), near_dedup.least_shared(256, p, near_dedup.WIDE_MISS)) for p in (80, 85)] == [(12, 163), (15, 180)]
+    rows = []
+    for d in range(40):  # two changed words: 0.80 of the shingles shared by the first twenty pairs, less by the others
+        base = [f"d{d}w{i}" for i in range(94 if d < 20 else 84)]
+        other = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(base)]
+        rows += [(2 * d, " ".join(base)), (2 * d + 1, " ".join(other))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert all(0.8 <= a < 0.85 if i < 20 else a < 0.8 for i, a in enumerate(alike))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert left == set(range(0, 40, 2)) | set(range(40, 80))
