@@ -9,6 +9,7 @@ import numpy as np
 from .store import load, save
 
 U64 = np.uint64
+BLOCK = 1 << 15
 _SELECT = np.full((256, 8), 8, dtype=np.uint8)  # place of the j-th zero of a byte, lowest bit first
 for _b in range(256):
     _zeros = [k for k in range(8) if not _b >> k & 1]
@@ -28,8 +29,9 @@ class EliasFano:
         bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
         if bits:
-            planes = ((values[:, None] >> np.arange(bits, dtype=U64)) & U64(1)).astype(np.uint8)
-            low = np.packbits(planes.ravel(), bitorder="little")
+            # a block at a time: a plane of 64-bit values for each bit is many times the sequence
+            planes = (((values[k : k + BLOCK, None] >> np.arange(bits, dtype=U64)) & U64(1)).astype(np.uint8) for k in range(0, n, BLOCK))
+            low = np.concatenate([np.zeros(0, np.uint8), *(np.packbits(x.ravel(), bitorder="little") for x in planes)])
         else:
             low = np.zeros(0, np.uint8)
         up = (values >> U64(bits)).astype(np.int64)

@@ -5,14 +5,20 @@ is already counted, as packed arrays, one row for each shard they touch.  The
 first level of the trie holds the words (sorted hashes, counts), the second the
 followers of each word: ids made monotone by the word's own base, in an
 Elias-Fano sequence, found by successor search inside the bucket of that base;
-pointers to each word's followers are another Elias-Fano sequence.  Follower
+pointers to each word's followers are another Elias-Fano sequence.  The third
+level holds the followers of each pair in the same way, under the pair's place in
+its shard of the second.  One pass counts both: each pair is sent with the word
+that comes next, to the shard of its first word.  Follower
 probabilities are smoothed by absolute discounting, interpolated with the
-add-one unigram, and kept as 8-bit steps between the level's extremes.  All
+add-one unigram, and kept as 8-bit steps between the level's extremes; of the
+third level the discounted share and the pair's left-over mass are kept, and
+scoring adds the second level's probability.  All
 levels lie in the shared folder as arrays that scoring tasks map into memory.
 
 A text is its words (A-Z lower-cased), then one end; the first word follows an
 end.  Unseen followers get the word's left-over mass (from its pointers) times
-the unigram; after unseen words the unigram counts alone.
+the unigram; after unseen words the unigram counts alone.  ``score`` takes one word
+before as context, ``score_3`` two; after unseen pairs, and for a first word, it has the former's value.
 
 Rules: null and empty texts are the end alone; a row without doc_id counts as
 the id ''; repeated rows count and are scored each; other columns are ignored.
@@ -39,6 +45,8 @@ from .words import U64, Words, binary, of_binary, pieces
 DISCOUNT, STEPS = 0.75, 255
 END = U64(0xE0D5EA4C01D5EED1)
 COUNTS = "shard int, keys binary, counts binary"
+TRIPLES = "shard int, keys binary, nexts binary, counts binary"
+NONE = np.uint32(0xFFFFFFFF)  # after the end of a text
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +156,10 @@ class Vocabulary:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def vocabulary(root: str, offset: tuple[int, ...]) -> Vocabulary:
+    second.cache_clear()  # a worker that is used again lets go of the last trie
+    third.cache_clear()
     return Vocabulary(root, list(offset))
 
 
@@ -163,7 +173,20 @@ def second_shard(word: np.ndarray, words: int, shards: int) -> np.ndarray:
     return word * shards // words
 
 
-def count_pairs(root: str, offset: tuple[int, ...], shards: int):
+def totals(key: np.ndarray, after: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, after) in order, with their summed counts."""
+    if not len(key):
+        return key, after, count
+    order = np.lexsort((after, key))
+    key, after, count = key[order], after[order], count[order]
+    del order
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (after[1:] != after[:-1])))
+    return key[first], after[first], np.add.reduceat(count, first, dtype=np.int64)
+
+
+def count_triples(root: str, offset: tuple[int, ...], shards: int):
+    """Pairs with the word that comes next."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(root, offset)
         end = int(vocab.find(np.array([END]))[0][0])
@@ -171,32 +194,75 @@ def count_pairs(root: str, offset: tuple[int, ...], shards: int):
             for batch in pieces(whole):
                 h, ends = tokens(Words(batch.column("text"), lower=True))
                 ids, _ = numbered(h, vocab)
-                key, count = np.unique((before(ids, ends, end).astype(U64) << U64(32)) | ids.astype(U64), return_counts=True)
-                yield sent(second_shard((key >> U64(32)).astype(np.int64), offset[-1], shards), key, count)
+                after = np.append(ids[1:], 0).astype(np.uint32)
+                after[ends - 1] = NONE
+                key, after, count = totals((before(ids, ends, end).astype(U64) << U64(32)) | ids.astype(U64), after, np.ones(len(ids), dtype=np.uint32))
+                shard = second_shard((key >> U64(32)).astype(np.int64), offset[-1], shards)
+                out = sent(shard, key, count)
+                size = of_binary(out.column("counts"), np.uint32)[1]
+                yield pa.RecordBatch.from_arrays([out.column("shard"), out.column("keys"), binary(after, size), out.column("counts")], names=["shard", "keys", "nexts", "counts"])
 
     return of
 
 
-def write_pairs(root: str, offset: tuple[int, ...], shards: int, total: int):
+def steps_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(8-bit steps between the extremes, [lowest, step])."""
+    low, high = (float(p.min()), float(p.max())) if len(p) else (0.0, 0.0)
+    step = (high - low) / STEPS or 1.0
+    return np.rint((p - low) / step).astype(np.uint8), np.array([low, step])
+
+
+def write_second(where: str, vocab: Vocabulary, first: int, own: int, words: int, total: int, key: np.ndarray, count: np.ndarray) -> None:
+    """Followers of the ``own`` words from ``first`` on; key holds (word, follower) in order."""
+    word, follower = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
+    EliasFano.of((word - first) * words + follower, own * words).save(f"{where}/follower")
+    EliasFano.of(np.searchsorted(word, np.arange(first, first + own + 1)), len(key) + 1).save(f"{where}/pointer")
+    unique, back = np.unique(follower, return_inverse=True)
+    del follower
+    p = ((vocab.counts(unique) + 1) / (total + words + 1))[back]
+    have, place = np.unique(word, return_inverse=True)
+    del unique, back, word
+    p *= (DISCOUNT * np.bincount(place))[place]
+    p += np.maximum(count - DISCOUNT, 0)
+    p /= vocab.counts(have)[place]
+    steps, scale = steps_of(np.log10(p))
+    save(f"{where}/score", steps)
+    save(f"{where}/range", scale)
+
+
+def write_third(where: str, words: int, count: np.ndarray, at: np.ndarray, after: np.ndarray, times: np.ndarray) -> None:
+    """Followers of pairs, which stand at a place of the second level with their counts; one that ends a text has none."""
+    EliasFano.of(at * words + after, len(count) * words).save(f"{where}/follower")
+    steps, scale = steps_of(np.log10((times - DISCOUNT) / count[at]))
+    save(f"{where}/score", steps)
+    left, left_scale = steps_of(np.log10(DISCOUNT * np.maximum(np.bincount(at, minlength=len(count)), 1) / count))
+    save(f"{where}/left", left)
+    save(f"{where}/range", np.append(scale, left_scale))
+
+
+def write_triples(root: str, offset: tuple[int, ...], shards: int, total: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words = vocabulary(root, offset), offset[-1]
         for table in groups(batches, "shard", 24 << 20):
-            for s, key, count in gathered(table):
+            shard = table.column("shard").to_numpy()
+            for s in np.unique(shard).tolist():
+                part = table.filter(pa.array(shard == s))
+                pair, after, times = totals(of_binary(part.column("keys"), U64)[0], of_binary(part.column("nexts"), np.uint32)[0], of_binary(part.column("counts"), np.uint32)[0])
+                del part
+                start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                key, count = pair[start], np.add.reduceat(times, start)
+                del pair
                 first = -(-s * words // shards)  # smallest word of the shard
                 own = -(-(s + 1) * words // shards) - first
-                word, follower = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
-                unique, back = np.unique(follower, return_inverse=True)
-                unigram = ((vocab.counts(unique) + 1) / (total + words + 1))[back]
-                have, place = np.unique(word, return_inverse=True)
-                seen, kinds = vocab.counts(have)[place], np.bincount(place)[place]
-                p = np.log10((np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * unigram) / seen)
-                low, high = float(p.min()), float(p.max())
-                step = (high - low) / STEPS or 1.0
-                EliasFano.of((word - first) * words + follower, own * words).save(f"{root}/2/{s}/follower")
-                EliasFano.of(np.searchsorted(word, np.arange(first, first + own + 1)), len(key) + 1).save(f"{root}/2/{s}/pointer")
-                save(f"{root}/2/{s}/score", np.rint((p - low) / step).astype(np.uint8))
-                save(f"{root}/2/{s}/range", np.array([low, step]))
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(key)], pa.int64())], names=["shard", "pairs"])
+                write_second(f"{root}/2/{s}", vocab, first, own, words, total, key, count)
+                size, key = np.diff(np.append(start, len(times))), None
+                inner = after != NONE
+                at = np.repeat(np.arange(len(count)), size)[inner]
+                after, times = after[inner], times[inner]
+                del start, size, inner
+                write_third(f"{root}/3/{s}", words, count, at, after.astype(np.int64), times)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(count)], pa.int64())], names=["shard", "pairs"])
+                del at, after, times, count
 
     return of
 
@@ -206,6 +272,30 @@ def second(root: str, s: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndar
     return EliasFano.load(f"{root}/2/{s}/follower"), EliasFano.load(f"{root}/2/{s}/pointer"), load(f"{root}/2/{s}/score"), np.array(load(f"{root}/2/{s}/range"))
 
 
+@functools.lru_cache(maxsize=4096)
+def third(root: str, s: int) -> tuple[EliasFano, np.ndarray, np.ndarray, np.ndarray]:
+    return EliasFano.load(f"{root}/3/{s}/follower"), load(f"{root}/3/{s}/score"), load(f"{root}/3/{s}/left"), np.array(load(f"{root}/3/{s}/range"))
+
+
+def after_pairs(root: str, shard: np.ndarray, place: np.ndarray, word: np.ndarray, p: np.ndarray, words: int) -> np.ndarray:
+    """Third-level log probabilities of words (-1: unknown) after the pairs at a place of a shard of the second; p are those of the second."""
+    out = np.empty(len(p))
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else order
+    for mine in np.split(order, cuts[1:]) if len(order) else ():
+        trie, steps, left, (low, step, left_low, left_step) = third(root, int(shard[mine[0]]))
+        at, w = place[mine], word[mine]
+        q = 10.0 ** (left_low + left_step * left[at] + p[mine])
+        unique, back = np.unique(at[w >= 0] * words + w[w >= 0], return_inverse=True)
+        if len(unique):
+            found, hit = trie.successor(unique)
+            share = np.zeros(len(unique))
+            share[hit] = 10.0 ** (low + step * steps[found[hit]])
+            q[w >= 0] += share[back]
+        out[mine] = np.log10(q)
+    return out
+
+
 def score(root: str, offset: tuple[int, ...], shards: int, total: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words = vocabulary(root, offset), offset[-1]
@@ -223,8 +313,9 @@ def score(root: str, offset: tuple[int, ...], shards: int, total: int):
                 seen = vocab.counts(word)
                 unigram = np.zeros(len(key))
                 unigram[back] = base[known]
-                got = np.zeros(len(key))
-                cuts = np.searchsorted(second_shard(word, words, shards), np.arange(shards + 1))
+                got, place = np.zeros(len(key)), np.full(len(key), -1, dtype=np.int64)
+                shard = second_shard(word, words, shards)
+                cuts = np.searchsorted(shard, np.arange(shards + 1))
                 for s in range(shards):
                     a, b = cuts[s], cuts[s + 1]
                     if a == b:
@@ -235,25 +326,35 @@ def score(root: str, offset: tuple[int, ...], shards: int, total: int):
                     real = f < words
                     at, hit = trie.successor(w * words + np.where(real, f, 0))
                     hit &= real
+                    place[a:b][hit] = at[hit]
                     own = np.empty(b - a)
                     own[hit] = low + step * steps[at[hit]]
                     miss = np.flatnonzero(~hit)
-                    heads, place = np.unique(w[miss], return_inverse=True)
-                    kinds = (pointer.access(heads + 1) - pointer.access(heads))[place]
+                    heads, head = np.unique(w[miss], return_inverse=True)
+                    kinds = (pointer.access(heads + 1) - pointer.access(heads))[head]
                     own[miss] = np.log10(DISCOUNT * kinds / seen[a:b][miss]) + unigram[a:b][miss]
                     got[a:b] = own
                 out[known] = got[back]
+                # the pair before a token is the one that the token before it ends
+                pair = np.full(len(ids), -1, dtype=np.int64)
+                pair[known] = back
+                pair[1:] = pair[:-1].copy()
+                pair[np.append(0, ends[:-1])[: len(ends)]] = -1
+                deep = np.flatnonzero(pair >= 0)
+                deep = deep[place[pair[deep]] >= 0]
+                out3 = out.copy()
+                out3[deep] = after_pairs(root, shard[pair[deep]], place[pair[deep]], ids[deep], out[deep], words)
                 per = np.append(0, ends)
-                sums = [np.append(0, np.cumsum(x)) for x in (count > 0, base, out)]
-                n_known, b_sum, s_sum = (x[per[1:]] - x[per[:-1]] for x in sums)
-                columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(per)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(ends), total)), pa.array(b_sum), pa.array(s_sum)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                sums = [np.append(0, np.cumsum(x)) for x in (count > 0, base, out, out3)]
+                n_known, b_sum, s_sum, s3_sum = (x[per[1:]] - x[per[:-1]] for x in sums)
+                columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(per)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(ends), total)), pa.array(b_sum), pa.array(s_sum), pa.array(s3_sum)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_3"])
 
     return of
 
 
 def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 3_000_000) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_3; learnt from the rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``."""
     spark = docs.sparkSession
     root = f"{has_checkpoint_dir(spark).rstrip('/')}/ngram-{uuid.uuid4().hex}"
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold).alias("held_out")
@@ -271,9 +372,9 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens
         sizes, shards = {0: (1, 0)}, 1
     offset = tuple(np.append(0, np.cumsum([sizes.get(s, (0, 0))[0] for s in range(shards)])).tolist())
     total = sum(t for _, t in sizes.values())
-    pairs = train.mapInArrow(count_pairs(root, offset, shards), COUNTS).repartition("shard").sortWithinPartitions("shard").mapInArrow(write_pairs(root, offset, shards, total), "shard int, pairs long")
+    pairs = train.mapInArrow(count_triples(root, offset, shards), TRIPLES).repartition("shard").sortWithinPartitions("shard").mapInArrow(write_triples(root, offset, shards, total), "shard int, pairs long")
     cut(pairs)
     try:
-        return cut(rows.mapInArrow(score(root, offset, shards, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        return cut(rows.mapInArrow(score(root, offset, shards, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_3 double"))
     finally:
         remove(root)

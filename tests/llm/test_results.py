@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.llm import decontaminate, html_text, near_dedup, packing, queries, topk
+from tessella.llm import decontaminate, html_text, near_dedup, ngram, packing, queries, topk
 from tessella.llm.elias_fano import EliasFano
 from tessella.llm.words import Words
 
@@ -226,3 +226,32 @@ def test_words():
     texts = ["a b\tc", "", " x  y\n", "zz", None, "a"]
     w = Words(pa.array(texts))
     assert w.count.tolist() == [len(words(t)) for t in texts] and w.hash[0] == w.hash[-1]
+
+
+def test_ngram_third_level(spark):
+    """Scores by two words of context against brute force; texts with the same pairs in another order come apart."""
+    docs = [(r.doc_id, words((r.text or "").translate(LOWER)) + [None]) for r in table(spark, "documents")]
+    c, two, three = Counter(), Counter(), Counter()
+    for i, w in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(w)
+            two.update(zip([None, *w[:-1]], w))
+            three.update(zip([None, *w[:-2]], w[:-1], w[1:]))
+    kinds, kinds3 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+    total, size = sum(c.values()), len(c)
+    rows = {r.doc_id: r for r in queries.op10_ngram(spark, SF).collect()}
+    for i, w in docs:
+        full = 0.0
+        for k, x in enumerate(w):
+            a, p = (w[k - 1] if k else None), (c[x] + 1) / (total + size + 1)
+            if c[a]:
+                p = (max(two[a, x] - 0.75, 0) + 0.75 * kinds[a] * p) / c[a]
+            pair = (w[k - 2] if k > 1 else None, a)
+            if k and kinds3[pair]:
+                p = (max(three[(*pair, x)] - 0.75, 0) + 0.75 * kinds3[pair] * p) / two[pair]
+            full += math.log10(p)
+        assert abs(rows[i].score_3 - full) < 0.03 * len(w)
+    one = "a b c a d c"
+    train = [(k, one) for k in range(60)]  # 1001 and 1002 have the same pairs
+    got = {r.doc_id: r for r in ngram.score_documents(spark.createDataFrame([*train, (1000, one), (1001, "x a b c a b c a d c"), (1002, "x a b c a d c a b c")], "doc_id long, text string")).collect()}
+    assert abs(got[1001].score - got[1002].score) < 1e-9 and got[1001].score_3 != got[1002].score_3
