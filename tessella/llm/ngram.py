@@ -46,6 +46,7 @@ DISCOUNT, STEPS = 0.75, 255
 END = U64(0xE0D5EA4C01D5EED1)
 COUNTS = "shard int, keys binary, counts binary"
 TRIPLES = "shard int, keys binary, nexts binary, counts binary"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 NONE = np.uint32(0xFFFFFFFF)  # after the end of a text
 
 
@@ -373,7 +374,12 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens
     offset = tuple(np.append(0, np.cumsum([sizes.get(s, (0, 0))[0] for s in range(shards)])).tolist())
     total = sum(t for _, t in sizes.values())
     pairs = train.mapInArrow(count_triples(root, offset, shards), TRIPLES).repartition("shard").sortWithinPartitions("shard").mapInArrow(write_triples(root, offset, shards, total), "shard int, pairs long")
-    cut(pairs)
+    before_bytes = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(8 << 20))  # packed rows are long: batches of rows by number would hold a task's whole input
+    try:
+        cut(pairs)
+    finally:
+        spark.conf.unset(BATCH) if before_bytes is None else spark.conf.set(BATCH, before_bytes)
     try:
         return cut(rows.mapInArrow(score(root, offset, shards, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_3 double"))
     finally:
