@@ -6,14 +6,19 @@
 2.  Inverted lists hold, for each retained value, the classes that retain it.
     Sets as similar as the threshold share at least ``m`` values of a sketch,
     so a class needs to stand only in the lists of its ``size - m + 1`` rarest
-    values: what a frequent passage puts into many sketches makes no list.
+    values: what a frequent passage puts into many sketches makes no list.  Of
+    lists with the same members one is kept.
 3.  Each list links its members to one pivot; the union sketch (the k smallest
     values of both) estimates the similarity and discards most pairs, exact
     Jaccard on the full sets decides the rest; components join what is linked.
-4.  Lists whose members are still in different components are compared in
-    blocks of 64 by 64, pairs inside a component left out, by sketches of 256
-    values (which hold most sets whole); only what they let through becomes a
-    row, and is verified as well.
+4.  Lists whose members are still in different components travel as they are, each
+    member with the ``WIDE`` smallest values of its set, to one task (a list of many
+    bytes in blocks, to one task for two blocks that sizes and components leave
+    together).  The task compares members of different components only, joins
+    what it links and sends on the links that joined something: fewer than the
+    list has members.  Of sets that are held whole the comparison is exact; others are
+    estimated by the union sketch, and members with a pair that passes are named,
+    once each.  Those meet again in the same way with their full sets.
 
 m follows from the threshold: a pair exactly at it fails to share m values of 32
 with probability below 1e-7 (m = 15 at 85 %, 12 at 80 %), and of 256 with one below
@@ -37,9 +42,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, cut, release
-from .words import U64, Words, grams, mix, of_binary, pieces
-
-SHINGLE, PERCENT, K, BLOCK, WIDE = 5, 85, 32, 64, 256
+from .substring import groups
+from .words import U64, Words, grams, mix, of_binary, pieces, spread
+
+SHINGLE, PERCENT, K, WIDE = 5, 85, 32, 256
+#: Bytes of sets in a block, and members of a block compared at a time.
+BLOCK, PART = 4 << 20, 64
+#: Columns of an incidence matrix.
+COLUMNS = 1 << 15
 MISS, WIDE_MISS = 1e-7, 1e-9
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -65,31 +75,45 @@ def sketches(k: int, size: int = SHINGLE):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                n, cls, low, wide = [], [], [], []
+                n, cls, low = [], [], []
                 ends = [0]
                 for s in shingle_sets(Words(batch.column("text"), lower=True), size):
                     n.append(len(s))
                     cls.append(class_of(s))
                     low.append(s[:k])
-                    wide.append((s[:WIDE] >> U64(32)).astype("<u4").tobytes())
                     ends.append(ends[-1] + len(low[-1]))
                 held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(low).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), held, pa.array(wide, pa.binary())], names=["doc_id", "n", "cls", "sketch", "wide"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), held], names=["doc_id", "n", "cls", "sketch"])
 
     return of
 
 
-def full_sets(size: int = SHINGLE):
+def held_sets(size: int, most: int | None):
+    """(cls, held): the ``most`` smallest values (all if None) of the sets of texts, of the class that ``wanted`` names or, if null, of any."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                wanted = batch.column("wanted").to_pylist()
-                got = [(c, s.tobytes()) for s, c in zip(shingle_sets(Words(batch.column("text"), lower=True), size), wanted, strict=True) if class_of(s) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["cls", "full"])
+                got = []
+                for s, wanted in zip(shingle_sets(Words(batch.column("text"), lower=True), size), batch.column("wanted").to_pylist(), strict=True):
+                    c = class_of(s)
+                    if c is not None and (wanted is None or c == wanted):
+                        got.append((c, s[:most].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["cls", "held"])
 
     return of
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, size: int, most: int | None = None) -> DataFrame:
+    """(cls, held) for the (cls, doc) of ``ids``; a class whose rows have no doc_id is found by its set."""
+    wanted = ids.select(F.col("doc").alias("_d"), F.col("cls").alias("wanted"))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("_d")).select("wanted", "text")
+    named = texts.mapInArrow(held_sets(size, most), "cls long, held binary")
+    nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text").mapInArrow(held_sets(size, most), "cls long, held binary")
+    nameless = nameless.join(ids.filter("doc is null").select("cls"), "cls", "left_semi")
+    return cut(named.unionByName(nameless).groupBy("cls").agg(F.first("held").alias("held")))
+
+
 def padded(column, k: int) -> np.ndarray:
     flat, length = column.flatten().to_numpy(zero_copy_only=False).view(U64), pc.list_value_length(column).to_numpy(zero_copy_only=False)
     out = np.full((len(length), k), _TOP, dtype=U64)
@@ -126,63 +150,159 @@ def estimate(k: int, m: int, percent: int):
     return of
 
 
-def overlaps(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """Sizes of the intersections of each wide sketch of x with each of y, by one product of incidence matrices."""
-    (fx, lx), (fy, ly) = of_binary(x, "<u4"), of_binary(y, "<u4")
-    value, at = np.unique(np.concatenate([fx, fy]), return_inverse=True)
-    a = np.zeros((len(lx), len(value)), dtype=np.float32)
-    b = np.zeros((len(ly), len(value)), dtype=np.float32)
-    a[np.repeat(np.arange(len(lx)), lx), at[: len(fx)]] = 1
-    b[np.repeat(np.arange(len(ly)), ly), at[len(fx) :]] = 1
-    return np.rint(a @ b.T).astype(np.int64)
-
+def overlaps(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y (flat values, lengths), by products of incidence matrices."""
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(lx), len(ly)), dtype=np.int64)
+    sides = []
+    for flat, length in ((x, lx), (y, ly)):
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), dtype=bool)
+        sides.append((np.repeat(np.arange(len(length)), length)[hit], at[hit], len(length)))
+    for low in range(0, len(both), COLUMNS):
+        wide = min(COLUMNS, len(both) - low)
+        made = []
+        for row, at, rows in sides:
+            one = np.zeros((rows, wide), dtype=np.float32)
+            mine = (at >= low) & (at < low + wide) if len(both) > COLUMNS else slice(None)
+            one[row[mine], at[mine] - low] = 1
+            made.append(one)
+        out += np.rint(made[0] @ made[1].T).astype(np.int64)
+    return out
 
-def rows_of(lists: pa.Array) -> np.ndarray:
-    """Lists of longs as rows of one width, filled up by repeating the first."""
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    wide, first = np.arange(int(size.max(initial=0)))[None, :], (np.cumsum(size) - size)[:, None]
-    return flat[first + np.where(wide < size[:, None], wide, 0)]
 
+def padded_rows(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    """The first k values of each set, filled up."""
+    length = np.minimum(length, k)
+    out = np.full((len(begin), k), _TOP, dtype=U64)
+    out[np.arange(k) < length[:, None]] = flat[spread(begin, length)]
+    return out
 
-def blocks(percent: int):
-    """Pairs of two blocks that lie in different components and pass the estimate."""
-    wide_shared = least_shared(WIDE, percent, WIDE_MISS)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                x, y = (pa.array(batch.column(c)[r].values) for c in ("x", "y"))
-                cx, cy = (z.field("cls").to_numpy() for z in (x, y))
-                apart = x.field("root").to_numpy()[:, None] != y.field("root").to_numpy()[None, :]
-                if batch.column("i")[r].as_py() == batch.column("j")[r].as_py():
-                    apart &= np.arange(len(cx))[:, None] < np.arange(len(cy))[None, :]
-                nx, ny = x.field("n").to_numpy()[:, None], y.field("n").to_numpy()[None, :]
-                apart &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
-                if not apart.any():
+class Cell:
+    """Members of one list that meet in one task; ``side`` tells two blocks apart, within one block all is 0."""
+
+    def __init__(self, cls: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, flat: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.cls, self.n, self.side, self.flat, self.begin, self.length = cls, n, side, flat, begin, length
+        self.label = np.unique(root, return_inverse=True)[1]
+        self.cross = bool((side != side[0]).any())
+        self.links: list[tuple[int, int]] = []
+        self.open = np.zeros(len(cls), dtype=bool)
+
+    def union_passes(self, i: np.ndarray, j: np.ndarray, wide: int, gate: int) -> np.ndarray:
+        """Whether the union sketch of pairs has ``gate`` shared values."""
+        out = np.zeros(len(i), dtype=bool)
+        for a in range(0, len(i), 2048):
+            part = slice(a, a + 2048)
+            x, y = (padded_rows(self.flat, self.begin[k[part]], self.length[k[part]], wide) for k in (i, j))
+            out[part] = union_shared(x, y, wide)[0] >= gate
+        return out
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self.label[a], self.label[b]
+            if x != y:
+                self.label[self.label == y] = x
+                self.links.append((a, b))
+
+    def compare(self, percent: int, wide: int | None, gate: int) -> None:
+        """Links between different components; where sets are not held whole, marks of members with a pair that passes the estimate."""
+        n, order = self.n, np.argsort(self.n, kind="stable")
+        for p in range(0, len(order), PART):
+            x = order[p : p + PART]
+            for q in range(p, len(order), PART):
+                y = order[q : q + PART]
+                if 100 * n[x[-1]] < percent * n[y[0]]:
+                    break  # sizes rise: no later part is near enough
+                apart = (self.label[x][:, None] != self.label[y][None, :]) & (100 * n[x][:, None] >= percent * n[y][None, :])
+                if self.cross:
+                    apart &= self.side[x][:, None] != self.side[y][None, :]
+                if p == q:
+                    apart &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+                rows, columns = apart.any(axis=1), apart.any(axis=0)
+                if not rows.any():
                     continue
-                inter = overlaps(x.field("wide"), y.field("wide"))
-                apart &= np.where(np.maximum(nx, ny) <= WIDE, 100 * inter >= percent * (nx + ny - inter), inter >= wide_shared)
-                i, j = np.nonzero(apart)
-                # the pair belongs to the first list that both stand in
-                vx, vy = rows_of(x.field("vs")), rows_of(y.field("vs"))
-                shared = (vx[i][:, :, None] == vy[j][:, None, :]).any(axis=2)
-                mine = np.where(shared, vx[i], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == batch.column("v")[r].as_py()
-                i, j = i[mine], j[mine]
-                # of exactly known links between two components one is enough: the closest
-                exact = np.maximum(nx[i, 0], ny[0, j]) <= WIDE
-                near = inter[i, j] / (nx[i, 0] + ny[0, j] - inter[i, j])
-                order = np.lexsort((-near, y.field("root").to_numpy()[j], x.field("root").to_numpy()[i], exact))
-                i, j, exact = i[order], j[order], exact[order]
-                a, b = x.field("root").to_numpy()[i], y.field("root").to_numpy()[j]
-                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (exact[1:] != exact[:-1]))[: len(i)]
-                i, j = i[first | ~exact], j[first | ~exact]
+                u, w, apart = x[rows], y[columns], apart[rows][:, columns]
+                inter = overlaps(*(z for k in (u, w) for z in (self.flat[spread(self.begin[k], self.length[k])], self.length[k])))
+                nu, nw = n[u][:, None], n[w][None, :]
+                whole = np.maximum(nu, nw) <= wide if wide else np.ones(apart.shape, dtype=bool)
+                i, j = np.nonzero(apart & whole & (100 * inter >= percent * (nu + nw - inter)))
+                self.join(u[i], w[j])
+                i, j = np.nonzero(apart & ~whole & (inter >= gate))
+                i, j = u[i], w[j]
+                still = self.label[i] != self.label[j]
+                i, j = i[still], j[still]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cx[i], cy[j])), pa.array(np.maximum(cx[i], cy[j]))], names=["a", "b"])
+                    ok = self.union_passes(i, j, wide, gate)
+                    self.open[i[ok]] = True
+                    self.open[j[ok]] = True
+
+
+def compare(percent: int, wide: int | None):
+    """Rows (a, b, v): links a, b with v null, and marked members a of list v with b null."""
+    gate = least_shared(wide, percent, WIDE_MISS) if wide else 0
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "cell", 4 * BLOCK):
+            key, cls, root, n, side, v = (table.column(c).to_numpy() for c in ("cell", "cls", "root", "n", "side", "v"))
+            flat, length = of_binary(table.column("held"), U64)
+            begin = np.cumsum(length) - length
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            a, b, lists = [], [], []
+            for low, high in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                own = slice(low, high)
+                cell = Cell(cls[own], root[own], n[own], side[own], flat, begin[own], length[own])
+                cell.compare(percent, wide, gate)
+                for i, j in cell.links:
+                    a.append(int(cls[low + i]))
+                    b.append(int(cls[low + j]))
+                    lists.append(None)
+                for i in np.flatnonzero(cell.open).tolist():
+                    a.append(int(cls[low + i]))
+                    b.append(None)
+                    lists.append(int(v[low]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lists, pa.int64())], names=["a", "b", "v"])
 
     return of
 
 
+def cells(members: DataFrame, percent: int, wide: int | None) -> DataFrame:
+    """``members`` (v, cls, root, n) with the cell and side in which they meet: a list of few bytes whole, others by blocks.
+
+    Blocks hold sets of alike size and, where a component is large, of one
+    component; pairs of blocks that sizes or components rule out make no cell.
+    """
+    weight = (F.least("n", F.lit(wide)) if wide else F.col("n")) * 8 + 64
+    members = members.withColumn("w", weight)
+    light = members.join(members.groupBy("v").agg(F.sum("w").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").drop("low", "high"), "v")
+    whole = light.filter(F.col("bytes") <= BLOCK).select("v", "cls", "root", "n", F.xxhash64("v").alias("cell"), F.lit(0).alias("side"))
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    heavy = light.filter(F.col("bytes") > BLOCK).select("v", "cls", "root", "n", "w", band.cast("long").alias("band"))
+    per = heavy.groupBy("v", "band", "root").agg(F.sum("w").alias("w")).withColumn("alone", F.col("w") > BLOCK // 2)
+    own = F.when(F.col("alone"), F.col("root")).otherwise(0).alias("own")
+    per = per.select("v", "band", "root", "alone", own, "w")
+    blocks = per.groupBy("v", "band", "alone", "own").agg(F.ceil(F.sum("w") / BLOCK).alias("blocks"))
+    heavy = heavy.drop("w").join(per.drop("w"), ["v", "band", "root"]).join(blocks, ["v", "band", "alone", "own"])
+    place = F.pmod(F.xxhash64(F.when(F.col("alone"), F.col("cls")).otherwise(F.col("root"))), F.col("blocks"))
+    heavy = heavy.select("v", "cls", "root", "n", F.xxhash64("band", "alone", "own", place).alias("block"))
+    about = heavy.groupBy("v", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    other = about.select("v", *(F.col(c).alias(f"{c}2") for c in ("block", "least", "most", "low", "high")))
+    meet = about.join(other, "v").filter(f"block <= block2 AND 100 * most >= {percent} * least2 AND 100 * most2 >= {percent} * least AND NOT (low = high AND low2 = high2 AND low = low2)")
+    meet = meet.select("v", "block", "block2", F.xxhash64("v", "block", "block2").alias("cell"))
+    left = heavy.join(meet.select("v", "block", "cell"), ["v", "block"]).select("v", "cls", "root", "n", "cell", F.lit(0).alias("side"))
+    right = heavy.join(meet.filter("block <> block2").select("v", F.col("block2").alias("block"), "cell"), ["v", "block"]).select("v", "cls", "root", "n", "cell", F.lit(1).alias("side"))
+    return whole.unionByName(left).unionByName(right)
+
+
+def meetings(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int, wide: int | None) -> DataFrame:
+    """What ``compare`` finds among the members of each list."""
+    met = cut(cells(members, percent, wide))
+    held = sets_of(met.select("cls").distinct().join(classes.select("cls", "doc"), "cls"), docs, size, wide)
+    rows = met.join(held, "cls").repartition("cell").sortWithinPartitions("cell")
+    return cut(rows.mapInArrow(compare(percent, wide), "a long, b long, v long"))
+
+
 def verify(percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,34 +319,40 @@ def verify(percent: int):
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the (a, b) class pairs whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc"), "cls")
-    texts = docs.join(ids.select(F.col("doc").alias("_d"), F.col("cls").alias("wanted")), F.col("doc_id") == F.col("_d")).select("wanted", "text")
-    sets = texts.mapInArrow(full_sets(size), "cls long, full binary").dropDuplicates(["cls"])
-    sets = cut(sets)
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("full").alias("fa")), "a")
-    two = one.join(sets.select(F.col("cls").alias("b"), F.col("full").alias("fb")), "b")
+    sets = sets_of(ids, docs, size)
+    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("held").alias("fa")), "a")
+    two = one.join(sets.select(F.col("cls").alias("b"), F.col("held").alias("fb")), "b")
     return two.select("a", "b", "fa", "fb").mapInArrow(verify(percent), "a long, b long")
 
 
+def placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     spark, m = docs.sparkSession, least_shared(k, percent, MISS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.mapInArrow(sketches(k, size), "doc_id long, n long, cls long, sketch array<long>, wide binary")
-    # the rows without sketches, and one row for each distinct set
+    rows = docs.mapInArrow(sketches(k, size), "doc_id long, n long, cls long, sketch array<long>")
+    # one row for each distinct set
     rows = cut(rows)
-    classes = cut(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
+    classes = cut(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     least = F.when(F.col("s") >= _holds(k, percent), F.lit(m)).otherwise(F.ceil(F.col("s") * percent / 100)).cast("int")
     values = classes.select("cls", F.least("n", F.lit(k)).cast("int").alias("s"), F.explode("sketch").alias("v"))
     seen = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     shared = values.join(seen, "v")
     own = Window.partitionBy("cls")
-    lists = cut(
+    lists = (
         shared.withColumn("r", F.row_number().over(own.orderBy("df", "v")))
         .withColumn("all", F.count("*").over(own))
         .filter(F.col("r") <= F.col("all") - least + 1)
         .select("v", "cls")
     )
+    lists = cut(lists)
+    # one of the lists with the same members, told by two sums of hashes
+    alike = lists.groupBy("v").agg(F.count("*").alias("members"), *(F.sum(F.xxhash64("cls", F.lit(x)).cast("decimal(20,0)")).alias(f"sum{x}") for x in (1, 2))).filter("members > 1")
+    lists = cut(lists.join(alike.groupBy("members", "sum1", "sum2").agg(F.min("v").alias("v")).select("v"), "v", "left_semi"))
     release(spark)
     pivot = lists.groupBy("v").agg(F.min("cls").alias("a"), F.count("*").alias("members")).filter("members > 1")
     stars = lists.join(pivot, "v").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
@@ -238,18 +364,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     roots = cut(components(links))
 
     # what the stars have left: lists that still hold more than one component
-    placed = lists.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("v", "cls", F.coalesce("component", "cls").alias("root"))
-    open_lists = placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("v")
-    left = placed.join(open_lists, "v")
-    left = left.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("v").orderBy("root", "cls")) - 1) / BLOCK))
-    left = left.join(classes.select("cls", "n", "wide"), "cls").join(lists.groupBy("cls").agg(F.collect_list("v").alias("vs")), "cls")
-    packs = cut(left.groupBy("v", "block").agg(F.collect_list(F.struct("cls", "root", "n", "wide", "vs")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high")))
-    other = packs.select("v", F.col("block").alias("j"), F.col("x").alias("y"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meet = packs.withColumnRenamed("block", "i").join(other, "v").filter("i <= j AND NOT (low = high AND low2 = high2 AND low = low2)")
-    more = cut(meet.select("v", "i", "j", "x", "y").mapInArrow(blocks(percent), "a long, b long").distinct())
-    if not more.isEmpty():
-        links = cut(links.unionByName(verified(more, classes, docs, percent, size)))
-        roots = cut(components(links))
+    members = placed(lists, roots).join(classes.select("cls", "n"), "cls")
+    for wide in (WIDE, None):
+        found = meetings(members.select("v", "cls", "root", "n"), classes, docs, percent, size, wide)
+        new, marked = found.filter("b is not null").select("a", "b"), found.filter("b is null").select("v", F.col("a").alias("cls")).distinct()
+        if not new.isEmpty():
+            links = cut(links.unionByName(new))
+            roots = cut(components(links))
+        if wide is None or marked.isEmpty():
+            break
+        members = placed(marked, roots).join(classes.select("cls", "n"), "cls")
+        release(spark)
 
     named = classes.select("cls", "doc").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))
