@@ -93,27 +93,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
     "op6_suffixes": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, k, array_to_string(w[k:k + 49], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
 r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
-c AS (SELECT DISTINCT doc_id, k + j AS pos FROM s JOIN r USING (win), range(0, 50) AS t(j)),
-g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (step IS NULL OR step > 1) AS p
-  FROM (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM c) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(p, 0)::BIGINT AS n_passages FROM d LEFT JOIN g USING (doc_id)""",
+c AS (SELECT DISTINCT rid, k + j AS pos FROM s JOIN r USING (win), range(0, 50) AS t(j)),
+g AS (SELECT rid, count(*) AS n, count(*) FILTER (step IS NULL OR step > 1) AS p
+  FROM (SELECT rid, pos - lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS step FROM c) GROUP BY rid)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(p, 0)::BIGINT AS n_passages FROM d LEFT JOIN g USING (rid)""",
     "op7_substring": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, k, array_to_string(w[k:k + 34], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
 r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
-c AS (SELECT DISTINCT doc_id, k + j AS pos FROM s JOIN r USING (win), range(0, 35) AS t(j)),
-g AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id),
-e AS (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
-k AS (SELECT e.doc_id, string_agg(w[pos], ' ' ORDER BY pos) AS kept FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id)
+c AS (SELECT DISTINCT rid, k + j AS pos FROM s JOIN r USING (win), range(0, 35) AS t(j)),
+g AS (SELECT rid, list(pos) AS gone FROM c GROUP BY rid),
+e AS (SELECT d.rid, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT e.rid, string_agg(w[pos], ' ' ORDER BY pos) AS kept FROM e ANTI JOIN c ON e.rid = c.rid AND e.pos = c.pos GROUP BY e.rid)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)""",
+FROM d LEFT JOIN g USING (rid) LEFT JOIN k USING (rid)""",
     "op9_topk": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, q.e AS ask, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM q JOIN v d ON q.vec_id <> d.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, ask ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
