@@ -7,14 +7,15 @@ from forward-backward, in log space, over all documents of a batch at once.
 The score is the mean of the lines' marginals weighted by their lengths, put
 through a logistic curve fitted to the same sample.
 
-The model is fitted on the driver from at most ``sample`` labelled documents
-(those with the smallest hash of doc_id, so the choice doesn't depend on
-partitioning).  Lines have no labels: at first each has its document's, then
+The model is fitted on the driver from at most ``sample`` labelled documents of at
+most ``most`` bytes together (those with the smallest hash of doc_id, so the choice
+doesn't depend on partitioning; a text that would go beyond the bytes is left out).  Lines have no labels: at first each has its document's, then
 lines of bad documents that the model finds good are taken as good and the
 model is fitted again.
 
 Rules: null texts and texts without a word score 0 and are predicted 0; labels
-that are null are not learnt from; without labelled documents, or with one kind
+that are null are not learnt from, nor are those of a doc_id with different ones; of
+rows with one doc_id the text with the smallest hash is learnt from; without labelled documents, or with one kind
 only, every text with a word scores that share; repeated rows are scored each;
 other columns are ignored.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .words import Words, pieces, text_parts
 
-SAMPLE, ROUNDS, STEPS, PENALTY, KEEP = 3000, 3, 80, 1e-3, 0.7
+SAMPLE, MOST, ROUNDS, STEPS, PENALTY, KEEP = 3000, 64 << 20, 3, 80, 1e-3, 0.7
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[97:123] = 1
@@ -214,13 +215,27 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from: Column | None = None) -> Model:
-    """A model from the labelled rows among ``docs``, those of the held-out fold left out."""
-    known = labels.select(F.col("doc_id").alias("_of"), F.col("quality").cast("int").alias("quality")).filter("quality is not null").dropDuplicates(["_of"])
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST, learn_from: Column | None = None) -> DataFrame:
+    """(doc_id, text, quality) of the documents to learn from: one row for each doc_id, ``sample`` at most, of ``most`` bytes together."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_of")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("quality").cast("int")).alias("other"))
     rows = docs.filter(~held_out(F.col("doc_id")) if learn_from is None else learn_from).select("doc_id", "text")
-    ids = rows.select("doc_id").join(known, F.col("doc_id") == F.col("_of")).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the sample is bounded, so it may be broadcast to the one scan of the texts
-    got = rows.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality").toArrow().sort_by("doc_id")
+    ids = rows.select("doc_id").distinct().join(known.filter("quality = other"), F.col("doc_id") == F.col("_of")).select(F.col("doc_id").alias("_id"), "quality")
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    # the sample is bounded, so it may be broadcast to the scans of the texts
+    texts = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("x"), F.first("quality").alias("quality"))
+    chosen, total = [], 0
+    for r in texts.select("doc_id", "quality", "x.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r["size"] <= most:
+            total += r["size"]
+            chosen.append((r["doc_id"], r["text"], r["quality"]))
+    pick = docs.sparkSession.createDataFrame(chosen, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _text long, quality int")
+    got = rows.join(F.broadcast(pick), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text")))
+    return got.select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST, learn_from: Column | None = None) -> Model:
+    """A model from the labelled rows among ``docs``, those of the held-out fold left out."""
+    got = sampled(docs, labels, sample, most, learn_from).toArrow().sort_by("doc_id")
     return fit(Lines(got.column("text")), got.column("quality").to_numpy().astype(np.int64))
 
 
