@@ -4,9 +4,10 @@ Documents are tokenised, closed with an end id and cut into pieces of at most
 ``capacity`` tokens.  Pieces of full length are a sequence of their own.  The
 others are dealt to shards of about ``SHARD`` pieces; each shard is packed with
 the sum-of-squares rule over counts of open bins: N[g] bins have gap g, a piece
-of length s goes where the sum of the squares N[g] ** 2 becomes smallest.  The
-pieces of a shard come longest first, so that the short ones fill what is left;
-a shard leaves a few bins open, whatever its size.
+of length s goes where the sum of the squares N[g] ** 2 becomes smallest, be it a new
+bin.  The pieces of a shard come longest first, so that the short ones fill what is
+left; then the emptiest bins are dissolved into the gaps of the others while that
+saves any.  A shard leaves a few bins open, whatever its size.
 
 Only (doc_id, piece, length, digest) rows are shuffled, never token ids.
 
@@ -160,17 +161,24 @@ def cut_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return of
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bin, offset) of each piece and the number of bins; pieces are taken in the order given.
+def sum_of_squares(lengths: np.ndarray, capacity: int, gaps: list[int] | None = None, opens: bool = True) -> tuple[np.ndarray, list[int]]:
+    """(bin of each piece, gaps of all bins); pieces are taken in the order given, ``gaps`` are those of bins that are there before.
 
     Filling gap g takes one from N[g] and puts it at N[g - s] (nowhere if that
     is 0); half the change of the sum of squares is N[g - s] - N[g] + 1 (1/2 -
-    N[g] for an exact fit).  The smallest wins, ties to the smaller gap.  A bin
-    is opened only if nothing fits: with the longest first, that takes fewest.
+    N[g] for an exact fit).  A new bin is a gap of the whole capacity, of which
+    there are enough and which no count holds: half the change is N[capacity - s] + 1/2.
+    The smallest wins, ties to the smaller gap.  Unless it ``opens``, the choice is
+    among the bins that are there, as long as one has room.
     """
+    gaps = list(gaps or [])
     count = np.zeros(capacity + 1, dtype=np.float64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    where, offset, bins = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    for b, g in enumerate(gaps):
+        if g:
+            stacks[g].append(b)
+            count[g] += 1
+    where = np.zeros(len(lengths), np.int64)
     for i, s in enumerate(lengths.tolist()):
         fit = count[s:capacity]  # gaps s..capacity-1
         best = -1
@@ -179,19 +187,55 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             delta[0] = 0.5 - fit[0]
             delta[fit == 0] = np.inf
             g = int(delta.argmin())
-            if delta[g] < np.inf:
+            # a whole new sequence is the other choice
+            if delta[g] < np.inf and (not opens or delta[g] <= count[capacity - s] + 0.5):
                 best = g + s
         if best < 0:
-            b, gap = bins, capacity
-            bins += 1
+            b, gap = len(gaps), capacity
+            gaps.append(capacity)
         else:
             b, gap = stacks[best].pop(), best
             count[best] -= 1
-        where[i], offset[i] = b, capacity - gap
+        where[i], gaps[b] = b, gap - s
         if gap > s:
             stacks[gap - s].append(b)
             count[gap - s] += 1
-    return where, offset, bins
+    return where, gaps
+
+
+def bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bin, offset) of each piece and the number of bins; pieces are taken longest first.
+
+    All pieces are placed by the sum of squares.  While the gaps together hold whole
+    bins, the emptiest bins (4 for each that could be saved, then 32 and 256) are
+    dissolved and their pieces placed again, by the squares of the others, as long as
+    that saves any.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    size = lengths[order]
+    where, gaps = sum_of_squares(size, capacity)
+    share = 4
+    while (spare := sum(gaps) // capacity) and share <= 256:
+        gap = np.array(gaps)
+        stays = np.ones(len(gap), dtype=bool)
+        stays[np.argsort(-gap, kind="stable")[: share * spare]] = False
+        number = np.cumsum(stays) - 1
+        again = ~stays[where]
+        new, less = sum_of_squares(size[again], capacity, gap[stays].tolist(), opens=False)
+        if len(less) >= len(gaps):
+            share *= 8
+            continue
+        where, gaps = np.where(again, 0, number[where]), less
+        where[again] = new
+    by_bin = np.argsort(where, kind="stable")
+    ends = np.cumsum(size[by_bin])
+    begin = ends - size[by_bin]
+    first = np.append(True, where[by_bin][1:] != where[by_bin][:-1])[: len(by_bin)]
+    at = np.empty(len(size), np.int64)
+    at[by_bin] = begin - np.maximum.accumulate(np.where(first, begin, 0))
+    out, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    out[order], offset[order] = where, at
+    return out, offset, len(gaps)
 
 
 def place(capacity: int):
@@ -199,7 +243,7 @@ def place(capacity: int):
         length = table.column("length").to_numpy()
         ids = table.column("doc_id").to_numpy(zero_copy_only=False)
         order = np.lexsort((table.column("piece").to_numpy(), ids, -length))
-        where, offset, _ = sum_of_squares(length[order], capacity)
+        where, offset, _ = bins(length[order], capacity)
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
         shard = key[0].as_py()
