@@ -17,8 +17,8 @@ levels lie in the shared folder as arrays that scoring tasks map into memory.
 
 A text is its words (A-Z lower-cased), then one end; the first word follows an
 end.  Unseen followers get the word's left-over mass (from its pointers) times
-the unigram; after unseen words the unigram counts alone.  ``score`` takes one word
-before as context, ``score_3`` two; after unseen pairs, and for a first word, it has the former's value.
+the unigram; after unseen words the unigram counts alone.  ``score`` takes two words
+before as context, ``score_2`` one; after unseen pairs, and for a first word, the former has the latter's value.
 
 Rules: null and empty texts are the end alone; a row without doc_id counts as
 the id ''; repeated rows count and are scored each; other columns are ignored.
@@ -244,7 +244,7 @@ def write_third(where: str, words: int, count: np.ndarray, at: np.ndarray, after
 def write_triples(root: str, offset: tuple[int, ...], shards: int, total: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words = vocabulary(root, offset), offset[-1]
-        for table in groups(batches, "shard", 24 << 20):
+        for table in groups(batches, "shard", 8 << 20):
             shard = table.column("shard").to_numpy()
             for s in np.unique(shard).tolist():
                 part = table.filter(pa.array(shard == s))
@@ -302,7 +302,7 @@ def score(root: str, offset: tuple[int, ...], shards: int, total: int):
         vocab, words = vocabulary(root, offset), offset[-1]
         end = int(vocab.find(np.array([END]))[0][0])
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=1 << 20):
                 h, ends = tokens(Words(batch.column("text"), lower=True))
                 ids, count = numbered(h, vocab)
                 base = np.log10((count + 1) / (total + words + 1))
@@ -349,13 +349,13 @@ def score(root: str, offset: tuple[int, ...], shards: int, total: int):
                 sums = [np.append(0, np.cumsum(x)) for x in (count > 0, base, out, out3)]
                 n_known, b_sum, s_sum, s3_sum = (x[per[1:]] - x[per[:-1]] for x in sums)
                 columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(per)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(ends), total)), pa.array(b_sum), pa.array(s_sum), pa.array(s3_sum)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_3"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score_2", "score"])
 
     return of
 
 
-def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 3_000_000) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_3; learnt from the rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``."""
+def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1_000_000) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score_2, score; learnt from the rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``."""
     spark = docs.sparkSession
     root = f"{has_checkpoint_dir(spark).rstrip('/')}/ngram-{uuid.uuid4().hex}"
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold).alias("held_out")
@@ -381,6 +381,6 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens
     finally:
         spark.conf.unset(BATCH) if before_bytes is None else spark.conf.set(BATCH, before_bytes)
     try:
-        return cut(rows.mapInArrow(score(root, offset, shards, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_3 double"))
+        return cut(rows.mapInArrow(score(root, offset, shards, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score_2 double, score double"))
     finally:
         remove(root)
