@@ -1,58 +1,104 @@
 """Full-text retrieval: postings, BM25, ranked and fallback search, for a DataFrame of queries.
 
-Scores follow the common FTS formula over weighted fields: k1 = 1.2, b = 0.75,
-the frequency of a term is the weighted sum over the fields, the length counts
-the tokens of all fields, inverse document frequency has a floor of 1e-6 and the
-negative of the sum is the rank (smaller is better).
+A chunk has six weighted fields.  A query's tokens are phrases: the words of one
+stand in a row, in one field.  Scores follow the common FTS formula: k1 = 1.2, b = 0.75,
+the frequency of a phrase is the weighted sum over the fields, the length counts
+the words of all fields, inverse document frequency has a floor of 1e-6 and the
+negative of the sum is the rank (smaller is better).  All phrases of a query must match;
+one without a word matches nothing.
+
+Every text is tokenised once: the words of a chunk are compared with the asked
+phrases before anything is exploded, and one row of each chunk carries its length,
+from which the number of chunks and their mean length are summed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
-WEIGHTS = {"identifier": 12.0, "title": 6.0, "content": 1.0}
+# The fields of the text index and their weights.
+WEIGHTS = {"identifier": 12.0, "title": 6.0, "heading": 4.0, "aliases": 10.0, "content": 1.0, "path": 2.0}
+#: As many different phrases are compared as a set inside the scan; more are joined.
+PHRASES = 20_000
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, terms): the distinct tokens of each query and how many it has."""
-    tokens = F.array_distinct(X.fts_tokens(F.col("query")))
-    return queries.select("query_id", F.size(tokens).alias("terms"), F.explode(tokens).alias("term"))
+def phrases(queries: DataFrame) -> DataFrame:
+    """(query_id, phrase, size, times, terms): a query's phrases as words joined by a space, how often each stands, and how many there are.
 
+    Tokens that differ in case only are phrases of their own, as all of them must match and all count.
+    """
+    tokens = F.array_distinct(X.query_tokens(F.col("query")))
+    rows = queries.select("query_id", F.size(tokens).alias("terms"), F.explode(tokens).alias("token"))
+    words = X.fts_tokens(F.col("token"))
+    return rows.select("query_id", F.array_join(words, " ").alias("phrase"), F.size(words).alias("size"), "terms").groupBy("query_id", "phrase", "size", "terms").agg(F.count("*").alias("times"))
 
-def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, length, frequency), for the wanted terms only if given: the filter comes before the shuffle."""
-    fields = [(X.fts_tokens(F.coalesce(F.col(c), F.lit(""))), w) for c, w in WEIGHTS.items()]
-    length = sum((F.size(t) for t, _ in fields[1:]), F.size(fields[0][0]))
 
-    def with_weight(tokens, weight: float):
-        return F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+def spread(chunks: DataFrame) -> DataFrame:
+    """``chunks`` over all cores where the files are too few for that; tables of many files stay as they are read."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
 
-    weighted = F.flatten(F.array(*[with_weight(t, w) for t, w in fields]))
-    # below the generator, so that a text is tokenised once and not once for each of its tokens
-    counted = chunks.select("chunk_id", length.alias("length"), weighted.alias("all"))
-    rows = counted.select("chunk_id", "length", F.explode("all").alias("p")).select("chunk_id", "length", "p.term", "p.w")
+
+def fields(chunks: DataFrame) -> DataFrame:
+    """chunk_id and the words of each field, by its name."""
+    return chunks.select("chunk_id", *[X.fts_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) if c in chunks.columns else F.array().cast("array<string>").alias(c) for c in WEIGHTS])
+
+
+def _runs(words: Column, size: int) -> Column:
+    """Every ``size`` words in a row, joined by a space."""
+    if size == 1:
+        return words
+    n = F.size(words) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, length, frequency); for the phrases of ``wanted`` (phrase, size) only if given, and then with one row of term '' for each chunk."""
+    sizes, asked = [1], None
+    if wanted is not None:
+        found = wanted.filter("size > 0").select("phrase", "size").distinct().limit(PHRASES + 1).collect()
+        sizes = sorted({r["size"] for r in found}) or [1]
+        if len(found) <= PHRASES:
+            asked = [r["phrase"] for r in found]
+        else:
+            sizes = sorted(r["size"] for r in wanted.filter("size > 0").select("size").distinct().collect())
+    words = fields(spread(chunks))
+    length = sum((F.size(c) for c in list(WEIGHTS)[1:]), F.size(list(WEIGHTS)[0]))
+
+    def weighted(c: str, weight: float) -> Column:
+        every = _runs(F.col(c), sizes[0]) if len(sizes) == 1 else F.concat(*[_runs(F.col(c), s) for s in sizes])
+        if asked is not None:
+            every = F.filter(every, lambda t: t.isin(asked) if asked else F.lit(False))
+        return F.transform(every, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+
+    every = F.flatten(F.array(*[weighted(c, w) for c, w in WEIGHTS.items()]))
     if wanted is not None:
-        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
+        every = F.concat(every, F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))))
+    # below the generator, so that a text is tokenised once and not once for each of its words
+    counted = words.select("chunk_id", length.alias("length"), every.alias("all"))
+    rows = counted.select("chunk_id", "length", F.explode("all").alias("p")).select("chunk_id", "length", "p.term", "p.w")
+    if wanted is not None and asked is None:
+        rows = rows.join(wanted.select(F.col("phrase").alias("term")).distinct().unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
     return rows.groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("frequency"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, match_all: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks that hold all terms (or any) of a query."""
-    terms = query_terms(queries)
-    found = postings(chunks, terms)
-    fields = [X.fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS]
-    corpus = chunks.agg(F.count("*").alias("n_all"), F.avg(sum((F.size(t) for t in fields[1:]), F.size(fields[0]))).alias("average"))  # one row
-    seen = found.groupBy("term").agg(F.count("*").alias("n"))
+def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks that hold all phrases of a query."""
+    asked = phrases(queries)
+    found = postings(chunks, asked)
+    corpus = found.filter("term = ''").agg(F.count("*").alias("n_all"), F.avg("length").alias("average"))  # one row
+    held = found.filter("term <> ''")
+    seen = held.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = seen.crossJoin(F.broadcast(corpus)).select("term", "average", F.when(idf > 0, idf).otherwise(F.lit(FLOOR)).alias("idf"))
     f, norm = F.col("frequency"), 1 - B + B * F.col("length") / F.col("average")
-    part = found.join(weight, "term").join(terms, "term")
-    scored = part.groupBy("query_id", "chunk_id", "terms").agg(F.count("*").alias("hits"), (-F.sum(F.col("idf") * f * (K1 + 1) / (f + K1 * norm))).alias("score"))
-    return (scored.filter("hits = terms") if match_all else scored).select("query_id", "chunk_id", "score")
+    part = held.join(weight, "term").join(asked.filter("size > 0").withColumnRenamed("phrase", "term"), "term")
+    scored = part.groupBy("query_id", "chunk_id", "terms").agg(F.sum("times").alias("hits"), (-F.sum(F.col("times") * F.col("idf") * f * (K1 + 1) / (f + K1 * norm))).alias("score"))
+    return scored.filter("hits = terms").select("query_id", "chunk_id", "score")
 
 
 def ranked(scores: DataFrame, most: int) -> DataFrame:
@@ -62,23 +108,23 @@ def ranked(scores: DataFrame, most: int) -> DataFrame:
 
 
 def fallback(queries: DataFrame, chunks: DataFrame, per_term: int = 15, most: int = 50) -> DataFrame:
-    """Each term searched alone; a chunk's score is the sum of 1 / (rank + 1) over the terms."""
-    single = query_terms(queries).select(F.concat_ws("|", F.col("query_id").cast("string"), "term").alias("query_id"), F.col("term").alias("query"))
-    hits = ranked(bm25(single, chunks), per_term)
-    back = hits.select(F.split("query_id", r"\|")[0].cast("long").alias("query_id"), "chunk_id", "pos", "score")
-    merged = back.groupBy("query_id", "chunk_id").agg(F.sum(1 / F.col("pos")).alias("points"), F.min("score").alias("best"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("points", 9)), F.round("best", 9), "chunk_id")
-    return merged.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("query_id", "chunk_id", F.round("points", 6).alias("points"), "pos")
+    """Each meaningful term searched alone; a chunk's score is the sum of 1 / rank over the terms that find it.
 
+    Ties go to the better rank of the first term that found the chunk, then in the order of finding.
+    """
+    single = queries.select("query_id", F.posexplode(X.meaningful_terms(F.col("query"))).alias("nth", "query"))
+    # a term is searched once, whichever queries have it
+    words = single.select(F.col("query").alias("query_id"), "query").distinct()
+    hits = ranked(bm25(words, chunks), per_term).withColumnRenamed("query_id", "query")
+    back = single.join(hits, "query").select("query_id", "chunk_id", "nth", "pos", "score")
+    first = F.min(F.struct("nth", "pos", "score"))
+    merged = back.groupBy("query_id", "chunk_id").agg(F.sum(1 / F.col("pos")).alias("points"), first.alias("first"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("points", 9)), F.round("first.score", 9), "first.nth", "first.pos")
+    return merged.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("query_id", "chunk_id", F.round("points", 6).alias("points"), "pos")
 
-def phrase_match(queries: DataFrame, chunks: DataFrame, column: str = "content") -> DataFrame:
-    """(query_id, chunk_id) of the chunks that hold a query's tokens in a row.
 
-    An equi-join on the first token finds the candidates; only those texts are compared.
-    """
-    asked = queries.select("query_id", X.fts_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
-    asked = asked.select("query_id", F.get("tokens", F.lit(0)).alias("term"), F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("phrase"))
-    held = chunks.select("chunk_id", F.array_distinct(X.fts_tokens(F.col(column))).alias("all")).select("chunk_id", F.explode("all").alias("term"))
-    near = held.join(asked, "term").select("query_id", "chunk_id", "phrase")
-    text = F.concat(F.lit(" "), F.array_join(X.fts_tokens(F.col(column)), " "), F.lit(" "))
-    return near.join(chunks.select("chunk_id", text.alias("text")), "chunk_id").filter(F.contains("text", F.col("phrase"))).select("query_id", "chunk_id")
+def phrase_match(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, phrase, chunk_id, frequency): where each phrase of a query stands, by weight."""
+    asked = phrases(queries).filter("size > 0")
+    held = postings(chunks, asked).filter("term <> ''")
+    return asked.withColumnRenamed("phrase", "term").join(held, "term").select("query_id", F.col("term").alias("phrase"), "chunk_id", "frequency")

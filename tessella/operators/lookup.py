@@ -10,6 +10,7 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 
 from . import search, vectors
+from .options import SearchOptions
 
 
 def _details(hits: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def hybrid(queries: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFram
 
     query_vectors: (query_id, embedding); chunk_vectors: (vec_id, chunk_id, embedding).
     """
-    lexical = search.search(queries, identifiers, chunks, documents, sources, limit=10, budget=24_000).select("query_id", "chunk_id", F.col("pos").alias("a"), "exact")
+    lexical = search.search(queries, identifiers, chunks, documents, sources, SearchOptions(limit=10, max_chars=24_000)).select("query_id", "chunk_id", F.col("pos").alias("a"), "exact")
     near = vectors.knn_cosine(chunk_vectors, query_vectors, k).join(chunk_vectors.select("vec_id", "chunk_id"), "vec_id").select("query_id", "chunk_id", F.col("pos").alias("b"))
     both = lexical.join(near, ["query_id", "chunk_id"], "full_outer").join(queries, "query_id")
     rows = both.join(chunks.select("chunk_id", "document_id", "stability", "lifecycle"), "chunk_id")

@@ -18,51 +18,61 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 
 from . import lexical
+from .options import SearchOptions, query_error
 
-TOKEN = re.compile(r"[^\W]|[@.$:-]")
 MERGE_CHARS, NEIGHBOUR_SCORE, RESULT_CHARS, MERGED_CHARS = 3200, 12, 1600, 2400
 RESULTS = "query_id long, pos int, chunk_id string, document_id string, score double, exact boolean, merged string, excerpt string, truncated boolean"
 
 
 def exact_hits(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, limit: int = 30) -> DataFrame:
-    """Chunks that carry the query as an identifier, ranked by lifecycle, stability, channel, tier, primacy, alias type and ordinal."""
+    """Chunks that carry the query as an identifier, ranked by lifecycle, stability, channel, tier, primacy, alias type and ordinal.
+
+    A name is looked up once, however many queries ask for it.  Of the first 4 * limit
+    identifiers (200 at most) each chunk counts once.
+    """
+    if not 1 <= limit <= 50:
+        raise ValueError("limit must be 1 to 50")
     asked = queries.select("query_id", X.normalize_identifier(F.col("query")).alias("normalized")).filter("normalized <> ''")
     rows = (
-        identifiers.select("normalized", "is_primary", "alias_type", "chunk_id").join(asked, "normalized")
-        .join(chunks.select("chunk_id", "ordinal", "stability", "lifecycle", "document_id"), "chunk_id")
+        identifiers.select("normalized", "is_primary", "alias_type", "chunk_id").join(asked.select("normalized").distinct(), "normalized")
+        .join(chunks.select("chunk_id", "ordinal", "stability", "lifecycle", "document_id", F.col("identifier").isNotNull().alias("named")), "chunk_id")
         .join(documents.select("document_id", "source_id", "channel"), "document_id").join(sources.select("source_id", "tier"), "source_id")
     )
     rank = lambda c, names: Y.first_of([(F.col(c) == n, F.lit(i)) for i, n in enumerate(names)], F.lit(len(names)))
-    order = Window.partitionBy("query_id").orderBy(
+    order = Window.partitionBy("normalized").orderBy(
         rank("lifecycle", ("active", "deprecated", "historical")), rank("stability", ("stable", "beta", "experimental")), rank("channel", ("stable", "preview")),
         "tier", F.desc("is_primary"), rank("alias_type", ("exact",)), "ordinal", "chunk_id",
     )
-    first = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= min(200, 4 * limit)).groupBy("query_id", "chunk_id").agg(F.min("at").alias("at"), F.max("is_primary").alias("primary"))
-    return first.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).filter(F.col("pos") <= limit).select("query_id", "chunk_id", "pos", "primary")
+    first = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= min(200, 4 * limit)).groupBy("normalized", "chunk_id")
+    # a chunk with a name of its own counts as primary whatever identifier found it
+    first = first.agg(F.min(F.struct("at", F.when(F.col("named"), 1).otherwise(F.col("is_primary")).alias("primary"))).alias("m")).select("normalized", "chunk_id", "m.at", "m.primary")
+    few = first.withColumn("pos", F.row_number().over(Window.partitionBy("normalized").orderBy("at"))).filter(F.col("pos") <= limit)
+    return few.join(asked, "normalized").select("query_id", "chunk_id", "pos", "primary")
 
 
-def candidates(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
+def candidates(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Scored and filtered candidates of each query; texts are joined after the ranks are known."""
-    exact = exact_hits(queries, identifiers, chunks, documents, sources).withColumnRenamed("pos", "e")
-    hits = lexical.ranked(lexical.bm25(queries, chunks), 50)
+    queries = queries.filter(query_error(F.col("query")).isNull()).withColumn("query", X.js_trim(F.col("query")))
+    exact = exact_hits(queries, identifiers, chunks, documents, sources, 50 if options.narrow else 30).withColumnRenamed("pos", "e")
+    wide = 2 if options.narrow else 1
+    hits = lexical.ranked(lexical.bm25(queries, chunks), 50 * wide)
     none = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").filter(F.size(X.meaningful_terms(F.col("query"))) > 1)
-    hits = hits.select("query_id", "chunk_id", "pos").unionByName(lexical.fallback(none, chunks).select("query_id", "chunk_id", "pos")).withColumnRenamed("pos", "l")
+    hits = hits.select("query_id", "chunk_id", "pos").unionByName(lexical.fallback(none, chunks, 15 * wide, 50 * wide).select("query_id", "chunk_id", "pos")).withColumnRenamed("pos", "l")
     both = exact.join(hits, ["query_id", "chunk_id"], "full_outer")
     base = F.when(F.col("e").isNotNull(), 1000 - 5.0 * (F.col("e") - 1) + 2 * F.col("primary") + F.coalesce(50.0 / F.col("l"), F.lit(0.0))).otherwise(100.0 / F.col("l"))
     rows = (
         both.join(chunks.select("chunk_id", "document_id", "ordinal", "title", "identifier", "content", "stability", "lifecycle"), "chunk_id")
-        .join(documents.select("document_id", "source_id", "path", "kind", "category", "channel", "api_version", "api_package"), "document_id")
+        .join(documents.select("document_id", "source_id", "path", "kind", "category", "channel", *[v for v in ("api_version", "product_version", "api_package") if v in documents.columns]), "document_id")
         .join(sources.select("source_id", "tier", "source_type"), "source_id").join(queries.select("query_id", "query"), "query_id")
     )
+    for v in ("api_version", "product_version", "api_package"):
+        if v not in rows.columns:
+            rows = rows.withColumn(v, F.lit(None).cast("string"))
     c = {n: F.col(n) for n in rows.columns}
     intent = Y.intent_flags(c["query"])
-    allowed = (
-        Y.preview_allowed(Y.preview_wanted(F.lit(None).cast("boolean"), c["query"], F.lit(None).cast("string")), c["channel"], c["stability"])
-        & Y.historical_allowed(F.lit(None).cast("boolean"), c["query"], c["lifecycle"]) & Y.tier_allowed(F.lit(None).cast("array<int>"), c["tier"])
-    )
     same = F.when(X.normalize_identifier(c["identifier"]) == X.normalize_identifier(c["query"]), 20.0).otherwise(0.0)
-    score = base + Y.meta_bonus(c["tier"], c["lifecycle"], c["stability"], c["channel"]) + same + Y.intent_bonus(intent, c, X.meaningful_terms(c["query"]))
-    return rows.filter(allowed).withColumn("score", score).withColumn("exact", F.col("e").isNotNull())
+    score = base + Y.meta_bonus(c["tier"], c["lifecycle"], c["stability"], c["channel"]) + same + options.version_bonus(c) + Y.intent_bonus(intent, c, X.meaningful_terms(c["query"]))
+    return rows.filter(options.allowed(c, c["query"])).withColumn("score", score).withColumn("exact", F.col("e").isNotNull())
 
 
 _WORDS = re.compile(r"[\w@.$:-]+")
@@ -74,8 +84,8 @@ def words_of(text: str) -> list[str]:
 
 def similar(a: dict, b: dict, threshold: float = 0.9) -> bool:
     """Near-duplicate evidence: comparable, and alike in 3-word shingles."""
-    for field in ("channel", "api_version"):
-        if a[field] and b[field] and a[field] != b[field]:
+    for field in ("channel", "api_version", "product_version"):
+        if a.get(field) and b.get(field) and a[field] != b[field]:
             return False
     if a["identifier"] and b["identifier"] and a["identifier"].lower() != b["identifier"].lower():
         return False
@@ -112,17 +122,22 @@ def merge_adjacent(ranked: list[dict]) -> list[dict]:
 
 
 def excerpt(content: str, query: str, most: int) -> str:
+    """A window of at most ``most`` characters around the place where a query token first stands, or the head."""
+    tokens = _WORDS.findall(query.lower())
+    spot = re.search("|".join(map(re.escape, tokens)), content.lower()) if tokens else None
     if len(content) <= most:
         return content
-    low = content.lower()
-    places = [p for p in (low.find(t) for t in _WORDS.findall(query.lower())) if p >= 0]
-    if not places:
-        return content[: most - 1].rstrip() + "…"
-    start = max(0, min(places) - int(most * 0.3))
-    end = min(len(content), start + most)
-    if end == len(content):
-        start = max(0, end - most)
-    return ("…" if start else "") + content[start:end].strip() + ("…" if end < len(content) else "")
+    if not spot:
+        return shortened(content, most)
+    # three tenths of the window lie before the token, unless the text ends sooner
+    begin = min(max(spot.start() - most * 3 // 10, 0), len(content) - most)
+    window = content[begin : begin + most].strip()
+    return "…" * (begin > 0) + window + "…" * (begin + most < len(content))
+
+
+def shortened(text: str, most: int) -> str:
+    """At most ``most`` characters, the last one an ellipsis if something was cut."""
+    return text if len(text) <= most else text[: max(0, most - 1)].rstrip() + "…"
 
 
 def select_results(ranked: list[dict], query: str, limit: int, budget: int) -> tuple[list[tuple[dict, str]], bool]:
@@ -146,25 +161,23 @@ def select_results(ranked: list[dict], query: str, limit: int, budget: int) -> t
     return chosen, cut or len(ranked) > len(chosen)
 
 
-def check_options(limit: int, budget: int) -> None:
-    if not 1 <= limit <= 10:
-        raise ValueError("limit must be 1 to 10")
-    if not 2000 <= budget <= 24000:
-        raise ValueError("max_chars must be 2000 to 24000")
-
-
-def search(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, limit: int = 5, budget: int = 10_000) -> DataFrame:
-    """Ranked results of every query."""
-    check_options(limit, budget)
+def search(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Ranked results of every query; queries without text, or of more than 500 characters, have none (``query_error`` tells why)."""
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["score", "tier", "chunk_id"], ascending=[False, True, True]).to_dict("records")
-        for c in ordered:
-            for field in ("identifier", "api_version"):
-                c[field] = c[field] if isinstance(c[field], str) else None
-        chosen, cut = select_results(merge_adjacent(ordered), rows["query"].iloc[0], limit, budget)
+        ordered = records(rows.sort_values(["score", "tier", "chunk_id"], ascending=[False, True, True]))
+        chosen, cut = select_results(merge_adjacent(ordered), rows["query"].iloc[0], options.limit, options.max_chars)
         made = [(rows["query_id"].iloc[0], i + 1, c["chunk_id"], c["document_id"], round(c["score"], 3), bool(c["exact"]), ",".join(c["merged"]), text, cut) for i, (c, text) in enumerate(chosen)]
         return pd.DataFrame(made, columns=["query_id", "pos", "chunk_id", "document_id", "score", "exact", "merged", "excerpt", "truncated"])
 
-    rows = candidates(queries, identifiers, chunks, documents, sources)
-    return rows.select("query_id", "query", "chunk_id", "document_id", "ordinal", "content", "identifier", "api_version", "channel", "tier", "score", "exact").groupBy("query_id").applyInPandas(finish, RESULTS)
+    rows = candidates(queries, identifiers, chunks, documents, sources, options)
+    return rows.select("query_id", "query", "chunk_id", "document_id", "ordinal", "content", "identifier", "api_version", "product_version", "channel", "tier", "score", "exact").groupBy("query_id").applyInPandas(finish, RESULTS)
+
+
+def records(rows: pd.DataFrame) -> list[dict]:
+    """Rows as dicts, missing texts as None."""
+    out = rows.to_dict("records")
+    for r in out:
+        for field in ("identifier", "api_version", "product_version"):
+            r[field] = r[field] if isinstance(r.get(field), str) else None
+    return out

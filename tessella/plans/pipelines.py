@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules as Y
 from tessella.functions import text as X
 from tessella.operators import lookup, search, vectors
+from tessella.operators.options import SearchOptions
 from tessella.schema import SCHEMA_VERSION
 from tessella.sources import files, parsers, sinks
 from tessella.streaming import rate
@@ -183,7 +184,7 @@ PAIRS = {
     "version_bonus": (_c(lambda c: c.versions.select("p_partkey", (Y.version_score(F.col("requested"), F.col("actual")) + Y.version_score(F.lit(None).cast("string"), F.col("actual"))).alias("points"))), None),
     "identifier_equal_bonus": (_c(lambda c: c.chunks.select("chunk_id", F.when(X.normalize_identifier(F.col("identifier")) == "the", 20).otherwise(0).alias("points"))), duck("SELECT chunk_id, CASE WHEN lower(identifier) = 'the' THEN 20 ELSE 0 END AS points FROM c_chunks")),
     "merge_adjacent": (_c(lambda c: lookup.merge_only(search.candidates(c.queries, *_ids(c)).select("query_id", "chunk_id", "document_id", "ordinal", "content", "score", "exact", "tier"))), None),
-    "select_results": (_c(lambda c: search.search(c.queries, *_ids(c), limit=3, budget=2000).select("query_id", "pos", "chunk_id", "truncated")), None),
+    "select_results": (_c(lambda c: search.search(c.queries, *_ids(c), SearchOptions(limit=3, max_chars=2000)).select("query_id", "pos", "chunk_id", "truncated")), None),
     "hybrid_search": (_c(_vectors), None),
     "get_definition": (_c(lambda c: lookup.definitions(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c), version="1")), None),
     "definition_examples": (_c(lambda c: lookup.examples(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c))), None),

@@ -21,7 +21,8 @@ EXACT_ORDER = f"{LIFECYCLE_RANK.format('c')}, {STABILITY_RANK.format('c')}, {CHA
 JOINED = "c_identifiers i JOIN c_chunks c ON c.chunk_id = i.chunk_id JOIN c_documents d ON d.document_id = c.document_id JOIN c_sources s ON s.source_id = d.source_id"
 #: Batch exact lookup: the query's words are the identifiers asked for.
 ASKED = "(SELECT query_id, split_part(query, ' ', 1) AS normalized FROM c_queries)"
-EXACT = f"SELECT q.query_id, c.chunk_id, d.document_id, c.ordinal, row_number() OVER (PARTITION BY q.query_id ORDER BY {EXACT_ORDER}) AS pos FROM {JOINED} JOIN {ASKED} q ON q.normalized = i.normalized"
+#: A name is ranked once, however many queries ask for it; the first 200 places are all that is ever used.
+EXACT = f"SELECT a.query_id, x.chunk_id, x.document_id, x.ordinal, x.pos FROM (SELECT i.normalized, c.chunk_id, d.document_id, c.ordinal, row_number() OVER (PARTITION BY i.normalized ORDER BY {EXACT_ORDER}) AS pos FROM {JOINED} WHERE i.normalized IN (SELECT normalized FROM {ASKED} w)) x JOIN {ASKED} a ON a.normalized = x.normalized WHERE x.pos <= 200"
 DIFF = "(SELECT source_id, path, content_hash FROM c_documents WHERE doc_id % 10 <> 3) o FULL OUTER JOIN (SELECT source_id, path, CASE WHEN doc_id % 9 = 0 THEN 'new' ELSE content_hash END AS content_hash FROM c_documents WHERE doc_id % 10 <> 7) n ON o.source_id = n.source_id AND o.path = n.path"
 STATUS = "CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'modified' END"
 SNAP = "SELECT p_partkey, actual, {r} AS side FROM c_versions"
@@ -43,7 +44,7 @@ STATEMENTS: dict[str, str] = {
     "anti_join_unselected_sources": "SELECT d.document_id FROM c_documents d WHERE NOT EXISTS (SELECT 1 FROM c_sources s WHERE s.channel <> 'preview' AND s.source_id = d.source_id)",
     "hash_join_alias_members": "SELECT a.from_identifier AS alias, b.to_identifier AS member FROM c_edges a JOIN c_edges b ON a.to_identifier = b.from_identifier",
     "join_identifiers_docs_api": "SELECT i.identifier, i.is_primary, c.chunk_id FROM c_identifiers i JOIN c_chunks c ON c.chunk_id = i.chunk_id JOIN c_documents d ON d.document_id = c.document_id WHERE d.kind = 'api'",
-    "join_theta_in_or": "SELECT DISTINCT from_identifier, relation, to_identifier FROM (SELECT e.* FROM c_edges e JOIN (SELECT concat('Nation.', CAST(n_nationkey AS STRING)) AS id FROM nation WHERE n_nationkey < 5) f ON e.from_identifier = f.id UNION ALL SELECT e.* FROM c_edges e JOIN (SELECT concat('Nation.', CAST(n_nationkey AS STRING)) AS id FROM nation WHERE n_nationkey < 5) f ON e.to_identifier = f.id) x",
+    "join_theta_in_or": "SELECT DISTINCT from_identifier, relation, to_identifier FROM (SELECT e.* FROM c_edges e JOIN (SELECT concat('Nation.', CAST(n_nationkey AS STRING)) AS id FROM nation) f ON e.from_identifier = f.id UNION ALL SELECT e.* FROM c_edges e JOIN (SELECT concat('Nation.', CAST(n_nationkey AS STRING)) AS id FROM nation) f ON e.to_identifier = f.id) x",
     # aggregates
     "agg_source_summary": "SELECT s.source_id, s.tier, coalesce(d.documents, 0) AS documents, coalesce(c.chunks, 0) AS chunks FROM c_sources s LEFT JOIN (SELECT source_id, count(*) AS documents FROM c_documents GROUP BY source_id) d ON d.source_id = s.source_id LEFT JOIN (SELECT source_id, count(*) AS chunks FROM c_chunks GROUP BY source_id) c ON c.source_id = s.source_id",
     "agg_duplicate_percent": "SELECT c.source_id, round(CAST(100 AS DOUBLE) * sum(CASE WHEN h.n > 1 THEN 1 ELSE 0 END) / count(*), 2) AS duplicate_percent FROM c_chunks c JOIN (SELECT content_hash, count(DISTINCT source_id) AS n FROM c_chunks GROUP BY content_hash) h ON h.content_hash = c.content_hash GROUP BY c.source_id",

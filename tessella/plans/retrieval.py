@@ -15,15 +15,27 @@ from .scalars import QUESTIONS, _values
 # --- full text ---
 
 FTS = r"regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
-_FIELDS = [("identifier", 12), ("title", 6), ("content", 1)]
-_DL = " + ".join(f"len({FTS.format(c)})" for c, _ in _FIELDS)
-_P = " UNION ALL ".join(f"SELECT chunk_id, unnest({FTS.format(c)}) AS term, {w} AS w FROM c_chunks" for c, w in _FIELDS)
-_T = "SELECT query_id, unnest(t) AS term, len(t) AS terms FROM (SELECT query_id, list_distinct(regexp_extract_all(strip_accents(lower(query)), '[\\p{L}\\p{N}]+')) AS t FROM c_queries)"
-_BM = f"""p AS (SELECT term, chunk_id, sum(w)::DOUBLE AS f FROM ({_P}) GROUP BY ALL), l AS (SELECT chunk_id, {_DL} AS dl FROM c_chunks),
-t AS ({_T}), st AS (SELECT count(*) AS n_all, avg(dl) AS av FROM l), df AS (SELECT term, count(*) AS n FROM p GROUP BY term),
-sc AS (SELECT t.query_id, t.term, t.terms, p.chunk_id, CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_all - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av)) AS s
-  FROM t JOIN p ON p.term = t.term JOIN l ON l.chunk_id = p.chunk_id JOIN df ON df.term = t.term, st),
-bm AS (SELECT query_id, chunk_id, -sum(s) AS score FROM sc GROUP BY query_id, chunk_id, terms HAVING count(*) = terms)"""
+_TOKS = " UNION ALL ".join(f"SELECT chunk_id, {FTS.format(c)} AS t, {w} AS w FROM c_chunks" for c, w in lexical.WEIGHTS.items())
+_DL = " + ".join(f"len({FTS.format(c)})" for c in lexical.WEIGHTS)
+_P = f"SELECT chunk_id, unnest(t) AS term, w FROM ({_TOKS})"
+_P2 = f"SELECT chunk_id, unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) AS term, w FROM ({_TOKS})"
+_STOP = "(" + ", ".join(f"'{w}'" for w in X.RANKING_STOP_WORDS) + ")"
+_MEANT = f"list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_@.$:-]+'), lambda x: length(x) > 1 AND x NOT IN {_STOP})"
+
+
+def _bm(queries: str) -> str:
+    """CTEs up to bm (query_id, chunk_id, score), of the phrases of ``queries`` (of one or two words)."""
+    return f"""k AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_@.$:-]+'))) AS token FROM {queries}),
+t AS (SELECT query_id, {FTS.format('token').replace('{{', '{').replace('}}', '}')} AS ws FROM k), n AS (SELECT query_id, count(*) AS terms FROM k GROUP BY query_id),
+ph AS (SELECT query_id, array_to_string(ws, ' ') AS term, count(*) AS times FROM t GROUP BY ALL),
+p AS (SELECT term, chunk_id, sum(w)::DOUBLE AS f FROM ({_P} UNION ALL {_P2}) WHERE term IN (SELECT term FROM ph) GROUP BY ALL), l AS (SELECT chunk_id, {_DL} AS dl FROM c_chunks),
+st AS (SELECT count(*) AS n_all, avg(dl) AS av FROM l), df AS (SELECT term, count(*) AS n FROM p GROUP BY term),
+sc AS (SELECT ph.query_id, ph.term, ph.times, n.terms, p.chunk_id, CASE WHEN ln((n_all - df.n + 0.5) / (df.n + 0.5)) > 0 THEN ln((n_all - df.n + 0.5) / (df.n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av)) AS s
+  FROM ph JOIN n USING (query_id) JOIN p ON p.term = ph.term JOIN l ON l.chunk_id = p.chunk_id JOIN df ON df.term = ph.term, st),
+bm AS (SELECT query_id, chunk_id, -sum(times * s) AS score FROM sc GROUP BY query_id, chunk_id, terms HAVING sum(times) = terms)"""
+
+
+_BM, _BM1 = _bm("c_asked"), _bm(f"(SELECT DISTINCT unnest({_MEANT}) AS query_id, unnest({_MEANT}) AS query FROM c_queries)")
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id)"
 
 
@@ -89,7 +101,7 @@ def budget_fetch(c: Corpus, budget: int = 1000):
 
 def _knn(c: Corpus):
     e = c.table("embeddings")
-    return vectors.knn_cosine(e, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 40).select("query_id", "vec_id", "pos")
+    return vectors.knn_cosine(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 40).select("query_id", "vec_id", "pos")
 
 
 def _rankings(c: Corpus):
@@ -122,12 +134,12 @@ SELECT doc_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN x = y THEN
 
 
 def _traverse(c: Corpus):
-    starts = c.table("nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("Nation."), F.col("n_nationkey").cast("string")).alias("node")).filter("query_id < 5")
-    return graph.traverse(c.edges.filter("relation <> 'lives_in'"), starts, depth=2, limit=100).select("query_id", "depth", "direction", "from_identifier", "relation", "to_identifier", "pos")
+    starts = c.table("nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("Nation."), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.traverse(c.edges, starts, depth=2, limit=100).select("query_id", "depth", "direction", "from_identifier", "relation", "to_identifier", "pos")
 
 
-TRAVERSE_SQL = """WITH e AS (SELECT *, lower(from_identifier) AS f, lower(to_identifier) AS t FROM c_edges WHERE relation <> 'lives_in'),
-f1 AS (SELECT n_nationkey::BIGINT AS query_id, 'nation.' || n_nationkey AS node FROM nation WHERE n_nationkey < 5),
+TRAVERSE_SQL = """WITH e AS (SELECT *, lower(from_identifier) AS f, lower(to_identifier) AS t FROM c_edges),
+f1 AS (SELECT n_nationkey::BIGINT AS query_id, 'nation.' || n_nationkey AS node FROM nation),
 m1 AS (SELECT query_id, 1 AS depth, 0 AS d, e.* FROM e JOIN f1 ON f = node UNION ALL SELECT query_id, 1, 1, e.* FROM e JOIN f1 ON t = node),
 f2 AS (SELECT query_id, node FROM (SELECT query_id, f AS node FROM m1 UNION SELECT query_id, t FROM m1) EXCEPT SELECT query_id, node FROM f1),
 m2 AS (SELECT query_id, 2 AS depth, 0 AS d, e.* FROM e JOIN f2 ON f = node UNION ALL SELECT query_id, 2, 1, e.* FROM e JOIN f2 ON t = node),
@@ -138,14 +150,13 @@ SELECT query_id, (k // 10)::INT AS depth, CASE k % 10 WHEN 0 THEN 'outgoing' ELS
 
 def _chains(c: Corpus):
     lower = lambda a: F.lower(a)
-    e = c.edges.filter("relation <> 'lives_in'")
-    properties = e.select(F.col("from_identifier").alias("prefix"), lower("to_identifier").alias("target"))
+    properties = c.edges.select(F.col("from_identifier").alias("prefix"), lower("to_identifier").alias("target"))
     members = c.edges.filter("relation = 'part_of'").select(lower("from_identifier").alias("owner"), F.col("to_identifier").alias("suffix"), F.col("to_identifier").alias("member"), lower("to_identifier").alias("target"))
     return graph.alias_chains(properties, members)
 
 
 CHAIN_SQL = """WITH RECURSIVE m AS (SELECT lower(from_identifier) AS owner, to_identifier AS suffix, lower(to_identifier) AS next FROM c_edges WHERE relation = 'part_of'),
-l AS (SELECT from_identifier AS prefix, lower(to_identifier) AS target, 0 AS depth, CAST(NULL AS VARCHAR) AS member FROM c_edges WHERE relation <> 'lives_in'
+l AS (SELECT from_identifier AS prefix, lower(to_identifier) AS target, 0 AS depth, CAST(NULL AS VARCHAR) AS member FROM c_edges
  UNION ALL SELECT l.prefix || '.' || m.suffix, m.next, l.depth + 1, m.suffix FROM l JOIN m ON m.owner = l.target WHERE l.depth < 4)
 SELECT prefix AS alias, member, min(depth)::INT AS depth FROM l WHERE member IS NOT NULL GROUP BY ALL"""
 
@@ -174,21 +185,23 @@ def _plan(spark, sf_dir):
 
 PAIRS = {
     "postings": (_c(lambda c: lexical.postings(c.chunks).select("term", "chunk_id", "frequency")), duck(f"SELECT term, chunk_id, sum(w)::DOUBLE AS frequency FROM ({_P}) GROUP BY ALL")),
-    "bm25": (_c(lambda c: lexical.bm25(c.queries, c.chunks).select("query_id", "chunk_id", F.round("score", 6).alias("score"))), duck(f"WITH {_BM} SELECT query_id, chunk_id, round(score, 6) AS score FROM bm")),
+    "bm25": (_c(lambda c: lexical.bm25(c.asked, c.chunks).select("query_id", "chunk_id", F.round("score", 6).alias("score"))), duck(f"WITH {_BM} SELECT query_id, chunk_id, round(score, 6) AS score FROM bm")),
     "topk_bm25": (
-        _c(lambda c: lexical.ranked(lexical.bm25(c.queries, c.chunks), 50).select("query_id", "chunk_id", "pos", F.round("score", 6).alias("score"))),
+        _c(lambda c: lexical.ranked(lexical.bm25(c.asked, c.chunks), 50).select("query_id", "chunk_id", "pos", F.round("score", 6).alias("score"))),
         duck(f"WITH {_BM} SELECT query_id, chunk_id, r::INT AS pos, round(score, 6) AS score FROM (SELECT *, {_RANK} AS r FROM bm) WHERE r <= 50"),
     ),
-    "rank_lexical": (_c(lambda c: lexical.ranked(lexical.bm25(c.queries, c.chunks), 100).select("query_id", "chunk_id", "pos")), duck(f"WITH {_BM} SELECT query_id, chunk_id, r::INT AS pos FROM (SELECT *, {_RANK} AS r FROM bm) WHERE r <= 100")),
+    "rank_lexical": (_c(lambda c: lexical.ranked(lexical.bm25(c.asked, c.chunks), 100).select("query_id", "chunk_id", "pos")), duck(f"WITH {_BM} SELECT query_id, chunk_id, r::INT AS pos FROM (SELECT *, {_RANK} AS r FROM bm) WHERE r <= 100")),
     "phrase_match": (
-        _c(lambda c: lexical.phrase_match(c.queries, c.chunks)),
-        duck("SELECT query_id, chunk_id FROM c_chunks JOIN c_queries ON contains(' ' || array_to_string(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || strip_accents(lower(query)) || ' ')"),
+        _c(lambda c: lexical.phrase_match(c.asked, c.chunks)),
+        duck(f"WITH {_BM} SELECT query_id, term AS phrase, chunk_id, f AS frequency FROM ph JOIN p USING (term)"),
     ),
     "fallback_lexical": (
         _c(lambda c: lexical.fallback(c.queries, c.chunks)),
         duck(
-            f"WITH {_BM}, one AS (SELECT query_id, term, chunk_id, -s AS score FROM sc), r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY round(score, 9), chunk_id) AS pos FROM one), "
-            "m AS (SELECT query_id, chunk_id, sum(1 / pos) AS points, min(score) AS best FROM r1 WHERE pos <= 15 GROUP BY ALL) SELECT query_id, chunk_id, round(points, 6) AS points, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(points, 9) DESC, round(best, 9), chunk_id) AS r FROM m) WHERE r <= 50"
+            f"WITH {_BM1}, r1 AS (SELECT query_id AS term, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS pos FROM bm), "
+            f"a AS (SELECT query_id, list_transform(range(1, least(len(u), 8) + 1), lambda i: {{'n': i, 't': u[i]}}) AS ts FROM (SELECT query_id, list_filter({_MEANT}, lambda x, i: list_position({_MEANT}, x) = i) AS u FROM c_queries)), "
+            "b AS (SELECT query_id, x.n AS n, x.t AS term FROM (SELECT query_id, unnest(ts) AS x FROM a)), "
+            "m AS (SELECT query_id, chunk_id, sum(1 / pos) AS points, min({'n': n, 'pos': pos, 'score': score}) AS first FROM b JOIN r1 USING (term) WHERE pos <= 15 GROUP BY ALL) SELECT query_id, chunk_id, round(points, 6) AS points, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(points, 9) DESC, round(first.score, 9), first.n, first.pos) AS r FROM m) WHERE r <= 50"
         ),
     ),
     "search": (_c(lambda c: search.search(c.queries, *_ids(c))), None),
@@ -226,7 +239,7 @@ PAIRS = {
     ),
     "knn_cosine": (
         _c(_knn),
-        "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20), d AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(q, embedding::DOUBLE[]), 9) AS far FROM q, embeddings) SELECT query_id, vec_id, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS r FROM d) WHERE r <= 40",
+        "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(q, embedding::DOUBLE[]), 9) AS far FROM q, embeddings) SELECT query_id, vec_id, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) AS r FROM d) WHERE r <= 40",
     ),
     "embedding_text": (
         _c(lambda c: c.chunks.select("chunk_id", vectors.embedding_text(F.col("title"), F.col("identifier"), F.col("source_id"), F.col("content"), 600).alias("given"))),

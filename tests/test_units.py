@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules as Y
 from tessella.functions import text as X
 from tessella.operators import graph, lexical, search
+from tessella.operators.options import SearchOptions
 from tessella.sources import files, parsers, sinks
 from tessella.streaming import rate
 
@@ -92,15 +93,32 @@ def test_scan(spark, tmp_path):
 
 
 def test_bm25_against_sqlite(spark):
-    texts = ["a b c", "a a b", "b b b d", "c d e f", "a", "e e a b c d"]
-    chunks = spark.createDataFrame([(str(i), None, "t", t) for i, t in enumerate(texts)], "chunk_id string, identifier string, title string, content string")
+    """All six fields, phrases, tokens that differ in case, tokens without a word."""
+    import random
+
+    rng, names = random.Random(3), list(lexical.WEIGHTS)
+    rows = [tuple(" ".join(rng.choice(["a", "b", "c", "d", "É", "x.y", "x y", "a-b"]) for _ in range(rng.randint(0, 6))) for _ in names) for _ in range(60)]
+    chunks = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "chunk_id string, " + ", ".join(f"{n} string" for n in names))
     db = sqlite3.connect(":memory:")
-    db.execute("CREATE VIRTUAL TABLE f USING fts5(identifier, title, content)")
-    db.executemany("INSERT INTO f(rowid, identifier, title, content) VALUES (?, '', 't', ?)", list(enumerate(texts)))
-    for q in ("a", "a b", "d e"):
-        want = {str(i): s for i, s in db.execute("SELECT rowid, bm25(f, 12, 6, 1) FROM f WHERE f MATCH ?", (" AND ".join(q.split()),))}
-        got = {r.chunk_id: r.score for r in lexical.bm25(spark.createDataFrame([(1, q)], "query_id long, query string"), chunks).collect()}
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    db.execute(f"CREATE VIRTUAL TABLE f USING fts5({', '.join(names)}, tokenize = 'unicode61 remove_diacritics 2')")
+    db.executemany("INSERT INTO f(rowid, " + ", ".join(names) + ") VALUES (" + ", ".join("?" * 7) + ")", [(i, *r) for i, r in enumerate(rows)])
+    queries = ["a", "a b", "d e", "x.y", "x.y a", "A a", "a-b", ":: a", "::", "e", "x.y.x", "b a-b c"]
+    frame = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    got = {}
+    for r in lexical.bm25(frame, chunks).collect():
+        got.setdefault(r.query_id, {})[r.chunk_id] = r.score
+    compiled = {r.query_id: r.m for r in frame.select("query_id", X.compile_match(F.col("query")).alias("m")).collect()}
+    for i, q in enumerate(queries):
+        want = {str(k): s for k, s in db.execute(f"SELECT rowid, bm25(f, {', '.join(str(w) for w in lexical.WEIGHTS.values())}) FROM f WHERE f MATCH ?", (compiled[i],))}
+        assert got.get(i, {}).keys() == want.keys() and all(abs(got[i][k] - want[k]) < 1e-9 for k in want), q
+
+
+def test_more_phrases_than_a_scan_compares(spark, monkeypatch):
+    chunks = spark.createDataFrame([("1", "a b c"), ("2", "b c"), ("3", "c a")], "chunk_id string, content string")
+    frame = spark.createDataFrame([(1, "a c"), (2, "b.c"), (3, "q")], "query_id long, query string")
+    want = sorted(lexical.bm25(frame, chunks).collect())
+    monkeypatch.setattr(lexical, "PHRASES", 1)
+    assert sorted(lexical.bm25(frame, chunks).collect()) == want and len(want) == 4
 
 
 def candidate(i, text, **more):
@@ -115,8 +133,9 @@ def test_greedy_end():
     same = [candidate(0, words), candidate(9, words, document_id="e"), candidate(3, words, document_id="f", channel="preview")]
     chosen, cut = search.select_results(same, "w1", 5, 10_000)
     assert [c["chunk_id"] for c, _ in chosen] == ["c0", "c3"] and cut
-    with pytest.raises(ValueError):
-        search.check_options(11, 10_000)
+    for wrong in ({"limit": 11}, {"limit": 0}, {"max_chars": 1999}, {"max_chars": 24_001}, {"kinds": ("x",) * 11}, {"stabilities": ("x",) * 6}, {"tiers": (0,)}, {"tiers": (1,) * 5}, {"channel": "x" * 21}, {"path_prefix": "x" * 501}, {"api_version": "x" * 51}):
+        with pytest.raises(ValueError):
+            SearchOptions(**wrong)
 
 
 def test_traverse_depth_grows(spark):
