@@ -15,6 +15,22 @@ for _b in range(256):
     _zeros = [k for k in range(8) if not _b >> k & 1]
     _SELECT[_b, : len(_zeros)] = _zeros
 _ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], dtype=np.int64)
+_ZEROS8 = _ZEROS.astype(np.uint8)
+_EIGHT = np.arange(8)
+
+
+def windows(data: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, one row each."""
+    return data[byte[:, None] + _EIGHT]
+
+
+def in_window(rows: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Place, in bits, of the left-th zero (from 0) of eight bytes."""
+    ends = np.cumsum(_ZEROS8[rows], axis=1, dtype=np.uint8)
+    byte = (ends <= left[:, None]).sum(axis=1)
+    at = np.arange(len(rows))
+    before = np.where(byte > 0, ends[at, byte - 1], 0)
+    return byte * 8 + _SELECT[rows[at, byte], left - before]
 
 
 class EliasFano:
@@ -58,33 +74,28 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), dtype=np.int64)
         at = i * self.bits
-        byte, shift = at >> 3, (at & 7).astype(U64)
-        word = np.zeros(len(i), dtype=U64)
-        for k in range((self.bits + 14) // 8):
-            word |= self.low[byte + k].astype(U64) << U64(8 * k)
-        return ((word >> shift) & U64((1 << self.bits) - 1)).astype(np.int64)
+        word = windows(self.low, at >> 3).view("<u8").ravel()
+        return ((word >> (at & 7).astype(U64)) & U64((1 << self.bits) - 1)).astype(np.int64)
 
     def select0(self, h: np.ndarray) -> np.ndarray:
         """Place of the h-th zero (from 0) of the unary part."""
         word = np.searchsorted(self.zeros, h, side="right") - 1
         left = h - self.zeros[word].astype(np.int64)
-        at = word * 8
-        out = np.zeros(len(h), dtype=np.int64)
-        live = np.ones(len(h), dtype=bool)
-        for k in range(8):
-            byte = self.high[np.minimum(at + k, len(self.high) - 1)]
-            here = _ZEROS[byte]
-            found = live & (left < here)
-            out[found] = (at[found] + k) * 8 + _SELECT[byte[found], left[found]]
-            live &= ~found
-            left = np.where(live, left - here, left)
-        return out
+        return word * 64 + in_window(windows(self.high, word * 8), left)
 
     def bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First entry, and the one after the last, with upper bits h."""
-        end = self.select0(h) - h
-        start = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) - (h - 1), 0)
-        return start, end
+        # the ones between two zeros are a bucket's entries; mostly the second zero is close behind the first
+        begin = np.zeros(len(h), dtype=np.int64)
+        inner = h > 0
+        begin[inner] = self.select0(h[inner] - 1) + 1
+        word = ~(windows(self.high, begin >> 3).view("<u8").ravel() >> (begin & 7).astype(U64))
+        first = word & (~word + U64(1))
+        size = np.frexp(first.astype(np.float64))[1].astype(np.int64) - 1
+        far = size + (begin & 7) >= 64
+        if far.any():
+            size[far] = self.select0(h[far]) - begin[far]
+        return begin - h, begin - h + size
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first entry >= x within the bucket of x, whether it equals x)."""
