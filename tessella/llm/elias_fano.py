@@ -92,7 +92,7 @@ class EliasFano:
         word = ~(windows(self.high, begin >> 3).view("<u8").ravel() >> (begin & 7).astype(U64))
         first = word & (~word + U64(1))
         size = np.frexp(first.astype(np.float64))[1].astype(np.int64) - 1
-        far = size + (begin & 7) >= 64
+        far = (size + (begin & 7) >= 64) | (word == 0)
         if far.any():
             size[far] = self.select0(h[far]) - begin[far]
         return begin - h, begin - h + size

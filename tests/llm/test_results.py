@@ -213,6 +213,22 @@ def test_elias_fano(tmp_path):
         assert (hit == np.isin(q, v)).all() and (at[hit] == np.searchsorted(v, q[hit])).all()
 
 
+def test_elias_fano_of_any_density():
+    rng = np.random.default_rng(1)
+    for trial in range(200):
+        n, top = int(rng.integers(1, 3000)), int(rng.integers(1, 2 ** int(rng.integers(1, 44))))
+        v = np.sort(rng.integers(0, top, n)) if trial % 3 else np.sort(np.concatenate([rng.integers(0, top, n // 3 + 1), np.full(n, int(rng.integers(0, top)))]))
+        e = EliasFano.of(v, top)
+        assert (e.access(np.arange(len(v))) == v).all()
+        q = np.concatenate([v, rng.integers(0, top, 500)])
+        rng.shuffle(q)
+        at, hit = e.successor(q)
+        assert (hit == np.isin(q, v)).all() and (at[hit] == np.searchsorted(v, q[hit])).all()
+        h = rng.integers(0, top >> e.bits, 3000) if top >> e.bits else np.zeros(1, np.int64)
+        first, last = e.bucket(h)
+        assert (first == np.searchsorted(v >> e.bits, h)).all() and (last == np.searchsorted(v >> e.bits, h, side="right")).all()
+
+
 def test_near_dedup_hot_group(spark):
     """Variants of one text, of which only some reach the threshold among each other, and a sentence all texts share."""
     rng, base = random.Random(3), [f"b{i}" for i in range(120)]
