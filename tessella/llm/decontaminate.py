@@ -12,10 +12,10 @@ spread over the whole window, into one key; items of n words and windows of n
 words with an equal key are candidates.  All candidates are verified by exact edit
 distance against the document around the window.
 
-A window within n // 5 edits keeps three words of the item in a row (n - n // 5
-words in n // 5 + 1 runs), at most n // 5 places from where they should stand; windows
-without any can't match and are not embedded.  The tests measure the recall for each
-length at the full number of edits (0.95 is the target).
+Each edit spoils at most three runs of three words, so a window within n // 5 edits
+keeps at least n - 2 - 3 * (n // 5) of the item's, each at most n // 5 places from where
+it should stand; windows with fewer can't match and are not embedded.  The tests
+measure the recall for each length at the full number of edits (0.95 is the target).
 
 Rules: null or empty texts and items match nothing; rows without doc_id or
 item_id are left out of the pairs, but ``clean`` drops rows without doc_id like any
@@ -24,6 +24,7 @@ other; equal items are separate; repeated rows give one pair; other columns are
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -41,14 +42,16 @@ ITEMS, ITEM_BYTES = 20_000, 8 << 20
 CELLS, CANDIDATES = 2 << 20, 1 << 20
 
 
+@functools.lru_cache(maxsize=4096)
 def multipliers(repeat: int, steps: int) -> np.ndarray:
     """Of each step of a walk, the odd number that turns a word into the step's random bit."""
     return np.random.default_rng([11, repeat]).integers(1, 1 << 62, steps).astype(U64) * U64(2) + U64(1)
 
 
-def samples(repeat: int, n: int, bits: int) -> np.ndarray:
+@functools.lru_cache(maxsize=1 << 16)
+def samples(repeat: int, n: int, bits: int) -> tuple[int, ...]:
     """Steps that a walk over n words samples."""
-    return np.sort(np.random.default_rng([12, repeat, n]).choice(2 * n, min(bits, 2 * n), replace=False))
+    return tuple(sorted(np.random.default_rng([12, repeat, n]).choice(2 * n, min(bits, 2 * n), replace=False).tolist()))
 
 
 def walk(h: np.ndarray, start: np.ndarray, stop: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,7 @@ def walk(h: np.ndarray, start: np.ndarray, stop: np.ndarray, odd: np.ndarray) ->
 def keys(out: np.ndarray, place: np.ndarray, n: int, repeat: int, bits: int) -> np.ndarray:
     """One key of the n-word window at each start of a walk; what lies beyond the window is 0."""
     key = np.full(out.shape[1], repeat << 20 | n, dtype=U64)
-    for j in samples(repeat, n, bits).tolist():
+    for j in samples(repeat, n, bits):
         key *= U64(0x9E3779B97F4A7C15)
         key ^= np.where(place[j] < n, out[j], U64(0))
     return mix(key)
@@ -133,7 +136,8 @@ class Items:
                     key.append(keys(*walk(words.hash, at, at + n, odd[: 2 * n]), n, r, bits))
                     item.append(mine)
                 tables.append(Table(np.concatenate(key), np.concatenate(item)))
-            self.bands.append((sizes, Table(entry[0].view(U64), entry[1], entry[2]), tables))
+            least = int((self.n[own] - SEED + 1 - SEED * self.edits[own]).min())
+            self.bands.append((sizes, least, Table(entry[0].view(U64), entry[1], entry[2]), tables))
 
 
 def nearest(items: Items, item: np.ndarray, words: Words, begin: np.ndarray, width: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -158,21 +162,29 @@ def nearest(items: Items, item: np.ndarray, words: Words, begin: np.ndarray, wid
     return out
 
 
-def starts(words: Words, seeds: Table) -> np.ndarray:
-    """Where windows begin that share enough words with an item to be embedded."""
+def starts(words: Words, seeds: Table, least: int) -> np.ndarray:
+    """Where windows begin that share enough runs of words with items, ``least`` of them, to be embedded."""
     h, n = grams(words.hash, SEED), len(words) - SEED + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     inside = np.flatnonzero(words.row[:n] == words.row[SEED - 1 :])
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     for at, offset, edits in seeds.find(h[inside]):
-        first = inside[at] - offset
-        row = words.row[inside[at]]
+        place = inside[at]
+        row = words.row[place]
+        first, last = words.first[row], words.first[row + 1] - 1
         # a match may begin before the row does, as words of the item may be missing there
-        low = np.clip(first - edits, words.first[row], words.first[row + 1] - 1)
-        np.add.at(edge, low, 1)
-        np.add.at(edge, np.clip(first + edits, low, words.first[row + 1] - 1) + 1, -1)
-    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        low = np.clip(place - offset - edits, first, last)
+        high = np.clip(place - offset + edits, low, last) + 1
+        # ranges of one place that overlap count once
+        order = np.lexsort((low, place))
+        place, low, high = place[order], low[order], high[order]
+        shift = place * (len(words) + 2)
+        reach = np.maximum.accumulate(high + shift) - shift
+        new = np.append(True, (place[1:] != place[:-1]) | (low[1:] > reach[:-1]))[: len(place)]
+        np.add.at(edge, low[new], 1)
+        np.add.at(edge, reach[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)] if len(place) else low, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] >= least)
 
 
 def candidates(items: Items, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,18 +194,17 @@ def candidates(items: Items, words: Words) -> Iterator[tuple[np.ndarray, np.ndar
         inside = np.flatnonzero(words.row[: len(key)] == words.row[size - 1 :][: len(key)])
         for at, item in table.find(key[inside]):
             yield inside[at], item
-    for sizes, seeds, tables in items.bands:
-        every, steps = starts(words, seeds), 2 * sizes[-1]
+    for sizes, least, seeds, tables in items.bands:
+        every, steps = starts(words, seeds, least), 2 * sizes[-1]
         part = max(1, CELLS // steps)
         for a in range(0, len(every), part):
             begin = every[a : a + part]
             stop = words.first[words.row[begin] + 1]
             for r, table in enumerate(tables):
                 out, place = walk(words.hash, begin, stop, multipliers(r, steps))
-                for n in sizes:
-                    for at, item in table.find(keys(out, place, n, r, items.bits)):
-                        mine = items.n[item] == n
-                        yield begin[at[mine]], item[mine]
+                # the keys of all lengths one after the other
+                for at, item in table.find(np.concatenate([keys(out, place, n, r, items.bits) for n in sizes])):
+                    yield begin[at % len(begin)], item
 
 
 def occurrences(items: Items, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +246,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, repeats: int = REPEATS, bits: i
 
         def of(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in pieces(whole, most=1 << 20):
+                for batch in pieces(whole):
                     row, item, far = occurrences(items, Words(batch.column("text"), lower=True))
                     if len(row):
                         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(items.ids[item]), pa.array(far)], names=["doc_id", "item_id", "distance"])
@@ -252,7 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, repeats: int = REPEATS, bits: i
 
         def of(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in pieces(whole, most=1 << 20):
+                for batch in pieces(whole):
                     keep = np.ones(batch.num_rows, dtype=bool)
                     keep[occurrences(items, Words(batch.column("text"), lower=True))[0]] = False
                     yield batch.filter(pa.array(keep)).select(names)
