@@ -14,7 +14,7 @@ from tessella.functions import text as X
 from tessella.operators import lookup, search, vectors
 from tessella.operators.options import SearchOptions
 from tessella.schema import SCHEMA_VERSION
-from tessella.sources import files, parsers, sinks
+from tessella.sources import files, identifiers, ingest, parsers, sinks
 from tessella.streaming import rate
 
 from .corpus import Corpus, duck
@@ -38,6 +38,13 @@ def sample_files(spark):
     return spark.createDataFrame(rows, "path string, content string")
 
 
+def _ingested(spark):
+    """The sample tree through the whole chain, and a broken file that hinders none."""
+    rows = sample_files(spark).unionByName(spark.createDataFrame([("pack/broken.json", "{")], "path string, content string"))
+    given = rows.withColumn("source_id", F.lit("docs")).withColumn("api_version", F.when(F.col("path") == "src/main.ts", "3.0"))
+    return ingest.ingest(given, spark.createDataFrame([("docs", "stable")], "source_id string, channel string"))
+
+
 def _parsed(suffix: str):
     return lambda spark, sf_dir: parsers.parse_files(sample_files(spark).filter(F.endswith("path", F.lit(suffix)))).select("path", "ordinal", "chunk_type", "title", "content", "start_line", "end_line", "identifier", "stability", "lifecycle")
 
@@ -142,7 +149,8 @@ PAIRS = {
     "schema_property_chunks": (_parsed("schema.json"), None),
     "parse_code": (_parsed(".ts"), None),
     "parse_plain": (_c(lambda c: c.documents.select("document_id", F.lit(0).alias("ordinal"), F.lit("document").alias("chunk_type"), F.col("text").alias("content"))), duck("SELECT document_id, 0 AS ordinal, 'document' AS chunk_type, text AS content FROM c_documents")),
-    "ingest_document": (lambda spark, sf_dir: parsers.parse_files(sample_files(spark)).select("path", "ordinal", "chunk_type", "title", Y.classify_path(F.col("path"))["kind"].alias("kind"), X.sha256_text(F.col("content")).alias("content_hash")), None),
+    "ingest_document": (lambda spark, sf_dir: _ingested(spark)["documents"].select("path", "title", "kind", "category", "stability", "api_version", "product_version", F.array_join("identifiers", "|").alias("identifiers"), "chunks"), None),
+    "ingest_identifiers": (lambda spark, sf_dir: _ingested(spark)["identifiers"].select("document_id", "identifier", "normalized", "identifier_kind", "is_primary"), None),
     "corpus_markdown": (_c(lambda c: parsers.parse_files(c.documents.select("path", F.col("text").alias("content"))).select("path", "ordinal", "chunk_type", "start_line", "end_line")), None),
     "markdown_sections_sql": (
         _c(lambda c: c.chunks.withColumn("section", F.sum((F.col("content").rlike("^[A-ZÀ-Ý]{2}")).cast("int")).over(Window.partitionBy("document_id").orderBy("ordinal"))).select("chunk_id", "section")),
@@ -150,8 +158,8 @@ PAIRS = {
     ),
     "json_entries": (_c(lambda c: c.table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v")).select("event_id", "k", "v", F.concat(F.lit("/"), X.json_pointer_escape(F.col("k"))).alias("pointer"))), "SELECT event_id, k, json_extract_string(props, '$.' || k) AS v, '/' || k AS pointer FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
     "extract_identifiers": (lambda spark, sf_dir: spark.createDataFrame(list(enumerate(SAMPLES)), "sid int, s string").select("sid", F.array_join(X.extract_identifiers(F.col("s")), "|").alias("found")), None),
-    "extract_code_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in parsers.imported_identifiers(open(f"{SAMPLES_ROOT}/src/main.ts").read())], "identifier string"), None),
-    "extract_json_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in parsers.json_identifiers(parsers.read_json(open(f"{SAMPLES_ROOT}/pack/entities/pig.json").read()))], "identifier string"), None),
+    "extract_code_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in identifiers.code(open(f"{SAMPLES_ROOT}/src/main.ts").read())], "identifier string"), None),
+    "extract_json_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in identifiers.of_json(parsers.read_json(open(f"{SAMPLES_ROOT}/pack/entities/pig.json").read()))], "identifier string"), None),
     "jsonc_parse": (lambda spark, sf_dir: spark.createDataFrame([(parsers.pretty(parsers.read_json('{"a": 20.0, /* c */ "b": "//x",}')),)], "pretty string"), "SELECT '{' || chr(10) || '  \"a\": 20,' || chr(10) || '  \"b\": \"//x\"' || chr(10) || '}' AS pretty"),
     "front_matter": (lambda spark, sf_dir: spark.createDataFrame(sorted(parsers.front_matter(open(f"{SAMPLES_ROOT}/docs/guide.md").read())[0].items()), "k string, v string"), "SELECT * FROM (VALUES ('api_version', '1.2.0'), ('title', 'Guide to blocks')) t(k, v)"),
     # arrays and sets

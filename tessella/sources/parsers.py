@@ -13,9 +13,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import identifiers
+from .identifiers import _whole
+
 SECTION_CHARS, OPEN_SPAN_LINES = 3600, 100
-FIELDS = "ordinal chunk_type title heading_path content start_line end_line identifier symbol_kind language json_pointer stability lifecycle".split()
-SCHEMA = "path string, ordinal int, chunk_type string, title string, heading_path array<string>, content string, start_line int, end_line int, identifier string, symbol_kind string, language string, json_pointer string, stability string, lifecycle string"
+FIELDS = "ordinal chunk_type title heading_path content start_line end_line identifier identifiers symbol_kind language json_pointer stability lifecycle".split()
+#: ``attributes`` are what a file's head says; ``error`` is why a file could not be parsed, whose row has no chunk.
+SCHEMA = "path string, ordinal int, chunk_type string, title string, heading_path array<string>, content string, start_line int, end_line int, identifier string, identifiers array<string>, symbol_kind string, language string, json_pointer string, stability string, lifecycle string, attributes map<string,string>, error string"
 
 
 def chunk(chunk_type: str, title: str, content: str, start: int, end: int, **more) -> dict:
@@ -23,7 +27,16 @@ def chunk(chunk_type: str, title: str, content: str, start: int, end: int, **mor
 
 
 def numbered(parts: Iterator[dict]) -> list[dict]:
-    return [dict.fromkeys(FIELDS) | p | {"ordinal": i} for i, p in enumerate(parts)]
+    return [dict.fromkeys(FIELDS) | p | {"ordinal": i, "identifiers": named(p)} for i, p in enumerate(parts)]
+
+
+def named(part: dict) -> list[str]:
+    """The identifiers of a chunk: its own name, what its parser found, what its text mentions; the first of each normal form."""
+    found = part.get("identifiers")
+    if found is None:
+        found = identifiers.code(part["content"]) if part["chunk_type"] == "code-block" else identifiers.prose(part["content"])
+    own = [part["identifier"]] if part.get("identifier") else []
+    return identifiers.unique([*own, *found])
 
 
 def stability_of(text: str) -> str:
@@ -150,15 +163,6 @@ def read_json(text: str):
         return json.loads(re.sub(rf"({_STRING})|,(?=\s*[}}\]])", lambda m: m[1] or "", bare, flags=re.S))
 
 
-def _whole(value):
-    """Numbers as JavaScript prints them: 20.0 is 20."""
-    if isinstance(value, float) and value.is_integer():
-        return int(value)
-    if isinstance(value, dict):
-        return {k: _whole(v) for k, v in value.items()}
-    return [_whole(v) for v in value] if isinstance(value, list) else value
-
-
 def pretty(value) -> str:
     return json.dumps(_whole(value), indent=2, ensure_ascii=False)
 
@@ -173,7 +177,7 @@ def json_document(text: str, path: str) -> Iterator[dict]:
     found = False
 
     def made(title: str, pointer: str, value, kind: str, identifier: str | None, lifecycle: str = "active") -> dict:
-        return chunk("json-object", title, pretty(value), 1, last, heading_path=[title], language="json", json_pointer=pointer, symbol_kind=kind, identifier=identifier, lifecycle=lifecycle)
+        return chunk("json-object", title, pretty(value), 1, last, heading_path=[title], language="json", json_pointer=pointer, symbol_kind=kind, identifier=identifier, identifiers=list(identifiers.of_json(value)), lifecycle=lifecycle)
 
     if not isinstance(root, dict):
         yield made(name, "", root, "unknown", None) | {"heading_path": []}
@@ -277,54 +281,43 @@ def parse(path: str, text: str | None) -> list[dict]:
     return numbered(parser_for(path)(text or "", path))
 
 
+def attributes(path: str, text: str) -> dict[str, str]:
+    """What a file's head says of it: the attributes of Markdown, the version a JSON document asks for."""
+    parser = parser_for(path)
+    if parser in (markdown, api_page):
+        return front_matter(text)[0]
+    if parser is json_document and isinstance(root := read_json(text), dict):
+        about = root.get("header")
+        wanted = about.get("min_engine_version") if isinstance(about, dict) else None
+        wanted = wanted if wanted is not None else root.get("min_engine_version")
+        if isinstance(wanted, list) and wanted:
+            return {"product_version": ".".join(str(_whole(v)) for v in wanted)}
+        if isinstance(wanted, str):
+            return {"product_version": wanted}
+    return {}
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """Chunk rows of a DataFrame of (path, content)."""
+    """Chunk rows of a DataFrame of (path, content); a file that can't be parsed gives one row with ``error`` and hinders no other."""
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [{"path": p, **c} for p, t in zip(part["path"], part["content"], strict=True) for c in parse(p, t)]
-            yield pd.DataFrame(rows, columns=["path", *FIELDS])
+            rows = []
+            for p, t in zip(part["path"], part["content"], strict=True):
+                try:
+                    about = attributes(p, t or "")
+                    rows += [{"path": p, **c, "attributes": about, "error": None} for c in parse(p, t)]
+                except (ValueError, RecursionError) as e:
+                    rows.append({"path": p, **dict.fromkeys(FIELDS), "attributes": None, "error": f"{type(e).__name__}: {e}"[:500]})
+            yield pd.DataFrame(rows, columns=["path", *FIELDS, "attributes", "error"])
 
     return files.select("path", "content").mapInPandas(of, SCHEMA)
 
 
-# --- identifiers that need structure ---
+def good(chunks: DataFrame) -> DataFrame:
+    return chunks.filter("error is null").drop("error")
 
-MANIFEST_FIELDS = frozenset("format_version header modules dependencies capabilities metadata min_engine_version module_name uuid version entry type".split())  # fixed values
-RENDER_FIELDS = frozenset("geometry materials textures part_visibility color overlay_color on_fire_color light_color_multiplier uv_anim arrays".split())  # fixed values
 
-
-def json_identifiers(value, path: tuple[str, ...] = ()) -> Iterator[str]:
-    """Identifiers that keys stand for, in document order."""
-    if isinstance(value, list):
-        for v in value:
-            yield from json_identifiers(v, path)
-    if not isinstance(value, dict):
-        return
-    for key, child in value.items():
-        if re.fullmatch(r"[A-Za-z_][\w.-]*:[A-Za-z_][\w./-]*", key):
-            yield key
-        if key == "format_version" and isinstance(child, (str, int, float)) and not isinstance(child, bool):
-            yield from ("format_version", f"format_version:{_whole(child)}")
-        if key in MANIFEST_FIELDS and (not path or path[0] in ("header", "modules", "dependencies")):
-            yield f"manifest.{key}"
-        if path and path[-1] == "states":
-            yield from (key, f"animation_controller.state.{key}")
-        if key in RENDER_FIELDS and "render_controllers" in path:
-            yield f"render_controller.{key}"
-        if path and path[-1] == "properties":
-            yield from (key, f"schema.{key}")
-        yield from json_identifiers(child, (*path, key))
-
-
-def imported_identifiers(text: str) -> Iterator[str]:
-    """Modules, imported names, their qualified forms and local names of import statements."""
-    module = r"from\s+[\"'](@[a-z]+/[A-Za-z0-9._-]+)[\"']"
-    for names, where in re.findall(rf"\bimport\s+(?:type\s+)?\{{([^}}]+)\}}\s+{module}", text):
-        yield where
-        for item in names.split(","):
-            both = re.split(r"\s+as\s+", re.sub(r"^type\s+", "", item.strip()))
-            if re.fullmatch(_NAME, both[0]):
-                yield from (both[0], f"{where}.{both[0]}", *(b for b in both[1:] if re.fullmatch(_NAME, b)))
-    for local, where in re.findall(rf"\bimport\s+\*\s+as\s+{_NAME}\s+{module}", text):
-        yield from (where, local)
+def bad_files(chunks: DataFrame) -> DataFrame:
+    """(path, error) of the files that could not be parsed."""
+    return chunks.filter("error is not null").select("path", "error")

