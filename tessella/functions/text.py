@@ -216,7 +216,8 @@ def signature_type(content: Column, leaf: Column) -> Column:
 
     The pattern depends on the row, so the text after the first ``leaf:`` is taken.
     """
-    pattern = F.concat(F.lit(EDGE_L), leaf, F.lit(EDGE_R + r"\s*:\s*([A-Z][A-Za-z0-9]*)"))
+    leaf = F.regexp_replace(leaf, r"([^A-Za-z0-9_])", r"\\$1")
+    pattern = F.concat(F.lit(EDGE_L), leaf, F.lit(EDGE_R + r"\s*:\s*([A-Z_$][A-Za-z0-9_$]*)"))
     return F.nullif(F.call_function("regexp_extract", content, pattern, F.lit(1)), F.lit(""))
 
 

@@ -181,3 +181,17 @@ def records(rows: pd.DataFrame) -> list[dict]:
         for field in ("identifier", "api_version", "product_version"):
             r[field] = r[field] if isinstance(r.get(field), str) else None
     return out
+
+
+def public(results: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Results with all that is said of them in public; columns that a table lacks are null."""
+
+    def of(table: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+        return table.select(key, *[(F.col(n) if n in table.columns else F.lit(None).cast("string")).alias(a) for n, a in names.items() if n != key])
+
+    same = lambda *names: {n: n for n in names}
+    c = of(chunks, "chunk_id", same("title", "identifier", "stability", "lifecycle"))
+    d = of(documents, "document_id", same("source_id", "path", "kind", "category", "channel", "canonical_url", "revision_url", "api_package", "api_version", "product_version"))
+    s = of(sources, "source_id", {"name": "source_name", "source_type": "source_type", "tier": "source_tier", "repository": "repository", "revision": "revision"})
+    rows = results.join(c, "chunk_id").join(d, "document_id").join(s, "source_id")
+    return rows.withColumn("score", F.round("score", 3)).withColumnRenamed("exact", "exact_match")

@@ -78,6 +78,7 @@ class Corpus:
             "heading",
             F.right("content", F.lit(12)).alias("aliases"),
             "path",
+            F.when(F.col("ordinal") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("S"), F.floor(F.col("ordinal") / 6).cast("string")), F.concat(F.lit("P"), (F.col("ordinal") % 2).cast("string")))).alias("heading_path"),
         )
 
     @cached_property
@@ -138,7 +139,7 @@ CTES = {
   CASE WHEN doc_id % 4 > 0 THEN (doc_id % 3) || '.' || (doc_id % 10) || '.0' END AS api_version, CASE WHEN doc_id % 6 = 0 THEN '@scope/server' END AS api_package, CASE WHEN doc_id % 5 = 0 THEN '1.' || (doc_id % 3) END AS product_version,
   'sha256:' || sha256(text) AS content_hash, text FROM (SELECT *, 'creator/Documents/' || lang || '/' || doc_id || '.md' AS path FROM documents)""",
     "c_chunks": r"""SELECT 'chk_' || substr(sha256(concat(document_id, chr(0), CAST(ordinal AS VARCHAR), chr(0), sha256(content))), 1, 24) AS chunk_id, document_id, doc_id, source_id, ordinal, substr(content, 1, 30) AS title,
-  nullif(regexp_extract(content, '[\p{L}\p{N}]+', 0), '') AS identifier, content, 'sha256:' || sha256(content) AS content_hash, stability, lifecycle, heading, right(content, 12) AS aliases, path
+  nullif(regexp_extract(content, '[\p{L}\p{N}]+', 0), '') AS identifier, content, 'sha256:' || sha256(content) AS content_hash, stability, lifecycle, heading, right(content, 12) AS aliases, path, CASE WHEN ordinal % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['S' || (ordinal // 6), 'P' || (ordinal % 2)] END AS heading_path
   FROM (SELECT document_id, doc_id, source_id, stability, lifecycle, title AS heading, path, CAST(i - 1 AS INT) AS ordinal, l[i] AS content FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS l FROM c_documents))) WHERE trim(content, ' ') <> ''""",
     "c_identifiers": r"""SELECT chunk_id, document_id, w[p] AS identifier, lower(w[p]) AS normalized, CASE p WHEN 1 THEN 1 ELSE 0 END AS is_primary, CASE p WHEN 3 THEN 'derived-chain' ELSE 'exact' END AS alias_type
   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM (SELECT chunk_id, document_id, list_transform(list_filter(list_transform(r, lambda x, i: CASE WHEN list_position(r, x) = i THEN x END), lambda x: x IS NOT NULL), lambda x: x) AS w

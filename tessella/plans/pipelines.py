@@ -199,7 +199,6 @@ PAIRS = {
     "find_examples": (_c(lambda c: lookup.examples(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c), excluded=lookup.definitions(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c)), most=5)), None),
     "semantic_guard": (_c(lambda c: c.table("embeddings").select("vec_id", (F.size("embedding") == 64).alias("fits"))), "SELECT vec_id, len(embedding) = 64 AS fits FROM embeddings"),
     "semantic_meta": (_c(lambda c: c.table("embeddings").agg(F.max(F.size("embedding")).alias("dimensions"), F.count("*").alias("vectors"))), "SELECT max(len(embedding))::INT AS dimensions, count(*) AS vectors FROM embeddings"),
-    "relevance_match": (_c(lambda c: c.documents.select("document_id", (Y.same_text(F.lit("EN"), F.col("category")) & Y.same_text(F.lit(""), F.col("kind")) & F.contains(F.lower("path"), F.lit("documents/en/1"))).alias("matches"))), duck("SELECT document_id, category = 'en' AND contains(lower(path), 'documents/en/1') AS matches FROM c_documents")),
     # maintenance and streams
     "rebuild_full": (_c(lambda c: c.chunks.groupBy("source_id").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("chunks"))), duck("SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM c_chunks GROUP BY source_id")),
     "update_incremental": (_c(_incremental), duck("SELECT document_id, chunk_id, CASE WHEN doc_id % 10 = 3 OR doc_id % 9 = 0 THEN 'parsed' ELSE 'kept' END AS origin FROM c_chunks WHERE doc_id % 10 <> 7")),

@@ -65,10 +65,10 @@ STATEMENTS: dict[str, str] = {
     "exact_lookup": f"SELECT query_id, chunk_id, r AS pos FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first_pos) AS r FROM (SELECT query_id, chunk_id, min(pos) AS first_pos FROM ({EXACT}) x WHERE pos <= 40 GROUP BY query_id, chunk_id) y) z WHERE r <= 10",
     "first_per_document": "SELECT document_id, chunk_id FROM (SELECT document_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS r FROM c_chunks) x WHERE r = 1",
     "cap_per_document": f"SELECT query_id, document_id, chunk_id FROM (SELECT query_id, document_id, chunk_id, row_number() OVER (PARTITION BY query_id, document_id ORDER BY pos) AS r FROM ({EXACT}) x WHERE pos <= 40) y WHERE r <= 2",
-    "neighbor_lag_lead": "SELECT a.chunk_id, b.chunk_id AS neighbour FROM c_chunks a JOIN c_chunks b ON a.document_id = b.document_id AND (b.ordinal = a.ordinal + 1)",
+    "neighbor_lag_lead": "SELECT a.chunk_id, a.step, b.chunk_id AS neighbour FROM (SELECT chunk_id, document_id, ordinal - 1 AS wanted, -1 AS step FROM c_chunks UNION ALL SELECT chunk_id, document_id, ordinal + 1 AS wanted, 1 AS step FROM c_chunks) a JOIN c_chunks b ON a.document_id = b.document_id AND b.ordinal = a.wanted",
     "version_fallback_pool": "SELECT category, document_id FROM (SELECT category, document_id, kind, max(CASE WHEN kind = 'reference' THEN 1 ELSE 0 END) OVER (PARTITION BY category) AS any_reference FROM c_documents) x WHERE any_reference = 0 OR kind = 'reference'",
     "filter_kind_definition_like": "SELECT source_id, document_id FROM (SELECT source_id, document_id, kind, max(CASE WHEN kind NOT IN ('code', 'example') THEN 1 ELSE 0 END) OVER (PARTITION BY source_id) AS any_reference FROM c_documents) x WHERE any_reference = 0 OR kind NOT IN ('code', 'example')",
-    "sort_ranked": "SELECT document_id, row_number() OVER (ORDER BY score DESC, tier, document_id) AS r FROM (SELECT d.document_id, s.tier, d.doc_id % 17 AS score FROM c_documents d JOIN c_sources s ON s.source_id = d.source_id WHERE d.kind = 'api') x",
+    "sort_ranked": "SELECT kind, document_id, row_number() OVER (PARTITION BY kind, category ORDER BY score DESC, tier, document_id) AS r FROM (SELECT d.kind, d.category, d.document_id, s.tier, d.doc_id % 17 AS score FROM c_documents d JOIN c_sources s ON s.source_id = d.source_id) x",
     "sort_hybrid": "SELECT document_id, row_number() OVER (PARTITION BY category ORDER BY exact DESC, score DESC, tier, document_id) AS r FROM (SELECT d.document_id, d.category, s.tier, d.doc_id % 17 AS score, d.doc_id % 5 = 0 AS exact FROM c_documents d JOIN c_sources s ON s.source_id = d.source_id) x",
     "topk_definitions": "SELECT category, document_id, r FROM (SELECT d.category, d.document_id, row_number() OVER (PARTITION BY d.category ORDER BY CASE WHEN d.api_version = '1.1.0' THEN 30 WHEN d.api_version IS NULL THEN -4 ELSE 0 END DESC, s.tier, d.document_id) AS r FROM c_documents d JOIN c_sources s ON s.source_id = d.source_id) x WHERE r <= 3",
     "topk_examples": "SELECT normalized, chunk_id, r FROM (SELECT normalized, chunk_id, row_number() OVER (PARTITION BY normalized ORDER BY tier, ch, ordinal, chunk_id) AS r FROM (SELECT DISTINCT i.normalized, c.chunk_id, s.tier, c.ordinal, " + CHANNEL_RANK.format("d") + f" AS ch FROM {JOINED} WHERE d.kind IN ('code', 'example')) x) y WHERE r <= 30",
@@ -103,11 +103,9 @@ STATEMENTS: dict[str, str] = {
     "npm_recent_versions": "SELECT brand, version, r FROM (SELECT p_brand AS brand, actual AS version, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, actual DESC, v.p_partkey) AS r FROM c_versions v JOIN part p ON p.p_partkey = v.p_partkey) x WHERE r <= 12",
     "scan_npm_snapshot": "SELECT d.document_id, d.api_version FROM c_documents d JOIN (SELECT DISTINCT path FROM c_documents WHERE api_package IS NOT NULL) m ON m.path = d.path",
     "backup_prune": "SELECT name FROM (SELECT name, row_number() OVER (ORDER BY name DESC) AS r FROM (SELECT DISTINCT concat('b', CAST(user_id AS STRING)) AS name FROM events) x) y WHERE r <= 7 OR name = 'b1'",
-    "concurrency_permits": "SELECT event_id, sum(delta) OVER (ORDER BY moment, event_id, delta DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM (SELECT event_id, ts AS moment, 1 AS delta FROM events WHERE user_id < 5 UNION ALL SELECT event_id, ts + INTERVAL 10 MINUTES AS moment, -1 AS delta FROM events WHERE user_id < 5) x",
+    "concurrency_permits": "SELECT user_id, event_id, sum(delta) OVER (PARTITION BY user_id ORDER BY moment, event_id, delta DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM (SELECT user_id, event_id, ts AS moment, 1 AS delta FROM events UNION ALL SELECT user_id, event_id, ts + INTERVAL 10 MINUTES AS moment, -1 AS delta FROM events) x",
     # retrieval
-    "fetch_adjacent": "SELECT t.chunk_id AS target, c.chunk_id, c.ordinal FROM c_chunks t JOIN c_chunks c ON c.document_id = t.document_id AND c.ordinal BETWEEN greatest(0, t.ordinal - 1) AND t.ordinal + 1 WHERE t.ordinal % 5 = 2",
     "fetch_document": "SELECT d.document_id, c.chunk_id, c.ordinal FROM c_documents d JOIN c_chunks c ON c.document_id = d.document_id WHERE d.kind = 'api'",
-    "fetch_section": "SELECT t.conv_id, t.turn AS target, c.turn FROM conversations t JOIN conversations c ON c.conv_id = t.conv_id AND c.role = t.role WHERE t.turn = 0",
     "list_sources": "SELECT s.source_id, s.name, s.tier, coalesce(c.documents, 0) AS documents, coalesce(c.chunks, 0) AS chunks FROM c_sources s LEFT JOIN (SELECT source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM c_chunks GROUP BY source_id) c ON c.source_id = s.source_id",
     "list_categories": "SELECT category, count(*) AS documents FROM c_documents GROUP BY category",
     "compare_versions": "SELECT coalesce(a.normalized, b.normalized) AS normalized, CASE WHEN a.normalized IS NULL THEN 'added' WHEN b.normalized IS NULL THEN 'removed' WHEN a.content_hash = b.content_hash AND a.stability = b.stability AND a.lifecycle = b.lifecycle THEN 'unchanged' ELSE 'changed' END AS status, a.stability <> b.stability AS stability_changed, a.lifecycle <> b.lifecycle AS lifecycle_changed FROM {A} a FULL OUTER JOIN {B} b ON a.normalized = b.normalized",

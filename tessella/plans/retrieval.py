@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import rules as Y
 from tessella.functions import text as X
-from tessella.operators import graph, lexical, quality_metrics, search, vectors
+from tessella.operators import duplicates, fetch, graph, lexical, quality_metrics, search, vectors
+from tessella.operators.options import SearchOptions
 
 from .corpus import Corpus, duck
 from .scalars import QUESTIONS, _values
@@ -116,21 +119,27 @@ def _rrf(c: Corpus):
     return vectors.rrf(*_rankings(c), F.lit(0.55), F.lit(0.45)).select("query_id", "item", F.round("score", 9).alias("score"))
 
 
-def near_duplicate(c: Corpus):
-    """Pairs of neighbouring documents of a source that are near-duplicate evidence."""
-    w = c.documents.select("doc_id", "source_id", "channel", "api_version", Y.evidence_words(F.col("text")).alias("words"))
-    other = w.select("source_id", *[F.col(n).alias(f"b_{n}") for n in ("doc_id", "api_version", "words")])
-    pairs = w.join(other, (w.source_id == other.source_id) & (F.col("b_doc_id") == F.col("doc_id") + 20))
-    same = F.col("api_version").isNull() | F.col("b_api_version").isNull() | (F.col("api_version") == F.col("b_api_version"))
-    return pairs.filter(same).select("doc_id", F.round(Y.evidence_similarity(F.col("words"), F.col("b_words")), 6).alias("similarity"))
+_EW = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_@.$:-]+'), lambda w: length(w) > 1)"
+NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, channel, api_version, product_version, {_EW} AS ws FROM c_documents WHERE len({_EW}) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 12)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i) UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.ws = y.ws AND x.doc_id < y.doc_id),
+e AS (SELECT a, b FROM p JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b WHERE (x.ws = y.ws OR least(len(x.ws), len(y.ws)) >= 0.8 * greatest(len(x.ws), len(y.ws))) AND x.channel = y.channel
+  AND (x.api_version IS NULL OR y.api_version IS NULL OR x.api_version = y.api_version) AND (x.product_version IS NULL OR y.product_version IS NULL OR x.product_version = y.product_version)),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b) SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a"""
 
 
-_EW = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_@.$:-]+'), lambda w: length(w) > 1)"
-_SH = "list_distinct(CASE WHEN len({0}) < 3 THEN {0} ELSE list_transform(range(1, len({0}) - 1), lambda i: array_to_string({0}[i:i + 2], ' ')) END)"
-NEAR_SQL = f"""WITH w AS (SELECT doc_id, source_id, api_version, {_EW} AS ws FROM c_documents), s AS (SELECT *, {_SH.format('ws')} AS sh FROM w),
-p AS (SELECT a.doc_id, a.ws AS x, b.ws AS y, a.sh AS sx, b.sh AS sy FROM s a JOIN s b ON a.source_id = b.source_id AND b.doc_id = a.doc_id + 20 AND (a.api_version IS NULL OR b.api_version IS NULL OR a.api_version = b.api_version))
-SELECT doc_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN x = y THEN 1.0 WHEN least(len(x), len(y)) < 12 THEN 0.0 WHEN least(len(x), len(y)) / greatest(len(x), len(y)) < 0.8 THEN 0.0
- ELSE len(list_intersect(sx, sy)) / (len(sx) + len(sy) - len(list_intersect(sx, sy))) END, 6)::DOUBLE AS similarity FROM p"""
+def _fetched(c: Corpus):
+    """Every fifth chunk, every document, and ids that name nothing."""
+    chunk = c.chunks.filter("ordinal % 5 = 2").select(F.col("chunk_id").alias("id"))
+    other = c.spark.createDataFrame([("doc_x",), ("doc_" + "0" * 24,)], "id string")
+    ids = chunk.unionByName(c.documents.select(F.col("document_id").alias("id"))).unionByName(other)
+    return ids.select(F.col("id").alias("request_id"), "id")
+
+
+_FETCHED = "SELECT id AS request_id, id FROM (SELECT chunk_id AS id FROM c_chunks WHERE ordinal % 5 = 2 UNION ALL SELECT document_id FROM c_documents UNION ALL SELECT 'doc_x' UNION ALL SELECT 'doc_000000000000000000000000')"
+_BUDGET = """y AS (SELECT *, 1500 - coalesce(sum(length(content)) OVER (PARTITION BY request_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft, sum(length(content)) OVER (PARTITION BY request_id) > 1500 AS truncated FROM x)
+SELECT request_id, target, document_id, chunk_id, ordinal, CASE WHEN length(content) <= lft THEN content ELSE regexp_replace(substr(content, 1, (lft - 1)::BIGINT), '\\s+$', '') || '…' END AS content, truncated FROM y WHERE lft > 0"""
 
 
 def _traverse(c: Corpus):
@@ -162,20 +171,40 @@ SELECT prefix AS alias, member, min(depth)::INT AS depth FROM l WHERE member IS
 
 
 def _suite(c: Corpus):
-    d = c.documents.filter("doc_id % 3 = 0").select((F.col("doc_id") % 40).alias("case_id"), F.col("doc_id").alias("item"))
-    order = Window.partitionBy("case_id").orderBy(F.sha2(F.col("item").cast("string"), 256))
+    """Forty cases whose results are ten documents each, relevance by category, source and path."""
+    n = (F.col("doc_id") % 40).alias("case_id")
+    order = Window.partitionBy("case_id").orderBy(F.sha2(F.col("doc_id").cast("string"), 256))
+    d = c.documents.filter("doc_id % 3 = 0").select(n, "doc_id", F.col("title").alias("identifier"), "source_id", "category", "channel", "api_package", "path")
     results = d.withColumn("pos", F.row_number().over(order)).filter("pos <= 10")
-    relevant = c.documents.filter("doc_id % 5 = 0").select((F.col("doc_id") % 40).alias("case_id"), F.col("doc_id").alias("item"), (F.col("doc_id") % 3 + 1).alias("grade"))
-    return quality_metrics.evaluate(results, relevant)
+    cases = c.documents.select(n).distinct().withColumn("kind", F.when(F.col("case_id") % 2 == 0, "exact").otherwise("natural")).withColumn("required", F.when(F.col("case_id") % 3 == 0, (F.col("case_id") % 10 + 1).cast("int")))
+    none = F.lit(None).cast("string")
+    entry = lambda **f: cases.select("case_id", *[(f.get(k, none)).alias(k) for k in quality_metrics.FIELDS], F.lit(f["grade"]).alias("grade"))
+    relevant = entry(category=F.lit("en"), channel=F.lit("stable"), grade=3).unionByName(entry(pathContains=F.concat(F.lit("/"), F.col("case_id").cast("string")), grade=2)).unionByName(entry(module=F.lit("@SCOPE/server"), grade=1))
+    return quality_metrics.evaluate(cases, quality_metrics.judged(results, relevant), relevant)
 
 
-_SUITE = """WITH res AS (SELECT * FROM (SELECT doc_id % 40 AS case_id, doc_id AS item, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY sha256(doc_id::VARCHAR)) AS pos FROM documents WHERE doc_id % 3 = 0) WHERE pos <= 10),
-rel AS (SELECT doc_id % 40 AS case_id, doc_id AS item, doc_id % 3 + 1 AS grade FROM documents WHERE doc_id % 5 = 0),
-n AS (SELECT case_id, count(*) AS entries FROM rel GROUP BY case_id),
-i AS (SELECT case_id, sum((pow(2.0, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, item) AS r FROM rel) WHERE r <= 5 GROUP BY case_id),
-g AS (SELECT case_id, min(pos) AS first_rank, count(*) FILTER (pos <= 3) AS at3, count(*) FILTER (pos <= 5) AS at5, sum(CASE WHEN pos <= 5 THEN (pow(2.0, grade) - 1) / log2(pos + 1) ELSE 0 END) AS dcg FROM res JOIN rel USING (case_id, item) GROUP BY case_id),
-e AS (SELECT case_id, first_rank::INT AS first_rank, round(coalesce(1 / first_rank, 0), 4) AS reciprocal_rank, round(coalesce(at3 / entries, 0), 4) AS recall_at_3, round(coalesce(at5 / entries, 0), 4) AS recall_at_5, round(coalesce(dcg / ideal, 0), 4) AS ndcg_at_5,
- coalesce(first_rank <= 3, false) AS required_passed FROM n JOIN i USING (case_id) LEFT JOIN g USING (case_id))"""
+_SUITE = """WITH res AS (SELECT * FROM (SELECT doc_id % 40 AS case_id, category, channel, api_package, path, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY sha256(doc_id::VARCHAR)) AS pos FROM c_documents WHERE doc_id % 3 = 0) WHERE pos <= 10),
+ca AS (SELECT DISTINCT doc_id % 40 AS case_id FROM c_documents), f AS (
+ SELECT case_id, pos, 1 AS item, 3 AS grade FROM res WHERE category = 'en' AND channel = 'stable' UNION ALL SELECT case_id, pos, 2, 2 FROM res WHERE contains(lower(path), '/' || case_id) UNION ALL SELECT case_id, pos, 3, 1 FROM res WHERE api_package = '@scope/server'),
+o AS (SELECT case_id, item, grade, min(pos) AS pos FROM f GROUP BY ALL), pl AS (SELECT case_id, pos, max(grade) AS grade, count(*) AS n FROM o GROUP BY ALL),
+g AS (SELECT case_id, min(pos) AS first_rank, sum(CASE WHEN pos <= 3 THEN n ELSE 0 END) AS at3, sum(CASE WHEN pos <= 5 THEN n ELSE 0 END) AS at5, sum(CASE WHEN pos <= 5 THEN (pow(2.0, grade) - 1) / log2(pos + 1) ELSE 0 END) AS dcg FROM pl GROUP BY case_id),
+e AS (SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'exact' ELSE 'natural' END AS kind, CASE WHEN case_id % 3 = 0 THEN (case_id % 10 + 1)::INT END AS required, first_rank::INT AS first_rank, round(coalesce(1 / first_rank, 0), 4)::DOUBLE AS reciprocal_rank, round(coalesce(at3 / 3, 0), 4)::DOUBLE AS recall_at_3,
+ round(coalesce(at5 / 3, 0), 4)::DOUBLE AS recall_at_5, round(coalesce(dcg / (7 + 3 / log2(3) + 1 / 2), 0), 4)::DOUBLE AS ndcg_at_5, case_id % 3 <> 0 OR coalesce(first_rank <= case_id % 10 + 1, false) AS required_passed FROM ca LEFT JOIN g USING (case_id))"""
+
+
+def _entries(c: Corpus):
+    none = F.lit(None).cast("string")
+    given = {"category": F.lit("fr"), "pathContains": F.lit("DOCUMENTS/fr/1")}
+    return c.spark.range(40).select(F.col("id").alias("case_id"), *[given.get(f, none).alias(f) for f in quality_metrics.FIELDS], F.lit(2).alias("grade"))
+
+
+def _suite_file(c: Corpus):
+    """A suite file searched and judged, one row per case."""
+    _, _, cases, relevant = quality_metrics.load_suite(c.spark, os.path.join(os.path.dirname(os.path.abspath(__file__)), "samples", "suite.json"))
+    numbered = cases.withColumn("query_id", F.xxhash64("case_id"))
+    results = search.search(numbered.select("query_id", "query"), *_ids(c), SearchOptions(limit=10, max_chars=24_000))
+    public = search.public(results, c.chunks, c.documents, c.sources).join(numbered.select("query_id", "case_id"), "query_id")
+    return quality_metrics.evaluate(cases, quality_metrics.judged(public.select("case_id", "pos", "identifier", "source_id", "category", "channel", "api_package", "path"), relevant), relevant)
 
 
 def _plan(spark, sf_dir):
@@ -257,14 +286,40 @@ PAIRS = {
             "SELECT coalesce(lx.query_id, sm.query_id) AS query_id, coalesce(lx.item, sm.item) AS item, round(coalesce(0.55::DOUBLE / (60 + lx.pos), 0) + coalesce(0.45::DOUBLE / (60 + sm.pos), 0), 9) AS score FROM lx FULL OUTER JOIN sm ON lx.query_id = sm.query_id AND lx.item = sm.item"
         ),
     ),
-    "near_duplicate": (_c(near_duplicate), duck(NEAR_SQL)),
+    "fetch_adjacent": (
+        _c(lambda c: fetch.fetch(_fetched(c), c.chunks, c.documents, before=2, after=1, max_chars=1500)),
+        duck(
+            f"WITH t AS ({_FETCHED}), x AS (SELECT request_id, 'chunk' AS target, c.document_id, c.chunk_id, c.ordinal, c.content FROM t JOIN c_chunks o ON o.chunk_id = t.id JOIN c_chunks c ON c.document_id = o.document_id AND c.ordinal BETWEEN o.ordinal - 2 AND o.ordinal + 1 "
+            f"UNION ALL SELECT request_id, 'document', c.document_id, c.chunk_id, c.ordinal, c.content FROM t JOIN c_chunks c ON c.document_id = t.id), {_BUDGET}"
+        ),
+    ),
+    "fetch_section": (
+        _c(lambda c: fetch.fetch(_fetched(c), c.chunks, c.documents, mode="section", max_chars=1500)),
+        duck(
+            f"WITH t AS ({_FETCHED}), x AS (SELECT request_id, 'chunk' AS target, c.document_id, c.chunk_id, c.ordinal, c.content FROM t JOIN c_chunks o ON o.chunk_id = t.id JOIN c_chunks c ON c.document_id = o.document_id AND CASE WHEN len(o.heading_path) = 0 THEN c.ordinal = o.ordinal ELSE c.heading_path[1:least(2, len(o.heading_path))] = o.heading_path[1:2] END "
+            f"UNION ALL SELECT request_id, 'document', c.document_id, c.chunk_id, c.ordinal, c.content FROM t JOIN c_chunks c ON c.document_id = t.id), {_BUDGET}"
+        ),
+    ),
+    "fetch_targets": (
+        _c(lambda c: fetch.targets(_fetched(c), c.chunks, c.documents).select("request_id", "target", "document_id", "error")),
+        duck(f"SELECT request_id, CASE WHEN id LIKE 'chk_%' THEN 'chunk' WHEN id LIKE 'doc_%' AND length(id) = 28 THEN 'document' ELSE 'invalid' END AS target, coalesce(c.document_id, d.document_id) AS document_id, CASE WHEN id = 'doc_x' THEN 'INVALID_DOCUMENT_ID' WHEN coalesce(c.document_id, d.document_id) IS NULL THEN 'NOT_FOUND' END AS error FROM ({_FETCHED}) t LEFT JOIN c_chunks c ON c.chunk_id = t.id LEFT JOIN c_documents d ON d.document_id = t.id"),
+    ),
+    "near_duplicate": (_c(lambda c: duplicates.near_duplicates(c.documents)), duck(NEAR_SQL)),
     "traverse": (_c(_traverse), duck(TRAVERSE_SQL)),
     "derive_alias_chains": (_c(_chains), duck(CHAIN_SQL)),
-    "quality_cases": (_c(_suite), _SUITE + " SELECT * FROM e"),
+    "quality_cases": (_c(_suite), duck(_SUITE + " SELECT * FROM e")),
     "quality_summary": (
         _c(lambda c: quality_metrics.summary(_suite(c))),
-        _SUITE
-        + " SELECT *, exact_top1 >= 0.95 AND natural_top3 >= 0.9 AND useful_top5 >= 0.95 AND gate_passed AS passed_targets FROM (SELECT round(avg(reciprocal_rank), 4) AS mrr, round(avg(recall_at_3), 4) AS recall_at_3, round(avg(recall_at_5), 4) AS recall_at_5, round(avg(ndcg_at_5), 4) AS ndcg_at_5, round(avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS exact_top1, round(avg(CASE WHEN first_rank <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS natural_top3, round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS useful_top5, bool_and(required_passed) AS gate_passed FROM e)",
+        duck(
+            _SUITE
+            + " SELECT *, required_passed = required_cases AS gate_passed, exact_top1 >= 0.95 AND natural_top3 >= 0.9 AND useful_top5 >= 0.95 AND required_passed = required_cases AS passed_targets FROM (SELECT count(*) AS queries, round(avg(reciprocal_rank), 4) AS mrr, round(avg(recall_at_3), 4) AS recall_at_3, round(avg(recall_at_5), 4) AS recall_at_5, round(avg(ndcg_at_5), 4) AS ndcg_at_5, "
+            "round(avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (kind = 'exact'), 4) AS exact_top1, round(avg(CASE WHEN first_rank <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (kind = 'natural'), 4) AS natural_top3, round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS useful_top5, count(required) AS required_cases, count(*) FILTER (required IS NOT NULL AND required_passed) AS required_passed FROM e)"
+        ),
+    ),
+    "quality_suite": (_c(_suite_file), None),
+    "relevance_match": (
+        _c(lambda c: quality_metrics.judged(c.documents.select((F.col("doc_id") % 40).alias("case_id"), F.col("doc_id").alias("pos"), F.lit(None).cast("string").alias("identifier"), "source_id", "category", "channel", "api_package", "path"), _entries(c)).select("case_id", "pos", "grade")),
+        duck("SELECT doc_id % 40 AS case_id, doc_id AS pos, 2 AS grade FROM c_documents WHERE category = 'fr' AND contains(lower(path), 'documents/fr/1')"),
     ),
     "plan_lookup": (_plan, None),
 }

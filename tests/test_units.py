@@ -188,3 +188,91 @@ def test_rate_state_carries_over(spark):
             out, state[user] = rate.fold(own, state[user], 2)
             got |= {r.event_id: (r.accepted, r.retry_after) for r in out.itertuples()}
     assert got == batch and not all(a for a, _ in batch.values())
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    from tessella.operators import duplicates
+
+    rng, rows = random.Random(4), []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(rng.choice([8, 14, 120]))]
+        for _ in range(20):
+            w = [f"x{rng.randrange(10**6)}" if rng.random() < rng.choice([0, 0.005, 0.03]) else x for x in base]
+            rows.append((len(rows), " ".join(w), rng.choice(["stable", "stable", "preview"]), rng.choice([None, None, "1", "2"])))
+    rows += [(len(rows), "", "stable", None), (len(rows) + 1, "", "stable", None), (len(rows) + 2, "one word", None, None), (len(rows) + 3, "One  word", None, None)]
+    alike = lambda a, b: search.similar({"text": a[1], "channel": a[2], "api_version": a[3], "identifier": None}, {"text": b[1], "channel": b[2], "api_version": b[3], "identifier": None})
+    label = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j in range(i):
+            if alike(a, rows[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r.doc_id: r.class_id for r in duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, channel string, api_version string")).collect()}
+    assert got == dict(enumerate(label)) and 20 < len(set(label)) < len(rows)
+
+
+def test_aliases(spark):
+    ids = [(1, "World.afterEvents", "property", 1), (2, "WorldAfterEvents.playerSpawn", "event", 1), (3, "World.dimension", "property", 1), (3, "Dimension", "unknown", 0), (3, "World", "unknown", 0), (4, "Dimension.heights", "property", 1), (4, "Range", "unknown", 0), (5, "Range.min", "property", 1), (6, "World.odd", "property", 1), (6, "Range", "unknown", 0), (6, "Dimension", "unknown", 0), (2, "old.alias", "event", 0)]
+    content = {1: "readonly afterEvents: WorldAfterEvents;", 3: "the dimension", 4: "heights", 5: "min: number", 6: "odd", 2: "x"}
+    identifiers = spark.createDataFrame([(f"c{c}", i, i.lower(), k, p, "derived-chain" if i == "old.alias" else "exact") for c, i, k, p in ids], "chunk_id string, identifier string, normalized string, identifier_kind string, is_primary int, alias_type string")
+    chunks = spark.createDataFrame([(f"c{c}", "d", t) for c, t in content.items()], "chunk_id string, document_id string, content string")
+    documents = spark.createDataFrame([("d", "api")], "document_id string, kind string")
+    edges = spark.createDataFrame([("a", "uses", "b", None), ("old", "alias_of", "x", "c1")], "from_identifier string, relation string, to_identifier string, chunk_id string")
+    new, joined = graph.derive_aliases(identifiers, edges, chunks, documents)
+    assert {(r.identifier, r.chunk_id) for r in new.filter("alias_type = 'derived-chain'").collect()} == {
+        ("World.afterEvents.playerSpawn", "c2"), ("World.dimension.heights", "c4"), ("World.dimension.heights.min", "c5"), ("Dimension.heights.min", "c5")
+    }
+    rows = {(r.from_identifier, r.relation, r.to_identifier) for r in joined.collect()}
+    assert ("a", "uses", "b") in rows and ("World.dimension", "property_type", "Dimension") in rows and ("World.dimension.heights.min", "alias_of", "Range.min") in rows and not any("odd" in r[0] or r[0] == "old" for r in rows)
+    with pytest.raises(ValueError, match="ALIAS_LIMIT"):
+        graph.derive_aliases(identifiers, edges, chunks, documents, most=3)
+
+
+def test_traverse_stops_at_the_limit(spark):
+    edges = spark.createDataFrame([("hub", "has", f"n{i:02d}") for i in range(30)] + [("N05", "next", "m"), ("n05", "next", "M")], "from_identifier string, relation string, to_identifier string")
+    start = spark.createDataFrame([(1, "HUB"), (2, "n05")], "query_id long, node string")
+    rows = graph.traverse(edges, start, depth=3, limit=10).collect()
+    one, two = ([r for r in rows if r.query_id == q] for q in (1, 2))
+    assert [r.to_identifier for r in sorted(one, key=lambda r: r.pos)] == [f"n{i:02d}" for i in range(10)] and all(r.truncated for r in one)
+    assert len(two) == 10 and sum(r.relation == "next" for r in two) == 1 and {r.direction for r in two if r.depth == 1} == {"incoming", "outgoing"}
+    names = spark.createDataFrame([("k1", "hub", "hub", 1)], "chunk_id string, identifier string, normalized string, is_primary int")
+    owner = spark.createDataFrame([("k1", "n05")], "chunk_id string, identifier string")
+    asked = spark.createDataFrame([(1, " Hub "), (2, "none")], "query_id long, identifier string")
+    assert {(r.query_id, r.name) for r in graph.canonical_names(asked, names, owner).collect()} == {(1, "n05"), (2, "none")}
+
+
+def test_quality_suite(spark, tmp_path):
+    import json
+
+    from tessella.operators import quality_metrics as Q
+
+    suite = {"name": "s", "targets": {"exactTop1": 0.5}, "queries": [
+        {"id": "a", "kind": "exact", "query": "q", "requiredTopK": 1, "relevant": [{"identifier": "Foo"}, {"category": "docs", "grade": 1}]},
+        {"id": "b", "kind": "natural", "query": "q", "relevant": [{"module": "@X/y", "grade": 2}]},
+        {"id": "c", "kind": "exact", "query": "q", "requiredTopK": 2, "relevant": [{"pathContains": "ZZ"}]},
+    ]}
+    (tmp_path / "s.json").write_text(json.dumps(suite))
+    name, targets, cases, relevant = Q.load_suite(spark, str(tmp_path / "s.json"))
+    assert name == "s" and targets == {"exactTop1": 0.5, "naturalTop3": 0.9, "usefulTop5": 0.95}
+    results = spark.createDataFrame([("a", 1, "foo", "docs", None, "p"), ("a", 2, "foo", "docs", None, "p"), ("b", 4, None, "x", "@x/Y", "p"), ("c", 1, None, "x", None, "p")], "case_id string, pos int, identifier string, category string, api_package string, path string").withColumns({"source_id": F.lit("s"), "channel": F.lit("stable")})
+    rows = {r.case_id: r for r in Q.evaluate(cases, Q.judged(results, relevant), relevant).collect()}
+    assert (rows["a"].first_rank, rows["a"].recall_at_3, rows["a"].required_passed) == (1, 1.0, True) and rows["a"].ndcg_at_5 == round(7 / (7 + 1 / 1.584962500721156), 4)
+    assert (rows["b"].first_rank, rows["b"].recall_at_3, rows["b"].recall_at_5, rows["b"].required_passed) == (4, 0.0, 1.0, True) and rows["c"].first_rank is None
+    total = Q.summary(spark.createDataFrame(list(rows.values())), targets).first()
+    assert (total.exact_top1, total.natural_top3, total.useful_top5, total.required_cases, total.required_passed, total.passed_targets) == (0.5, 0.0, round(2 / 3, 4), 2, 1, False)
+    text = Q.report(name, total, list(rows.values()), targets)
+    assert "Required cases: 1/2 (FAIL)" in text and "  c: first relevant none; required<=2 FAIL" in text and "  b: first relevant 4" in text and "  a:" not in text
+    for wrong in ({"id": "A"}, {"kind": "x"}, {"query": " "}, {"requiredTopK": 11}, {"relevant": []}, {"relevant": [{"grade": 2}]}):
+        (tmp_path / "w.json").write_text(json.dumps(suite | {"queries": [suite["queries"][0] | wrong]}))
+        with pytest.raises(ValueError):
+            Q.load_suite(spark, str(tmp_path / "w.json"))
+
+
+def test_fetch_errors_and_bounds():
+    from tessella.operators import fetch
+
+    for wrong in (("other", 1, 1, 1000), ("adjacent", 4, 1, 1000), ("adjacent", 1, -1, 1000), ("section", 1, 1, 999), ("section", 1, 1, 24_001)):
+        with pytest.raises(ValueError):
+            fetch.check(*wrong)
