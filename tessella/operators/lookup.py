@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,68 +15,127 @@ from tessella.functions import text as X
 from . import search, vectors
 from .options import SearchOptions
 
+EVIDENCE_CHARS = 1600
+HYBRID = "query_id long, pos int, chunk_id string, document_id string, exact boolean, score double, excerpt string, truncated boolean"
+NO_STABLE = "No current stable definition was found; returning preview/beta material as an explicit fallback."
+NOTHING = "No definition was found for this exact identifier and requested version constraints."
+
 
 def _details(hits: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
-    return (
-        hits.join(chunks.select("chunk_id", "document_id", "ordinal", "stability", "lifecycle"), "chunk_id")
-        .join(documents.select("document_id", "source_id", "kind", "channel", "api_version"), "document_id").join(sources.select("source_id", "tier"), "source_id")
-    )
+    c = chunks.select("chunk_id", "document_id", "ordinal", "stability", "lifecycle", (F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit(None).cast("string")).alias("chunk_type"))
+    versions = [F.col(v) if v in documents.columns else F.lit(None).cast("string").alias(v) for v in ("api_version", "product_version")]
+    return hits.join(c, "chunk_id").join(documents.select("document_id", "source_id", "kind", "channel", *versions), "document_id").join(sources.select("source_id", "tier"), "source_id")
+
+
+def _fits(options: SearchOptions, preview: bool = False):
+    """What preview, historical and version options leave of definitions and examples; neither is inferred from a query."""
+    c = {n: F.col(n) for n in ("api_version", "product_version")}
+    old = F.lit(bool(options.include_historical)) | ~F.col("lifecycle").isin("historical", "removed")
+    return Y.preview_allowed(F.lit(preview or bool(options.include_preview)), F.col("channel"), F.col("stability")) & old & options.versions(c, Y.version_allowed, lambda a, b: a & b)
 
 
-def _best(rows: DataFrame, version: str | None, most: int = 3) -> DataFrame:
+def _best(rows: DataFrame, options: SearchOptions, most: int = 3) -> DataFrame:
     """Reference-like rows if a request has any, by version score, tier, rank."""
     code = F.col("kind").isin("code", "example")
     any_reference = F.max((~code).cast("int")).over(Window.partitionBy("query_id"))
     pool = rows.withColumn("any", any_reference).filter((F.col("any") == 0) | ~code)
-    order = Window.partitionBy("query_id").orderBy(F.desc(Y.version_score(F.lit(version), F.col("api_version"))), "tier", "pos", "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(options.version_bonus({n: F.col(n) for n in ("api_version", "product_version")})), "tier", "pos", "chunk_id")
     return pool.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
-def definitions(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, version: str | None = None) -> DataFrame:
-    """Up to three definitions per request; preview material only where nothing stable is left, and marked so."""
+def definitions(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Up to three definitions per request; preview material only where nothing else is left, and marked so."""
     rows = _details(search.exact_hits(queries, identifiers, chunks, documents, sources), chunks, documents, sources)
-    rows = rows.filter(~F.col("lifecycle").isin("historical", "removed") & Y.version_allowed(F.lit(version), F.col("api_version")))
-    stable = rows.filter(Y.preview_allowed(F.lit(False), F.col("channel"), F.col("stability")))
-    rest = rows.join(stable.select("query_id").distinct(), "query_id", "left_anti")
-    both = _best(stable, version).withColumn("preview_fallback", F.lit(False)).unionByName(_best(rest, version).withColumn("preview_fallback", F.lit(True)))
-    return both.select("query_id", "place", "chunk_id", "kind", "channel", "preview_fallback")
+    fits = rows.filter(_fits(options))
+    both = _best(fits, options).withColumn("preview_fallback", F.lit(False))
+    if not options.include_preview:
+        # what the fallback may take: nothing historical, whatever the options say of that
+        rest = rows.filter(_fits(replace(options, include_historical=False), preview=True)).join(fits.select("query_id").distinct(), "query_id", "left_anti")
+        both = both.unionByName(_best(rest, options).withColumn("preview_fallback", F.lit(True)))
+    return both.select("query_id", "place", "chunk_id", "document_id", "kind", "channel", "stability", "lifecycle", "preview_fallback")
 
 
-def examples(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, excluded: DataFrame | None = None, most: int = 2) -> DataFrame:
-    """At most ``most`` code-like chunks per request, one per document; the first 30 are taken before filters."""
+def definition_report(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, definitions, stable_definition_found, warning) for every request."""
+    stable = (F.col("channel") == "stable") & (F.col("stability") == "stable") & (F.col("lifecycle") == "active")
+    per = found.groupBy("query_id").agg(F.count("*").alias("definitions"), F.bool_or(stable).alias("stable"), F.bool_or("preview_fallback").alias("fallback"))
+    rows = queries.select("query_id").join(per, "query_id", "left")
+    n = F.coalesce("definitions", F.lit(0))
+    return rows.select("query_id", n.alias("definitions"), F.coalesce("stable", F.lit(False)).alias("stable_definition_found"), F.when(F.col("fallback"), NO_STABLE).when(n == 0, NOTHING).alias("warning"))
+
+
+def examples(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, excluded: DataFrame | None = None, most: int = 2, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """At most ``most`` code-like chunks per request, one per document; the first 30 are taken before filters.
+
+    excluded: definitions (query_id, chunk_id, channel); a request whose definitions are preview
+    material gets preview examples too.
+    """
     asked = queries.select("query_id", X.normalize_identifier(F.col("query")).alias("normalized"))
-    hits = identifiers.join(asked, "normalized").select("query_id", "chunk_id").distinct()
-    rows = _details(hits, chunks, documents.filter(F.col("kind").isin("code", "example")), sources)
+    hits = identifiers.join(asked.select("normalized").distinct(), "normalized").select("normalized", "chunk_id").distinct()
+    rows = _details(hits, chunks, documents, sources).filter(F.col("kind").isin("code", "example") | F.coalesce(F.col("chunk_type") == "code-block", F.lit(False)))
     channel = F.when(F.col("channel") == "stable", 0).when(F.col("channel") == "preview", 1).otherwise(2)
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", channel, "ordinal", "chunk_id"))).filter("r <= 30")
-    kept = first.filter(Y.preview_allowed(F.lit(False), F.col("channel"), F.col("stability")) & ~F.col("lifecycle").isin("historical", "removed"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("normalized").orderBy("tier", channel, "ordinal", "chunk_id"))).filter("r <= 30").join(asked, "normalized")
+    kept = first.withColumn("preview", F.lit(False))
     if excluded is not None:
-        kept = kept.join(excluded.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        wide = excluded.groupBy("query_id").agg(F.bool_or(F.col("channel") == "preview").alias("preview"))
+        kept = first.join(wide, "query_id", "left").withColumn("preview", F.coalesce("preview", F.lit(False))).join(excluded.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    kept = kept.filter(F.when(F.col("preview"), _fits(options, preview=True)).otherwise(_fits(options)))
     one = kept.withColumn("d", F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("r"))).filter("d = 1")
     return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).filter(F.col("place") <= most).select("query_id", "place", "chunk_id", "document_id")
 
 
-def hybrid(queries: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, limit: int = 5, k: int = 40) -> DataFrame:
-    """Full-text results fused with vector neighbours; exact matches stay first, at most two per document unless exact.
+def hybrid(queries: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions(), k: int = 40) -> DataFrame:
+    """Full-text results fused with vector neighbours; exact matches stay first and keep their score, others have 100,000 times the fused one.
 
-    query_vectors: (query_id, embedding); chunk_vectors: (vec_id, chunk_id, embedding).
+    query_vectors: (query_id, embedding); chunk_vectors: (vec_id, chunk_id, embedding).  Of what
+    is ranked the greedy end keeps at most two per document (unless exact), no near
+    duplicates of what was taken, and the character budget.
     """
-    lexical = search.search(queries, identifiers, chunks, documents, sources, SearchOptions(limit=10, max_chars=24_000)).select("query_id", "chunk_id", F.col("pos").alias("a"), "exact")
+    lexical = search.search(queries, identifiers, chunks, documents, sources, replace(options, limit=10, max_chars=24_000))
+    lexical = lexical.select("query_id", "chunk_id", F.col("pos").alias("a"), "exact", F.col("excerpt").alias("found"), F.col("score").alias("own"))
     near = vectors.knn_cosine(chunk_vectors, query_vectors, k).join(chunk_vectors.select("vec_id", "chunk_id"), "vec_id").select("query_id", "chunk_id", F.col("pos").alias("b"))
     both = lexical.join(near, ["query_id", "chunk_id"], "full_outer").join(queries, "query_id")
-    rows = both.join(chunks.select("chunk_id", "document_id", "stability", "lifecycle"), "chunk_id")
-    rows = rows.join(documents.select("document_id", "source_id", "kind", "category", "channel", "api_package"), "document_id").join(sources.select("source_id", "tier", "source_type"), "source_id")
+    rows = both.join(chunks.select("chunk_id", "document_id", "identifier", "content", "stability", "lifecycle"), "chunk_id")
+    rows = rows.join(documents.select("document_id", "source_id", "path", "kind", "category", "channel", "api_package", "api_version", "product_version"), "document_id").join(sources.select("source_id", "tier", "source_type"), "source_id")
     c = {n: F.col(n) for n in rows.columns}
     intent = Y.intent_flags(c["query"])
     heavy, light = Y.fusion_weights(intent)
     exact = F.coalesce(c["exact"], F.lit(False))
-    allowed = c["a"].isNotNull() | (Y.preview_allowed(Y.preview_wanted(F.lit(None).cast("boolean"), c["query"], F.lit(None).cast("string")), c["channel"], c["stability"]) & ~c["lifecycle"].isin("historical", "removed") & c["tier"].isin(1, 2, 3))
+    allowed = c["a"].isNotNull() | replace(options, product_version=None).allowed(c, c["query"])
     score = F.coalesce(heavy / (60 + c["a"]), F.lit(0.0)) + F.coalesce(light / (60 + c["b"]), F.lit(0.0)) + F.when(exact, 10.0).otherwise(0.0) + F.when(c["a"].isNull(), Y.semantic_intent_bonus(intent, c)).otherwise(0.0)
-    scored = rows.filter(allowed).select("query_id", "chunk_id", "document_id", "tier", exact.alias("exact"), score.alias("score"))
-    per = Window.partitionBy("query_id", "document_id").orderBy(F.desc("exact"), F.desc("score"), "tier", "chunk_id")
-    capped = scored.withColumn("d", F.row_number().over(per)).filter(F.col("exact") | (F.col("d") <= 2))
-    order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), "tier", "chunk_id")
-    return capped.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit).select("query_id", "pos", "chunk_id", "exact", F.round("score", 6).alias("score"))
+    text = F.coalesce("found", X.clip_ellipsis(F.col("content"), EVIDENCE_CHARS))
+    ranked = rows.filter(allowed).select("query_id", "chunk_id", "document_id", "tier", "channel", "identifier", "api_version", "product_version", exact.alias("exact"), "own", score.alias("score"), text.alias("text"))
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        ordered = search.records(part.sort_values(["exact", "score", "tier", "chunk_id"], ascending=[False, False, True, True]))
+        chosen, cut = fused_end(ordered, options.limit, options.max_chars)
+        made = [(part["query_id"].iloc[0], i + 1, r["chunk_id"], r["document_id"], bool(r["exact"]), r["own"] if r["exact"] else round(r["score"] * 100_000, 3), t, cut) for i, (r, t) in enumerate(chosen)]
+        return pd.DataFrame(made, columns=["query_id", "pos", "chunk_id", "document_id", "exact", "score", "excerpt", "truncated"])
+
+    return ranked.groupBy("query_id").applyInPandas(finish, HYBRID)
+
+
+def fused_end(ranked: list[dict], limit: int, budget: int) -> tuple[list[tuple[dict, str]], bool]:
+    """The greedy end of a fused ranking: (result, text) pairs and whether anything was left out."""
+    taken: list[tuple[dict, str]] = []
+    for r in ranked:
+        left = budget - sum(len(t) for _, t in taken)
+        if len(taken) == limit or left < 200:
+            break
+        of_document = sum(o["document_id"] == r["document_id"] for o, _ in taken)
+        if (of_document < 2 or r["exact"]) and not any(search.similar(r, o | {"text": t}) for o, t in taken):
+            taken.append((r, search.shortened(r["text"], left)))
+    return taken, len(taken) < len(ranked)
+
+
+def hybrid_or_lexical(ready: Callable[[], None], queries: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions(), k: int = 40) -> DataFrame:
+    """``hybrid`` if ``ready`` (a check such as ``vectors.require``) raises nothing, else full-text search alone with the same columns."""
+    try:
+        ready()
+    except (ValueError, LookupError):
+        rows = search.search(queries, identifiers, chunks, documents, sources, options)
+        return rows.select("query_id", "pos", "chunk_id", "document_id", "exact", "score", "excerpt", "truncated")
+    return hybrid(queries, query_vectors, chunk_vectors, identifiers, chunks, documents, sources, options, k)
 
 
 def merge_only(candidates: DataFrame) -> DataFrame:

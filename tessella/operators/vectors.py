@@ -18,9 +18,11 @@ QUERY_BLOCK = 4096
 def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
     """(query_id, vec_id, distance, pos): the k nearest of each query; ties by vec_id.
 
-    Queries go to the tasks in blocks of bounded size; each task keeps the k best
-    of its rows only, so what is shuffled is k rows per query and task.
+    Queries go to the tasks in blocks of bounded size; a task keeps the k best of all its
+    rows, so what is shuffled is k rows per query and task.
     """
+    if not 1 <= k <= 100:
+        raise ValueError("k must be 1 to 100")
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
@@ -31,15 +33,18 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def of(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            far, near = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
                 v = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 own = batch.column("vec_id").to_numpy()
-                far = np.round(1 - q @ v.T, 9)
-                best = np.lexsort((np.broadcast_to(own, far.shape), far), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(far, best, 1).ravel())], names=["query_id", "vec_id", "distance"])
+                far = np.concatenate([far, np.round(1 - q @ v.T, 9)], axis=1)
+                near = np.concatenate([near, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
+                best = np.lexsort((near, far), axis=1)[:, :k]
+                far, near = np.take_along_axis(far, best, 1), np.take_along_axis(near, best, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(near.ravel()), pa.array(far.ravel())], names=["query_id", "vec_id", "distance"])
 
         some = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(of, "query_id long, vec_id long, distance double")
         found = some if found is None else found.unionByName(some)
@@ -87,3 +92,23 @@ def rrf(lexical: DataFrame, semantic: DataFrame, lexical_weight: Column, semanti
     both = lexical.select("query_id", "item", F.col("pos").alias("a")).join(semantic.select("query_id", "item", F.col("pos").alias("b")), ["query_id", "item"], "full_outer")
     points = F.coalesce(lexical_weight / (constant + F.col("a")), F.lit(0.0)) + F.coalesce(semantic_weight / (constant + F.col("b")), F.lit(0.0))
     return both.select("query_id", "item", points.alias("score"))
+
+
+#: Version of the layout of stored vectors.
+SEMANTIC_SCHEMA = 1
+
+
+def meta(vectors: DataFrame, model: str, fingerprint: str) -> DataFrame:
+    """(key, value) rows that say what a table of vectors was made with, and how many there are."""
+    row = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimensions"), F.count("*").alias("vectors"))
+    values = {"schema_version": F.lit(str(SEMANTIC_SCHEMA)), "model": F.lit(model), "dimensions": F.col("dimensions").cast("string"), "core_fingerprint": F.lit(fingerprint), "vectors": F.col("vectors").cast("string")}
+    return row.select(F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("key", "value"))
+
+
+def require(meta_rows: DataFrame, model: str, dimensions: int, fingerprint: str) -> None:
+    """Raise unless stored vectors have the layout, model, size and corpus that are expected."""
+    have = {r["key"]: r["value"] for r in meta_rows.collect()}
+    wanted = (("SEMANTIC_SCHEMA_MISMATCH", "schema_version", str(SEMANTIC_SCHEMA)), ("SEMANTIC_MODEL_MISMATCH", "model", model), ("SEMANTIC_DIMENSION_MISMATCH", "dimensions", str(dimensions)), ("SEMANTIC_INDEX_STALE", "core_fingerprint", fingerprint))
+    for code, key, value in wanted:
+        if have.get(key) != value:
+            raise ValueError(f"{code}: {key} is {have.get(key, 'missing')}, expected {value}")

@@ -18,6 +18,7 @@ from tessella.sources import files, identifiers, ingest, parsers, sinks
 from tessella.streaming import rate
 
 from .corpus import Corpus, duck
+from .relational import ASKED, EXACT_ORDER, JOINED
 from .retrieval import _ids
 from .scalars import SAMPLES, _values
 
@@ -111,18 +112,64 @@ def _gate(c: Corpus):
     return found.select("name", F.when(F.col("version") == SCHEMA_VERSION, "open").when(F.col("version") > SCHEMA_VERSION, "refuse").otherwise("migrate").alias("action"))
 
 
-def _vectors(c: Corpus):
-    chunk = c.chunks.filter("ordinal = 0").select("doc_id", "chunk_id")
+def _vector_tables(c: Corpus):
+    """Stored vectors of first chunks (a document has one vector), and the queries' own."""
+    chunk = c.chunks.groupBy("doc_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"))
     e = c.table("embeddings")
     stored = e.join(chunk, F.col("vec_id") == F.col("doc_id")).select("vec_id", "chunk_id", "embedding")
     asked = c.queries.select("query_id").join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    return lookup.hybrid(c.queries, asked, stored, *_ids(c))
+    return asked, stored
+
+
+def _hybrid(c: Corpus, expected: int = 64):
+    asked, stored = _vector_tables(c)
+    about = vectors.meta(c.table("embeddings"), "stand-in", "1")
+    return lookup.hybrid_or_lexical(lambda: vectors.require(about, "stand-in", expected, "1"), c.queries, asked, stored, *_ids(c))
+
+
+def _semantic_guard(c: Corpus):
+    """What the check says to several expectations."""
+    about = vectors.meta(c.table("embeddings"), "m", "f")
+    rows = []
+    for name, wanted in (("fits", ("m", 64, "f")), ("model", ("x", 64, "f")), ("size", ("m", 32, "f")), ("stale", ("m", 64, "g"))):
+        try:
+            vectors.require(about, *wanted)
+            rows.append((name, "ok"))
+        except ValueError as e:
+            rows.append((name, str(e).split(":")[0]))
+    return c.spark.createDataFrame(rows, "name string, outcome string")
+
+
+def _words_asked(c: Corpus):
+    return c.queries.select("query_id", F.split("query", " ")[0].alias("query"))
 
 
 def _first_terms(c: Corpus):
     return c.identifiers.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("normalized")), " ").alias("terms"))
 
 
+_EXACT30 = f"SELECT a.query_id, i.normalized, c.chunk_id, row_number() OVER (PARTITION BY a.query_id ORDER BY {EXACT_ORDER}) AS r FROM {JOINED} JOIN {ASKED} a ON a.normalized = i.normalized"
+
+
+def _definition_sql(version: str | None) -> str:
+    """Up to three definitions of each first word, by another way than the operator's: flags on all of the first 30 hits."""
+    score = f"CASE WHEN api_version IS NULL THEN -4 WHEN api_version = '{version}' THEN 30 ELSE 15 END" if version else "0"
+    fits = f"(api_version IS NULL OR api_version = '{version}' OR starts_with(api_version, '{version}.'))" if version else "true"
+    return f"""SELECT query_id, place::INT AS place, chunk_id, document_id, kind, channel, stability, lifecycle, NOT st AS preview_fallback FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, tier, pos, chunk_id) AS place FROM (
+ SELECT *, max(ref) OVER (PARTITION BY query_id) AS any_ref FROM (SELECT *, max(st::INT) OVER (PARTITION BY query_id) AS any_st FROM (
+ SELECT h.query_id, h.pos, c.chunk_id, c.document_id, d.kind, d.channel, c.stability, c.lifecycle, d.api_version, s.tier, (d.kind NOT IN ('code', 'example'))::INT AS ref, NOT (d.channel = 'preview' OR c.stability IN ('beta', 'experimental', 'internal')) AS st
+ FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS pos FROM ({_EXACT30}) WHERE r <= 120 GROUP BY query_id, chunk_id) h JOIN c_chunks c USING (chunk_id) JOIN c_documents d USING (document_id) JOIN c_sources s ON s.source_id = d.source_id
+ WHERE h.pos <= 30 AND c.lifecycle NOT IN ('historical', 'removed') AND {fits})) WHERE any_st = st::INT) WHERE any_ref = ref) WHERE place <= 3"""
+
+
+def _examples_sql(without: str, preview: str, most: int) -> str:
+    return f"""SELECT query_id, place::INT AS place, chunk_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY r) AS k FROM (
+ SELECT a.query_id, e.* FROM {ASKED} a JOIN (SELECT *, row_number() OVER (PARTITION BY normalized ORDER BY tier, CASE channel WHEN 'stable' THEN 0 WHEN 'preview' THEN 1 ELSE 2 END, ordinal, chunk_id) AS r FROM (
+ SELECT DISTINCT i.normalized, c.chunk_id, c.document_id, s.tier, d.channel, c.ordinal, c.stability, c.lifecycle FROM {JOINED} WHERE d.kind IN ('code', 'example'))) e ON e.normalized = a.normalized
+ WHERE e.r <= 30 AND ({preview} OR NOT (e.channel = 'preview' OR e.stability IN ('beta', 'experimental', 'internal'))) AND e.lifecycle NOT IN ('historical', 'removed') {without})) WHERE k = 1) WHERE place <= {most}"""
+
+
 ID_SQL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(["chk", "doc"]))
 
 PAIRS = {
@@ -187,18 +234,26 @@ PAIRS = {
     ),
     "validate_bounds": (_c(lambda c: c.table("events").select("event_id", ((F.col("event_id") % 5).between(0, 3) & (F.col("event_id") % 4).between(1, 3)).alias("ok"))), "SELECT event_id, event_id % 5 BETWEEN 0 AND 3 AND event_id % 4 BETWEEN 1 AND 3 AS ok FROM events"),
     # scores
-    "score_exact": (_c(lambda c: search.exact_hits(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c)).select("query_id", "chunk_id", (1000 - 5 * (F.col("pos") - 1) + 2 * F.col("primary")).alias("score"))), None),
+    "score_exact": (_c(lambda c: search.exact_hits(_words_asked(c), *_ids(c)).select("query_id", "chunk_id", (1000 - 5 * (F.col("pos") - 1) + 2 * F.col("primary")).alias("score"))), None),
     "score_lexical": (_c(lambda c: c.table("events").select("event_id", F.round(100 / (F.col("event_id") % 50 + 1), 6).alias("alone"), F.round(50 / (F.col("event_id") % 50 + 1), 6).alias("added"))), "SELECT event_id, round(100 / (event_id % 50 + 1), 6) AS alone, round(50 / (event_id % 50 + 1), 6) AS added FROM events"),
     "version_bonus": (_c(lambda c: c.versions.select("p_partkey", (Y.version_score(F.col("requested"), F.col("actual")) + Y.version_score(F.lit(None).cast("string"), F.col("actual"))).alias("points"))), None),
     "identifier_equal_bonus": (_c(lambda c: c.chunks.select("chunk_id", F.when(X.normalize_identifier(F.col("identifier")) == "the", 20).otherwise(0).alias("points"))), duck("SELECT chunk_id, CASE WHEN lower(identifier) = 'the' THEN 20 ELSE 0 END AS points FROM c_chunks")),
     "merge_adjacent": (_c(lambda c: lookup.merge_only(search.candidates(c.queries, *_ids(c)).select("query_id", "chunk_id", "document_id", "ordinal", "content", "score", "exact", "tier"))), None),
     "select_results": (_c(lambda c: search.search(c.queries, *_ids(c), SearchOptions(limit=3, max_chars=2000)).select("query_id", "pos", "chunk_id", "truncated")), None),
-    "hybrid_search": (_c(_vectors), None),
-    "get_definition": (_c(lambda c: lookup.definitions(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c), version="1")), None),
-    "definition_examples": (_c(lambda c: lookup.examples(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c))), None),
-    "find_examples": (_c(lambda c: lookup.examples(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c), excluded=lookup.definitions(c.queries.select("query_id", F.split("query", " ")[0].alias("query")), *_ids(c)), most=5)), None),
-    "semantic_guard": (_c(lambda c: c.table("embeddings").select("vec_id", (F.size("embedding") == 64).alias("fits"))), "SELECT vec_id, len(embedding) = 64 AS fits FROM embeddings"),
-    "semantic_meta": (_c(lambda c: c.table("embeddings").agg(F.max(F.size("embedding")).alias("dimensions"), F.count("*").alias("vectors"))), "SELECT max(len(embedding))::INT AS dimensions, count(*) AS vectors FROM embeddings"),
+    "hybrid_search": (_c(_hybrid), None),
+    "semantic_optional": (_c(lambda c: _hybrid(c, expected=1).select("query_id", "pos", "chunk_id", "exact")), None),
+    "get_definition": (_c(lambda c: lookup.definitions(_words_asked(c), *_ids(c), SearchOptions(api_version="1"))), duck(_definition_sql("1"))),
+    "definition_report": (
+        _c(lambda c: lookup.definition_report(_words_asked(c), lookup.definitions(_words_asked(c), *_ids(c)))),
+        duck(f"SELECT q.query_id, coalesce(n, 0) AS definitions, coalesce(s, false) AS stable_definition_found, CASE WHEN fb THEN '{lookup.NO_STABLE}' WHEN n IS NULL THEN '{lookup.NOTHING}' END AS warning FROM c_queries q LEFT JOIN (SELECT query_id, count(*) AS n, bool_or(channel = 'stable' AND stability = 'stable' AND lifecycle = 'active') AS s, bool_or(preview_fallback) AS fb FROM ({_definition_sql(None)}) GROUP BY query_id) d USING (query_id)"),
+    ),
+    "definition_examples": (_c(lambda c: lookup.examples(_words_asked(c), *_ids(c))), duck(_examples_sql("", "false", 2))),
+    "find_examples": (
+        _c(lambda c: lookup.examples(_words_asked(c), *_ids(c), excluded=lookup.definitions(_words_asked(c), *_ids(c)), most=5)),
+        duck("WITH de AS (" + _definition_sql(None) + "), wd AS (SELECT query_id, bool_or(channel = 'preview') AS pv FROM de GROUP BY query_id) " + _examples_sql("AND NOT EXISTS (SELECT 1 FROM de WHERE de.query_id = a.query_id AND de.chunk_id = e.chunk_id)", "coalesce((SELECT pv FROM wd WHERE wd.query_id = a.query_id), false)", 5)),
+    ),
+    "semantic_guard": (_c(_semantic_guard), "SELECT * FROM (VALUES ('fits', 'ok'), ('model', 'SEMANTIC_MODEL_MISMATCH'), ('size', 'SEMANTIC_DIMENSION_MISMATCH'), ('stale', 'SEMANTIC_INDEX_STALE')) t(name, outcome)"),
+    "semantic_meta": (_c(lambda c: vectors.meta(c.table("embeddings"), "m", "f")), "SELECT 'schema_version' AS key, '1' AS value UNION ALL SELECT 'model', 'm' UNION ALL SELECT 'core_fingerprint', 'f' UNION ALL SELECT 'dimensions', max(len(embedding))::VARCHAR FROM embeddings UNION ALL SELECT 'vectors', count(*)::VARCHAR FROM embeddings"),
     # maintenance and streams
     "rebuild_full": (_c(lambda c: c.chunks.groupBy("source_id").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("chunks"))), duck("SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM c_chunks GROUP BY source_id")),
     "update_incremental": (_c(_incremental), duck("SELECT document_id, chunk_id, CASE WHEN doc_id % 10 = 3 OR doc_id % 9 = 0 THEN 'parsed' ELSE 'kept' END AS origin FROM c_chunks WHERE doc_id % 10 <> 7")),
