@@ -364,17 +364,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     roots = cut(components(links))
 
     # what the stars have left: lists that still hold more than one component
-    members = placed(lists, roots).join(classes.select("cls", "n"), "cls")
+    members, before = placed(lists, roots).join(classes.select("cls", "n"), "cls"), links
     for wide in (WIDE, None):
+        release(spark)
         found = meetings(members.select("v", "cls", "root", "n"), classes, docs, percent, size, wide)
-        new, marked = found.filter("b is not null").select("a", "b"), found.filter("b is null").select("v", F.col("a").alias("cls")).distinct()
-        if not new.isEmpty():
-            links = cut(links.unionByName(new))
-            roots = cut(components(links))
+        links = links.unionByName(found.filter("b is not null").select("a", "b"))
+        marked = found.filter("b is null").select("v", F.col("a").alias("cls")).distinct()
         if wide is None or marked.isEmpty():
             break
+        # components are joined once, after both rounds
         members = placed(marked, roots).join(classes.select("cls", "n"), "cls")
-        release(spark)
+    release(spark)
+    if links.count() > before.count():
+        roots = cut(components(links))
+    release(spark)
 
     named = classes.select("cls", "doc").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("doc").alias("component_id"))

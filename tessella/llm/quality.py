@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
 from .words import Words, pieces, text_parts
 
 SAMPLE, MOST, ROUNDS, STEPS, PENALTY, KEEP = 3000, 64 << 20, 3, 80, 1e-3, 0.7
@@ -99,6 +100,16 @@ class Lines:
             own[:, k + 6] = copy
         self.own = np.sqrt(own)
 
+    @classmethod
+    def of(cls, table: pa.Table) -> Lines:
+        """Lines of all texts of a table, found in pieces of bounded memory."""
+        parts = [cls(piece.column("text")) for batch in table.select(["text"]).combine_chunks().to_batches() for piece in pieces(batch)] or [cls(pa.array([], pa.string()))]
+        out = parts[0]
+        out.rows = sum(p.rows for p in parts)
+        out.own, out.size, out.count = (np.concatenate([getattr(p, name) for p in parts]) for name in ("own", "size", "count"))
+        out.first = np.append(0, np.cumsum(out.count))
+        return out
+
     def around(self, own: np.ndarray) -> np.ndarray:
         """Scaled features, the neighbours' (0, the mean, where there is none) and whether there are neighbours."""
         n = len(own)
@@ -236,7 +247,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST, learn_from: Column | None = None) -> Model:
     """A model from the labelled rows among ``docs``, those of the held-out fold left out."""
     got = sampled(docs, labels, sample, most, learn_from).toArrow().sort_by("doc_id")
-    return fit(Lines(got.column("text")), got.column("quality").to_numpy().astype(np.int64))
+    model = fit(Lines.of(got), got.column("quality").to_numpy().astype(np.int64))
+    del got
+    release(docs.sparkSession)
+    return model
 
 
 def scored(model: Model, keep: float):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the checkpoints of steps nothing refers to any more."""
+    """Let Spark's cleaner drop the checkpoints of steps nothing refers to any more, and give the driver's free memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library knows how
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -76,6 +82,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         nxt = cut(small)
         state = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         e = nxt
+        release(edges.sparkSession)
         if state == seen:
             break
         seen = state
