@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules as Y
 from tessella.functions import text as X
 from tessella.operators import lookup, search, vectors
-from tessella.operators.options import SearchOptions
-from tessella.schema import SCHEMA_VERSION
+from tessella.operators.options import SearchOptions, query_error
 from tessella.sources import files, identifiers, ingest, parsers, sinks
 from tessella.streaming import rate
 
@@ -51,9 +51,11 @@ def _parsed(suffix: str):
 
 
 def _scratch(spark) -> str:
-    """A folder that driver and executors share: under the checkpoint folder if one is set, else (local mode) temporary."""
+    """A folder of its own that driver and executors share: in spark.checkpoint.dir; only a local session without one makes a temporary folder."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return tempfile.mkdtemp(dir=shared.removeprefix("file://") if shared.startswith(("file:", "/")) else None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def _checkout(spark, sf_dir):
@@ -86,17 +88,6 @@ def _backup(c: Corpus):
     return c.spark.read.parquet(f"{target}/{name}/sources").select("source_id")
 
 
-def _incremental(c: Corpus):
-    """Old and new documents compared by hash; kept chunks stay, changed documents are parsed again."""
-    old = c.documents.filter("doc_id % 10 <> 3")
-    new = c.documents.filter("doc_id % 10 <> 7").withColumn("content_hash", F.when(F.col("doc_id") % 9 == 0, "new").otherwise(F.col("content_hash")))
-    changed = new.join(old.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti").select("document_id")
-    alive = new.select("document_id")
-    kept = c.chunks.join(alive, "document_id", "left_semi").join(changed, "document_id", "left_anti")
-    again = c.chunks.join(changed, "document_id", "left_semi")
-    return kept.select("document_id", "chunk_id", F.lit("kept").alias("origin")).unionByName(again.select("document_id", "chunk_id", F.lit("parsed").alias("origin")))
-
-
 def _refresh(c: Corpus):
     root = _scratch(c.spark)
     target = f"{root}/out"
@@ -107,11 +98,6 @@ def _refresh(c: Corpus):
     return c.spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def _gate(c: Corpus):
-    found = c.spark.createDataFrame([("a", SCHEMA_VERSION), ("b", SCHEMA_VERSION + 1), ("c", 0)], "name string, version int")
-    return found.select("name", F.when(F.col("version") == SCHEMA_VERSION, "open").when(F.col("version") > SCHEMA_VERSION, "refuse").otherwise("migrate").alias("action"))
-
-
 def _vector_tables(c: Corpus):
     """Stored vectors of first chunks (a document has one vector), and the queries' own."""
     chunk = c.chunks.groupBy("doc_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id"))
@@ -140,6 +126,23 @@ def _semantic_guard(c: Corpus):
     return c.spark.createDataFrame(rows, "name string, outcome string")
 
 
+OPTION_SETS = (
+    ("plain", {}, True), ("limit 0", {"limit": 0}, False), ("limit 11", {"limit": 11}, False), ("few chars", {"max_chars": 1999}, False), ("most chars", {"max_chars": 24_000}, True), ("eleven kinds", {"kinds": ("x",) * 11}, False),
+    ("six stabilities", {"stabilities": ("x",) * 6}, False), ("tier 5", {"tiers": (5,)}, False), ("all tiers", {"tiers": (1, 2, 3, 4)}, True), ("long source", {"source_id": "x" * 101}, False), ("long version", {"product_version": "x" * 51}, False), ("long prefix", {"path_prefix": "x" * 501}, False),
+)
+
+
+def _validated(c: Corpus):
+    rows = []
+    for name, given, _ in OPTION_SETS:
+        try:
+            SearchOptions(**given)
+            rows.append((name, True))
+        except ValueError:
+            rows.append((name, False))
+    return c.spark.createDataFrame(rows, "name string, accepted boolean")
+
+
 def _words_asked(c: Corpus):
     return c.queries.select("query_id", F.split("query", " ")[0].alias("query"))
 
@@ -184,7 +187,7 @@ PAIRS = {
     ),
     "npm_revision": (
         lambda spark, sf_dir: files.snapshot_revision(spark.createDataFrame([("b", "latest", "2.0.0"), ("a", "beta", "1.0.0")], "name string, tag string, version string")),
-        """SELECT sha256('[{"name":"a","tag":"beta","version":"1.0.0"},{"name":"b","tag":"latest","version":"2.0.0"}]') AS revision""",
+        """WITH n AS (SELECT name, sha256('[{"tag":"' || tag || '","version":"' || version || '"}]') AS h, substr(sha256(name), 1, 3) AS b FROM (VALUES ('a', 'beta', '1.0.0'), ('b', 'latest', '2.0.0')) t(name, tag, version)), w AS (SELECT b, sha256(string_agg(name || ' ' || h, chr(10) ORDER BY name)) AS h FROM n GROUP BY b) SELECT sha256(string_agg(b || ' ' || h, chr(10) ORDER BY b)) AS revision FROM w""",
     ),
     "publish_atomic": (_c(_published), duck("SELECT (SELECT count(*) FROM c_chunks) AS chunks, (SELECT count(*) FROM c_sources) AS sources")),
     "backup_copy": (_c(_backup), duck("SELECT source_id FROM c_sources")),
@@ -227,17 +230,17 @@ PAIRS = {
         ),
     ),
     "fts_fields": (_c(lambda c: c.chunks.select("chunk_id", F.size(X.fts_tokens(F.col("title"))).alias("title_tokens"), F.size(X.fts_tokens(F.col("content"))).alias("body_tokens"))), duck("SELECT chunk_id, len(regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}]+'))::INT AS title_tokens, len(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+'))::INT AS body_tokens FROM c_chunks")),
-    "project_public_result": (_c(lambda c: c.documents.select("document_id", "title", "path", "kind", "category", "stability", "lifecycle", "channel", "source_id", X.round_n((F.col("doc_id") / 7).cast("decimal(20,8)"), 3).cast("double").alias("score"))), duck("SELECT document_id, title, path, kind, category, stability, lifecycle, channel, source_id, round((doc_id / 7)::DECIMAL(20,8), 3)::DOUBLE AS score FROM c_documents")),
-    "validate_options": (
-        _c(lambda c: c.table("events").select("event_id", F.when(~(F.col("event_id") % 14).between(1, 10), "limit must be 1 to 10").when(~(F.col("event_id") * 7 % 30000).between(2000, 24000), "max_chars must be 2000 to 24000").alias("error"))),
-        "SELECT event_id, CASE WHEN event_id % 14 NOT BETWEEN 1 AND 10 THEN 'limit must be 1 to 10' WHEN event_id * 7 % 30000 NOT BETWEEN 2000 AND 24000 THEN 'max_chars must be 2000 to 24000' END AS error FROM events",
+    "project_public_result": (
+        _c(lambda c: search.public(c.chunks.filter("ordinal = 0").select(F.lit(1).alias("query_id"), "chunk_id", "document_id", (F.col("doc_id") / 7).cast("decimal(20,8)").alias("score"), F.lit(False).alias("exact")), c.chunks, c.documents, c.sources).withColumn("score", F.col("score").cast("double"))),
+        duck("SELECT 1 AS query_id, chunk_id, document_id, round((c.doc_id / 7)::DECIMAL(20,8), 3)::DOUBLE AS score, false AS exact_match, c.title, identifier, c.stability, c.lifecycle, d.source_id, d.path, kind, category, d.channel, NULL AS canonical_url, NULL AS revision_url, api_package, api_version, product_version, s.name AS source_name, source_type, tier AS source_tier, repository, revision FROM c_chunks c JOIN c_documents d USING (document_id) JOIN c_sources s ON s.source_id = d.source_id WHERE ordinal = 0"),
+    ),
+    "validate_options": (_c(_validated), "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(ok).lower()})" for n, _, ok in OPTION_SETS) + ") t(name, accepted)"),
+    "validate_queries": (_c(lambda c: c.table("documents").select("doc_id", query_error(F.col("text")).alias("error"))), "SELECT doc_id, CASE WHEN text IS NULL OR length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 1 OR length(text) > 500 THEN 'query must have 1 to 500 characters' END AS error FROM documents"),
+    "score_exact": (
+        _c(lambda c: search.exact_hits(_words_asked(c), *_ids(c)).select("query_id", "chunk_id", (1000 - 5 * (F.col("pos") - 1) + 2 * F.col("primary")).alias("score"))),
+        duck(f"SELECT query_id, chunk_id, 1000 - 5 * (pos - 1) + 2 AS score FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS pos FROM ({_EXACT30}) WHERE r <= 120 GROUP BY query_id, chunk_id) WHERE pos <= 30"),
     ),
-    "validate_bounds": (_c(lambda c: c.table("events").select("event_id", ((F.col("event_id") % 5).between(0, 3) & (F.col("event_id") % 4).between(1, 3)).alias("ok"))), "SELECT event_id, event_id % 5 BETWEEN 0 AND 3 AND event_id % 4 BETWEEN 1 AND 3 AS ok FROM events"),
-    # scores
-    "score_exact": (_c(lambda c: search.exact_hits(_words_asked(c), *_ids(c)).select("query_id", "chunk_id", (1000 - 5 * (F.col("pos") - 1) + 2 * F.col("primary")).alias("score"))), None),
-    "score_lexical": (_c(lambda c: c.table("events").select("event_id", F.round(100 / (F.col("event_id") % 50 + 1), 6).alias("alone"), F.round(50 / (F.col("event_id") % 50 + 1), 6).alias("added"))), "SELECT event_id, round(100 / (event_id % 50 + 1), 6) AS alone, round(50 / (event_id % 50 + 1), 6) AS added FROM events"),
     "version_bonus": (_c(lambda c: c.versions.select("p_partkey", (Y.version_score(F.col("requested"), F.col("actual")) + Y.version_score(F.lit(None).cast("string"), F.col("actual"))).alias("points"))), None),
-    "identifier_equal_bonus": (_c(lambda c: c.chunks.select("chunk_id", F.when(X.normalize_identifier(F.col("identifier")) == "the", 20).otherwise(0).alias("points"))), duck("SELECT chunk_id, CASE WHEN lower(identifier) = 'the' THEN 20 ELSE 0 END AS points FROM c_chunks")),
     "merge_adjacent": (_c(lambda c: lookup.merge_only(search.candidates(c.queries, *_ids(c)).select("query_id", "chunk_id", "document_id", "ordinal", "content", "score", "exact", "tier"))), None),
     "select_results": (_c(lambda c: search.search(c.queries, *_ids(c), SearchOptions(limit=3, max_chars=2000)).select("query_id", "pos", "chunk_id", "truncated")), None),
     "hybrid_search": (_c(_hybrid), None),
@@ -256,8 +259,6 @@ PAIRS = {
     "semantic_meta": (_c(lambda c: vectors.meta(c.table("embeddings"), "m", "f")), "SELECT 'schema_version' AS key, '1' AS value UNION ALL SELECT 'model', 'm' UNION ALL SELECT 'core_fingerprint', 'f' UNION ALL SELECT 'dimensions', max(len(embedding))::VARCHAR FROM embeddings UNION ALL SELECT 'vectors', count(*)::VARCHAR FROM embeddings"),
     # maintenance and streams
     "rebuild_full": (_c(lambda c: c.chunks.groupBy("source_id").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("chunks"))), duck("SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM c_chunks GROUP BY source_id")),
-    "update_incremental": (_c(_incremental), duck("SELECT document_id, chunk_id, CASE WHEN doc_id % 10 = 3 OR doc_id % 9 = 0 THEN 'parsed' ELSE 'kept' END AS origin FROM c_chunks WHERE doc_id % 10 <> 7")),
-    "schema_gate": (_c(_gate), "SELECT * FROM (VALUES ('a', 'open'), ('b', 'refuse'), ('c', 'migrate')) t(name, action)"),
     "rate_limit_windows": (_c(lambda c: rate.rate_limited(c.table("events"), 1)), None),
     "tumbling_counts": (_c(lambda c: rate.tumbling_counts(c.table("events"))), "SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "incremental_refresh": (_c(_refresh), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),

@@ -13,6 +13,7 @@ from tessella.operators import duplicates, fetch, graph, lexical, quality_metric
 from tessella.operators.options import SearchOptions
 
 from .corpus import Corpus, duck
+from .relational import EXACT_ORDER, JOINED
 from .scalars import QUESTIONS, _values
 
 # --- full text ---
@@ -39,6 +40,12 @@ bm AS (SELECT query_id, chunk_id, -sum(times * s) AS score FROM sc GROUP BY quer
 
 
 _BM, _BM1 = _bm("c_asked"), _bm(f"(SELECT DISTINCT unnest({_MEANT}) AS query_id, unnest({_MEANT}) AS query FROM c_queries)")
+_FALLBACK = (
+    f"WITH {_BM1}, r1 AS (SELECT query_id AS term, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS pos FROM bm), "
+    f"a AS (SELECT query_id, list_transform(range(1, least(len(u), 8) + 1), lambda i: {{'n': i, 't': u[i]}}) AS ts FROM (SELECT query_id, list_filter({_MEANT}, lambda x, i: list_position({_MEANT}, x) = i) AS u FROM c_queries)), "
+    "b AS (SELECT query_id, x.n AS n, x.t AS term FROM (SELECT query_id, unnest(ts) AS x FROM a)), "
+    "m AS (SELECT query_id, chunk_id, sum(1 / pos) AS points, min({'n': n, 'pos': pos, 'score': score}) AS first FROM b JOIN r1 USING (term) WHERE pos <= 15 GROUP BY ALL) SELECT query_id, chunk_id, round(points, 6) AS points, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(points, 9) DESC, round(first.score, 9), first.n, first.pos) AS r FROM m) WHERE r <= 50"
+)
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id)"
 
 
@@ -129,6 +136,12 @@ e AS (SELECT a, b FROM p JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b WHERE
 d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b) SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a"""
 
 
+def _optioned(c: Corpus):
+    """Candidates under options: narrow, so that more are fetched, with versions and preview material."""
+    options = SearchOptions(channel="Preview", include_historical=True, api_version="1", tiers=(1, 2, 3, 4), stabilities=("stable", "beta"), path_prefix="/creator/")
+    return search.candidates(c.queries, *_ids(c), options).select("query_id", "chunk_id", F.round("score", 3).alias("score"), "exact", "channel", "stability", "api_version")
+
+
 def _fetched(c: Corpus):
     """Every fifth chunk, every document, and ids that name nothing."""
     chunk = c.chunks.filter("ordinal % 5 = 2").select(F.col("chunk_id").alias("id"))
@@ -212,6 +225,17 @@ def _plan(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(QUESTIONS)), "sid int, s string").select("sid", *[p[k].alias(k) for k in ("intent", "recommended_tool", "confidence", "search_query", "module", "fetch_id", "include_preview")], *[F.array_join(p[k], "|").alias(k) for k in ("identifiers", "keywords", "suggested_kinds")])
 
 
+#: Candidates by formula: no query of two invented words shows an intent, so that part of the score is left out here.
+_SCORED = f"""WITH {_bm('c_queries')}, rk AS (SELECT query_id, chunk_id, {_RANK} AS l FROM bm),
+lx AS (SELECT query_id, chunk_id, l FROM rk WHERE l <= 50 UNION ALL SELECT f.query_id, f.chunk_id, f.pos FROM ({_FALLBACK}) f JOIN c_queries q USING (query_id) WHERE len(list_distinct({_MEANT})) > 1 AND NOT EXISTS (SELECT 1 FROM rk WHERE rk.query_id = f.query_id)),
+nm AS (SELECT query_id, query, regexp_replace(query, '\\s', '', 'g') AS nq, list_distinct({_MEANT}) AS terms FROM c_queries),
+ex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS e FROM (SELECT query_id, chunk_id, min(place) AS place FROM (SELECT q.query_id, c.chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {EXACT_ORDER}) AS place FROM {JOINED} JOIN nm q ON q.nq = i.normalized) WHERE place <= 120 GROUP BY ALL)),
+bo AS (SELECT coalesce(ex.query_id, lx.query_id) AS query_id, coalesce(ex.chunk_id, lx.chunk_id) AS chunk_id, e, l FROM (SELECT * FROM ex WHERE e <= 30) ex FULL OUTER JOIN lx ON ex.query_id = lx.query_id AND ex.chunk_id = lx.chunk_id)
+SELECT query_id, chunk_id, round(CASE WHEN e IS NOT NULL THEN 1000 - 5 * (e - 1) + 2 + coalesce(50.0::DOUBLE / l, 0) ELSE 100.0::DOUBLE / l END + {META} + CASE WHEN lower(identifier) = nq THEN 20 ELSE 0 END
+ + 2.5 * len(list_filter(terms, lambda t: contains(lower(title), t))) + 0.75 * len(list_filter(terms, lambda t: contains(lower(d.path), t))), 3)::DOUBLE AS score, e IS NOT NULL AS exact
+FROM bo JOIN nm USING (query_id) JOIN (SELECT chunk_id, document_id, title, identifier FROM c_chunks) c USING (chunk_id) JOIN (SELECT document_id, source_id, path, channel, lifecycle, stability FROM c_documents) d USING (document_id) JOIN (SELECT source_id, tier FROM c_sources) s USING (source_id)
+WHERE NOT (d.channel = 'preview' OR stability IN ('beta', 'experimental', 'internal')) AND lifecycle NOT IN ('historical', 'removed') AND tier IN (1, 2, 3)"""
+
 PAIRS = {
     "postings": (_c(lambda c: lexical.postings(c.chunks).select("term", "chunk_id", "frequency")), duck(f"SELECT term, chunk_id, sum(w)::DOUBLE AS frequency FROM ({_P}) GROUP BY ALL")),
     "bm25": (_c(lambda c: lexical.bm25(c.asked, c.chunks).select("query_id", "chunk_id", F.round("score", 6).alias("score"))), duck(f"WITH {_BM} SELECT query_id, chunk_id, round(score, 6) AS score FROM bm")),
@@ -224,17 +248,10 @@ PAIRS = {
         _c(lambda c: lexical.phrase_match(c.asked, c.chunks)),
         duck(f"WITH {_BM} SELECT query_id, term AS phrase, chunk_id, f AS frequency FROM ph JOIN p USING (term)"),
     ),
-    "fallback_lexical": (
-        _c(lambda c: lexical.fallback(c.queries, c.chunks)),
-        duck(
-            f"WITH {_BM1}, r1 AS (SELECT query_id AS term, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS pos FROM bm), "
-            f"a AS (SELECT query_id, list_transform(range(1, least(len(u), 8) + 1), lambda i: {{'n': i, 't': u[i]}}) AS ts FROM (SELECT query_id, list_filter({_MEANT}, lambda x, i: list_position({_MEANT}, x) = i) AS u FROM c_queries)), "
-            "b AS (SELECT query_id, x.n AS n, x.t AS term FROM (SELECT query_id, unnest(ts) AS x FROM a)), "
-            "m AS (SELECT query_id, chunk_id, sum(1 / pos) AS points, min({'n': n, 'pos': pos, 'score': score}) AS first FROM b JOIN r1 USING (term) WHERE pos <= 15 GROUP BY ALL) SELECT query_id, chunk_id, round(points, 6) AS points, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(points, 9) DESC, round(first.score, 9), first.n, first.pos) AS r FROM m) WHERE r <= 50"
-        ),
-    ),
+    "fallback_lexical": (_c(lambda c: lexical.fallback(c.queries, c.chunks)), duck(_FALLBACK)),
     "search": (_c(lambda c: search.search(c.queries, *_ids(c))), None),
-    "score_candidates": (_c(lambda c: search.candidates(c.queries, *_ids(c)).select("query_id", "chunk_id", F.round("score", 3).alias("score"), "exact")), None),
+    "score_candidates": (_c(lambda c: search.candidates(c.queries, *_ids(c)).select("query_id", "chunk_id", F.round("score", 3).alias("score"), "exact")), duck(_SCORED)),
+    "search_options": (_c(_optioned), None),
     "meta_bonus": (_c(_scored), duck(f"SELECT document_id, ({META})::INT AS points FROM {DOCS}")),
     "intent_bonus": (_c(_intent_bonus), duck(INTENT_SQL)),
     "filter_all": (

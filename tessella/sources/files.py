@@ -79,13 +79,19 @@ REGISTRY = "sources array<struct<id: string, name: string, type: string, tier: i
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """One row per source of a registry file; repeated ids and bad values raise."""
     rows = spark.read.schema(REGISTRY).option("multiLine", "true").json(path).select(F.explode("sources").alias("s")).select("s.*")
-    bad = rows.filter(~F.coalesce(F.col("tier").between(1, 4) & F.col("channel").isin("stable", "preview") & Y.safe_branch(F.col("branch")), F.lit(False))).select("id").limit(5).collect()
-    twice = rows.groupBy("id").count().filter("count > 1").select("id").limit(5).collect()
-    if bad or twice:
-        raise ValueError(f"registry: bad {[r.id for r in bad]}, repeated {[r.id for r in twice]}")
+    wrong = bad_entries(rows).limit(10).collect()
+    if wrong:
+        raise ValueError("registry: " + ", ".join(f"{r.id} is {r.reason}" for r in wrong))
     return rows
 
 
+def bad_entries(rows: DataFrame) -> DataFrame:
+    """(id, reason) of registry rows with a value out of bounds, and of ids that stand more than once."""
+    good = F.col("tier").between(1, 4) & F.col("channel").isin("stable", "preview") & Y.safe_branch(F.col("branch"))
+    bad = rows.filter(~F.coalesce(good, F.lit(False))).select("id", F.lit("bad").alias("reason"))
+    return bad.unionByName(rows.groupBy("id").count().filter("count > 1").select("id", F.lit("repeated").alias("reason")))
+
+
 def select_registry(rows: DataFrame, include_preview: bool) -> DataFrame:
     return rows.filter(F.when(F.col("channel") == "preview", F.lit(include_preview)).otherwise(F.col("defaultEnabled")))
 
@@ -102,5 +108,14 @@ def render_package(packages: DataFrame) -> DataFrame:
 
 
 def snapshot_revision(tags: DataFrame) -> DataFrame:
-    """One row: the hash of all (name, tag, version) rows in order."""
-    return tags.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "tag", "version")))), 256).alias("revision"))
+    """One row: the hash of all (name, tag, version) rows in order, by way of one hash for each name."""
+    own = tags.groupBy("name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("tag", "version")))), 256).alias("h"))
+    wide = own.groupBy(F.substring(F.sha2("name", 256), 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["name"], F.lit(" "), x["h"])), "\n"), 256).alias("h"))
+    return wide.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: F.concat(x["bucket"], F.lit(" "), x["h"])), "\n"), 256).alias("revision"))
+
+
+def synced(packages: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, status) of package documents (name, document) against those of the last snapshot: created, updated, unchanged."""
+    have = known.select("name", F.sha2("document", 256).alias("was"))
+    now = packages.select("name", F.sha2("document", 256).alias("is")).join(have, "name", "left")
+    return now.select("name", F.when(F.col("was").isNull(), "created").when(F.col("was") == F.col("is"), "unchanged").otherwise("updated").alias("status"))
