@@ -36,9 +36,9 @@ def ingest(files: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
         Y.category_for_source(F.col("label.category"), F.col("source_id"), F.col("channel")).alias("category"), F.col("label.language").alias("language"), F.col("label.lifecycle").alias("document_lifecycle"),
         "channel", "api_version", "product_version", X.sha256_text(F.coalesce("content", F.lit(""))).alias("document_hash"), "content",
     )
-    # a path may stand in several sources: the id goes through the parser in its place
-    parsed = parsers.parse_files(about.select(F.concat_ws("\0", "document_id", "path").alias("path"), "content"))
-    parsed = parsed.withColumn("document_id", F.split_part("path", F.lit("\0"), F.lit(1))).withColumn("path", F.split_part("path", F.lit("\0"), F.lit(2)))
+    # a path may stand in several sources: the id goes through the parser as a folder around it
+    parsed = parsers.parse_files(about.select(F.concat_ws("/", "document_id", "path").alias("path"), "content"))
+    parsed = parsed.withColumn("document_id", F.substring_index("path", "/", 1)).withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
     chunks = parsers.good(parsed)
     heads = chunks.groupBy("document_id").agg(
         F.min_by("title", "ordinal").alias("first_title"), F.min_by("attributes", "ordinal").alias("attributes"), F.bool_and(F.col("stability") == "experimental").alias("experimental"), F.count("*").alias("n"),
