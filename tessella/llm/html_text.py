@@ -1,7 +1,10 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes its sequence of blocks: the text between two tags that are not
-inline, scripts, styles and other unseen elements left out.  Each block has a
+inline; scripts, styles, form fields and what browsers never show (head, template, iframe)
+are left out, fallbacks, formulas and drawings stay.  Reading a page takes time and memory
+in proportion to its length, however its tags are nested or broken: a block points to
+its innermost element, elements to their parents, with the sum of their path's signs.  Each block has a
 vector: hashed signs of its tag path (tags, class and id words), hashed signs of
 its words, and a few rates.  A bidirectional LSTM in numpy reads the whole
 sequence, so that every block is judged in the context of the document, and
@@ -34,80 +37,145 @@ from .words import U64, Words
 
 PATH, WORD, RATES, HIDDEN, PAGES = 64, 24, 8, 24, 900
 INPUT = PATH + WORD + RATES
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del noscript object "
+    "svg g text tspan path rect circle line use math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist textarea title".split())
+UNSEEN = frozenset("head script style template iframe select datalist textarea title annotation".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "option": ("option", ("select",))}
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>", re.S)
+_MARKUP = r"<!--.*?(?:-->|$)|{cdata}<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>"
+_TAG = re.compile(_MARKUP.format(cdata=r"<!\[CDATA\[(?P<cdata>.*?)\]\]>|"), re.S)
+#: Where no section ends any more, so that none is looked for.
+_PLAIN_TAG = re.compile(_MARKUP.format(cdata=""), re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path, share of text in links) of each block in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    held = {"unseen": 0, "links": 0, "linked": 0}
+class Element:
+    """An open element: the last two marks of its path, how many there are, and the sum of their signs."""
+
+    __slots__ = ("marks", "size", "tail", "_sum", "parent")
+
+    def __init__(self, parent: Element | None, marks: list[str]):
+        self.parent, self.marks, self._sum = parent, marks, None
+        self.size = len(marks) + (parent.size if parent else 0)
+        self.tail = (*(parent.tail if parent else ()), *marks)[-2:]
+
+    def sum(self) -> np.ndarray:
+        """Signs of all marks from the root on; each element's own are added to its parent's once."""
+        above: list[Element] = []
+        node: Element | None = self
+        while node is not None and node._sum is None:
+            above.append(node)
+            node = node.parent
+        for e in reversed(above):
+            e._sum = e.parent._sum.copy() if e.parent else np.zeros(PATH)
+            for mark in e.marks:
+                j, sign = _place(mark, 0)
+                e._sum[j] += sign
+        return self._sum
+
+
+class Stack:
+    """Open elements, and for each name the places where it is open: the nearest one is found without a search."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.elements: list[Element] = []
+        self.open: dict[str, list[int]] = {}
+        #: places of elements that are not inline
+        self.outer: list[int] = []
+        self.unseen = self.links = 0
+
+    def push(self, name: str, marks: list[str]) -> None:
+        self.open.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.outer.append(len(self.names))
+        self.names.append(name)
+        self.elements.append(Element(self.elements[-1] if self.elements else None, marks))
+        self.unseen += name in UNSEEN
+        self.links += name == "a"
+
+    def nearest(self, names: tuple[str, ...]) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
+    def pop(self, to: int) -> None:
+        while len(self.names) > to:
+            name = self.names.pop()
+            self.elements.pop()
+            self.open[name].pop()
+            if name not in INLINE:
+                self.outer.pop()
+            self.unseen -= name in UNSEEN
+            self.links -= name == "a"
+
+    def end(self, name: str) -> None:
+        """An end tag: an inline one closes nothing beyond the element around it, any other what is open of its name."""
+        at = self.nearest((name,))
+        if at >= 0 and (name not in INLINE or not self.outer or at > self.outer[-1]):
+            self.pop(at)
+
+    def imply(self, name: str) -> None:
+        """What a start tag ends by itself: an open paragraph, or its sibling in the same list, row or table."""
+        if name in _CLOSES:
+            target, stop = _CLOSES[name]
+            targets = (target, name)
+        elif name in ENDS_P:
+            targets, stop = ("p",), ("button", "td", "th", "table")
+        else:
+            return
+        at = self.nearest(targets)
+        if at > self.nearest(stop) or at >= 0 and self.names[at] in stop:
+            self.pop(at)
+
+
+def blocks(page: str) -> list[tuple[str, Element | None, float]]:
+    """(text, innermost element, share of text in links) of each block in page order."""
+    out: list[tuple[str, Element | None, float]] = []
+    stack, parts, linked = Stack(), [], 0
+    last, last_section = page.rfind(">"), page.rfind("]]>")
 
-    def add(raw: str) -> None:
-        if raw and not held["unseen"]:
-            text = htmllib.unescape(raw)
-            parts.append(text)
-            if held["links"]:
-                held["linked"] += len(text)
+    def add(raw: str) -> int:
+        if not raw or stack.unseen:
+            return 0
+        parts.append(htmllib.unescape(raw))
+        return len(parts[-1]) if stack.links else 0
 
     def close() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                out.append((text, tuple(x for _, names in stack for x in names), min(1.0, held["linked"] / len(text))))
-            parts.clear()
-        held["linked"] = 0
-
-    def pop(to: int) -> None:
-        for tag, _ in stack[to:]:
-            held["unseen"] -= tag in UNSEEN
-            held["links"] -= tag == "a"
-        del stack[to:]
+        text = " ".join("".join(parts).split())
+        if text:
+            out.append((text, stack.elements[-1] if stack.elements else None, min(1.0, linked / len(text))))
+        parts.clear()
 
     at, end = 0, len(page)
     while at < end:
-        m = _TAG.search(page, at)
+        # behind the last bracket no tag ends; a comment may run to the end of the page
+        m = (_TAG if at <= last_section else _PLAIN_TAG).search(page, at) if at <= last else None
         if not m:
-            add(page[at:])
+            comment = page.find("<!--", at)
+            linked += add(page[at : comment if comment >= 0 else end])
             break
-        add(page[at : m.start()])
+        linked += add(page[at : m.start()])
         at = m.end()
-        if m["cdata"]:
-            add(m["cdata"])
+        found = m.groupdict()
+        linked += add(found.get("cdata") or "")
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
-        inline = name in INLINE
         if name == "br":
             parts.append(" ")
             continue
+        inline = name in INLINE
         if not inline:
             close()
+            linked = 0
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            stack.end(name)
             continue
-        if name in ENDS_P or name in _CLOSES:
-            target, stop = ("p", ("button", "td", "th", "table")) if name in ENDS_P else _CLOSES[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in (target, name if name in _CLOSES else target):
-                    pop(k)
-                    break
-                if stack[k][0] in stop:
-                    break
+        stack.imply(name)
         if name in VOID or (m["rest"] or "").endswith("/") and inline:
             continue
         if name in RAW:
@@ -118,9 +186,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if m["rest"]:
             for kind, *value in _NAMES.findall(m["rest"]):
                 marks += [f"{kind[0].lower()}:{x}" for x in _PART.findall("".join(value).lower())]
-        stack.append((name, tuple(marks)))
-        held["unseen"] += name in UNSEEN
-        held["links"] += name == "a"
+        stack.push(name, marks)
     close()
     return out
 
@@ -131,7 +197,7 @@ def _place(mark: str, deep: int) -> tuple[int, float]:
     return h % PATH, 1.0 if h >> 16 & 1 else -1.0
 
 
-def vectors(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def vectors(page: list[tuple[str, Element | None, float]]) -> np.ndarray:
     """One input vector per block of a page."""
     n = len(page)
     out = np.zeros((n, INPUT))
@@ -144,12 +210,11 @@ def vectors(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
     out[:, PATH : PATH + WORD] /= np.sqrt(np.maximum(words.count, 1))[:, None]
     # one word repeated is no more than a few
     out[:, PATH : PATH + WORD] = np.clip(out[:, PATH : PATH + WORD], -2, 2) / 2
-    for i, (text, path, linked) in enumerate(page):
-        for k, mark in enumerate(path):
-            j, s = _place(mark, 0)
-            out[i, j] += s
-            if k >= len(path) - 2:
-                j, s = _place(mark, len(path) - k)
+    for i, (text, element, linked) in enumerate(page):
+        if element:
+            out[i, :PATH] += element.sum()
+            for k, mark in enumerate(reversed(element.tail), 1):
+                j, s = _place(mark, k)
                 out[i, j] += s
         size = len(text)
         out[i, PATH + WORD :] = (np.log1p(size) / 6, linked, text[-1] in ".!?:", np.log1p(words.count[i]) / 4, i / n, sum(map(text.count, ".,;")) / size * 10, "©" in text or "·" in text, 1.0)
@@ -170,8 +235,8 @@ class Labeller:
         self.p["o"] = rng.normal(0, (2 * HIDDEN) ** -0.5, 2 * HIDDEN)
         self.p["oc"] = np.zeros(1)
 
-    def run(self, d: str, x: np.ndarray, mask: np.ndarray):
-        """Hidden states [T, B, H] of one direction, with what the gradient needs."""
+    def run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool = True):
+        """Hidden states [T, B, H] of one direction, with what the gradient needs if that is to be kept."""
         steps, size, _ = x.shape
         pre = x @ self.p[f"{d}x"] + self.p[f"{d}c"]
         h, c = np.zeros((size, HIDDEN)), np.zeros((size, HIDDEN))
@@ -183,13 +248,14 @@ class Labeller:
             new = f * c + i * g
             top = np.tanh(new)
             on = mask[t][:, None]
-            kept[t] = (h, c, i, f, o, g, top, on)
+            if keep:
+                kept[t] = (h, c, i, f, o, g, top, on)
             h, c = np.where(on, o * top, h), np.where(on, new, c)
             out[t] = h
         return out, kept
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.run("f", x, mask)[0], self.run("b", x, mask)[0]], axis=2) @ self.p["o"] + self.p["oc"]
+        return np.concatenate([self.run(d, x, mask, keep=False)[0] for d in "fb"], axis=2) @ self.p["o"] + self.p["oc"]
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         steps = len(x)
@@ -215,16 +281,16 @@ class Labeller:
             grad[f"{d}c"] = d_z.sum(axis=(0, 1))
         return grad
 
-    def label(self, pages: list[np.ndarray], most: int = 64) -> list[np.ndarray]:
-        """Whether each block of each page is main text."""
-        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
+    def label(self, pages: list[np.ndarray], most: int = 64, steps: int = 1 << 15) -> list[np.ndarray]:
+        """Whether each block of each page is main text; pages of alike length go together, ``most`` or so many that they have ``steps`` in all."""
+        order = [k for k in sorted(range(len(pages)), key=lambda k: -len(pages[k])) if len(pages[k])]
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
-        for a in range(0, len(order), most):
-            own = [k for k in order[a : a + most] if len(pages[k])]
-            if own:
-                got = self.logits(*padded([pages[k] for k in own])[:2]) > 0
-                for b, k in enumerate(own):
-                    out[k] = got[: len(pages[k]), b]
+        while order:
+            n = max(1, min(most, steps // len(pages[order[0]])))
+            own, order = order[:n], order[n:]
+            got = self.logits(*padded([pages[k] for k in own])[:2]) > 0
+            for b, k in enumerate(own):
+                out[k] = got[: len(pages[k]), b]
         return out
 
 

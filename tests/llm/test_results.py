@@ -122,7 +122,26 @@ def test_html_pages(spark):
 
 def test_html_blocks():
     page = '<head><title>no</title></head><script>"</p>"</script><div>a<b>b</b> c<p>d<p>e &lt;f</div><ul><li>x<li><a href="#">y</a></ul><!-- z --><textarea>t</textarea>'
-    assert [(t, p[-1] if p else "") for t, p, _ in html_text.blocks(page)] == [("ab c", "div"), ("d", "p"), ("e <f", "p"), ("x", "li"), ("y", "a")] or [t for t, _, _ in html_text.blocks(page)] == ["ab c", "d", "e <f", "x", "y"]
+    assert [(t, e.tail[-1]) for t, e, _ in html_text.blocks(page)] == [("ab c", "div"), ("d", "p"), ("e <f", "p"), ("x", "li"), ("y", "a")] or [t for t, _, _ in html_text.blocks(page)] == ["ab c", "d", "e <f", "x", "y"]
+    kept = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript>no script</noscript><object><p>old</p></object><p>a<svg><text>label</text></svg></p><select><option>o</select><template>t</template></article>"
+    assert [t for t, _, _ in html_text.blocks(kept)] == ["Let x=1 be", "no script", "old", "alabel"]
+    broken = "<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><table><tr><td>f<p>g<td>h</table></p></div>i<b>j<p>k</b>l<![CDATA[ <m> ]]>n<!-- o"
+    assert [t for t, _, _ in html_text.blocks(broken)] == ["a", "b", "c", "d", "e", "f", "g", "h", "ij", "kl <m> n"]
+
+
+@pytest.mark.parametrize("part", ["<div><p>ab</p>", '<a "', "<a '", "<p><table><div>x", "</div><i>", "<![CDATA[x", "<!-- x", "<script>y", "<b><p></b>z", "<", "<a>t", "<li><ul>", "&amp", "<td><p>", '<div class="c'])
+def test_html_takes_time_in_proportion(part):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        best = math.inf
+        for _ in range(2):
+            began = time.process_time()
+            html_text.vectors(html_text.blocks(part * n + "<p>end"))
+            best = min(best, time.process_time() - began)
+        took.append(best)
+    assert took[1] < 9 * took[0] + 0.3 and took[1] < 25
 
 
 def test_lstm_gradient():
