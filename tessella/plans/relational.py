@@ -50,7 +50,7 @@ STATEMENTS: dict[str, str] = {
     "agg_duplicate_percent": "SELECT c.source_id, round(CAST(100 AS DOUBLE) * sum(CASE WHEN h.n > 1 THEN 1 ELSE 0 END) / count(*), 2) AS duplicate_percent FROM c_chunks c JOIN (SELECT content_hash, count(DISTINCT source_id) AS n FROM c_chunks GROUP BY content_hash) h ON h.content_hash = c.content_hash GROUP BY c.source_id",
     "agg_health": "SELECT s.source_id, coalesce(x.documents, 0) > 0 AND coalesce(x.chunks, 0) > 0 AS healthy FROM c_sources s LEFT JOIN (SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM c_chunks WHERE ordinal > 8 GROUP BY source_id) x ON x.source_id = s.source_id",
     "agg_category_summary": "SELECT d.category, count(*) AS documents, sum(coalesce(c.n, 0)) AS chunks FROM c_documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM c_chunks GROUP BY document_id) c ON c.document_id = d.document_id GROUP BY d.category",
-    "agg_source_stats": "SELECT c.source_id, count(DISTINCT c.document_id) AS documents, count(DISTINCT c.chunk_id) AS chunks, count(DISTINCT i.normalized) AS identifiers FROM c_chunks c LEFT JOIN c_identifiers i ON i.chunk_id = c.chunk_id GROUP BY c.source_id",
+    "agg_source_stats": "SELECT c.source_id, c.documents, c.chunks, coalesce(i.identifiers, 0) AS identifiers FROM (SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM c_chunks GROUP BY source_id) c LEFT JOIN (SELECT source_id, count(*) AS identifiers FROM (SELECT DISTINCT x.source_id, y.normalized FROM c_identifiers y JOIN c_chunks x ON x.chunk_id = y.chunk_id) z GROUP BY source_id) i ON i.source_id = c.source_id",
     "agg_status": "SELECT s.source_id, s.tier, coalesce(d.n, 0) AS documents, coalesce(c.n, 0) AS chunks, coalesce(i.n, 0) AS identifiers FROM c_sources s LEFT JOIN (SELECT source_id, count(*) AS n FROM c_documents GROUP BY source_id) d ON d.source_id = s.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM c_chunks GROUP BY source_id) c ON c.source_id = s.source_id LEFT JOIN (SELECT x.source_id, count(*) AS n FROM c_identifiers y JOIN c_chunks x ON x.chunk_id = y.chunk_id GROUP BY x.source_id) i ON i.source_id = s.source_id",
     "agg_table_counts": "SELECT 'sources' AS name, count(*) AS n FROM c_sources UNION ALL SELECT 'documents', count(*) FROM c_documents UNION ALL SELECT 'chunks', count(*) FROM c_chunks UNION ALL SELECT 'identifiers', count(*) FROM c_identifiers",
     "agg_chunks_per_doc": "SELECT document_id, count(*) AS chunks FROM c_chunks GROUP BY document_id",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,43 +15,52 @@ WINDOW_MS = 60_000
 OUT = "user_id long, event_id long, ms long, accepted boolean, retry_after long"
 
 
-def step(state: tuple[int, int], ms: int, limit: int) -> tuple[tuple[int, int], bool, int]:
-    """(window start, count) after a request at ``ms``, whether it passes, and the seconds to wait if not."""
-    start, count = state
-    if start < 0 or ms - start >= WINDOW_MS:
-        start, count = ms, 0
-    count += 1
-    return (start, count), count <= limit, 0 if count <= limit else max(1, math.ceil((WINDOW_MS - (ms - start)) / 1000))
+def decided(ms: np.ndarray, state: tuple[int, int], limit: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """(accepted, seconds to wait, state) of a client's requests in order, one step for each window; state is a window's begin and its requests so far."""
+    begin, n = state
+    start, nth = np.empty(len(ms), dtype=np.int64), np.empty(len(ms), dtype=np.int64)
+    at = 0
+    while at < len(ms):
+        if begin < 0 or ms[at] - begin >= WINDOW_MS:
+            begin, n = int(ms[at]), 0
+        end = int(np.searchsorted(ms, begin + WINDOW_MS, side="left"))
+        start[at:end], nth[at:end] = begin, n + 1 + np.arange(end - at)
+        n, at = n + end - at, end
+    accepted = nth <= limit
+    return accepted, np.where(accepted, 0, np.maximum(1, -((ms - start - WINDOW_MS) // 1000))), (begin, n)
 
 
 def fold(rows: pd.DataFrame, state: tuple[int, int], limit: int) -> tuple[pd.DataFrame, tuple[int, int]]:
-    made = []
-    for user, event, ms in rows.sort_values(["ms", "event_id"])[["user_id", "event_id", "ms"]].itertuples(index=False):
-        state, ok, wait = step(state, int(ms), limit)
-        made.append((user, event, ms, ok, wait))
-    return pd.DataFrame(made, columns=["user_id", "event_id", "ms", "accepted", "retry_after"]), state
+    out = rows.sort_values(["ms", "event_id"])[["user_id", "event_id", "ms"]].reset_index(drop=True)
+    ok, wait, state = decided(out["ms"].to_numpy(dtype=np.int64), state, limit)
+    return out.assign(accepted=ok, retry_after=wait), state
 
 
 def rate_limited(events: DataFrame, limit: int = 120) -> DataFrame:
     """Batch: every event (event_id, user_id, ts) with the decision.
 
     A client's windows depend on each other, so its requests are read in order by
-    one task, in Arrow batches; only the window's start and count are kept.
+    one task, in Arrow batches; only the window's begin and count are kept.
     """
     rows = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id")
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, state = None, (-1, 0)
-        for part in parts:
-            made = []
-            for u, event, ms in part.itertuples(index=False):
-                if u != user:
-                    user, state = u, (-1, 0)
-                state, ok, wait = step(state, int(ms), limit)
-                made.append((u, event, ms, ok, wait))
-            yield pd.DataFrame(made, columns=["user_id", "event_id", "ms", "accepted", "retry_after"])
-
-    return rows.mapInPandas(of, OUT)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            who, ms = batch.column("user_id").to_numpy(zero_copy_only=False), batch.column("ms").to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            oks, waits = [], []
+            for a, b in zip(first.tolist(), np.append(first[1:], len(who)).tolist(), strict=True):
+                if who[a] != user:
+                    user, state = who[a], (-1, 0)
+                ok, wait, state = decided(ms[a:b], state, limit)
+                oks.append(ok)
+                waits.append(wait)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(oks)), pa.array(np.concatenate(waits))], names=["user_id", "event_id", "ms", "accepted", "retry_after"])
+
+    return rows.filter("user_id is not null and ms is not null").mapInArrow(of, OUT)
 
 
 def rate_limited_stream(events: DataFrame, limit: int = 120) -> DataFrame:

@@ -276,3 +276,26 @@ def test_fetch_errors_and_bounds():
     for wrong in (("other", 1, 1, 1000), ("adjacent", 4, 1, 1000), ("adjacent", 1, -1, 1000), ("section", 1, 1, 999), ("section", 1, 1, 24_001)):
         with pytest.raises(ValueError):
             fetch.check(*wrong)
+
+
+def test_rate_limited_stream(spark, tmp_path):
+    """A real stream over two files: state carries over from one micro-batch to the next."""
+    import time
+
+    rows = [(i, i % 3, 1_700_000_000 + 7 * i) for i in range(60)]
+    frame = lambda part: spark.createDataFrame(part, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    frame(rows[:25]).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    got: dict[int, tuple] = {}
+    stream = spark.readStream.schema(frame(rows[:1]).schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    keep = lambda df, i: got.update({r.event_id: (r.accepted, r.retry_after) for r in df.collect()})
+    query = rate.rate_limited_stream(stream, 2).writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="200 milliseconds").start()
+    try:
+        for n, part in ((25, None), (60, rows[25:])):
+            if part:
+                frame(part).coalesce(1).write.parquet(f"{tmp_path}/in/b")
+            until = time.time() + 90
+            while len(got) < n and time.time() < until and query.isActive:
+                time.sleep(0.2)
+    finally:
+        query.stop()
+    assert got == {r.event_id: (r.accepted, r.retry_after) for r in rate.rate_limited(frame(rows), 2).collect()}
