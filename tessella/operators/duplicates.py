@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules as Y
 
-from .graph import components, kept
+from .graph import components
+from .keep import kept
 
 #: Two texts may be near duplicates only if these agree, where both have one.
 GUARDS = ("channel", "api_version", "product_version", "identifier")
@@ -31,23 +32,22 @@ def near_duplicates(texts: DataFrame, column: str = "text") -> DataFrame:
     is linked makes components, and of lists that still hold several components the pairs
     across them are compared.  Texts without a word are alike to nothing.
     """
-    spark = texts.sparkSession
     guards = [(F.lower(F.col(g)) if g == "identifier" else F.col(g)).alias(g) if g in texts.columns else F.lit(None).cast("string").alias(g) for g in GUARDS]
     words = Y.evidence_words(F.coalesce(F.col(column), F.lit("")))
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), *guards, words.alias("words")).filter(F.size("words") > 0)
     text = F.sha2(F.array_join("words", " "), 256)
     rows = rows.withColumn("text", text)
-    nodes = kept(spark, rows.groupBy("text", *GUARDS).agg(F.min("doc_id").alias("node"), F.first("words").alias("words")))
+    nodes = kept(rows.groupBy("text", *GUARDS).agg(F.min("doc_id").alias("node"), F.first("words").alias("words")))
     one = nodes.select("text", F.struct("node", *GUARDS).alias("a"))
     same = one.join(nodes.select("text", F.struct("node", *GUARDS).alias("b")), "text").filter("a.node < b.node").filter(comparable("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
     shingles = F.array_distinct(F.transform(Y.evidence_shingles(F.col("words")), lambda s: F.xxhash64(s)))
-    sets = kept(spark, nodes.filter(F.size("words") >= WORDS).select("node", *GUARDS, F.size("words").alias("n"), shingles.alias("s")))
+    sets = kept(nodes.filter(F.size("words") >= WORDS).select("node", *GUARDS, F.size("words").alias("n"), shingles.alias("s")))
     values = sets.select("node", F.size("s").alias("m"), F.explode("s").alias("v"))
     seen = values.groupBy("v").agg(F.count("*").alias("df"))
     own = Window.partitionBy("node").orderBy("df", "v")
     lists = values.join(seen, "v").withColumn("r", F.row_number().over(own)).filter((F.col("r") <= F.floor(F.col("m") * (100 - PERCENT) / 100) + 1) & (F.col("df") > 1))
-    lists = kept(spark, lists.select("v", "node", "m"))
+    lists = kept(lists.select("v", "node", "m"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("node").alias("a"), F.struct(*GUARDS, "n", "s").alias("x")), sets.select(F.col("node").alias("b"), F.struct(*GUARDS, "n", "s").alias("y"))
@@ -57,13 +57,13 @@ def near_duplicates(texts: DataFrame, column: str = "text") -> DataFrame:
 
     pivot = lists.groupBy("v").agg(F.min("node").alias("a"), F.count("*").alias("members")).filter("members > 1")
     stars = lists.join(pivot, "v").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = kept(spark, same.unionByName(verified(stars)))
+    links = kept(same.unionByName(verified(stars)))
     label = components(links)
     placed = lists.join(label.withColumnRenamed("id", "node"), "node", "left").select("v", "node", "m", F.coalesce("component", "node").alias("c"))
     left = placed.select("v", F.struct("node", "m", "c").alias("x"))
     across = left.join(left.withColumnRenamed("x", "y"), "v").filter("x.node < y.node AND x.c <> y.c").filter(100 * F.least("x.m", "y.m") >= PERCENT * F.greatest("x.m", "y.m"))
     more = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = kept(spark, links.unionByName(verified(more)))
+    links = kept(links.unionByName(verified(more)))
     label = components(links)
     of_node = nodes.select("text", *GUARDS, "node").join(label.withColumnRenamed("id", "node"), "node", "left")
     match = F.col("r.text") == F.col("n.text")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 
+from .keep import kept
+
 MAX_CHAIN, MAX_ALIASES = 4, 200_000
 
 
@@ -147,28 +149,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Every vertex takes the smallest label around it, then its label's label, until none
     changes; the number of rounds grows with the logarithm of a component's width.
     """
-    spark = edges.sparkSession
-    both = kept(spark, edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(spark, both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = labels.join(around, "id").select("id", "component", F.least("component", "near").alias("low"))
         # a label that has a smaller label of its own hands that on
         roots = low.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("least"))
         up = low.join(roots.withColumnRenamed("root", "component"), "component").join(roots.select(F.col("root").alias("low"), F.col("least").alias("next")), "low", "left")
-        new = kept(spark, up.select("id", F.col("component").alias("old"), F.least("low", "least", F.coalesce("next", "low")).alias("component")))
+        new = kept(up.select("id", F.col("component").alias("old"), F.least("low", "least", F.coalesce("next", "low")).alias("component")))
         changed = new.filter("old <> component").limit(1).count()
         labels = new.select("id", "component")
         if not changed:
             break
     return labels
-
-
-def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared folder of spark.checkpoint.dir; in local mode without one, persisted."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not where:
-            return df.persist()
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()

@@ -7,9 +7,10 @@ the words of all fields, inverse document frequency has a floor of 1e-6 and the
 negative of the sum is the rank (smaller is better).  All phrases of a query must match;
 one without a word matches nothing.
 
-Every text is tokenised once: the words of a chunk are compared with the asked
-phrases before anything is exploded, and one row of each chunk carries its length,
-from which the number of chunks and their mean length are summed.
+Every text is tokenised once: of its words only those that stand in an asked phrase go
+on to the shuffle (Spark sends a small set of phrases to the scans by itself, a large one
+meets them by a join), and one row of each chunk carries its length, from which the
+number of chunks and their mean length are summed.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 
+from .keep import kept
+
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 # The fields of the text index and their weights.
 WEIGHTS = {"identifier": 12.0, "title": 6.0, "heading": 4.0, "aliases": 10.0, "content": 1.0, "path": 2.0}
-#: As many different phrases are compared as a set inside the scan; more are joined.
-PHRASES = 20_000
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -49,30 +50,23 @@ def fields(chunks: DataFrame) -> DataFrame:
 
 
 def _runs(words: Column, size: int) -> Column:
-    """Every ``size`` words in a row, joined by a space."""
-    if size == 1:
-        return words
-    n = F.size(words) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
+    """Every ``size`` words in a row, joined by a space: the words side by side with those that follow, a shift at a time."""
+    out = words
+    for k in range(1, size):
+        left = F.greatest(F.size(words) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), left), F.slice(words, F.lit(k + 1), left), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(term, chunk_id, length, frequency); for the phrases of ``wanted`` (phrase, size) only if given, and then with one row of term '' for each chunk."""
-    sizes, asked = [1], None
-    if wanted is not None:
-        found = wanted.filter("size > 0").select("phrase", "size").distinct().limit(PHRASES + 1).collect()
-        sizes = sorted({r["size"] for r in found}) or [1]
-        if len(found) <= PHRASES:
-            asked = [r["phrase"] for r in found]
-        else:
-            sizes = sorted(r["size"] for r in wanted.filter("size > 0").select("size").distinct().collect())
+    # as many numbers as phrases have lengths: one or two
+    sizes = [1] if wanted is None else sorted(r["size"] for r in wanted.filter("size > 0").select("size").distinct().collect()) or [1]
     words = fields(spread(chunks))
     length = sum((F.size(c) for c in list(WEIGHTS)[1:]), F.size(list(WEIGHTS)[0]))
 
     def weighted(c: str, weight: float) -> Column:
         every = _runs(F.col(c), sizes[0]) if len(sizes) == 1 else F.concat(*[_runs(F.col(c), s) for s in sizes])
-        if asked is not None:
-            every = F.filter(every, lambda t: t.isin(asked) if asked else F.lit(False))
         return F.transform(every, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
 
     every = F.flatten(F.array(*[weighted(c, w) for c, w in WEIGHTS.items()]))
@@ -81,15 +75,16 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     # below the generator, so that a text is tokenised once and not once for each of its words
     counted = words.select("chunk_id", length.alias("length"), every.alias("all"))
     rows = counted.select("chunk_id", "length", F.explode("all").alias("p")).select("chunk_id", "length", "p.term", "p.w")
-    if wanted is not None and asked is None:
-        rows = rows.join(wanted.select(F.col("phrase").alias("term")).distinct().unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term"))), "term", "left_semi")
+    if wanted is not None:
+        lengths = wanted.sparkSession.range(1).select(F.lit("").alias("term"))
+        rows = rows.join(wanted.filter("size > 0").select(F.col("phrase").alias("term")).distinct().unionByName(lengths), "term", "left_semi")
     return rows.groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("frequency"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of the chunks that hold all phrases of a query."""
     asked = phrases(queries)
-    found = postings(chunks, asked)
+    found = kept(postings(chunks, asked))  # read three times
     corpus = found.filter("term = ''").agg(F.count("*").alias("n_all"), F.avg("length").alias("average"))  # one row
     held = found.filter("term <> ''")
     seen = held.groupBy("term").agg(F.count("*").alias("n"))

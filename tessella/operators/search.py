@@ -18,6 +18,7 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 
 from . import lexical
+from .keep import kept
 from .options import SearchOptions, query_error
 
 MERGE_CHARS, NEIGHBOUR_SCORE, RESULT_CHARS, MERGED_CHARS = 3200, 12, 1600, 2400
@@ -55,7 +56,7 @@ def candidates(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, do
     queries = queries.filter(query_error(F.col("query")).isNull()).withColumn("query", X.js_trim(F.col("query")))
     exact = exact_hits(queries, identifiers, chunks, documents, sources, 50 if options.narrow else 30).withColumnRenamed("pos", "e")
     wide = 2 if options.narrow else 1
-    hits = lexical.ranked(lexical.bm25(queries, chunks), 50 * wide)
+    hits = kept(lexical.ranked(lexical.bm25(queries, chunks), 50 * wide))
     none = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").filter(F.size(X.meaningful_terms(F.col("query"))) > 1)
     hits = hits.select("query_id", "chunk_id", "pos").unionByName(lexical.fallback(none, chunks, 15 * wide, 50 * wide).select("query_id", "chunk_id", "pos")).withColumnRenamed("pos", "l")
     both = exact.join(hits, ["query_id", "chunk_id"], "full_outer")

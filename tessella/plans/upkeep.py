@@ -42,12 +42,12 @@ def _update(c: Corpus):
 
 
 def _api_names(c: Corpus) -> dict:
-    """Members of a small API, one chunk each, to derive aliases over: owners T0, T1, ..., each with properties that lead to the next two."""
+    """Members of a small API, one chunk each, to derive aliases over: owners T0, T1, ..., a property of each leads to the next by its signature, one to the last but one by a mention, one nowhere."""
     n = c.table("part").select(F.col("p_partkey").alias("k"))
     chunk = F.concat(F.lit("k"), F.col("k").cast("string"))
     owner = F.concat(F.lit("T"), F.floor(F.col("k") / 4).cast("string"))
     member = F.concat(owner, F.lit(".m"), (F.col("k") % 4).cast("string"))
-    leads = F.concat(F.lit("T"), (F.floor(F.col("k") / 4) + F.col("k") % 4).cast("string"))
+    leads = F.when(F.col("k") % 4 == 0, F.concat(F.lit("T"), (F.floor(F.col("k") / 4) + 1).cast("string"))).when(F.col("k") % 4 == 1, F.concat(F.lit("T"), (F.floor(F.col("k") / 4) - 2).cast("string"))).otherwise("Nowhere")
     names = n.select(chunk.alias("chunk_id"), member.alias("identifier"), F.lower(member).alias("normalized"), F.when(F.col("k") % 4 < 3, "property").otherwise("method").alias("identifier_kind"), F.lit(1).alias("is_primary"), F.lit("exact").alias("alias_type"))
     text = F.when(F.col("k") % 2 == 0, F.concat(F.lit("m"), (F.col("k") % 4).cast("string"), F.lit(": "), leads)).otherwise("text")
     mentions = n.filter("k % 2 = 1").select(chunk.alias("chunk_id"), leads.alias("identifier"), F.lower(leads).alias("normalized"), F.lit("unknown").alias("identifier_kind"), F.lit(0).alias("is_primary"), F.lit("exact").alias("alias_type"))
@@ -57,7 +57,7 @@ def _api_names(c: Corpus) -> dict:
 
 def _derived(c: Corpus):
     t = _api_names(c)
-    return graph.derive_aliases(t["identifiers"], t["edges"], t["chunks"], t["documents"])
+    return graph.derive_aliases(t["identifiers"], t["edges"], t["chunks"], t["documents"], most=10_000_000)
 
 
 def _replaced(c: Corpus) -> dict:
@@ -81,8 +81,8 @@ def _empty(c: Corpus):
     return c.spark.createDataFrame(rows, "documents string, outcome string")
 
 
-_API = """n AS (SELECT p_partkey AS k, p_partkey // 4 AS o, p_partkey % 4 AS m, p_partkey // 4 + p_partkey % 4 AS t FROM part), ow AS (SELECT DISTINCT o FROM n),
-pt AS (SELECT k, 'T' || o || '.m' || m AS property, t FROM n WHERE m < 3 AND t IN (SELECT o FROM ow) AND (m % 2 = 0 OR t <> o)),
+_API = """n AS (SELECT p_partkey AS k, p_partkey // 4 AS o, p_partkey % 4 AS m, p_partkey // 4 + CASE p_partkey % 4 WHEN 0 THEN 1 ELSE -2 END AS t FROM part), ow AS (SELECT DISTINCT o FROM n),
+pt AS (SELECT k, 'T' || o || '.m' || m AS property, t FROM n WHERE m < 2 AND t IN (SELECT o FROM ow)),
 l AS (SELECT property AS prefix, t, 1 AS depth, CAST(NULL AS VARCHAR) AS member, CAST(NULL AS BIGINT) AS k FROM pt
  UNION ALL SELECT l.prefix || '.m' || n.m, pt.t, l.depth + 1, 'T' || n.o || '.m' || n.m, n.k FROM l JOIN n ON n.o = l.t LEFT JOIN pt ON pt.k = n.k WHERE l.depth <= 4 AND l.t IS NOT NULL),
 al AS (SELECT DISTINCT prefix AS alias, member, k FROM l WHERE member IS NOT NULL AND lower(prefix) <> lower(member))"""

@@ -146,14 +146,6 @@ def test_bm25_against_sqlite(spark):
         assert got.get(i, {}).keys() == want.keys() and all(abs(got[i][k] - want[k]) < 1e-9 for k in want), q
 
 
-def test_more_phrases_than_a_scan_compares(spark, monkeypatch):
-    chunks = spark.createDataFrame([("1", "a b c"), ("2", "b c"), ("3", "c a")], "chunk_id string, content string")
-    frame = spark.createDataFrame([(1, "a c"), (2, "b.c"), (3, "q")], "query_id long, query string")
-    want = sorted(lexical.bm25(frame, chunks).collect())
-    monkeypatch.setattr(lexical, "PHRASES", 1)
-    assert sorted(lexical.bm25(frame, chunks).collect()) == want and len(want) == 4
-
-
 def candidate(i, text, **more):
     return {"chunk_id": f"c{i}", "document_id": "d", "ordinal": i, "content": text, "text": text, "merged": [], "score": 100.0 - i, "exact": False, "identifier": None, "api_version": None, "channel": "stable", "tier": 1} | more
 
