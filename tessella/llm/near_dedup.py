@@ -104,14 +104,15 @@ def held_sets(size: int, most: int | None):
     return of
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, size: int, most: int | None = None) -> DataFrame:
-    """(cls, held) for the (cls, doc) of ``ids``; a class whose rows have no doc_id is found by its set."""
+def sets_of(ids: DataFrame, docs: DataFrame, size: int, most: int | None = None, nameless: bool = True) -> DataFrame:
+    """(cls, held) for the (cls, doc) of ``ids``; classes whose rows have no doc_id, if there are any, are found by their sets."""
     wanted = ids.select(F.col("doc").alias("_d"), F.col("cls").alias("wanted"))
     texts = docs.join(wanted, F.col("doc_id") == F.col("_d")).select("wanted", "text")
     named = texts.mapInArrow(held_sets(size, most), "cls long, held binary")
-    nameless = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text").mapInArrow(held_sets(size, most), "cls long, held binary")
-    nameless = nameless.join(ids.filter("doc is null").select("cls"), "cls", "left_semi")
-    return cut(named.unionByName(nameless).groupBy("cls").agg(F.first("held").alias("held")))
+    if nameless:
+        others = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text").mapInArrow(held_sets(size, most), "cls long, held binary")
+        named = named.unionByName(others.join(ids.filter("doc is null").select("cls"), "cls", "left_semi"))
+    return cut(named.dropDuplicates(["cls"]))
 
 
 def padded(column, k: int) -> np.ndarray:
@@ -275,8 +276,10 @@ def cells(members: DataFrame, percent: int, wide: int | None) -> DataFrame:
     """
     weight = (F.least("n", F.lit(wide)) if wide else F.col("n")) * 8 + 64
     members = members.withColumn("w", weight)
-    light = members.join(members.groupBy("v").agg(F.sum("w").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").drop("low", "high"), "v")
+    light = cut(members.join(members.groupBy("v").agg(F.sum("w").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").drop("low", "high"), "v"))
     whole = light.filter(F.col("bytes") <= BLOCK).select("v", "cls", "root", "n", F.xxhash64("v").alias("cell"), F.lit(0).alias("side"))
+    if light.filter(F.col("bytes") > BLOCK).isEmpty():
+        return whole
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)) if percent < 100 else F.col("n")
     heavy = light.filter(F.col("bytes") > BLOCK).select("v", "cls", "root", "n", "w", band.cast("long").alias("band"))
     per = heavy.groupBy("v", "band", "root").agg(F.sum("w").alias("w")).withColumn("alone", F.col("w") > BLOCK // 2)
@@ -295,10 +298,10 @@ def cells(members: DataFrame, percent: int, wide: int | None) -> DataFrame:
     return whole.unionByName(left).unionByName(right)
 
 
-def meetings(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int, wide: int | None) -> DataFrame:
+def meetings(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int, wide: int | None, nameless: bool) -> DataFrame:
     """What ``compare`` finds among the members of each list."""
-    met = cut(cells(members, percent, wide))
-    held = sets_of(met.select("cls").distinct().join(classes.select("cls", "doc"), "cls"), docs, size, wide)
+    met = cells(members, percent, wide)
+    held = sets_of(met.select("cls").distinct().join(classes.select("cls", "doc"), "cls"), docs, size, wide, nameless)
     rows = met.join(held, "cls").repartition("cell").sortWithinPartitions("cell")
     return cut(rows.mapInArrow(compare(percent, wide), "a long, b long, v long"))
 
@@ -316,10 +319,10 @@ def verify(percent: int):
     return of
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int, nameless: bool) -> DataFrame:
     """Those of the (a, b) class pairs whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc"), "cls")
-    sets = sets_of(ids, docs, size)
+    sets = sets_of(ids, docs, size, nameless=nameless)
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("held").alias("fa")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("held").alias("fb")), "b")
     return two.select("a", "b", "fa", "fb").mapInArrow(verify(percent), "a long, b long")
@@ -338,6 +341,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rows = cut(rows)
     classes = cut(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
+    nameless = not classes.filter("doc is null").isEmpty()
+    release(spark)
+
     least = F.when(F.col("s") >= _holds(k, percent), F.lit(m)).otherwise(F.ceil(F.col("s") * percent / 100)).cast("int")
     values = classes.select("cls", F.least("n", F.lit(k)).cast("int").alias("s"), F.explode("sketch").alias("v"))
     seen = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -359,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     held = classes.select("cls", "n", "sketch")
     with_a = stars.join(held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    links = cut(verified(cut(with_b.mapInArrow(estimate(k, m, percent), "a long, b long")), classes, docs, percent, size))
+    links = cut(verified(cut(with_b.mapInArrow(estimate(k, m, percent), "a long, b long")), classes, docs, percent, size, nameless))
     release(spark)
     roots = cut(components(links))
 
@@ -367,7 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     members, before = placed(lists, roots).join(classes.select("cls", "n"), "cls"), links
     for wide in (WIDE, None):
         release(spark)
-        found = meetings(members.select("v", "cls", "root", "n"), classes, docs, percent, size, wide)
+        found = meetings(members.select("v", "cls", "root", "n"), classes, docs, percent, size, wide, nameless)
         links = links.unionByName(found.filter("b is not null").select("a", "b"))
         marked = found.filter("b is null").select("v", F.col("a").alias("cls")).distinct()
         if wide is None or marked.isEmpty():

@@ -6,12 +6,18 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that one task joins.
+EDGES = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,18 +67,44 @@ def release(spark: SparkSession) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task as stars: each vertex with the smallest one that it reaches over them."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    top = np.array([find(x) for x in range(len(ids))])
+    some = np.flatnonzero(top != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[top[some]])], names=["u", "v"])
+
+
+def components(edges: DataFrame, rounds: int = 50, most: int = EDGES) -> DataFrame:
     """Connected components of (a, b) long edges: rows (id, component), component the smallest id.
 
-    Alternates the two star contractions (every vertex hands its larger, then
-    its smaller neighbours to the smallest of them), which ends after about
-    log(n) rounds whatever the shape; each round is two aggregations, the
+    Edges are dealt to tasks, ``most`` to each, which join what they see.  What
+    several tasks have left goes through the two star contractions in turn (every vertex
+    hands its larger, then its smaller neighbours to the smallest of them), which end after
+    about log(n) rounds whatever the shape; each round is two aggregations, the
     edges are checkpointed and only a count and a sum reach the driver.  A vertex's
     neighbourhood is never gathered: the minimum is an aggregate that is joined back.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = max(1, -(-e.count() // most))
+    e = cut(e.repartition(tasks).mapInArrow(joined, "u long, v long"))
     seen = None
-    for _ in range(rounds):
+    for _ in range(rounds if tasks > 1 else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -7,6 +7,7 @@ import pytest
 
 from tessella.llm import near_dedup
 from tessella.llm.near_dedup import Cell
+from tessella.llm.shared import components
 from tessella.llm.words import U64
 
 
@@ -91,3 +92,23 @@ def test_rows_between_the_steps_follow_the_members(spark, monkeypatch):
         assert near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("kept").count() > 0.9 * n
         most.append(max(df.count() for df in made))
     assert most[1] < 4 * most[0]
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_components_of_any_shape(spark, most):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 300)] + [(1000, i) for i in range(1001, 1200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(180)] + [(5, 5), (7, 9), (9, 7)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), most=most).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x} | {x: c for x, c in got.items() if x == c}
+    assert components(spark.createDataFrame([], "a long, b long"), most=most).count() == 0
