@@ -202,6 +202,12 @@ def sanitize_error(col: Column, most: int = 500) -> Column:
     return F.substring(F.regexp_replace(no_sql, r"//[^/@\s]+@", "//"), 1, most)
 
 
+def json_result(result: Column, code: Column, message: Column) -> Column:
+    """One JSON text: the result, or where there is a code the structured error with what may be said of it in public."""
+    bad = F.to_json(F.struct(F.lit(False).alias("ok"), F.struct(code.alias("code"), sanitize_error(message).alias("message")).alias("error")))
+    return F.when(code.isNull(), F.to_json(F.struct(F.lit(True).alias("ok"), result.alias("result")))).otherwise(bad)
+
+
 def member_owner(col: Column) -> Column:
     """What stands before the last dot; null without one inside the name."""
     return F.when(col.rlike(r"^.+\..+$"), F.regexp_extract(col, r"^(.+)\.([^.]+)$", 1))

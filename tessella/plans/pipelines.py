@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules as Y
 from tessella.functions import text as X
-from tessella.operators import lookup, search, vectors
+from tessella.operators import lexical, lookup, search, vectors
 from tessella.operators.options import SearchOptions, query_error
 from tessella.sources import files, identifiers, ingest, parsers, sinks
 from tessella.streaming import rate
 
 from .corpus import Corpus, duck
 from .relational import ASKED, EXACT_ORDER, JOINED
-from .retrieval import _ids
+from .retrieval import FTS, _ids
 from .scalars import SAMPLES, _values
 
 SAMPLES_ROOT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "samples")
@@ -191,7 +191,11 @@ PAIRS = {
     ),
     "publish_atomic": (_c(_published), duck("SELECT (SELECT count(*) FROM c_chunks) AS chunks, (SELECT count(*) FROM c_sources) AS sources")),
     "backup_copy": (_c(_backup), duck("SELECT source_id FROM c_sources")),
-    "http_json_result": (_c(lambda c: c.sources.select("source_id", F.to_json(F.struct("source_id", "tier")).alias("body"))), duck("""SELECT source_id, '{"source_id":"' || source_id || '","tier":' || tier || '}' AS body FROM c_sources""")),
+    "http_json_result": (
+        _c(lambda c: c.documents.withColumn("error", F.when(F.col("doc_id") % 7 == 3, F.lit("no access to https://user:secret@host/x")).when(F.col("doc_id") % 7 == 4, F.lit("near SELECT * FROM t")))
+            .select("document_id", X.json_result(F.struct("document_id", "kind"), F.when(F.col("doc_id") % 7 == 3, "FORBIDDEN").when(F.col("doc_id") % 7 == 4, "INTERNAL"), F.col("error")).alias("body"))),
+        duck("""SELECT document_id, CASE doc_id % 7 WHEN 3 THEN '{"ok":false,"error":{"code":"FORBIDDEN","message":"no access to https://host/x"}}' WHEN 4 THEN '{"ok":false,"error":{"code":"INTERNAL","message":"near [redacted SQL]"}}' ELSE '{"ok":true,"result":{"document_id":"' || document_id || '","kind":"' || kind || '"}}' END AS body FROM c_documents"""),
+    ),
     # parsers
     "parse_markdown": (_parsed(".md"), None),
     "parse_script_api": (_parsed("World.md"), None),
@@ -229,7 +233,10 @@ PAIRS = {
             "WITH f AS (SELECT substr(sha256(chunk_id), 1, 4) AS fine, sha256(string_agg(chunk_id || chr(0) || content_hash, chr(10) ORDER BY chunk_id || chr(0) || content_hash)) AS h, count(*) AS n FROM c_chunks GROUP BY 1), g AS (SELECT substr(fine, 1, 2) AS coarse, sha256(string_agg(fine || h, chr(10) ORDER BY fine || h)) AS h, sum(n) AS n FROM f GROUP BY 1) SELECT sha256(sha256(string_agg(coarse || h, chr(10) ORDER BY coarse || h)) || 'count:' || sum(n)) AS fingerprint FROM g"
         ),
     ),
-    "fts_fields": (_c(lambda c: c.chunks.select("chunk_id", F.size(X.fts_tokens(F.col("title"))).alias("title_tokens"), F.size(X.fts_tokens(F.col("content"))).alias("body_tokens"))), duck("SELECT chunk_id, len(regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}]+'))::INT AS title_tokens, len(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+'))::INT AS body_tokens FROM c_chunks")),
+    "fts_fields": (
+        _c(lambda c: lexical.fields(c.chunks).select("chunk_id", *[F.array_join(f, " ").alias(f) for f in lexical.WEIGHTS])),
+        duck("SELECT chunk_id, " + ", ".join(f"array_to_string({FTS.format(f)}, ' ') AS {f}" for f in lexical.WEIGHTS) + " FROM c_chunks"),
+    ),
     "project_public_result": (
         _c(lambda c: search.public(c.chunks.filter("ordinal = 0").select(F.lit(1).alias("query_id"), "chunk_id", "document_id", (F.col("doc_id") / 7).cast("decimal(20,8)").alias("score"), F.lit(False).alias("exact")), c.chunks, c.documents, c.sources).withColumn("score", F.col("score").cast("double"))),
         duck("SELECT 1 AS query_id, chunk_id, document_id, round((c.doc_id / 7)::DECIMAL(20,8), 3)::DOUBLE AS score, false AS exact_match, c.title, identifier, c.stability, c.lifecycle, d.source_id, d.path, kind, category, d.channel, NULL AS canonical_url, NULL AS revision_url, api_package, api_version, product_version, s.name AS source_name, source_type, tier AS source_tier, repository, revision FROM c_chunks c JOIN c_documents d USING (document_id) JOIN c_sources s ON s.source_id = d.source_id WHERE ordinal = 0"),

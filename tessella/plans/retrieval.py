@@ -77,6 +77,20 @@ def _kept(condition):
     return _c(lambda c: c.documents.join(c.sources.select("source_id", "tier"), "source_id").filter(condition()).select("document_id"))
 
 
+def _optional(**given):
+    """Documents that a search with these options may show for a query that implies nothing."""
+    options = SearchOptions(**given)
+
+    def run(c: Corpus):
+        d = c.documents.join(c.sources.select("source_id", "tier"), "source_id")
+        return d.filter(options.allowed({n: F.col(n) for n in d.columns}, F.lit("blocks"))).select("document_id")
+
+    return _c(run)
+
+
+_OPEN = "tier <= 3 AND lifecycle NOT IN ('historical', 'removed') AND NOT (d.channel = 'preview' OR stability IN ('beta', 'experimental', 'internal'))"
+
+
 # --- ranking pieces ---
 
 
@@ -261,6 +275,12 @@ PAIRS = {
         ),
     ),
     "filter_kinds": (_kept(lambda: Y.member_of(F.array(F.lit("api"), F.lit("code")), F.col("kind"))), duck("SELECT document_id FROM c_documents WHERE kind IN ('api', 'code')")),
+    "filter_categories": (_optional(categories=("en", "fr")), duck("SELECT document_id FROM c_documents d JOIN c_sources s USING (source_id) WHERE category IN ('en', 'fr') AND " + _OPEN)),
+    "filter_stabilities": (_optional(stabilities=("stable", "beta"), include_preview=True), duck("SELECT document_id FROM c_documents d JOIN c_sources s USING (source_id) WHERE stability IN ('stable', 'beta') AND tier <= 3 AND lifecycle NOT IN ('historical', 'removed')")),
+    "filter_options": (
+        _optional(kinds=("docs", "api"), source_id="src1", api_version="1", product_version="1.1", path_prefix="/CREATOR/", include_historical=True, tiers=(2, 4)),
+        duck("SELECT document_id FROM c_documents d JOIN c_sources s USING (source_id) WHERE kind IN ('docs', 'api') AND source_id = 'src1' AND (api_version IS NULL OR api_version = '1' OR starts_with(api_version, '1.')) AND (product_version IS NULL OR product_version = '1.1') AND tier IN (2, 4) AND NOT (d.channel = 'preview' OR stability IN ('beta', 'experimental', 'internal'))"),
+    ),
     "filter_tiers": (_kept(lambda: Y.tier_allowed(F.lit(None).cast("array<int>"), F.col("tier"))), duck("SELECT document_id FROM c_documents JOIN c_sources USING (source_id) WHERE tier IN (1, 2, 3)")),
     "filter_source": (_kept(lambda: Y.same_text(F.lit("STABLE"), F.col("channel")) & Y.same_text(F.lit("@Scope/Server"), F.col("api_package"))), duck("SELECT document_id FROM c_documents WHERE channel = 'stable' AND api_package = '@scope/server'")),
     "filter_path_prefix": (_kept(lambda: Y.path_under(F.lit("//Creator/Documents/fr"), F.col("path"))), duck("SELECT document_id FROM c_documents WHERE path LIKE 'creator/Documents/fr%'")),
