@@ -99,9 +99,7 @@ STATEMENTS: dict[str, str] = {
     "scan_npm_snapshot": "SELECT d.document_id, d.api_version FROM c_documents d JOIN (SELECT DISTINCT path FROM c_documents WHERE api_package IS NOT NULL) m ON m.path = d.path",
     # retrieval
     "fetch_document": "SELECT d.document_id, c.chunk_id, c.ordinal FROM c_documents d JOIN c_chunks c ON c.document_id = d.document_id WHERE d.kind = 'api'",
-    "list_sources": "SELECT s.source_id, s.name, s.tier, coalesce(c.documents, 0) AS documents, coalesce(c.chunks, 0) AS chunks FROM c_sources s LEFT JOIN (SELECT source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM c_chunks GROUP BY source_id) c ON c.source_id = s.source_id",
     "list_categories": "SELECT category, count(*) AS documents FROM c_documents GROUP BY category",
-    "compare_versions": "SELECT coalesce(a.normalized, b.normalized) AS normalized, CASE WHEN a.normalized IS NULL THEN 'added' WHEN b.normalized IS NULL THEN 'removed' WHEN a.content_hash = b.content_hash AND a.stability = b.stability AND a.lifecycle = b.lifecycle THEN 'unchanged' ELSE 'changed' END AS status, a.stability <> b.stability AS stability_changed, a.lifecycle <> b.lifecycle AS lifecycle_changed FROM {A} a FULL OUTER JOIN {B} b ON a.normalized = b.normalized",
     # edges
     "derive_property_types": "SELECT m.from_identifier, m.relation, m.to_identifier FROM c_edges m JOIN (SELECT DISTINCT from_identifier AS owner FROM c_edges) o ON o.owner = m.to_identifier",
     "alias_edges": "SELECT concat(a.from_identifier, '.', b.to_identifier) AS alias, 'alias_of' AS relation, b.to_identifier AS member FROM c_edges a JOIN c_edges b ON a.to_identifier = b.from_identifier UNION ALL SELECT from_identifier, 'property_type', to_identifier FROM c_edges",
@@ -109,8 +107,6 @@ STATEMENTS: dict[str, str] = {
     # quality
     "agg_quality_mean": "SELECT round(avg(CAST(quality AS DOUBLE)), 4) AS useful, round(avg(CAST(toxic AS DOUBLE)), 4) AS toxic FROM labels",
 }
-_SIDE = "(SELECT normalized, content_hash, stability, lifecycle FROM (SELECT i.normalized, c.content_hash, c.stability, c.lifecycle, row_number() OVER (PARTITION BY i.normalized ORDER BY i.is_primary DESC, s.tier, " + f"{CHANNEL_RANK.format('d')}, {LIFECYCLE_RANK.format('c')}, c.ordinal, c.chunk_id) AS r FROM {JOINED} WHERE d.api_version = '%s') x WHERE r = 1)"
-STATEMENTS["compare_versions"] = STATEMENTS["compare_versions"].replace("{A}", _SIDE % "1.1.0").replace("{B}", _SIDE % "2.2.0")
 
 
 def run(c: Corpus, statement: str):

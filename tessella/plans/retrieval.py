@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules as Y
 from tessella.functions import text as X
-from tessella.operators import duplicates, fetch, graph, lexical, quality_metrics, search, vectors
+from tessella.operators import duplicates, fetch, graph, lexical, quality_metrics, search, vectors, versions
 from tessella.operators.options import SearchOptions
 
 from .corpus import Corpus, duck
-from .relational import EXACT_ORDER, JOINED
+from .relational import CHANNEL_RANK, EXACT_ORDER, JOINED, LIFECYCLE_RANK
 from .scalars import QUESTIONS, _values
 
 # --- full text ---
@@ -250,7 +250,25 @@ SELECT query_id, chunk_id, round(CASE WHEN e IS NOT NULL THEN 1000 - 5 * (e - 1)
 FROM bo JOIN nm USING (query_id) JOIN (SELECT chunk_id, document_id, title, identifier FROM c_chunks) c USING (chunk_id) JOIN (SELECT document_id, source_id, path, channel, lifecycle, stability FROM c_documents) d USING (document_id) JOIN (SELECT source_id, tier FROM c_sources) s USING (source_id)
 WHERE NOT (d.channel = 'preview' OR stability IN ('beta', 'experimental', 'internal')) AND lifecycle NOT IN ('historical', 'removed') AND tier IN (1, 2, 3)"""
 
+def _compared(c: Corpus):
+    """Every word that is asked for first, every first word of a chunk, and a name that nothing has."""
+    names = c.chunks.select("identifier").unionByName(c.queries.select(F.split("query", " ")[0].alias("identifier"))).unionByName(c.spark.createDataFrame([("no such name",)], "identifier string"))
+    asked = names.filter("identifier is not null").select(X.normalize_identifier(F.col("identifier")).alias("identifier")).distinct()
+    return versions.compare(asked.select(F.col("identifier").alias("query_id"), "identifier"), *_ids(c), "api", "1.1.0", "2.2.0")
+
+
+def _side(version: str) -> str:
+    order = f"i.is_primary DESC, s.tier, {CHANNEL_RANK.format('d')}, {LIFECYCLE_RANK.format('c')}, c.ordinal, c.chunk_id"
+    return f"(SELECT normalized, chunk_id, content_hash, stability, lifecycle FROM (SELECT i.normalized, c.chunk_id, c.content_hash, c.stability, c.lifecycle, row_number() OVER (PARTITION BY i.normalized ORDER BY {order}) AS r FROM {JOINED} WHERE d.api_version = '{version}' AND d.channel <> 'preview' AND c.stability NOT IN ('beta', 'experimental', 'internal')) WHERE r = 1)"
+
+
+_COMPARED = f"""SELECT n.id AS query_id, n.id AS normalized, CASE WHEN a.chunk_id IS NULL AND b.chunk_id IS NULL THEN 'not_found' WHEN a.chunk_id IS NULL THEN 'added' WHEN b.chunk_id IS NULL THEN 'removed' WHEN a.content_hash = b.content_hash AND a.stability = b.stability AND a.lifecycle = b.lifecycle THEN 'unchanged' ELSE 'changed' END AS status,
+ coalesce(a.content_hash <> b.content_hash, false) AS content_changed, coalesce(a.stability <> b.stability, false) AS stability_changed, coalesce(a.lifecycle <> b.lifecycle, false) AS lifecycle_changed, false AS kind_changed, a.chunk_id AS old_chunk, b.chunk_id AS new_chunk,
+ CASE WHEN a.chunk_id IS NULL AND b.chunk_id IS NULL THEN 'No indexed api evidence matched either requested version.' WHEN a.chunk_id IS NULL THEN 'No indexed api evidence matched old version 1.1.0.' WHEN b.chunk_id IS NULL THEN 'No indexed api evidence matched new version 2.2.0.' END AS warning
+FROM (SELECT lower(identifier) AS id FROM c_chunks WHERE identifier IS NOT NULL UNION SELECT split_part(query, ' ', 1) FROM c_queries UNION SELECT 'nosuchname') n LEFT JOIN {_side('1.1.0')} a ON a.normalized = n.id LEFT JOIN {_side('2.2.0')} b ON b.normalized = n.id"""
+
 PAIRS = {
+    "compare_versions": (_c(_compared), duck(_COMPARED)),
     "postings": (_c(lambda c: lexical.postings(c.chunks).select("term", "chunk_id", "frequency")), duck(f"SELECT term, chunk_id, sum(w)::DOUBLE AS frequency FROM ({_P}) GROUP BY ALL")),
     "bm25": (_c(lambda c: lexical.bm25(c.asked, c.chunks).select("query_id", "chunk_id", F.round("score", 6).alias("score"))), duck(f"WITH {_BM} SELECT query_id, chunk_id, round(score, 6) AS score FROM bm")),
     "topk_bm25": (

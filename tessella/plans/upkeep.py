@@ -130,6 +130,12 @@ PAIRS = {
             "LEFT JOIN (SELECT source_id, count(*) AS n FROM c_identifiers JOIN c_chunks USING (chunk_id) GROUP BY 1) i USING (source_id) LEFT JOIN (SELECT x.source_id, count(*) AS n FROM c_chunks x JOIN c_sources t ON t.source_id = x.source_id WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT y.content_hash, y.source_id, u.tier FROM c_chunks y JOIN c_sources u ON u.source_id = y.source_id) o WHERE o.content_hash = x.content_hash AND o.source_id <> x.source_id AND o.tier <= t.tier) GROUP BY 1) q USING (source_id)"
         ),
     ),
+    "list_sources": (
+        _c(lambda c: maintenance.status(_tables(c)).select("source_id", "name", "tier", "documents", "chunks", "duplicate_percent", F.col("ready").alias("healthy"))),
+        duck(
+            "SELECT s.source_id, s.name, s.tier, (SELECT count(*) FROM c_documents d WHERE d.source_id = s.source_id) AS documents, coalesce(c.n, 0) AS chunks, coalesce(round(100.0::DOUBLE * c.twice / c.n, 2), 0) AS duplicate_percent, coalesce(c.n, 0) > 0 AS healthy FROM c_sources s LEFT JOIN (SELECT x.source_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM (SELECT DISTINCT y.content_hash, y.source_id, u.tier FROM c_chunks y JOIN c_sources u ON u.source_id = y.source_id) o WHERE o.content_hash = x.content_hash AND o.source_id <> x.source_id AND o.tier <= t.tier)) AS twice FROM c_chunks x JOIN c_sources t ON t.source_id = x.source_id GROUP BY 1) c USING (source_id)"
+        ),
+    ),
     "backup_prune": (
         _c(lambda c: maintenance.prunable(c.table("events").select(X.iso_compact(F.col("ts").cast("timestamp")).alias("name")).unionByName(c.sources.select(F.col("name"))), 7)),
         "SELECT name FROM (SELECT name, row_number() OVER (ORDER BY name DESC) AS r FROM (SELECT DISTINCT strftime(ts, '%Y%m%dT%H%M%SZ') AS name FROM events)) WHERE r > 7",
