@@ -173,6 +173,14 @@ def lifecycle_from_text(text: Column, historical: Column) -> Column:
     return F.when(historical, "historical").when(F.contains(low, F.lit("deprecated")), "deprecated").when(F.contains(low, F.lit("removed")), "removed").otherwise("active")
 
 
+def package_from_path(path: Column) -> Column:
+    """The module that an API page belongs to, from the folders behind the root of such pages; the server module where they don't tell."""
+    root = F.when(F.contains(path, F.lit("/PriorScriptAPI/")), "/PriorScriptAPI/").otherwise("/ScriptAPI/")
+    folders = X.non_empty(F.split(F.split_part(path, root, F.lit(2)), "/"))
+    name = F.when(F.get(folders, F.lit(0)) == "minecraft", F.regexp_replace(F.get(folders, F.lit(1)), r"(?i)-\d+xx$", ""))
+    return F.coalesce(F.concat(F.lit("@minecraft/"), name), F.lit("@minecraft/server"))
+
+
 def symbol_kind_for_group(group: Column) -> Column:
     low = F.lower(group)
     return first_of([(F.contains(low, F.lit(k)), F.lit(v)) for k, v in (("propert", "property"), ("method", "method"), ("event", "event"), ("enum", "enum"))], F.lit("unknown"))

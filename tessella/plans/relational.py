@@ -31,7 +31,7 @@ STATEMENTS: dict[str, str] = {
     # joins
     "join_ident_chunk_doc_source": f"SELECT i.normalized, i.is_primary, c.chunk_id, d.path, s.tier FROM {JOINED} WHERE i.is_primary = 1",
     "join_chunk_doc_source": "SELECT c.chunk_id, c.title, d.path, s.name FROM c_chunks c JOIN c_documents d ON d.document_id = c.document_id JOIN c_sources s ON s.source_id = d.source_id",
-    "left_join_edges_provenance": "SELECT e.from_identifier, e.relation, e.to_identifier, r.r_name FROM c_edges e LEFT JOIN region r ON e.to_identifier = concat('Region.', CAST(r.r_regionkey AS STRING))",
+    "left_join_edges_provenance": "SELECT e.from_identifier, e.relation, e.to_identifier, c.chunk_id, d.path, s.name FROM (SELECT from_identifier, relation, to_identifier, CAST(replace(from_identifier, 'Supplier.', '') AS BIGINT) AS place FROM c_edges WHERE relation = 'ships_from' UNION ALL SELECT from_identifier, relation, to_identifier, CAST(NULL AS BIGINT) AS place FROM c_edges WHERE relation <> 'ships_from') e LEFT JOIN (SELECT chunk_id, document_id, doc_id FROM c_chunks WHERE ordinal = 0) c ON c.doc_id = e.place LEFT JOIN c_documents d ON d.document_id = c.document_id LEFT JOIN c_sources s ON s.source_id = d.source_id",
     "left_join_sources_docs_chunks": "SELECT s.source_id, d.document_id, c.chunk_id FROM c_sources s LEFT JOIN c_documents d ON d.source_id = s.source_id AND d.kind = 'api' LEFT JOIN c_chunks c ON c.document_id = d.document_id",
     "left_join_docs_chunks": "SELECT d.document_id, count(c.chunk_id) AS chunks FROM c_documents d LEFT JOIN c_chunks c ON c.document_id = d.document_id GROUP BY d.document_id",
     "semi_join_duplicate": "SELECT c.chunk_id FROM (SELECT x.chunk_id, x.content_hash, x.source_id, s.tier FROM c_chunks x JOIN c_sources s ON s.source_id = x.source_id) c WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT x.content_hash, x.source_id, s.tier FROM c_chunks x JOIN c_sources s ON s.source_id = x.source_id) o WHERE o.content_hash = c.content_hash AND o.source_id <> c.source_id AND o.tier <= c.tier)",
@@ -99,7 +99,7 @@ STATEMENTS: dict[str, str] = {
     "scan_npm_snapshot": "SELECT d.document_id, d.api_version FROM c_documents d JOIN (SELECT DISTINCT path FROM c_documents WHERE api_package IS NOT NULL) m ON m.path = d.path",
     # retrieval
     "fetch_document": "SELECT d.document_id, c.chunk_id, c.ordinal FROM c_documents d JOIN c_chunks c ON c.document_id = d.document_id WHERE d.kind = 'api'",
-    "list_categories": "SELECT category, count(*) AS documents FROM c_documents GROUP BY category",
+    "list_categories": "SELECT d.category, count(*) AS documents, sum(coalesce(c.n, 0)) AS chunks FROM c_documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM c_chunks GROUP BY document_id) c ON c.document_id = d.document_id GROUP BY d.category",
     # edges
     "derive_property_types": "SELECT m.from_identifier, m.relation, m.to_identifier FROM c_edges m JOIN (SELECT DISTINCT from_identifier AS owner FROM c_edges) o ON o.owner = m.to_identifier",
     "alias_edges": "SELECT concat(a.from_identifier, '.', b.to_identifier) AS alias, 'alias_of' AS relation, b.to_identifier AS member FROM c_edges a JOIN c_edges b ON a.to_identifier = b.from_identifier UNION ALL SELECT from_identifier, 'property_type', to_identifier FROM c_edges",

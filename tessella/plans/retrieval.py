@@ -174,6 +174,18 @@ def _traverse(c: Corpus):
     return graph.traverse(c.edges, starts, depth=2, limit=100).select("query_id", "depth", "direction", "from_identifier", "relation", "to_identifier", "pos")
 
 
+def _related(c: Corpus):
+    """What stands beside every nation, with where suppliers' edges were read."""
+    asked = c.table("nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit(" nation."), F.col("n_nationkey").cast("string")).alias("identifier"))
+    first = c.chunks.filter("ordinal = 0").select(F.concat(F.lit("Supplier."), F.col("doc_id").cast("string")).alias("from_identifier"), "chunk_id")
+    edges = c.edges.join(first, "from_identifier", "left")
+    return graph.relationships(asked, edges, *_ids(c), limit=40).select("query_id", "pos", "direction", "from_identifier", "relation", "to_identifier", "truncated", "chunk_id", "path")
+
+
+_RELATED = """WITH m AS (SELECT n_nationkey::BIGINT AS query_id, 'incoming' AS direction, e.* FROM nation JOIN c_edges e ON lower(e.to_identifier) = 'nation.' || n_nationkey UNION ALL SELECT n_nationkey, 'outgoing', e.* FROM nation JOIN c_edges e ON lower(e.from_identifier) = 'nation.' || n_nationkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relation, from_identifier, to_identifier) AS pos, count(*) OVER (PARTITION BY query_id) > 40 AS truncated FROM m)
+SELECT query_id, pos::INT AS pos, direction, from_identifier, relation, to_identifier, truncated, c.chunk_id, d.path FROM r LEFT JOIN (SELECT chunk_id, document_id, 'Supplier.' || doc_id AS s FROM c_chunks WHERE ordinal = 0) c ON c.s = from_identifier LEFT JOIN c_documents d ON d.document_id = c.document_id WHERE pos <= 40"""
+
 TRAVERSE_SQL = """WITH e AS (SELECT *, lower(from_identifier) AS f, lower(to_identifier) AS t FROM c_edges),
 f1 AS (SELECT n_nationkey::BIGINT AS query_id, 'nation.' || n_nationkey AS node FROM nation),
 m1 AS (SELECT query_id, 1 AS depth, 0 AS d, e.* FROM e JOIN f1 ON f = node UNION ALL SELECT query_id, 1, 1, e.* FROM e JOIN f1 ON t = node),
@@ -360,6 +372,7 @@ PAIRS = {
         duck(f"SELECT request_id, CASE WHEN id LIKE 'chk_%' THEN 'chunk' WHEN id LIKE 'doc_%' AND length(id) = 28 THEN 'document' ELSE 'invalid' END AS target, coalesce(c.document_id, d.document_id) AS document_id, CASE WHEN id = 'doc_x' THEN 'INVALID_DOCUMENT_ID' WHEN coalesce(c.document_id, d.document_id) IS NULL THEN 'NOT_FOUND' END AS error FROM ({_FETCHED}) t LEFT JOIN c_chunks c ON c.chunk_id = t.id LEFT JOIN c_documents d ON d.document_id = t.id"),
     ),
     "near_duplicate": (_c(lambda c: duplicates.near_duplicates(c.documents)), duck(NEAR_SQL)),
+    "relationships": (_c(_related), duck(_RELATED)),
     "traverse": (_c(_traverse), duck(TRAVERSE_SQL)),
     "derive_alias_chains": (_c(_chains), duck(CHAIN_SQL)),
     "quality_cases": (_c(_suite), duck(_SUITE + " SELECT * FROM e")),

@@ -189,6 +189,10 @@ PAIRS = {
     "strip_md": _inline(["## **Title** `x`", "plain", "# a # b", "####   deep `code` **bold**  "], {"clean": (lambda: X.strip_md(s()), "trim(replace(replace(regexp_replace(s, '^#+\\s*', ''), '**', ''), '`', ''))")}),
     "json_pointer_escape": _inline(["a/b~c", "plain", "~1/~0", "//"], {"escaped": (lambda: X.json_pointer_escape(s()), "replace(replace(s, '~', '~0'), '/', '~1')")}),
     "json_get": _over("events", ["event_id"], {"k": (lambda: F.get_json_object("props", "$.k"), "json_extract_string(props, '$.k')")}),
+    "package_from_path": _inline(
+        PATHS + ["x/ScriptAPI/minecraft/server-ui/A.md", "x/PriorScriptAPI/minecraft/server-net-12xx/A.md", "x/ScriptAPI/demo/core/World.md"],
+        {"module": (lambda: Y.package_from_path(s()), "CASE WHEN s LIKE '%ScriptAPI/minecraft/_%' THEN '@minecraft/' || regexp_replace(regexp_extract(s, 'ScriptAPI/minecraft/([^/]+)', 1), '-[0-9]+xx$', '', 'i') ELSE '@minecraft/server' END")},
+    ),
     "symbol_labels": _inline(
         ["Properties", "Methods", "World Class", "module.Player Interface", "Events list", "GameMode Enum", "Other"],
         {

@@ -49,7 +49,7 @@ def ingest(files: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
         "document_id", "source_id", "path", F.coalesce(title, F.element_at(F.split("path", "/"), -1)).alias("title"), "kind", "category", "language", "channel",
         F.when(F.col("experimental"), "experimental").otherwise("stable").alias("stability"), F.col("document_lifecycle").alias("lifecycle"), F.col("document_hash").alias("content_hash"),
         F.coalesce("api_version", _attribute(API_VERSION)).alias("api_version"), F.coalesce("product_version", _attribute(PRODUCT_VERSION)).alias("product_version"),
-        F.nullif(F.regexp_extract(F.concat_ws(" ", F.map_values("attributes")), r"@[a-z]+/[a-z0-9-]+", 0), F.lit("")).alias("api_package"),
+        F.when(F.col("kind") == "api", Y.package_from_path(F.col("path"))).alias("api_package"),
         F.coalesce("identifiers", F.array().cast("array<string>")).alias("identifiers"), F.coalesce("n", F.lit(0)).alias("chunks"),
     )
     chunk_id = X.stable_public_id("chk", F.col("document_id"), F.col("ordinal"), F.sha2("content", 256))
