@@ -276,7 +276,7 @@ def cells(members: DataFrame, percent: int, wide: int | None) -> DataFrame:
     """
     weight = (F.least("n", F.lit(wide)) if wide else F.col("n")) * 8 + 64
     members = members.withColumn("w", weight)
-    light = cut(members.join(members.groupBy("v").agg(F.sum("w").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").drop("low", "high"), "v"))
+    light = cut(members.join(members.groupBy("v").agg(F.sum("w").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").drop("low", "high"), "v"), few=True)
     whole = light.filter(F.col("bytes") <= BLOCK).select("v", "cls", "root", "n", F.xxhash64("v").alias("cell"), F.lit(0).alias("side"))
     if light.filter(F.col("bytes") > BLOCK).isEmpty():
         return whole
@@ -303,7 +303,7 @@ def meetings(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     met = cells(members, percent, wide)
     held = sets_of(met.select("cls").distinct().join(classes.select("cls", "doc"), "cls"), docs, size, wide, nameless)
     rows = met.join(held, "cls").repartition("cell").sortWithinPartitions("cell")
-    return cut(rows.mapInArrow(compare(percent, wide), "a long, b long, v long"))
+    return cut(rows.mapInArrow(compare(percent, wide), "a long, b long, v long"), few=True)
 
 
 def verify(percent: int):
@@ -358,16 +358,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     lists = cut(lists)
     # one of the lists with the same members, told by two sums of hashes
     alike = lists.groupBy("v").agg(F.count("*").alias("members"), *(F.sum(F.xxhash64("cls", F.lit(x)).cast("decimal(20,0)")).alias(f"sum{x}") for x in (1, 2))).filter("members > 1")
-    lists = cut(lists.join(alike.groupBy("members", "sum1", "sum2").agg(F.min("v").alias("v")).select("v"), "v", "left_semi"))
+    lists = cut(lists.join(alike.groupBy("members", "sum1", "sum2").agg(F.min("v").alias("v")).select("v"), "v", "left_semi"), few=True)
     release(spark)
     pivot = lists.groupBy("v").agg(F.min("cls").alias("a"), F.count("*").alias("members")).filter("members > 1")
     stars = lists.join(pivot, "v").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     held = classes.select("cls", "n", "sketch")
     with_a = stars.join(held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    links = cut(verified(cut(with_b.mapInArrow(estimate(k, m, percent), "a long, b long")), classes, docs, percent, size, nameless))
+    links = cut(verified(cut(with_b.mapInArrow(estimate(k, m, percent), "a long, b long"), few=True), classes, docs, percent, size, nameless), few=True)
     release(spark)
-    roots = cut(components(links))
+    roots = components(links)
 
     # what the stars have left: lists that still hold more than one component
     members, before = placed(lists, roots).join(classes.select("cls", "n"), "cls"), links
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         members = placed(marked, roots).join(classes.select("cls", "n"), "cls")
     release(spark)
     if links.count() > before.count():
-        roots = cut(components(links))
+        roots = components(links)
     release(spark)
 
     named = classes.select("cls", "doc").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -46,9 +46,15 @@ def unused(df: DataFrame, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now, keep the rows in the shared folder, forget the lineage and drop the shuffle files that led to them."""
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """Compute now, keep the rows in the shared folder, forget the lineage and drop the shuffle files that led to them.
+
+    ``few``: a result that is small beside what it is made of goes to fewer files, four for
+    each core; a task then works through its partitions one after the other.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     has_checkpoint_dir(spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -91,7 +97,7 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, rounds: int = 50, most: int = EDGES) -> DataFrame:
-    """Connected components of (a, b) long edges: rows (id, component), component the smallest id.
+    """Connected components of (a, b) long edges (cut before, as they are read twice): rows (id, component), component the smallest id; cut.
 
     Edges are dealt to tasks, ``most`` to each, which join what they see.  What
     several tasks have left goes through the two star contractions in turn (every vertex
@@ -100,8 +106,8 @@ def components(edges: DataFrame, rounds: int = 50, most: int = EDGES) -> DataFra
     edges are checkpointed and only a count and a sum reach the driver.  A vertex's
     neighbourhood is never gathered: the minimum is an aggregate that is joined back.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    tasks = max(1, -(-e.count() // most))
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    tasks = max(1, -(-edges.count() // most))
     e = cut(e.repartition(tasks).mapInArrow(joined, "u long, v long"))
     seen = None
     for _ in range(rounds if tasks > 1 else 0):

@@ -82,7 +82,7 @@ def test_a_cell_sends_on_fewer_links_than_it_has_members():
 def test_rows_between_the_steps_follow_the_members(spark, monkeypatch):
     made = []
     first = near_dedup.cut
-    monkeypatch.setattr(near_dedup, "cut", lambda df: made.append(first(df)) or made[-1])
+    monkeypatch.setattr(near_dedup, "cut", lambda df, **few: made.append(first(df, **few)) or made[-1])
     rng = random.Random(3)
     most = []
     for n in (300, 900):
