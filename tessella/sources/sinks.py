@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ class Folder:
     """Files of a folder on any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.jvm, self.gateway, self.root = spark._jvm, spark.sparkContext._gateway, root.rstrip("/")
         self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str):
@@ -32,9 +33,15 @@ class Folder:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """The whole text at once under its name: written beside it and renamed over it."""
-        part = self.path(f".{name}.{uuid.uuid4().hex}")
-        stream = self.fs.create(part, True)
+        """The whole text at once under its name: written beside it and renamed over it.
+
+        Without a checksum file beside it: a second rename could be seen apart from the first.
+        """
+        part, fs = self.path(f".{name}.{uuid.uuid4().hex}"), self.fs
+        if is_instance_of(self.gateway, fs, "org.apache.hadoop.fs.ChecksumFileSystem"):
+            checksum, fs = fs.getChecksumFile(self.path(name)), fs.getRawFileSystem()
+            fs.delete(checksum, False)
+        stream = fs.create(part, True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
