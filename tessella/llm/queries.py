@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, near_dedup, ngram, packing, quality, substring, suffixes, topk
+from . import chat, decontaminate, first_fit, html_text, near_dedup, ngram, packing, quality, substring, suffixes, topk
 from .shared import table
 
 
@@ -61,6 +61,10 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_ngram": op10_ngram,
+    "op12_first_fit": op12_first_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
