@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, first_fit, html_text, near_dedup, ngram, packing, quality, substring, suffixes, topk
+from . import chat, decontaminate, first_fit, html_text, near_dedup, ngram, packing, phrases, quality, substring, suffixes, topk
 from .shared import table
 
 
@@ -65,6 +65,10 @@ def op12_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_ngram": op10_ngram,
     "op12_first_fit": op12_first_fit,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +127,16 @@ q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS query_id, q.e AS ask, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
   FROM q JOIN v d ON q.vec_id <> d.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, ask ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i:i + k - 1] AS ws FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, k, ws HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.k, f.phrase, f.a, l.a AS l, r.a AS r, n.n, (1000 * f.a::HUGEINT * n.n) // (l.a::HUGEINT * r.a) AS score, j
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) f JOIN n USING (lang)
+  JOIN f l ON l.lang = f.lang AND l.k = f.j AND l.ws = f.ws[1:f.j] JOIN f r ON r.lang = f.lang AND r.k = f.k - f.j AND r.ws = f.ws[f.j + 1:]),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+x AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN b q ON q.lang = b.lang AND q.k > b.k AND 100 * q.a >= 100 * b.a AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' '))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN x USING (lang, phrase)) WHERE rank <= 2000""",
 }
