@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, first_fit, html_text, near_dedup, ngram, packing, phrases, quality, substring, suffixes, topk
+from . import align, chat, decontaminate, first_fit, html_text, near_dedup, ngram, packing, phrases, quality, substring, suffixes, topk
 from .shared import table
 
 
@@ -61,6 +61,16 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf_dir, "documents"))
 
 
+def token_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), *token_paths())
+
+
 def op12_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -80,6 +90,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_ngram": op10_ngram,
+    "op11_align": op11_align,
     "op12_first_fit": op12_first_fit,
     "op13_phrases": op13_phrases,
 }
