@@ -21,7 +21,8 @@ the unigram; after unseen words the unigram counts alone.  ``score`` takes two w
 before as context, ``score_2`` one; after unseen pairs, and for a first word, the former has the latter's value.
 
 Rules: null and empty texts are the end alone; a row without doc_id counts as
-the id ''; repeated rows count and are scored each; other columns are ignored.
+the id ''; repeated rows count and are scored each; other columns are ignored; where no row may
+be learnt from, every token has the base of an empty corpus.
 """
 
 from __future__ import annotations
@@ -305,10 +306,10 @@ def score(root: str, offset: tuple[int, ...], shards: int, total: int):
             for batch in pieces(whole, most=2 << 20):
                 h, ends = tokens(Words(batch.column("text"), lower=True))
                 ids, count = numbered(h, vocab)
-                base = np.log10((count + 1) / (total + words + 1))
+                base = np.log10((count + 1) / (total + (words if total else 0) + 1))
                 prev = before(ids, ends, end)
                 out = base.copy()
-                known = np.flatnonzero(prev >= 0)
+                known = np.flatnonzero((prev >= 0) & (total > 0))  # where nothing is learnt there are no other levels
                 key, back = np.unique((prev[known].astype(U64) << U64(32)) | (ids[known] & 0xFFFFFFFF).astype(U64), return_inverse=True)
                 word, follower = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
                 seen = vocab.counts(word)
