@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .words import U64, Words
 
-PATH, WORD, RATES, HIDDEN, PAGES = 64, 24, 8, 24, 900
+PATH, WORD, RATES, HIDDEN, PAGES = 64, 24, 8, 24, 1200
 INPUT = PATH + WORD + RATES
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del noscript object "
@@ -361,13 +361,55 @@ def generated(rng: random.Random) -> str:
                 out.append("<ul>" + "".join(f"<li>{MAIN}{words(1, 15)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
             elif kind < 0.9:
                 out.append(f"<blockquote>{prose(MAIN)}</blockquote>")
-            elif kind < 0.94:
+            elif kind < 0.93:
                 out.append("<table><tr>" + "".join(f"<td>{MAIN}{words(1, 4)}</td>" for _ in range(rng.randint(2, 6))) + "</tr></table>")
+            elif kind < 0.95:
+                out.append(f"<noscript>{rng.choice(['', '<p>'])}{prose(MAIN)}</noscript>")
             else:
                 out.append(noise())
-        box = rng.choice(_BOXES)
-        return f"<{box}>{''.join(out)}</{box.split()[0]}>"
-
+        box = rng.choice(boxes)
+        return f"<{box}>{''.join(out)}</{box.split()[0]}>" if box else "".join(out)
+
+    def bare() -> str:
+        """A page that has its text and nothing else."""
+        tag = rng.choice(["p", "p", "p", "div", "section", ""])
+        out = [f"<h1>{MAIN}{words(2, 12)}</h1>"] if rng.random() < 0.3 else []
+        for _ in range(rng.choice([1, 1, 1, 2, 2, 3, 6])):
+            text = MAIN + words(*rng.choice([(1, 3), (5, 30), (20, 60)]))
+            out.append(f"<{tag}>{text}" + f"</{tag}>" * (rng.random() < 0.7) if tag else f"{text}<hr>")
+        if len(out) > 1 and rng.random() < 0.2:
+            out.append(out[-1])
+        text = "".join(out)
+        if rng.random() < 0.3:
+            text = f"<div>{text}</div>"
+        return rng.choice(["<html><body>{}</body></html>", "<!DOCTYPE html><html><head><title>t</title></head><body>{}</body></html>", "{}"]).format(text)
+
+    def cells() -> str:
+        """A page laid out as a table: a menu, the text, perhaps a column of other things."""
+        n = rng.randint(2, 8)
+        if rng.random() < 0.5:
+            menu = links("li", n).join(("<ul>", "</ul>"))
+        else:
+            menu = rng.choice(["<br>", "<p>", " | ", "<div>"]).join(f'<a href="/x">{OTHER}{words(1, 3)}</a>' for _ in range(n))
+        row = [f"<td>{menu}</td>", f"<td>{article()}</td>"] + [f"<td>{OTHER}{words(1, 12)}</td>"] * (rng.random() < 0.3)
+        rows = [f"<tr>{''.join(row)}</tr>"]
+        if rng.random() < 0.5:
+            rows = [f'<tr><td colspan="2">{menu}</td></tr>', f"<tr><td>{article()}</td></tr>"]
+        if rng.random() < 0.6:
+            rows.append(f"<tr><td>{OTHER}&copy; {words(1, 8)}</td></tr>")
+        return f"<html><body><table>{''.join(rows)}</table></body></html>"
+
+    boxes, layout = _BOXES, rng.random()
+    if layout < 0.1:
+        return bare()
+    if layout < 0.16:
+        boxes = ["", "", "div"]
+        return cells()
+    if layout < 0.22:  # nothing but divisions
+        boxes = ["", "div"]
+        top = " ".join(f'<a href="/x">{OTHER}{words(1, 3)}</a>' for _ in range(rng.randint(2, 8)))
+        tail = f"<div>{OTHER}&copy; {words(1, 8)}</div>" * (rng.random() < 0.7)
+        return f"<html><body><div>{top}</div>{article()}{tail}</body></html>"
     head = [f"<header>{OTHER}{words(1, 4)}</header>"] if rng.random() < 0.4 else []
     if rng.random() < 0.85:
         head.append(f"<nav><ul>{links('li', rng.randint(2, 8))}</ul></nav>")
