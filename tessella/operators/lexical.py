@@ -8,8 +8,8 @@ negative of the sum is the rank (smaller is better).  All phrases of a query mus
 one without a word matches nothing.
 
 Every text is tokenised once: of its words only those that stand in an asked phrase go
-on to the shuffle (Spark sends a small set of phrases to the scans by itself, a large one
-meets them by a join), and one row of each chunk carries its length, from which the
+on to the shuffle (a short list of phrases is part of the expression, a long one meets
+the words in a join), and one row of each chunk carries its length, from which the
 number of chunks and their mean length are summed.
 """
 
@@ -23,6 +23,8 @@ from tessella.functions import text as X
 from .keep import kept
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: So many phrases go to the texts as a list.
+FEW = 5_000
 # The fields of the text index and their weights.
 WEIGHTS = {"identifier": 12.0, "title": 6.0, "heading": 4.0, "aliases": 10.0, "content": 1.0, "path": 2.0}
 
@@ -39,9 +41,9 @@ def phrases(queries: DataFrame) -> DataFrame:
 
 
 def spread(chunks: DataFrame) -> DataFrame:
-    """``chunks`` over all cores where the files are too few for that; tables of many files stay as they are read."""
+    """``chunks`` over all cores where they lie in fewer files than that; tables of many files stay as they are read."""
     cores = chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
+    return chunks.repartition(cores) if 0 < len(chunks.inputFiles()) < cores else chunks
 
 
 def fields(chunks: DataFrame) -> DataFrame:
@@ -58,24 +60,56 @@ def _runs(words: Column, size: int) -> Column:
     return out
 
 
+def _few(wanted: DataFrame) -> list[str] | None:
+    """The phrases asked for, if they are no more than FEW; else None."""
+    found = wanted.filter("size > 0").select("phrase").distinct().limit(FEW + 1).collect()
+    return [r.phrase for r in found] if len(found) <= FEW else None
+
+
+def _among(texts: Column, some: list[str]) -> Column:
+    return F.filter(texts, lambda x: x.isin(some))
+
+
+def _asked_runs(words: Column, few: list[str]) -> Column:
+    """Where asked phrases stand in ``words``: their texts, one for each place."""
+    out = []
+    for size in sorted({len(p.split(" ")) for p in few}):
+        own = [p for p in few if len(p.split(" ")) == size]
+        runs = words
+        if size > 1:  # rows are put together only where a first word stands
+            first = F.array(*[F.lit(w) for w in sorted({p.split(" ")[0] for p in own})])
+            runs = F.when(F.arrays_overlap(words, first), _runs(words, size)).otherwise(F.array().cast("array<string>"))
+        out.append(_among(runs, own))
+    return F.concat(*out) if out else F.array().cast("array<string>")
+
+
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, length, frequency); for the phrases of ``wanted`` (phrase, size) only if given, and then with one row of term '' for each chunk."""
-    # as many numbers as phrases have lengths: one or two
-    sizes = [1] if wanted is None else sorted(r["size"] for r in wanted.filter("size > 0").select("size").distinct().collect()) or [1]
+    """(term, chunk_id, length, frequency); for the phrases of ``wanted`` (phrase, size) only if given, and then with one row of term '' for each chunk.
+
+    A list of at most FEW phrases goes to the texts, so that nothing else leaves them; a longer one meets
+    their words in a join.
+    """
     words = fields(spread(chunks))
     length = sum((F.size(c) for c in list(WEIGHTS)[1:]), F.size(list(WEIGHTS)[0]))
+    few = None if wanted is None else _few(wanted)
+    # as many numbers as phrases have lengths: one or two
+    sizes = [1] if wanted is None or few is not None else sorted(r["size"] for r in wanted.filter("size > 0").select("size").distinct().collect())
 
     def weighted(c: str, weight: float) -> Column:
-        every = _runs(F.col(c), sizes[0]) if len(sizes) == 1 else F.concat(*[_runs(F.col(c), s) for s in sizes])
+        if few is not None:
+            every = _asked_runs(F.col(c), few)
+        else:
+            every = _runs(F.col(c), sizes[0]) if len(sizes) == 1 else F.concat(*[_runs(F.col(c), s) for s in sizes])
         return F.transform(every, lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
 
     every = F.flatten(F.array(*[weighted(c, w) for c, w in WEIGHTS.items()]))
     if wanted is not None:
         every = F.concat(every, F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))))
-    # below the generator, so that a text is tokenised once and not once for each of its words
+    # below the generator, so that a text is tokenised once and not once for each of its words; an outer one,
+    # as of any other Spark asks beforehand whether the array is empty and tokenises twice, before texts are spread
     counted = words.select("chunk_id", length.alias("length"), every.alias("all"))
-    rows = counted.select("chunk_id", "length", F.explode("all").alias("p")).select("chunk_id", "length", "p.term", "p.w")
-    if wanted is not None:
+    rows = counted.select("chunk_id", "length", F.explode_outer("all").alias("p")).select("chunk_id", "length", "p.term", "p.w").filter("term IS NOT NULL")
+    if wanted is not None and few is None:
         lengths = wanted.sparkSession.range(1).select(F.lit("").alias("term"))
         rows = rows.join(wanted.filter("size > 0").select(F.col("phrase").alias("term")).distinct().unionByName(lengths), "term", "left_semi")
     return rows.groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("frequency"))

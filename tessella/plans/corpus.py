@@ -85,7 +85,8 @@ class Corpus:
     def identifiers(self) -> DataFrame:
         """Every word of a chunk names it; the first is the primary one, the third stands for a derived alias."""
         found = F.regexp_extract_all("content", F.lit(WORDS), F.lit(0))
-        rows = self.chunks.select("chunk_id", "document_id", F.posexplode(F.array_distinct(found)).alias("pos", "identifier"))
+        # outer, or Spark finds the words once more beforehand, to tell whether there are any
+        rows = self.chunks.select("chunk_id", "document_id", F.posexplode_outer(F.array_distinct(found)).alias("pos", "identifier")).filter("pos IS NOT NULL")
         return rows.select(
             "chunk_id",
             "document_id",
