@@ -1,6 +1,7 @@
 """op11 against brute force: whole texts through both libraries, groups and counts in plain Python."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -78,29 +79,53 @@ def test_odd_texts(spark, pair):
 def test_units_have_the_tokens_of_whole_texts(pair, spark):
     texts = [*ODD, *(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())]
     texts = [t for t in texts if t]
-    a, b = pair.tokens(pa.array(texts))
-    for k, text in enumerate(texts):
-        ids = [x & align.ID for x in a[k].as_py()]
-        if ids:
-            assert ids == pair.first.encode(" " + text, add_special_tokens=False).ids
-            assert [x & align.ID for x in b[k].as_py()] == pair.second.encode(text)
-
-
-def test_no_piece_crosses_a_cut_of_units(pair):
+    place, of_text, count, good = pair.units(pa.array(texts))
+    tokens = [[[x & align.ID for x in t] for t in pair.lists(side, place).to_pylist()] for side in (0, 1)]
+    assert len(place) < 0.5 * len(of_text)
+    at = 0
+    for text, n, ok in zip(texts, count.tolist(), good.tolist(), strict=True):
+        own = of_text[at : at + n].tolist()
+        at += n
+        want = pair.first.encode(" " + text, add_special_tokens=False).ids, pair.second.encode(text)
+        assert ok == (b"".join(pair.bytes_b[x] for x in want[1]) == (" " + text).encode())
+        for side in (0, 1) if ok else ():
+            assert [x for u in own for x in tokens[side][u]] == want[side]
+
+
+def test_random_texts_are_cut_where_tokens_end(pair):
+    rng = random.Random(11)
+    bits = ["word", "Don", "'", "'s", "###", "!!!", "!", "$9", "12", ",", ".", "é", "ß", "×", "Ã", " ", "  ", "\n", "\t", "\u00a0", "x", "_", "(", ")", "--", "\u2581", "漢", "</s>", "#", "0x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    place, of_text, count, good = pair.units(pa.array(texts))
+    tokens = [[[x & align.ID for x in t] for t in pair.lists(side, place).to_pylist()] for side in (0, 1)]
+    at = 0
+    for text, n, ok in zip(texts, count.tolist(), good.tolist(), strict=True):
+        own = of_text[at : at + n].tolist()
+        at += n
+        want = pair.first.encode(" " + text, add_special_tokens=False).ids, pair.second.encode(text)
+        assert ok == all(b"".join(t[x] for x in w) == (" " + text).encode() for t, w in zip((pair.bytes_a, pair.bytes_b), want, strict=True)), text
+        for side in (0, 1) if ok else ():
+            assert [x for u in own for x in tokens[side][u]] == want[side], text
+
+
+def test_no_piece_crosses_a_cut_at_a_space(pair):
     """No piece of B has a space behind another character."""
     assert not [p for p in pair.bytes_b if b" " in p.lstrip(b" ")]
 
 
-def test_tokens_are_never_shuffled(spark):
-    """Every exchange of the plans carries texts, id pairs of blocks or counts."""
+def test_tokens_and_cuts_are_never_shuffled(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = align.Kept(spark, 4)
     labels = align.block_labels(spark, 4)
     with align.settings(spark):
         rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select(F.get(F.array(*map(F.lit, labels)), (F.col("row") % 4).cast("int")).cast("long").alias("block"), "*")
-        tokens = kept.put(rows.repartition(4, "block").mapInArrow(align.tokenised(*token_paths()), align.TOKENS), "tokens")
-        plan = align.cut_lists(tokens)._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        cuts = kept.put(align.cut_lists(tokens), "cuts")
-        assert "Exchange" not in align.pairs_of(tokens.join(cuts.hint("merge"), ["block", "row"], "left"))._jdf.queryExecution().executedPlan().toString()
+        both = kept.put(rows.repartition(4, "block").sortWithinPartitions("block").mapInArrow(align.numbered(*token_paths()), align.UNITS), "units")
+        texts, units = both.filter("row IS NOT NULL").select("block", "row", "doc_id", "units"), both.filter("unit IS NOT NULL").select("block", "unit", "a", "b")
+        plans = [align.cut_lists(units)]
+        units = units.join(kept.put(plans[0], "cuts").hint("merge"), ["block", "unit"])
+        pairs = kept.put(align.pairs_of(units), "pairs")
+        plans += [align.pairs_of(units), align.held_pairs(texts, pairs)]
+        for p in plans:
+            plan = p._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan and "Exchange" not in plan
     kept.drop()
