@@ -50,6 +50,7 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = 1, limit: int = 4
         order = Window.partitionBy("query_id").orderBy("relation", *ends)
         met = met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit + 1).withColumn("pos", F.col("have") + F.col("r")).filter(F.col("pos") <= limit + 1)
         now = met.select(*key, *ends, F.lit(step).alias("depth"), "d", "pos")
+        now = kept(now) if step < depth else now  # at most one row beyond the limit of each query; the next step reads it four times
         full = now.filter(F.col("pos") > limit).select("query_id").distinct()
         nodes = now.select("query_id", F.explode(F.array("f", "t")).alias("node")).distinct()
         found = now if found is None else found.unionByName(now)
@@ -107,7 +108,8 @@ def alias_chains(properties: DataFrame, members: DataFrame, most: int = MAX_CHAI
         made = level.join(m, "target").select(F.concat("prefix", F.lit("."), "suffix").alias("alias"), "member", "next", *more).filter("lower(alias) <> lower(member)")
         rows = made.select("alias", "member", *more, F.lit(step).alias("depth"))
         out = rows if out is None else out.unionByName(rows)
-        level = made.filter("next is not null").select(F.col("alias").alias("prefix"), F.col("next").alias("target")).distinct()
+        if step < most:  # kept, or each step would make all those before it again
+            level = kept(made.filter("next is not null").select(F.col("alias").alias("prefix"), F.col("next").alias("target")).distinct())
     return out.groupBy("alias", "member", *more).agg(F.min("depth").alias("depth"))
 
 
@@ -121,16 +123,17 @@ def derive_aliases(identifiers: DataFrame, edges: DataFrame, chunks: DataFrame,
     identifiers, edges = reset_derived(identifiers, edges)
     api = identifiers.join(chunks.select("chunk_id", "document_id", "content").join(documents.filter("kind = 'api'").select("document_id"), "document_id").drop("document_id"), "chunk_id")
     own = api.filter("is_primary = 1").withColumn("owner", X.member_owner(F.col("identifier"))).withColumn("suffix", X.member_leaf(F.col("identifier"))).filter("owner is not null")
-    types = property_types(own, api.filter("is_primary = 0").select("chunk_id", "identifier"))
+    types = kept(property_types(own, api.filter("is_primary = 0").select("chunk_id", "identifier")))  # read by every step and both results
     leads = types.select("normalized", F.col("target_normalized").alias("target"))
     members = own.join(leads, "normalized", "left").select(X.normalize_identifier(F.col("owner")).alias("owner"), "suffix", F.col("identifier").alias("member"), "target", "chunk_id", "identifier_kind")
+    members = kept(members)
     chains = alias_chains(types.select(F.col("property").alias("prefix"), F.col("target_normalized").alias("target")), members)
     derived = chains.select(
         "chunk_id", F.col("alias").alias("identifier"), X.normalize_identifier(F.col("alias")).alias("normalized"), X.identifier_leaf(F.col("alias")).alias("leaf_name"), "identifier_kind",
         F.lit(0).alias("is_primary"), F.lit("derived-chain").alias("alias_type"), "member", "depth",
     )
     first = Window.partitionBy("chunk_id", "normalized").orderBy("depth", "identifier")
-    derived = derived.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
+    derived = kept(derived.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r"))
     if derived.limit(most + 1).count() > most:
         raise ValueError(f"ALIAS_LIMIT_EXCEEDED: more than {most} aliases")
     made = types.select(F.col("property").alias("from_identifier"), F.lit("property_type").alias("relation"), F.col("target").alias("to_identifier"), "chunk_id")
@@ -161,5 +164,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.filter("old <> component").limit(1).count()
         labels = new.select("id", "component")
         if not changed:
-            break
-    return labels
+            return labels
+    raise ValueError(f"components still change after {rounds} rounds")

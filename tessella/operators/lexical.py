@@ -115,19 +115,57 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("term", "chunk_id", "length").agg(F.sum("w").alias("frequency"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks that hold all phrases of a query."""
-    asked = phrases(queries)
-    found = kept(postings(chunks, asked))  # read three times
-    corpus = found.filter("term = ''").agg(F.count("*").alias("n_all"), F.avg("length").alias("average"))  # one row
-    held = found.filter("term <> ''")
+def places(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, document_id, length, frequency, places) of every word: where it stands, as field * 2 ** 24 + place; one row of term '' for each chunk."""
+    words = fields(spread(chunks.select("chunk_id", "document_id", *[c for c in WEIGHTS if c in chunks.columns])).withColumn("chunk_id", F.struct("chunk_id", "document_id")))
+    length = sum((F.size(c) for c in list(WEIGHTS)[1:]), F.size(list(WEIGHTS)[0]))
+
+    def placed(k: int, c: str, weight: float) -> Column:
+        return F.transform(F.col(c), lambda x, i: F.struct(x.alias("term"), F.lit(weight).alias("w"), (i + F.lit(k << 24)).alias("at")))
+
+    none = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(None).cast("int").alias("at")))
+    every = F.concat(none, *[placed(k, c, w) for k, (c, w) in enumerate(WEIGHTS.items())])
+    rows = words.select("chunk_id", length.alias("length"), every.alias("all")).select("chunk_id", "length", F.explode_outer("all").alias("p")).select("chunk_id.*", "length", "p.*")
+    return rows.groupBy("term", "chunk_id", "document_id", "length").agg(F.sum("w").alias("frequency"), F.sort_array(F.collect_list("at")).alias("places"))
+
+
+def scored(asked: DataFrame, held: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks that hold all phrases of a query; held: (term, chunk_id, length, frequency), corpus: one row (n_all, average)."""
     seen = held.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = seen.crossJoin(F.broadcast(corpus)).select("term", "average", F.when(idf > 0, idf).otherwise(F.lit(FLOOR)).alias("idf"))
     f, norm = F.col("frequency"), 1 - B + B * F.col("length") / F.col("average")
     part = held.join(weight, "term").join(asked.filter("size > 0").withColumnRenamed("phrase", "term"), "term")
-    scored = part.groupBy("query_id", "chunk_id", "terms").agg(F.sum("times").alias("hits"), (-F.sum(F.col("times") * F.col("idf") * f * (K1 + 1) / (f + K1 * norm))).alias("score"))
-    return scored.filter("hits = terms").select("query_id", "chunk_id", "score")
+    sums = part.groupBy("query_id", "chunk_id", "terms").agg(F.sum("times").alias("hits"), (-F.sum(F.col("times") * F.col("idf") * f * (K1 + 1) / (f + K1 * norm))).alias("score"))
+    return sums.filter("hits = terms").select("query_id", "chunk_id", "score")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks that hold all phrases of a query."""
+    asked = phrases(queries)
+    found = kept(postings(chunks, asked))  # read three times
+    corpus = found.filter("term = ''").agg(F.count("*").alias("n_all"), F.avg("length").alias("average"))  # one row
+    return scored(asked, found.filter("term <> ''"), corpus)
+
+
+def bm25_stored(queries: DataFrame, store) -> DataFrame:
+    """The same out of a stored index (``sources.segments.Store``), of which the buckets of the asked words are read and no text.
+
+    A phrase stands where its words do, each one place further than the one before: the places
+    less the number of the word are the same for all.
+    """
+    spark = queries.sparkSession
+    asked = kept(phrases(queries))
+    words = asked.filter("size > 0").select("phrase", "size").distinct().select("phrase", "size", F.posexplode(F.split("phrase", " ")).alias("k", "term"))
+    rows = kept(store.postings(words.select("term")))
+    single = words.filter("size = 1").select("term").join(rows, "term").select("term", "chunk_id", "length", "frequency")
+    each = words.filter("size > 1").join(rows, "term").select("phrase", "size", "chunk_id", "length", "k", F.explode("places").alias("at"))
+    begins = each.groupBy("phrase", "size", "chunk_id", "length", (F.col("at") - F.col("k")).alias("begin")).agg(F.count("*").alias("n")).filter("n = size")
+    weight = F.array(*[F.lit(w) for w in WEIGHTS.values()])[F.shiftright("begin", 24)]
+    rest = begins.groupBy(F.col("phrase").alias("term"), "chunk_id", "length").agg(F.sum(weight).alias("frequency"))
+    n, average = store.corpus()
+    corpus = spark.range(1).select(F.lit(n).alias("n_all"), F.lit(average).alias("average"))
+    return scored(asked, kept(single.unionByName(rest)), corpus)
 
 
 def ranked(scores: DataFrame, most: int) -> DataFrame:

@@ -18,8 +18,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def removed(tables: dict[str, DataFrame], gone: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:
-    """Every table without the rows of the keys that are gone; tables without the key stay."""
-    return {name: t.join(gone.select(key).distinct(), key, "left_anti") if key in t.columns else t for name, t in tables.items()}
+    """Every table without the rows of the keys that are gone, and without what hangs on those: with a document go its chunks, with a chunk the edges read in it.
+
+    A table without the key that has chunk_id follows the chunks.  An edge that several
+    chunks give has a row for each, and stays until the last of them goes; edges that no chunk gives stay.
+    """
+    ids = gone.select(key).distinct()
+    out = {name: t.join(ids, key, "left_anti") if key in t.columns else t for name, t in tables.items()}
+    if key != "chunk_id" and "chunks" in tables and key in tables["chunks"].columns:
+        lost = tables["chunks"].join(ids, key, "left_semi").select("chunk_id")
+        out |= {name: t.join(lost, "chunk_id", "left_anti") for name, t in out.items() if key not in t.columns and "chunk_id" in t.columns}
+    return out
 
 
 def replaced(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -93,7 +102,7 @@ def update(old: dict[str, DataFrame], sources: DataFrame, documents: DataFrame,
 
 
 def validate(tables: dict[str, DataFrame], text_index: DataFrame | None = None) -> DataFrame:
-    """One row: rows of each table, orphans, rows the text index (chunk_id) lacks or has too many, repeated ids, errors and ok."""
+    """One row: rows of each table, orphans (edges too, whose chunk is gone), rows the text index (chunk_id) lacks or has too many, repeated ids, errors and ok."""
     ids = {"sources": "source_id", "documents": "document_id", "chunks": "chunk_id"}
 
     def count(df: DataFrame, name: str) -> DataFrame:
@@ -103,8 +112,8 @@ def validate(tables: dict[str, DataFrame], text_index: DataFrame | None = None)
         key = ids[parent]
         return tables[child].filter(F.col(key).isNotNull()).join(tables[parent].select(key), key, "left_anti")
 
-    parts = [count(t, n) for n, t in tables.items() if n in (*ids, "identifiers")]
-    parts += [count(orphans(c, p), f"orphan_{c}") for c, p in (("documents", "sources"), ("chunks", "documents"), ("identifiers", "chunks")) if c in tables and p in tables]
+    parts = [count(t, n) for n, t in tables.items() if n in (*ids, "identifiers", "edges")]
+    parts += [count(orphans(c, p), f"orphan_{c}") for c, p in (("documents", "sources"), ("chunks", "documents"), ("identifiers", "chunks"), ("edges", "chunks")) if c in tables and p in tables and ids[p] in tables[c].columns]
     parts += [count(tables[n].groupBy(k).count().filter("count > 1"), f"repeated_{n}") for n, k in ids.items() if n in tables]
     if text_index is not None:
         parts += [count(text_index, "indexed"), count(tables["chunks"].join(text_index.select("chunk_id"), "chunk_id", "left_anti"), "missing_in_index"), count(text_index.join(tables["chunks"].select("chunk_id"), "chunk_id", "left_anti"), "orphans_in_index")]

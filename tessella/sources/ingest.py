@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,13 @@ def _attribute(names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(F.col("attributes")[n], F.lit("")) for n in names])
 
 
-def ingest(files: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+def ingest(files: DataFrame, sources: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda parsed: parsed) -> dict[str, DataFrame]:
     """documents, chunks, identifiers and bad_files of (source_id, path, content, ...) files.
 
     sources: (source_id, channel, ...).  Versions given with a file (columns api_version,
     product_version) go before those of its head.  A document is experimental if all its
-    chunks are.  Cut the lineage of the results, or write them, before they are used
-    more than once: all come from one parse.
+    chunks are.  All tables come from one parse: ``keep`` writes it (or gives it back as it
+    is) before they are made of it; without that each table that is used parses again.
     """
     for name in ("api_version", "product_version"):
         files = files if name in files.columns else files.withColumn(name, F.lit(None).cast("string"))
@@ -37,7 +39,7 @@ def ingest(files: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
         "channel", "api_version", "product_version", X.sha256_text(F.coalesce("content", F.lit(""))).alias("document_hash"), "content",
     )
     # a path may stand in several sources: the id goes through the parser as a folder around it
-    parsed = parsers.parse_files(about.select(F.concat_ws("/", "document_id", "path").alias("path"), "content"))
+    parsed = keep(parsers.parse_files(about.select(F.concat_ws("/", "document_id", "path").alias("path"), "content")))
     parsed = parsed.withColumn("document_id", F.substring_index("path", "/", 1)).withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
     chunks = parsers.good(parsed)
     heads = chunks.groupBy("document_id").agg(
