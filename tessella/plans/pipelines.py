@@ -14,12 +14,12 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 from tessella.operators import lexical, lookup, search, vectors
 from tessella.operators.options import SearchOptions, query_error
-from tessella.sources import files, identifiers, ingest, parsers, sinks
-from tessella.streaming import rate
+from tessella.sources import build, files, identifiers, ingest, parsers, segments, sinks
+from tessella.streaming import rate, refresh
 
 from .corpus import Corpus, duck
 from .relational import ASKED, EXACT_ORDER, JOINED
-from .retrieval import FTS, _ids
+from .retrieval import _BM, _P, _RANK, FTS, _ids
 from .scalars import SAMPLES, _values
 
 SAMPLES_ROOT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "samples")
@@ -88,14 +88,38 @@ def _backup(c: Corpus):
     return c.spark.read.parquet(f"{target}/{name}/sources").select("source_id")
 
 
+def _plain_files(c: Corpus):
+    """The documents as files of plain text."""
+    return c.documents.select("doc_id", "source_id", F.regexp_replace("path", "md$", "txt").alias("path"), F.col("text").alias("content"))
+
+
+def _rebuilt(c: Corpus):
+    """Files to a published and checked index; what it holds of each source."""
+    tables = build.rebuild(c.spark, _scratch(c.spark), _plain_files(c).drop("doc_id"), c.sources)
+    chunks = tables["chunks"].join(tables["documents"].select("document_id", "source_id"), "document_id").groupBy("source_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+    return tables["documents"].groupBy("source_id").agg(F.count("*").alias("documents")).join(chunks, "source_id")
+
+
 def _refresh(c: Corpus):
+    """Two batches of changed files through a stream into an index: new ones, others with another text, others deleted."""
     root = _scratch(c.spark)
-    target = f"{root}/out"
-    source = f"{root}/in"
-    c.table("events").select("event_id", "event_type").write.parquet(source)
-    q = rate.refresh_stream(c.spark, source, "event_id long, event_type string", lambda df, i: df.write.mode("append").parquet(target), f"{root}/state")
-    q.awaitTermination()
-    return c.spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"))
+    files = _plain_files(c)
+    first = files.filter("doc_id % 3 <> 0").withColumn("at", F.lit(1).cast("long"))
+    text = F.when(F.col("doc_id") % 10 != 7, F.when(F.col("doc_id") % 3 == 0, F.col("content")).otherwise(F.concat("content", F.lit(" changed"))))
+    second = files.filter("doc_id % 3 = 0 OR doc_id % 9 = 1 OR doc_id % 10 = 7").withColumn("content", text).withColumn("at", F.lit(2).cast("long"))
+    for rows in (first, second):
+        rows.drop("doc_id").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    refresh.refresh(c.spark, f"{root}/in", f"{root}/index", f"{root}/state", c.sources, files_per_batch=1).awaitTermination()
+    return segments.Store(c.spark, f"{root}/index").table("documents").select("source_id", "path", "content_hash")
+
+
+def stored_index(c: Corpus) -> segments.Store:
+    """The text index of all chunks, written by two runs, of which the second replaces a quarter of the documents and adds a quarter."""
+    store = segments.Store(c.spark, _scratch(c.spark))
+    ids = c.documents.select("doc_id", "document_id")
+    for rest, gone in (("doc_id % 4 <> 0", None), ("doc_id % 4 < 2", ids.filter("doc_id % 4 = 1").select("document_id"))):
+        store.commit({"documents": c.documents.filter(rest).drop("text"), "text": c.chunks.filter(rest)}, gone)
+    return store
 
 
 def _vector_tables(c: Corpus):
@@ -265,8 +289,19 @@ PAIRS = {
     "semantic_guard": (_c(_semantic_guard), "SELECT * FROM (VALUES ('fits', 'ok'), ('model', 'SEMANTIC_MODEL_MISMATCH'), ('size', 'SEMANTIC_DIMENSION_MISMATCH'), ('stale', 'SEMANTIC_INDEX_STALE')) t(name, outcome)"),
     "semantic_meta": (_c(lambda c: vectors.meta(c.table("embeddings"), "m", "f")), "SELECT 'schema_version' AS key, '1' AS value UNION ALL SELECT 'model', 'm' UNION ALL SELECT 'core_fingerprint', 'f' UNION ALL SELECT 'dimensions', max(len(embedding))::VARCHAR FROM embeddings UNION ALL SELECT 'vectors', count(*)::VARCHAR FROM embeddings"),
     # maintenance and streams
-    "rebuild_full": (_c(lambda c: c.chunks.groupBy("source_id").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("chunks"))), duck("SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM c_chunks GROUP BY source_id")),
+    "rebuild_full": (_c(_rebuilt), duck("SELECT source_id, count(*) AS documents, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM c_documents GROUP BY source_id")),
+    "stored_bm25": (
+        _c(lambda c: lexical.ranked(lexical.bm25_stored(c.asked, stored_index(c)), 50).select("query_id", "chunk_id", "pos", F.round("score", 6).alias("score"))),
+        duck(f"WITH {_BM} SELECT query_id, chunk_id, r::INT AS pos, round(score, 6) AS score FROM (SELECT *, {_RANK} AS r FROM bm) WHERE r <= 50"),
+    ),
+    "stored_postings": (
+        _c(lambda c: stored_index(c).postings(c.asked.select(F.explode(X.fts_tokens(F.col("query"))).alias("term"))).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("frequency").alias("weight"), F.sum(F.size("places")).cast("long").alias("places"))),
+        duck(f"SELECT term, count(DISTINCT chunk_id) AS chunks, sum(w)::DOUBLE AS weight, count(*) AS places FROM ({_P}) WHERE term IN (SELECT unnest({FTS.format('query').replace('{{', '{').replace('}}', '}')}) FROM c_asked) GROUP BY term"),
+    ),
     "rate_limit_windows": (_c(lambda c: rate.rate_limited(c.table("events"), 1)), None),
     "tumbling_counts": (_c(lambda c: rate.tumbling_counts(c.table("events"))), "SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
-    "incremental_refresh": (_c(_refresh), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
+    "incremental_refresh": (
+        _c(_refresh),
+        duck("SELECT source_id, regexp_replace(path, 'md$', 'txt') AS path, 'sha256:' || sha256(text || CASE WHEN doc_id % 3 <> 0 AND doc_id % 9 = 1 THEN ' changed' ELSE '' END) AS content_hash FROM c_documents WHERE doc_id % 10 <> 7"),
+    ),
 }

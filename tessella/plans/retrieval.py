@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules as Y
 from tessella.functions import text as X
-from tessella.operators import duplicates, fetch, graph, lexical, quality_metrics, search, vectors, versions
+from tessella.operators import choice, duplicates, fetch, graph, lexical, quality_metrics, search, vectors, versions
 from tessella.operators.options import SearchOptions
 
 from .corpus import Corpus, duck
@@ -123,6 +123,32 @@ def budget_fetch(c: Corpus, budget: int = 1000):
     return rows.select("document_id", "chunk_id", F.when(F.length("content") <= F.col("left"), F.col("content")).otherwise(cut).alias("content"))
 
 
+def _candidates(c: Corpus):
+    """The best chunks of each query by text, and whether one carries the query's first word as its identifier."""
+    best = lexical.ranked(lexical.bm25(c.queries, c.chunks), 50).select("query_id", "chunk_id", "pos")
+    words = c.queries.select("query_id", F.split("query", " ")[0].alias("normalized"))
+    named = words.join(c.identifiers.select("normalized", "chunk_id"), "normalized").select("query_id", "chunk_id", F.lit(True).alias("exact")).distinct()
+    rows = best.join(named, ["query_id", "chunk_id"], "left").join(c.chunks.select("chunk_id", "document_id", "content"), "chunk_id")
+    return rows.withColumn("exact", F.coalesce("exact", F.lit(False)) & (F.col("pos") % 2 == 0))
+
+
+def _chosen_sql(limit: int, budget: int) -> str:
+    """The choice step by step, by recursion over the ranks."""
+    left = f"least(1600, {budget} - s.used)"
+    size = f"CASE WHEN length(c.content) <= {left} THEN length(c.content) ELSE length(regexp_replace(substr(c.content, 1, {left} - 1), '\\s+$', '')) + 1 END"
+    take = f"(len(s.docs) < {limit} AND {budget} - s.used >= 200 AND (c.exact OR len(list_filter(s.docs, lambda d: d = c.document_id)) < 2))"
+    return f"""WITH RECURSIVE {_bm("c_queries")}, r AS (SELECT query_id, chunk_id, {_RANK} AS pos FROM bm),
+c AS (SELECT r.query_id, r.pos, r.chunk_id, k.document_id, k.content, r.pos % 2 = 0 AND EXISTS (SELECT 1 FROM c_identifiers i JOIN c_queries q ON i.normalized = split_part(q.query, ' ', 1) WHERE q.query_id = r.query_id AND i.chunk_id = r.chunk_id) AS exact FROM r JOIN c_chunks k USING (chunk_id) WHERE r.pos <= 50),
+s AS (SELECT query_id, 0::BIGINT AS pos, []::VARCHAR[] AS docs, 0::BIGINT AS used, false AS taken, 0::BIGINT AS chars, '' AS chunk_id FROM (SELECT DISTINCT query_id FROM c)
+ UNION ALL SELECT s.query_id, c.pos, CASE WHEN {take} THEN list_append(s.docs, c.document_id) ELSE s.docs END, s.used + CASE WHEN {take} THEN {size} ELSE 0 END, {take}, {size}, c.chunk_id FROM s JOIN c ON c.query_id = s.query_id AND c.pos = s.pos + 1)
+SELECT query_id, len(docs)::INT AS place, pos::INT AS pos, chunk_id, chars::INT AS chars FROM s WHERE taken"""
+
+
+def _chosen(limit: int, budget: int):
+    query = _c(lambda c: choice.chosen(_candidates(c), limit, budget).select("query_id", "place", "pos", "chunk_id", F.length("text").alias("chars")))
+    return query, duck(_chosen_sql(limit, budget))
+
+
 def _knn(c: Corpus):
     e = c.table("embeddings")
     return vectors.knn_cosine(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 40).select("query_id", "vec_id", "pos")
@@ -322,6 +348,8 @@ PAIRS = {
             "SELECT document_id, chunk_id, CASE WHEN length(content) <= lft THEN content ELSE regexp_replace(substr(content, 1, (lft - 1)::BIGINT), '\\s+$', '') || '…' END AS content FROM (SELECT *, 1000 - coalesce(sum(length(content)) OVER (PARTITION BY document_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM c_chunks) WHERE lft > 0"
         ),
     ),
+    "choose_results": _chosen(10, 9800),
+    "choose_results_tight": _chosen(6, 900),
     "running_char_budget": (
         _c(lambda c: c.chunks.withColumn("total", F.sum(F.least(F.length("content"), F.lit(1600))).over(Window.partitionBy("document_id").orderBy("ordinal"))).filter("total <= 9800").select("document_id", "chunk_id", "total")),
         duck("SELECT document_id, chunk_id, total::BIGINT AS total FROM (SELECT *, sum(least(length(content), 1600)) OVER (PARTITION BY document_id ORDER BY ordinal) AS total FROM c_chunks) WHERE total <= 9800"),

@@ -17,11 +17,24 @@ def _c(f):
     return lambda spark, sf_dir: f(Corpus(spark, sf_dir))
 
 
+def _mentions(chunks):
+    """Edges read in chunks: the name of each, and the source that it is of; many chunks give the same one."""
+    return chunks.filter("identifier IS NOT NULL").select(F.col("identifier").alias("from_identifier"), F.lit("mentions").alias("relation"), F.col("source_id").alias("to_identifier"), "chunk_id")
+
+
 def _tables(c: Corpus) -> dict:
-    edges = c.edges.withColumn("chunk_id", F.lit(None).cast("string"))
+    edges = c.edges.withColumn("chunk_id", F.lit(None).cast("string")).unionByName(_mentions(c.chunks))
     return {"sources": c.sources, "documents": c.documents, "chunks": c.chunks, "identifiers": c.identifiers, "edges": edges}
 
 
+def _by_edge(edges):
+    return edges.groupBy("from_identifier", "relation", "to_identifier").agg(F.count("*").alias("n"))
+
+
+#: The edges of chunks of some documents, and those that no chunk gives.
+_EDGES = "SELECT from_identifier, relation, to_identifier, count(*) AS n FROM (SELECT identifier AS from_identifier, 'mentions' AS relation, source_id AS to_identifier FROM c_chunks WHERE identifier IS NOT NULL AND {} UNION ALL SELECT * FROM c_edges) GROUP BY ALL"
+
+
 def _old(c: Corpus) -> dict:
     """The index before the update: an eleventh of the documents is new since."""
     gone = c.documents.filter("doc_id % 11 = 3").select("document_id")
@@ -33,12 +46,17 @@ def _found(c: Corpus):
     return c.documents.filter("doc_id % 11 <> 7").withColumn("content_hash", F.when(F.col("doc_id") % 9 == 0, "new").otherwise(F.col("content_hash")))
 
 
-def _update(c: Corpus):
+def _update(c: Corpus, derive: bool = False):
     def parse(changed):
         ids = changed.select("document_id")
-        return {"chunks": c.chunks.join(ids, "document_id", "left_semi").withColumn("lifecycle", F.lit("parsed")), "identifiers": c.identifiers.join(ids, "document_id", "left_semi")}
+        chunks = c.chunks.join(ids, "document_id", "left_semi").withColumn("lifecycle", F.lit("parsed"))
+        return {"chunks": chunks, "identifiers": kinds(c.identifiers.join(ids, "document_id", "left_semi")), "edges": _mentions(chunks)}
+
+    def kinds(identifiers):
+        return identifiers.withColumn("identifier_kind", F.lit("unknown")) if derive else identifiers
 
-    return maintenance.update(_old(c), c.sources, _found(c), parse)
+    old = _old(c)
+    return maintenance.update({**old, "identifiers": kinds(old["identifiers"])}, c.sources, _found(c), parse)
 
 
 def _api_names(c: Corpus) -> dict:
@@ -101,6 +119,16 @@ PAIRS = {
         _c(lambda c: _update(c)[0]["chunks"].select("document_id", "chunk_id", F.when(F.col("lifecycle") == "parsed", "parsed").otherwise("kept").alias("origin"))),
         duck("SELECT document_id, chunk_id, CASE WHEN doc_id % 11 = 3 OR doc_id % 9 = 0 THEN 'parsed' ELSE 'kept' END AS origin FROM c_chunks WHERE doc_id % 11 <> 7"),
     ),
+    "update_edges": (_c(lambda c: _by_edge(_update(c)[0]["edges"])), duck(_EDGES.format("doc_id % 11 <> 7"))),
+    "update_identifiers": (
+        _c(lambda c: _update(c, derive=True)[0]["identifiers"].select("chunk_id", "normalized", "is_primary")),
+        duck("SELECT i.chunk_id, i.normalized, i.is_primary FROM c_identifiers i JOIN c_documents d USING (document_id) WHERE d.doc_id % 11 <> 7 AND i.alias_type <> 'derived-chain'"),
+    ),
+    "removed_edges": (_c(lambda c: _by_edge(maintenance.removed(_tables(c), c.documents.filter("doc_id % 10 = 1").select("document_id"))["edges"])), duck(_EDGES.format("doc_id % 10 <> 1"))),
+    "stale_edges": (
+        _c(lambda c: maintenance.validate({"chunks": c.chunks.filter("doc_id % 10 <> 1"), "edges": _tables(c)["edges"]}).select("ok", F.explode("errors").alias("error"))),
+        duck("SELECT false AS ok, 'orphan_edges: ' || count(*) AS error FROM c_chunks WHERE identifier IS NOT NULL AND doc_id % 10 = 1"),
+    ),
     "refresh_provenance": (_c(lambda c: _update(c)[0]["documents"].select("document_id", "content_hash", "api_version")), duck("SELECT document_id, CASE WHEN doc_id % 9 = 0 THEN 'new' ELSE content_hash END AS content_hash, api_version FROM c_documents WHERE doc_id % 11 <> 7")),
     "sink_upsert_source": (_c(lambda c: maintenance.upsert(c.sources.select("source_id", "name"), c.sources.filter("tier = 1").select("source_id", F.lit("renamed").alias("name")), ["source_id"])), duck(STATEMENTS["sink_upsert_source"])),
     "sink_replace_document": (_c(lambda c: _replaced(c)["chunks"].select("document_id", "chunk_id")), duck(STATEMENTS["sink_replace_document"])),
@@ -119,8 +147,8 @@ PAIRS = {
     "validate_index": (
         _c(lambda c: maintenance.validate(_tables(c) | {"documents": c.documents.filter("doc_id % 25 <> 4")}, c.chunks.filter("doc_id % 20 <> 5").select("chunk_id")).select("ok", F.explode("counts").alias("name", "n"))),
         duck(
-            "WITH ch AS (SELECT chunk_id, doc_id FROM c_chunks) SELECT false AS ok, * FROM (SELECT 'sources' AS name, count(*) AS n FROM c_sources UNION ALL SELECT 'documents', count(*) FROM c_documents WHERE doc_id % 25 <> 4 UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'identifiers', count(*) FROM c_identifiers UNION ALL SELECT 'orphan_documents', 0 UNION ALL SELECT 'orphan_chunks', count(*) FROM ch WHERE doc_id % 25 = 4 "
-            "UNION ALL SELECT 'orphan_identifiers', 0 UNION ALL SELECT 'repeated_sources', 0 UNION ALL SELECT 'repeated_documents', 0 UNION ALL SELECT 'repeated_chunks', 0 UNION ALL SELECT 'indexed', count(*) FROM ch WHERE doc_id % 20 <> 5 UNION ALL SELECT 'missing_in_index', count(*) FROM ch WHERE doc_id % 20 = 5 UNION ALL SELECT 'orphans_in_index', 0)"
+            "WITH ch AS (SELECT chunk_id, doc_id, identifier FROM c_chunks) SELECT false AS ok, * FROM (SELECT 'sources' AS name, count(*) AS n FROM c_sources UNION ALL SELECT 'documents', count(*) FROM c_documents WHERE doc_id % 25 <> 4 UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'identifiers', count(*) FROM c_identifiers UNION ALL SELECT 'orphan_documents', 0 UNION ALL SELECT 'orphan_chunks', count(*) FROM ch WHERE doc_id % 25 = 4 "
+            "UNION ALL SELECT 'orphan_edges', 0 UNION ALL SELECT 'edges', (SELECT count(*) FROM c_edges) + (SELECT count(*) FROM ch WHERE identifier IS NOT NULL) UNION ALL SELECT 'orphan_identifiers', 0 UNION ALL SELECT 'repeated_sources', 0 UNION ALL SELECT 'repeated_documents', 0 UNION ALL SELECT 'repeated_chunks', 0 UNION ALL SELECT 'indexed', count(*) FROM ch WHERE doc_id % 20 <> 5 UNION ALL SELECT 'missing_in_index', count(*) FROM ch WHERE doc_id % 20 = 5 UNION ALL SELECT 'orphans_in_index', 0)"
         ),
     ),
     "status_report": (

@@ -291,3 +291,29 @@ def test_rate_limited_stream(spark, tmp_path):
     finally:
         query.stop()
     assert got == {r.event_id: (r.accepted, r.retry_after) for r in rate.rate_limited(frame(rows), 2).collect()}
+
+
+def test_choice_is_a_fold_with_exempt_rows_stop_and_clipping(spark):
+    from tessella.operators import choice
+
+    rng = random.Random(5)
+    rows = [(q, pos, f"c{q}.{pos}", f"d{rng.randrange(6)}", rng.random() < 0.2, rng.choice(["x", "word "]) * rng.choice([1, 40, 300, 500, 2000])) for q in range(12) for pos in range(1, 30)]
+    df = spark.createDataFrame(rows, "query_id long, pos int, chunk_id string, document_id string, exact boolean, content string")
+    for limit, budget, per in ((10, 9800, 2), (4, 900, 1), (30, 5000, 2)):
+        got = {(r.query_id, r.place): (r.chunk_id, r.text) for r in choice.chosen(df, limit, budget, per).collect()}
+        want = {}
+        for q in range(12):
+            used, docs = 0, []
+            for _, _, chunk, document, exact, text in [r for r in rows if r[0] == q]:
+                left = budget - used
+                if len(docs) >= limit or left < 200:
+                    break
+                if docs.count(document) >= per and not exact:
+                    continue
+                most = min(1600, left)
+                part = text if len(text) <= most else text[: most - 1].rstrip() + "…"
+                docs.append(document)
+                used += len(part)
+                want[q, len(docs)] = (chunk, part)
+        assert got == want
+    assert "Python" not in choice.chosen(df)._jdf.queryExecution().executedPlan().toString()
