@@ -1,6 +1,7 @@
 """Facts about single functions, parsers, snapshots, search and streams."""
 
 import os
+import random
 import sqlite3
 
 import pandas as pd
