@@ -262,12 +262,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 def pack(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``parts`` (doc_id, piece, length, ...) with sequence_id and offset.
 
-    Cut the lineage of ``parts`` before: it is read twice, once to count.
+    Cut the lineage of ``parts`` before: it is read twice, once to count, and a row's number
+    must be the same however often a task runs.
     """
     short = parts.filter(F.col("length") < capacity)
     n = short.count()
     shards = max(1, math.ceil(n / shard))
-    dealt = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    # by the row's number: rows that are alike, as without doc_id, spread over all shards
+    dealt = short.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = short.schema.simpleString()[len("struct<") : -1] + ",sequence_id:bigint,offset:bigint"
     packed = dealt.groupBy("shard").applyInArrow(place(capacity), schema)
     # a full piece is alone in its sequence

@@ -40,3 +40,11 @@ def test_bins_are_gapless_and_few():
                 at += s
             assert at <= capacity
         assert bins <= 1.03 * -(-lengths.sum() // capacity) + 1
+
+
+def test_rows_that_are_alike_spread_over_all_shards(spark):
+    from pyspark.sql import functions as F
+
+    parts = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1).cast("long").alias("length"))
+    per = packing.pack(parts, shard=10_000).groupBy(F.shiftright("sequence_id", 32).alias("shard")).count().collect()
+    assert len(per) == 3 and max(r["count"] for r in per) < 1.2 * min(r["count"] for r in per)
