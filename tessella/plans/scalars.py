@@ -1,7 +1,8 @@
-"""Queries of the scalar functions: over inline samples of the syntax they read, or over whole tables."""
+"""Queries of the scalar functions over whole tables, or over samples of the syntax they read joined to every line of the documents."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -30,8 +31,8 @@ def _values(rows: list[str]) -> str:
     return ", ".join(f"({i}, '" + r.replace("'", "''") + "')" for i, r in enumerate(rows))
 
 
-def _inline(rows: list[str], outputs: dict[str, tuple[Callable[[], Column], str]]):
-    """(query, SQL) of named expressions over inline strings ``s``."""
+def _fixed(rows: list[str], outputs: dict[str, tuple[Callable[[], Column], str]]):
+    """(query, SQL) of named expressions over inline strings ``s`` alone, for the few whose SQL knows its rows."""
 
     def query(spark, sf_dir):
         return spark.createDataFrame(list(enumerate(rows)), "sid int, s string").select("sid", *[c().alias(k) for k, (c, _) in outputs.items()])
@@ -39,6 +40,24 @@ def _inline(rows: list[str], outputs: dict[str, tuple[Callable[[], Column], str]
     return query, f"SELECT sid, {', '.join(f'{e} AS {k}' for k, (_, e) in outputs.items())} FROM (VALUES {_values(rows)}) AS t(sid, s)"
 
 
+def _inline(rows: list[str], outputs: dict[str, tuple[Callable[[], Column], str]], splice: str = "concat(s, ' ', w)"):
+    """(query, SQL) of named expressions over strings ``s``: the given samples, and for each line of the documents one of them joined to the line's first word ``w`` (``splice``, the same text in both engines)."""
+
+    def query(spark, sf_dir):
+        lines = Corpus(spark, sf_dir).chunks.select("chunk_id", (F.pmod(F.col("doc_id") + F.col("ordinal"), F.lit(len(rows))) + 1).cast("int").alias("k"), F.coalesce("identifier", F.lit("x")).alias("w"))
+        lines = lines.select(F.col("chunk_id").alias("sid"), F.element_at(F.array(*[F.lit(r) for r in rows]), F.col("k")).alias("s"), "w").select("sid", F.expr(splice).alias("s"))
+        given = spark.createDataFrame([(str(k), r) for k, r in enumerate(rows)], "sid string, s string")
+        return given.unionByName(lines).select("sid", *[c().alias(k) for k, (c, _) in outputs.items()])
+
+    texts = ", ".join("'" + r.replace("'", "''") + "'" for r in rows)
+    lines = f"SELECT chunk_id AS sid, {splice} AS s FROM (SELECT chunk_id, ([{texts}])[(doc_id + ordinal) % {len(rows)} + 1] AS s, coalesce(identifier, 'x') AS w FROM c_chunks)"
+    return query, duck(f"SELECT sid, {', '.join(f'{e} AS {k}' for k, (_, e) in outputs.items())} FROM (SELECT CAST(sid AS VARCHAR) AS sid, s FROM (VALUES {_values(rows)}) AS t(sid, s) UNION ALL {lines})")
+
+
+def _joined(splice: str):
+    return functools.partial(_inline, splice=splice)
+
+
 def _over(relation: str, keys: list[str], outputs: dict[str, tuple[Callable[[], Column], str]], given: str = ""):
     """(query, SQL) of named expressions over a relation of the corpus or a table."""
 
@@ -121,9 +140,9 @@ def _class(api: str, legacy: str, fn: str, md: str, ts: str, js: str, js_on: str
 
 
 PAIRS = {
-    "normalize_identifier": _inline(SAMPLES, {"normalized": (lambda: X.normalize_identifier(s()), f"lower(regexp_replace({BT}, '\\s+', '', 'g'))")}),
-    "identifier_leaf": _inline(SAMPLES, {"leaf": (lambda: X.identifier_leaf(s()), LEAF)}),
-    "identifier_search_terms": _inline(
+    "normalize_identifier": _joined("concat(w, '.', s)")(SAMPLES, {"normalized": (lambda: X.normalize_identifier(s()), f"lower(regexp_replace({BT}, '\\s+', '', 'g'))")}),
+    "identifier_leaf": _joined("concat(w, '.', s)")(SAMPLES, {"leaf": (lambda: X.identifier_leaf(s()), LEAF)}),
+    "identifier_search_terms": _joined("concat(w, '.', s)")(
         SAMPLES,
         {
             "terms": (
@@ -154,14 +173,14 @@ PAIRS = {
     ),
     "version_compat": _over("versions", ["p_partkey"], {"compat": (lambda: Y.version_compat(F.col("requested"), F.col("actual")), COMPAT)}),
     "version_score": _over("versions", ["p_partkey"], {"points": (lambda: Y.version_score(F.col("requested"), F.col("actual")), SCORE)}),
-    "npm_version_parts": _inline(
+    "npm_version_parts": _joined("concat(length(w), '.', s)")(
         ["1.2.0", "1.3.0-beta.1.20.80-preview.21", "2.0.0-rc.1.21.0", "0.1.0-internal.1.21.10", "3.0.0-alpha.1", "x"],
         {
             "engine": (lambda: Y.engine_version(s()), "nullif(regexp_extract(s, '(?i)-(?:beta|rc|internal)\\.(\\d+\\.\\d+\\.\\d+(?:-[A-Za-z]+\\.\\d+)?)$', 1), '')"),
             "track": (lambda: Y.manifest_track(s()), "CASE WHEN regexp_matches(s, '^\\d+\\.\\d+\\.\\d+$') THEN s WHEN regexp_matches(s, '(?i)^\\d+\\.\\d+\\.\\d+-(beta|rc|internal)(\\.|$)') THEN lower(regexp_extract(s, '(?i)^(\\d+\\.\\d+\\.\\d+-(?:beta|rc|internal))', 1)) END"),
         },
     ),
-    "classify_path": _inline(
+    "classify_path": _joined("concat(w, '/', s)")(
         PATHS,
         {
             "kind": (lambda: Y.classify_path(s())["kind"], _class("'api'", "'api'", "'code'", "'docs'", "'code'", "'code'", _json(1, "json"), "'reference'")),
@@ -189,11 +208,11 @@ PAIRS = {
     "strip_md": _inline(["## **Title** `x`", "plain", "# a # b", "####   deep `code` **bold**  "], {"clean": (lambda: X.strip_md(s()), "trim(replace(replace(regexp_replace(s, '^#+\\s*', ''), '**', ''), '`', ''))")}),
     "json_pointer_escape": _inline(["a/b~c", "plain", "~1/~0", "//"], {"escaped": (lambda: X.json_pointer_escape(s()), "replace(replace(s, '~', '~0'), '/', '~1')")}),
     "json_get": _over("events", ["event_id"], {"k": (lambda: F.get_json_object("props", "$.k"), "json_extract_string(props, '$.k')")}),
-    "package_from_path": _inline(
+    "package_from_path": _joined("concat(w, '/', s)")(
         PATHS + ["x/ScriptAPI/minecraft/server-ui/A.md", "x/PriorScriptAPI/minecraft/server-net-12xx/A.md", "x/ScriptAPI/demo/core/World.md"],
         {"module": (lambda: Y.package_from_path(s()), "CASE WHEN s LIKE '%ScriptAPI/minecraft/_%' THEN '@minecraft/' || regexp_replace(regexp_extract(s, 'ScriptAPI/minecraft/([^/]+)', 1), '-[0-9]+xx$', '', 'i') ELSE '@minecraft/server' END")},
     ),
-    "symbol_labels": _inline(
+    "symbol_labels": _joined("concat(w, ' ', s)")(
         ["Properties", "Methods", "World Class", "module.Player Interface", "Events list", "GameMode Enum", "Other"],
         {
             "kind": (lambda: Y.symbol_kind_for_group(s()), "CASE WHEN contains(lower(s), 'propert') THEN 'property' WHEN contains(lower(s), 'method') THEN 'method' WHEN contains(lower(s), 'event') THEN 'event' WHEN contains(lower(s), 'enum') THEN 'enum' ELSE 'unknown' END"),
@@ -203,8 +222,8 @@ PAIRS = {
     ),
     "sha256_text": _over("documents", ["doc_id"], {"hash": (lambda: X.sha256_text(F.col("text")), "'sha256:' || sha256(text)")}),
     "stable_public_id": _over("documents", ["doc_id"], {"public_id": (lambda: X.stable_public_id("doc", F.col("source_id"), F.col("path")), "'doc_' || substr(sha256(concat(source_id, chr(0), path)), 1, 24)")}),
-    "canonical_config_hash": _inline(['{"b":1,"a":"x"}', '{"a":"x","b":1}', '{"z":[1,2],"k":{"d":1,"c":2}}'], {"hash": (lambda: X.canonical_config_hash(s()), "sha256(CASE sid WHEN 2 THEN '{\"k\":{\"c\":2,\"d\":1},\"z\":[1,2]}' ELSE '{\"a\":\"x\",\"b\":1}' END)")}),
-    "member_parts": _inline(
+    "canonical_config_hash": _fixed(['{"b":1,"a":"x"}', '{"a":"x","b":1}', '{"z":[1,2],"k":{"d":1,"c":2}}'], {"hash": (lambda: X.canonical_config_hash(s()), "sha256(CASE sid WHEN 2 THEN '{\"k\":{\"c\":2,\"d\":1},\"z\":[1,2]}' ELSE '{\"a\":\"x\",\"b\":1}' END)")}),
+    "member_parts": _joined("concat(w, '.', s)")(
         ["World.afterEvents", "a.b.c", "single", ".x", "x."],
         {"owner": (lambda: X.member_owner(s()), "CASE WHEN regexp_matches(s, '^.+\\..+$') THEN regexp_extract(s, '^(.+)\\.([^.]+)$', 1) END"), "leaf": (lambda: X.member_leaf(s()), "CASE WHEN regexp_matches(s, '^.+\\..+$') THEN regexp_extract(s, '^(.+)\\.([^.]+)$', 2) END")},
     ),
@@ -215,14 +234,14 @@ PAIRS = {
         ["failed: SELECT a FROM b WHERE c", "cannot clone https://u:p@host/x.git", "ok"],
         {"message": (lambda: X.sanitize_error(s()), "substr(regexp_replace(regexp_replace(s, '(?is)\\b(?:SELECT|INSERT|UPDATE|DELETE|PRAGMA)\\b.*', '[redacted SQL]'), '//[^/@\\s]+@', '//', 'g'), 1, 500)")},
     ),
-    "signature_type": _inline(
+    "signature_type": _joined("concat(w, ' ', s)")(
         ["readonly afterEvents: WorldAfterEvents;", "name: string", "other: Foo", "xafterEvents: Bar"], {"found": (lambda: X.signature_type(s(), F.lit("afterEvents")), "nullif(regexp_extract(s, '\\bafterEvents\\b\\s*:\\s*([A-Z][A-Za-z0-9]*)', 1), '')")}
     ),
     "tokenize_unicode61": _over("chunks", ["chunk_id"], {"tokens": (lambda: _join(X.fts_tokens(F.col("content"))), "array_to_string(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+'), '|')")}),
-    "filter_glob": _inline(
+    "filter_glob": _joined("concat(w, '/', s)")(
         PATHS, {"selected": (lambda: Y.path_selected(s(), ["**/*.md", "**/*.json", "*.txt"], ["**/manifest*", "x/Prior*/**"]), "(regexp_matches(s, '^.*/[^/]*\\.md$') OR regexp_matches(s, '^.*/[^/]*\\.json$') OR regexp_matches(s, '^[^/]*\\.txt$')) AND NOT (regexp_matches(s, '^.*/manifest[^/]*$') OR regexp_matches(s, '^x/Prior[^/]*/.*$'))")}
     ),
-    "safe_git_branch": _inline(
+    "safe_git_branch": _joined("concat(s, '/', w)")(
         ["main", "feature/x", "-bad", "a..b", "a//b", "x.lock", "refs/.hid", "ok_1.2-3", "end/", "a@{b"],
         {
             "branch": (lambda: Y.safe_branch(s()), "length(s) BETWEEN 1 AND 200 AND regexp_matches(s, '^[A-Za-z0-9][A-Za-z0-9._/-]*$') AND NOT regexp_matches(s, '[./]$|\\.\\.|//|/\\.|\\.lock(/|$)')"),
@@ -236,7 +255,7 @@ PAIRS = {
         ["https://GitHub.com/Org/Repo.git", "git@github.com:Org/Repo.git", "ssh://git@github.com/org/repo/", "https://github.com/org/other", "local"],
         {"same": (lambda: Y.repository_identity(s()) == F.lit("github.com/org/repo"), "regexp_matches(lower(s), '^(https://|git@|ssh://git@)github\\.com[:/]org/repo(\\.git)?/?$')")},
     ),
-    "provenance_urls": _inline(
+    "provenance_urls": _joined("concat(w, '/', s)")(
         ["docs/a b.md", "ünï/x.md", "p/(1)!.md"],
         {"url": (lambda: Y.blob_url(F.lit("https://example.org/o/r.git"), F.lit("feature/x"), s()), "'https://example.org/o/r/blob/' || replace(url_encode('feature/x'), '+', '%20') || '/' || replace(replace(replace(replace(replace(url_encode(s), '%2F', '/'), '+', '%20'), '%21', '!'), '%28', '('), '%29', ')')")},
     ),
