@@ -88,6 +88,18 @@ def _backup(c: Corpus):
     return c.spark.read.parquet(f"{target}/{name}/sources").select("source_id")
 
 
+def _commented(c: Corpus):
+    """Events as JSON files with comments, commas too many and text that looks like a comment, parsed."""
+    text = F.concat(F.lit('{ /* '), "event_type", F.lit(' */ "n": '), "event_id", F.lit(', // one, "x": 2\n "props": '), "props", F.lit(', "u": "//'), "user_id", F.lit('",}'))
+    return parsers.parse_files(c.table("events").select(F.concat("event_id", F.lit(".json")).alias("path"), text.alias("content")))
+
+
+def _headed(c: Corpus):
+    """The documents as files with a head, parsed."""
+    head = F.concat(F.lit('---\ntitle: "'), "category", F.lit(" "), "doc_id", F.lit('"\napi_version: '), F.col("doc_id") % 3, F.lit("."), F.col("doc_id") % 10, F.lit(".0\n---\n"), "text")
+    return parsers.parse_files(c.documents.select("path", head.alias("content")))
+
+
 def _plain_files(c: Corpus):
     """The documents as files of plain text."""
     return c.documents.select("doc_id", "source_id", F.regexp_replace("path", "md$", "txt").alias("path"), F.col("text").alias("content"))
@@ -238,8 +250,14 @@ PAIRS = {
     "extract_identifiers": (lambda spark, sf_dir: spark.createDataFrame(list(enumerate(SAMPLES)), "sid int, s string").select("sid", F.array_join(X.extract_identifiers(F.col("s")), "|").alias("found")), None),
     "extract_code_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in identifiers.code(open(f"{SAMPLES_ROOT}/src/main.ts").read())], "identifier string"), None),
     "extract_json_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in identifiers.of_json(parsers.read_json(open(f"{SAMPLES_ROOT}/pack/entities/pig.json").read()))], "identifier string"), None),
-    "jsonc_parse": (lambda spark, sf_dir: spark.createDataFrame([(parsers.pretty(parsers.read_json('{"a": 20.0, /* c */ "b": "//x",}')),)], "pretty string"), "SELECT '{' || chr(10) || '  \"a\": 20,' || chr(10) || '  \"b\": \"//x\"' || chr(10) || '}' AS pretty"),
-    "front_matter": (lambda spark, sf_dir: spark.createDataFrame(sorted(parsers.front_matter(open(f"{SAMPLES_ROOT}/docs/guide.md").read())[0].items()), "k string, v string"), "SELECT * FROM (VALUES ('api_version', '1.2.0'), ('title', 'Guide to blocks')) t(k, v)"),
+    "jsonc_parse": (
+        _c(lambda c: _commented(c).select("path", "content")),
+        "SELECT event_id || '.json' AS path, '{' || chr(10) || '  \"n\": ' || event_id || ',' || chr(10) || '  \"props\": {' || chr(10) || '    \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '  },' || chr(10) || '  \"u\": \"//' || user_id || '\"' || chr(10) || '}' AS content FROM events",
+    ),
+    "front_matter": (
+        _c(lambda c: _headed(c).filter("ordinal = 0").select("path", F.explode("attributes").alias("k", "v"))),
+        duck("SELECT path, 'title' AS k, category || ' ' || doc_id AS v FROM c_documents UNION ALL SELECT path, 'api_version', (doc_id % 3) || '.' || (doc_id % 10) || '.0' FROM c_documents"),
+    ),
     # arrays and sets
     "distinct_identifiers": (_c(lambda c: c.chunks.select("chunk_id", F.size(F.array_distinct(X.fts_tokens(F.col("content")))).alias("n"))), duck("SELECT chunk_id, len(list_distinct(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+')))::INT AS n FROM c_chunks")),
     "set_intersection_size": (
