@@ -42,7 +42,7 @@ from .shared import CLEANUP, cut, has_checkpoint_dir
 from .store import remove
 from .words import Words, pieces, spread, text_parts
 
-BLOCK_BYTES, CACHE = 8 << 20, 1_000_000
+BLOCK_BYTES, CACHE = 12 << 20, 1_200_000
 #: A token is kept as its id and, above these bits, its length in bytes.
 ID_BITS = 20
 ID = (1 << ID_BITS) - 1
@@ -80,6 +80,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+# Fixed value: how byte-level vocabularies of this kind split a text before they merge bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def by_rank(model: dict, entries: list[bytes], vocab: dict[str, int]):
+    """The same byte-pair encoding by ranks, several times as fast for short texts; None unless merges are in the order of ids, which are then their ranks."""
+    made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model.get("merges", [])]
+    if len(made) + 256 > len(entries) or made != sorted(made) or min(made, default=-1) < 256:
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    ranks = {entries[i]: i for i in [*range(256), *made]}
+    return tiktoken.Encoding("by_rank", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Pair:
     """Two tokenizers: a byte-level vocabulary file of tokenizers (A), a sentencepiece model that adds a space (B)."""
 
@@ -93,7 +110,8 @@ class Pair:
         self.second = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -102,6 +120,8 @@ class Pair:
         for table in (self.bytes_a, self.bytes_b):
             if len(table) > ID or max(map(len, table)) >= 1 << (31 - ID_BITS):
                 raise ValueError("a vocabulary has too many or too long tokens")
+        plain = (file.get("pre_tokenizer") or {}) | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not file.get("normalizer")
+        self.ranked = by_rank(file["model"], self.bytes_a, vocab) if plain else None
         beside = np.zeros((256, 256), dtype=bool)
         for x in (*self.bytes_a, *self.bytes_b):
             raw = np.frombuffer(x, dtype=np.uint8)
@@ -121,6 +141,11 @@ class Pair:
         self.good = np.zeros(0, dtype=bool)
         self.flat = [np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)]
 
+    def encode_first(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return [self.ranked.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, units: Units, key: np.ndarray, at: np.ndarray) -> None:
         place = np.searchsorted(self.key, key)
         known = np.zeros(len(key), dtype=bool)
@@ -135,7 +160,7 @@ class Pair:
         # the model adds a space: it stands for the unit's own, or another character takes it
         before = [0 if x[0] == 32 else int(self.before[x[0]]) for x in own]
         got_b = self.second.encode([chr(s) + t if s else t[1:] for s, t in zip(before, texts, strict=True)], num_threads=1)
-        ids = ([e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)], [x[self.lead[s] :] if s else x for s, x in zip(before, got_b, strict=True)])
+        ids = (self.encode_first(texts), [x[self.lead[s] :] if s else x for s, x in zip(before, got_b, strict=True)])
         good = np.ones(len(own), dtype=bool)
         length, begin = np.empty((2, len(own)), dtype=np.int64), np.empty((2, len(own)), dtype=np.int64)
         for side, (got, spell, size) in enumerate(zip(ids, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b), strict=True)):

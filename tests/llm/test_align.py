@@ -108,6 +108,13 @@ def test_random_texts_are_cut_where_tokens_end(pair):
             assert [x for u in own for x in tokens[side][u]] == want[side], text
 
 
+def test_ranks_and_merges_agree(pair, spark):
+    assert pair.ranked is not None
+    texts = [" " + (r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert pair.encode_first(texts) == [e.ids for e in pair.first.encode_batch_fast(texts, add_special_tokens=False)]
+    assert align.by_rank({"merges": []}, [b"a", b"b"], {}) is None
+
+
 def test_no_piece_crosses_a_cut_at_a_space(pair):
     """No piece of B has a space behind another character."""
     assert not [p for p in pair.bytes_b if b" " in p.lstrip(b" ")]
