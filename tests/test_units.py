@@ -206,6 +206,46 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == dict(enumerate(label)) and 20 < len(set(label)) < len(rows)
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates_that_share_lists_but_do_not_link(spark, monkeypatch, block):
+    """Variants below the threshold stay apart, linked ones meet in any block, and no step holds their pairs."""
+    from tessella.operators import duplicates
+
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    base = [f"w{i}" for i in range(200)]
+    edit = lambda *at: " ".join(f"e{at[0]}x{i}" if i in at else w for i, w in enumerate(base))
+    # three words changed far apart cost nine of 198 shingles: two such texts share 180 of 216, one of them and the base 189 of 207
+    rows = [(i, edit(3 + i, 70 + i, 130 + i)) for i in range(40)]
+    shingles = lambda t: {tuple(t.split()[k : k + 3]) for k in range(198)}
+    sets = [shingles(t) for _, t in rows]
+    assert not any(len(a & b) >= 0.9 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    schema = "doc_id long, text string"
+    apart = {r.doc_id: r.class_id for r in duplicates.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    assert apart == {i: i for i in range(40)}
+    joined = {r.doc_id: r.class_id for r in duplicates.near_duplicates(spark.createDataFrame([*rows, (99, " ".join(base))], schema)).collect()}
+    assert set(joined.values()) == {0} and len(joined) == 41
+
+
+def test_variants_of_one_text_are_joined_by_their_guards(spark):
+    from itertools import combinations
+
+    from tessella.operators import duplicates
+
+    choices = ((None, "stable", "preview"), ("", "1", "2"), (None, "9"), (None, "A", "b"))
+    import random
+
+    rng = random.Random(7)
+    for size in (4, 9):
+        rows = [(i, "the same text", *[rng.choice(c[rng.random() < 0.8 :]) for c in choices]) for i in range(size)]
+        label = list(range(size))
+        for a, b in combinations(range(size), 2):
+            if all(not x or not y or x.lower() == y.lower() for x, y in zip(rows[a][2:], rows[b][2:], strict=True)) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+        given = spark.createDataFrame(rows, "doc_id long, text string, channel string, api_version string, product_version string, identifier string")
+        assert {r.doc_id: r.class_id for r in duplicates.near_duplicates(given).collect()} == dict(enumerate(label))
+
+
 def test_aliases(spark):
     ids = [(1, "World.afterEvents", "property", 1), (2, "WorldAfterEvents.playerSpawn", "event", 1), (3, "World.dimension", "property", 1), (3, "Dimension", "unknown", 0), (3, "World", "unknown", 0), (4, "Dimension.heights", "property", 1), (4, "Range", "unknown", 0), (5, "Range.min", "property", 1), (6, "World.odd", "property", 1), (6, "Range", "unknown", 0), (6, "Dimension", "unknown", 0), (2, "old.alias", "event", 0)]
     content = {1: "readonly afterEvents: WorldAfterEvents;", 3: "the dimension", 4: "heights", 5: "min: number", 6: "odd", 2: "x"}
