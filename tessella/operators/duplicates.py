@@ -60,17 +60,20 @@ def near_duplicates(texts: DataFrame, column: str = "text") -> DataFrame:
     """
     guard = lambda g: F.coalesce(F.lower(g) if g == "identifier" else F.col(g), F.lit("")) if g in texts.columns else F.lit("")
     words = Y.evidence_words(F.coalesce(F.col(column), F.lit("")))
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), *[guard(g).alias(g) for g in GUARDS], words.alias("words")).filter(F.size("words") > 0)
-    rows = rows.withColumn("text", F.sha2(F.array_join("words", " "), 256))
+    # kept before anything asks for the words, so that a text is cut once
+    rows = kept(texts.select(F.col("doc_id").cast("long").alias("doc_id"), *[guard(g).alias(g) for g in GUARDS], words.alias("words")))
+    rows = rows.filter(F.size("words") > 0).withColumn("text", F.sha2(F.array_join("words", " "), 256))
     nodes = kept(rows.groupBy("text", *GUARDS).agg(F.min("doc_id").alias("node"), F.first("words").alias("words")))
     same = variant_links(nodes.select("text", "node", *GUARDS))
 
     shingles = F.array_distinct(F.transform(Y.evidence_shingles(F.col("words")), lambda s: F.xxhash64(s)))
     sets = kept(nodes.filter(F.size("words") >= WORDS).select("node", *GUARDS, F.size("words").alias("n"), shingles.alias("s")))
     values = sets.select("node", F.size("s").alias("m"), F.explode("s").alias("v"))
-    seen = values.groupBy("v").agg(F.count("*").alias("df"))
-    own = Window.partitionBy("node").orderBy("df", "v")
-    lists = values.join(seen, "v").withColumn("r", F.row_number().over(own)).filter((F.col("r") <= F.floor(F.col("m") * (100 - PERCENT) / 100) + 1) & (F.col("df") > 1))
+    seen = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("node")
+    # values of one set alone are the rarest of all and need no place in a list, only to be counted
+    ranked = values.join(seen, "v").withColumn("r", F.col("m") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "v")))
+    lists = ranked.filter(F.col("r") <= F.floor(F.col("m") * (100 - PERCENT) / 100) + 1)
     lists = kept(lists.select("v", "node"))
     members = lists.groupBy("v").agg(F.min("node").alias("a"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).filter("members > 1")
     once = members.groupBy("a", "members", "h1", "h2").agg(F.min("v").alias("v")).select("v", "a", "members")
