@@ -14,7 +14,7 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 from tessella.operators import lexical, lookup, search, vectors
 from tessella.operators.options import SearchOptions, query_error
-from tessella.sources import build, files, identifiers, ingest, parsers, segments, sinks
+from tessella.sources import build, files, identifiers, ingest, parsers, sections, segments, sinks
 from tessella.streaming import rate, refresh
 
 from .corpus import Corpus, duck
@@ -100,6 +100,22 @@ def _headed(c: Corpus):
     return parsers.parse_files(c.documents.select("path", head.alias("content")))
 
 
+def _outlined(c: Corpus):
+    """The documents as Markdown: every third line a heading of some level, every eleventh a code fence."""
+    o = F.col("doc_id")
+    line = lambda x, i: F.when(i % 11 == 7, "```").when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), ((F.floor(i / 3) + o) % 4 + 1).cast("int")), F.lit(" "), x)).otherwise(x)
+    return c.documents.select("path", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("content"))
+
+
+#: A heading lies below an earlier one of a higher level if none of that level or a higher one stands between them.
+_SECTIONS = r"""WITH ln AS (SELECT path, i - 1 AS o, len(l) AS n, CASE WHEN (i - 1) % 11 = 7 THEN '```' WHEN (i - 1) % 3 = 0 THEN repeat('#', (((i - 1) // 3 + doc_id) % 4 + 1)::INT) || ' ' || l[i] ELSE l[i] END AS s FROM (SELECT path, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, doc_id, string_split(text, chr(10)) AS l FROM c_documents))),
+ f AS (SELECT *, count(*) FILTER (regexp_matches(s, '^\s*(```|~~~)')) OVER (PARTITION BY path ORDER BY o) AS k FROM ln),
+ h AS (SELECT path, o, n, length(regexp_extract(s, '^#+')) AS lvl, trim(replace(replace(regexp_replace(s, '^#+\s+#*\s*', ''), '**', ''), '`', '')) AS title FROM f WHERE k % 2 = 0 AND regexp_matches(s, '^#{1,6}\s+.')),
+ below AS (SELECT a.path, a.o, string_agg(g.title, ' > ' ORDER BY g.o) AS heading_path FROM h a JOIN h g ON g.path = a.path AND (g.o = a.o OR (g.o < a.o AND g.lvl < a.lvl AND NOT EXISTS (SELECT 1 FROM h k WHERE k.path = a.path AND k.o > g.o AND k.o < a.o AND k.lvl <= g.lvl))) GROUP BY a.path, a.o),
+ begins AS (SELECT path, o, n, 'section' AS chunk_type, title FROM h UNION ALL SELECT path, -1, any_value(n), 'document', 'Document' FROM ln WHERE o < coalesce((SELECT min(h.o) FROM h WHERE h.path = ln.path), n) AND regexp_matches(s, '\S') GROUP BY path)
+ SELECT path, (row_number() OVER (PARTITION BY path ORDER BY o) - 1)::INT AS ordinal, chunk_type, title, coalesce(heading_path, '') AS heading_path, greatest(o, 0)::INT + 1 AS start_line, coalesce(lead(o) OVER (PARTITION BY path ORDER BY o), n)::INT AS end_line FROM begins LEFT JOIN below USING (path, o)"""
+
+
 def _plain_files(c: Corpus):
     """The documents as files of plain text."""
     return c.documents.select("doc_id", "source_id", F.regexp_replace("path", "md$", "txt").alias("path"), F.col("text").alias("content"))
@@ -242,10 +258,7 @@ PAIRS = {
     "ingest_document": (lambda spark, sf_dir: _ingested(spark)["documents"].select("path", "title", "kind", "category", "stability", "api_version", "product_version", F.array_join("identifiers", "|").alias("identifiers"), "chunks"), None),
     "ingest_identifiers": (lambda spark, sf_dir: _ingested(spark)["identifiers"].select("document_id", "identifier", "normalized", "identifier_kind", "is_primary"), None),
     "corpus_markdown": (_c(lambda c: parsers.parse_files(c.documents.select("path", F.col("text").alias("content"))).select("path", "ordinal", "chunk_type", "start_line", "end_line")), None),
-    "markdown_sections_sql": (
-        _c(lambda c: c.chunks.withColumn("section", F.sum((F.col("content").rlike("^[A-ZÀ-Ý]{2}")).cast("int")).over(Window.partitionBy("document_id").orderBy("ordinal"))).select("chunk_id", "section")),
-        duck("SELECT chunk_id, sum(CASE WHEN regexp_matches(content, '^[A-ZÀ-Ý]{2}') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ordinal) AS section FROM c_chunks"),
-    ),
+    "markdown_sections_sql": (_c(lambda c: sections.sections(_outlined(c)).withColumn("heading_path", F.array_join("heading_path", " > "))), duck(_SECTIONS)),
     "json_entries": (_c(lambda c: c.table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v")).select("event_id", "k", "v", F.concat(F.lit("/"), X.json_pointer_escape(F.col("k"))).alias("pointer"))), "SELECT event_id, k, json_extract_string(props, '$.' || k) AS v, '/' || k AS pointer FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
     "extract_identifiers": (lambda spark, sf_dir: spark.createDataFrame(list(enumerate(SAMPLES)), "sid int, s string").select("sid", F.array_join(X.extract_identifiers(F.col("s")), "|").alias("found")), None),
     "extract_code_identifiers": (lambda spark, sf_dir: spark.createDataFrame([(i,) for i in identifiers.code(open(f"{SAMPLES_ROOT}/src/main.ts").read())], "identifier string"), None),

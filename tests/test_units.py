@@ -246,6 +246,22 @@ def test_variants_of_one_text_are_joined_by_their_guards(spark):
         assert {r.doc_id: r.class_id for r in duplicates.near_duplicates(given).collect()} == dict(enumerate(label))
 
 
+def test_sections_are_those_of_the_parser(spark):
+    """Random files of headings, fences, heads and odd white space."""
+    import random
+
+    from tessella.sources import parsers, sections
+
+    rng = random.Random(11)
+    pieces = ["# One", "## Two **bold**", "### `three`  ", "#### Four #", "###### six", "####### seven", "#none", "# ", "```js", "~~~", "  ```", "text", "", "   ", "## \u00a0x\u00a0", "---", "a: b", "# r\rr", "\t# tab"]
+    texts = ["", "\n \n", "---\na: b\n---\n# A\n## B\n# C", "---\nopen", " --- \n---\n\nx", "x\r\n# y\r\n"]
+    texts += ["\n".join(rng.choice(["---\ntitle: t\n---\n", ""]) + rng.choice(pieces) if not k else rng.choice(pieces) for k in range(rng.randrange(1, 40))) for _ in range(150)]
+    want = {(f"f{i}", k, c["chunk_type"], c["title"], tuple(c["heading_path"]), c["start_line"], c["end_line"]) for i, t in enumerate(texts) for k, c in enumerate(parsers.markdown(t))}
+    rows = [(f"f{i}", t) for i, t in enumerate(texts)] + [("null", None)]
+    got = {(r.path, r.ordinal, r.chunk_type, r.title, tuple(r.heading_path), r.start_line, r.end_line) for r in sections.sections(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == want
+
+
 def test_aliases(spark):
     ids = [(1, "World.afterEvents", "property", 1), (2, "WorldAfterEvents.playerSpawn", "event", 1), (3, "World.dimension", "property", 1), (3, "Dimension", "unknown", 0), (3, "World", "unknown", 0), (4, "Dimension.heights", "property", 1), (4, "Range", "unknown", 0), (5, "Range.min", "property", 1), (6, "World.odd", "property", 1), (6, "Range", "unknown", 0), (6, "Dimension", "unknown", 0), (2, "old.alias", "event", 0)]
     content = {1: "readonly afterEvents: WorldAfterEvents;", 3: "the dimension", 4: "heights", 5: "min: number", 6: "odd", 2: "x"}
