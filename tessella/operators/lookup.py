@@ -13,7 +13,8 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 
 from . import search, vectors
-from .options import SearchOptions
+from .keep import kept
+from .options import SearchOptions, query_error
 
 EVIDENCE_CHARS = 1600
 HYBRID = "query_id long, pos int, chunk_id string, document_id string, exact boolean, score double, excerpt string, truncated boolean"
@@ -84,6 +85,40 @@ def examples(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, docu
     return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).filter(F.col("place") <= most).select("query_id", "place", "chunk_id", "document_id")
 
 
+def find_examples(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions(), most: int = 5) -> DataFrame:
+    """(query_id, place, chunk_id, document_id, linked, excerpt, truncated): examples of each request, at most ``most``.
+
+    First those linked to the identifier that the request names, if any (two at most, none of which is one of its
+    definitions), then code and examples as full-text search ranks them, where the request is taken
+    with the word "example" unless it asks for one anyway; a chunk counts where it is seen first.  The package that a request
+    names and its wish for previews hold where the options say nothing.  ``truncated``: ``most`` were found.
+    Requests that ``query_error`` refuses have no rows; one that only the added word makes too long has linked examples alone.
+    """
+    plan = Y.plan_lookup(F.col("query"))
+    asked = queries.filter(query_error(F.col("query")).isNull()).withColumn("query", X.js_trim(F.col("query"))).select("query_id", "query", plan.alias("p"))
+    asked = kept(asked.select("query_id", "query", F.get("p.identifiers", F.lit(0)).alias("identifier"), "p.intent", "p.module", F.coalesce(F.lit(options.include_preview).cast("boolean"), "p.include_preview", F.lit(False)).alias("preview")))
+    tables = (identifiers, chunks, documents, sources)
+    linked = []
+    for preview in (False, True):
+        mine = replace(options, include_preview=preview)
+        part = asked.filter((F.col("preview") == preview) & F.col("identifier").isNotNull()).select("query_id", F.col("identifier").alias("query"))
+        linked.append(examples(part, *tables, excluded=definitions(part, *tables, mine), most=min(2, most), options=mine))
+    linked = linked[0].unionByName(linked[1]).join(chunks.select("chunk_id", X.clip_ellipsis(F.col("content"), EVIDENCE_CHARS).alias("excerpt")), "chunk_id")
+
+    worded = asked.withColumn("query", F.when(F.col("intent") == "example", F.col("query")).otherwise(F.concat("query", F.lit(" example"))))
+    wide = replace(options, limit=10, kinds=("example", "code"), max_chars=24_000)
+    plain = worded if options.api_package else worded.filter("module IS NULL")
+    ranked = search.search(plain.select("query_id", "query"), *tables, wide)
+    if not options.api_package:
+        ranked = ranked.unionByName(search.search(worded.filter("module IS NOT NULL").select("query_id", "query", "module"), *tables, wide))
+    both = linked.select("query_id", "chunk_id", "document_id", F.lit(True).alias("linked"), "excerpt", F.col("place").alias("at"))
+    rest = ranked.join(linked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    both = both.unionByName(rest.select("query_id", "chunk_id", "document_id", F.lit(False).alias("linked"), "excerpt", F.col("pos").alias("at")))
+    own = Window.partitionBy("query_id")
+    first = both.withColumn("place", F.row_number().over(own.orderBy(F.desc("linked"), "at"))).filter(F.col("place") <= most)
+    return first.select("query_id", "place", "chunk_id", "document_id", "linked", "excerpt", (F.count("*").over(own) >= most).alias("truncated"))
+
+
 def hybrid(queries: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions(), k: int = 40) -> DataFrame:
     """Full-text results fused with vector neighbours; exact matches stay first and keep their score, others have 100,000 times the fused one.
 

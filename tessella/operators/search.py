@@ -52,10 +52,14 @@ def exact_hits(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, do
 
 
 def candidates(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """Scored and filtered candidates of each query; texts are joined after the ranks are known."""
+    """Scored and filtered candidates of each query; texts are joined after the ranks are known.
+
+    Queries may have a column ``module``: the package that a query's candidates must be of, where it is not null.
+    """
+    own = [c for c in ("module",) if c in queries.columns]
     queries = queries.filter(query_error(F.col("query")).isNull()).withColumn("query", X.js_trim(F.col("query")))
-    exact = exact_hits(queries, identifiers, chunks, documents, sources, 50 if options.narrow else 30).withColumnRenamed("pos", "e")
-    wide = 2 if options.narrow else 1
+    exact = exact_hits(queries, identifiers, chunks, documents, sources, 50 if options.narrow or own else 30).withColumnRenamed("pos", "e")
+    wide = 2 if options.narrow or own else 1
     hits = kept(lexical.ranked(lexical.bm25(queries, chunks), 50 * wide))
     none = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").filter(F.size(X.meaningful_terms(F.col("query"))) > 1)
     hits = hits.select("query_id", "chunk_id", "pos").unionByName(lexical.fallback(none, chunks, 15 * wide, 50 * wide).select("query_id", "chunk_id", "pos")).withColumnRenamed("pos", "l")
@@ -64,7 +68,7 @@ def candidates(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, do
     rows = (
         both.join(chunks.select("chunk_id", "document_id", "ordinal", "title", "identifier", "content", "stability", "lifecycle"), "chunk_id")
         .join(documents.select("document_id", "source_id", "path", "kind", "category", "channel", *[v for v in ("api_version", "product_version", "api_package") if v in documents.columns]), "document_id")
-        .join(sources.select("source_id", "tier", "source_type"), "source_id").join(queries.select("query_id", "query"), "query_id")
+        .join(sources.select("source_id", "tier", "source_type"), "source_id").join(queries.select("query_id", "query", *own), "query_id")
     )
     for v in ("api_version", "product_version", "api_package"):
         if v not in rows.columns:
@@ -73,7 +77,8 @@ def candidates(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame, do
     intent = Y.intent_flags(c["query"])
     same = F.when(X.normalize_identifier(c["identifier"]) == X.normalize_identifier(c["query"]), 20.0).otherwise(0.0)
     score = base + Y.meta_bonus(c["tier"], c["lifecycle"], c["stability"], c["channel"]) + same + options.version_bonus(c) + Y.intent_bonus(intent, c, X.meaningful_terms(c["query"]))
-    return rows.filter(options.allowed(c, c["query"])).withColumn("score", score).withColumn("exact", F.col("e").isNotNull())
+    of_module = Y.same_text(c["module"], c["api_package"]) if own else F.lit(True)
+    return rows.filter(options.allowed(c, c["query"]) & of_module).withColumn("score", score).withColumn("exact", F.col("e").isNotNull())
 
 
 _WORDS = re.compile(r"[\w@.$:-]+")

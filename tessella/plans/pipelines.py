@@ -199,6 +199,12 @@ def _words_asked(c: Corpus):
     return c.queries.select("query_id", F.split("query", " ")[0].alias("query"))
 
 
+def quoted(c: Corpus):
+    """The queries with their first word quoted, as one asks for an identifier; every third asks for an example."""
+    words = F.split("query", " ")
+    return c.queries.select("query_id", F.concat(F.lit("`"), words[0], F.lit("` "), F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.when(F.col("query_id") % 3 == 0, " example").otherwise("")).alias("query"))
+
+
 def _first_terms(c: Corpus):
     return c.identifiers.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("normalized")), " ").alias("terms"))
 
@@ -317,6 +323,7 @@ PAIRS = {
         _c(lambda c: lookup.examples(_words_asked(c), *_ids(c), excluded=lookup.definitions(_words_asked(c), *_ids(c)), most=5)),
         duck("WITH de AS (" + _definition_sql(None) + "), wd AS (SELECT query_id, bool_or(channel = 'preview') AS pv FROM de GROUP BY query_id) " + _examples_sql("AND NOT EXISTS (SELECT 1 FROM de WHERE de.query_id = a.query_id AND de.chunk_id = e.chunk_id)", "coalesce((SELECT pv FROM wd WHERE wd.query_id = a.query_id), false)", 5)),
     ),
+    "example_search": (_c(lambda c: lookup.find_examples(quoted(c), *_ids(c))), None),
     "semantic_guard": (_c(_semantic_guard), "SELECT * FROM (VALUES ('fits', 'ok'), ('model', 'SEMANTIC_MODEL_MISMATCH'), ('size', 'SEMANTIC_DIMENSION_MISMATCH'), ('stale', 'SEMANTIC_INDEX_STALE')) t(name, outcome)"),
     "semantic_meta": (_c(lambda c: vectors.meta(c.table("embeddings"), "m", "f")), "SELECT 'schema_version' AS key, '1' AS value UNION ALL SELECT 'model', 'm' UNION ALL SELECT 'core_fingerprint', 'f' UNION ALL SELECT 'dimensions', max(len(embedding))::VARCHAR FROM embeddings UNION ALL SELECT 'vectors', count(*)::VARCHAR FROM embeddings"),
     # maintenance and streams

@@ -65,10 +65,10 @@ def greedy(candidates, limit, budget):
     return [(c.chunk_id, ",".join(m), part) for c, m, _, part in taken], len(taken) < len(entries)
 
 
-def search_of(c, options):
+def search_of(c, options, queries=None):
     want = []
     by_query = {}
-    for r in search.candidates(c.queries, c.identifiers, c.chunks, c.documents, c.sources, options).collect():
+    for r in search.candidates(queries or c.queries, c.identifiers, c.chunks, c.documents, c.sources, options).collect():
         by_query.setdefault(r.query_id, []).append(r)
     for q, rows_ in by_query.items():
         found, cut = greedy(rows_, options.limit, options.max_chars)
@@ -121,6 +121,33 @@ def hybrid(spark, got):
         assert all(sum(o.document_id == r.document_id for o in results) <= 2 for r in results)
 
 
+def worked_examples(spark, got):
+    """Linked examples by the SQL of their own query, then the ranking by hand, five in all, each chunk once."""
+    import re
+
+    from tessella.plans import pipelines
+
+    c, db = Corpus(spark, SF), duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    asked = {r.query_id: r.query for r in pipelines.quoted(c).collect()}
+    named = {q for q, text in asked.items() if re.match(r"`[A-Za-z_$][A-Za-z0-9_$]+`", text)}
+    want = {q: [] for q in asked}
+    for q, place, chunk in sorted(db.execute(f"SELECT query_id, place, chunk_id FROM ({registry.ORACLE_SQL['find_examples']})").fetchall()):
+        if q in named and place <= 2:
+            want[q].append((chunk, True, None))
+    worded = spark.createDataFrame([(q, t if t.endswith("example") else t + " example") for q, t in asked.items()], "query_id long, query string")
+    for q, _, chunk, _, part, _ in search_of(c, SearchOptions(limit=10, kinds=("example", "code"), max_chars=24_000), worded):
+        if chunk not in [w[0] for w in want[q]]:
+            want[q].append((chunk, False, part))
+    have = {q: [] for q in asked}
+    for r in sorted(got, key=lambda r: (r.query_id, r.place)):
+        have[r.query_id].append((r.chunk_id, r.linked, None if r.linked else r.excerpt))
+        assert r.truncated == (len(want[r.query_id]) >= 5)
+    assert have == {q: w[:5] for q, w in want.items()}
+    assert any(w[1] for rows_ in have.values() for w in rows_) and any(not w[1] for rows_ in have.values() for w in rows_)
+
+
 def without_vectors(spark, got):
     want = search_of(Corpus(spark, SF), SearchOptions())
     assert sorted((r.query_id, r.pos, r.chunk_id) for r in got) == [w[:3] for w in want]
@@ -163,7 +190,7 @@ def has(n, **some):
 
 #: What the rows of queries without SQL must be.
 FACTS = {
-    "search": same_search, "select_results": few_results, "merge_adjacent": merged_candidates, "search_options": optioned, "hybrid_search": hybrid, "semantic_optional": without_vectors, "rate_limit_windows": limited, "version_bonus": version_points,
+    "search": same_search, "select_results": few_results, "merge_adjacent": merged_candidates, "search_options": optioned, "hybrid_search": hybrid, "example_search": worked_examples, "semantic_optional": without_vectors, "rate_limit_windows": limited, "version_bonus": version_points,
     "quality_suite": has(2, kind=["exact", "natural"]),
     "plan_lookup": has(14, intent=["definition", "example"], recommended_tool=["get_definition", "search"]),
     "scan_local_files": has(8, path=["registry.json", "docs/guide.md", "src/main.ts", "x/ScriptAPI/demo/core/World.md"]),

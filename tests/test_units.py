@@ -262,6 +262,31 @@ def test_sections_are_those_of_the_parser(spark):
     assert got == want
 
 
+def test_examples_of_the_package_that_a_request_names(spark):
+    """The module of a request leaves other packages out, for full text; linked examples stand before ranked ones."""
+    from tessella.functions import rules
+    from tessella.operators import lookup
+    from tessella.operators.options import SearchOptions
+
+    module = "@minecraft/server"  # what the rules know as a module; a fixed value
+    assert spark.range(1).select(rules.intent_module(F.lit(f"spawn in {module}"))).first()[0] == module
+    sources = spark.createDataFrame([("s", "S", "git", 1, "stable")], "source_id string, name string, source_type string, tier int, channel string")
+    kinds = {"d1": ("code", module), "d2": ("code", "@other/server"), "d3": ("code", None), "d4": ("docs", module), "d5": ("code", module)}
+    documents = spark.createDataFrame([(d, "s", f"{d}.md", k, "c", "stable", p) for d, (k, p) in kinds.items()], "document_id string, source_id string, path string, kind string, category string, channel string, api_package string")
+    texts = {"d1": "spawn one entity example", "d2": "spawn two entities example", "d3": "spawn three example", "d4": "about spawn", "d5": "World.spawn linked"}
+    chunks = spark.createDataFrame([(f"c{d}", d, 0, "t", None, [], "h", None, t, f"{d}.md", "stable", "active") for d, t in texts.items()], "chunk_id string, document_id string, ordinal int, title string, identifier string, heading_path array<string>, heading string, aliases string, content string, path string, stability string, lifecycle string")
+    identifiers = spark.createDataFrame([("cd5", "d5", "World.spawn", "world.spawn", 1, "exact"), ("cd4", "d4", "World.spawn", "world.spawn", 1, "exact")], "chunk_id string, document_id string, identifier string, normalized string, is_primary int, alias_type string")
+    queries = spark.createDataFrame([(1, f"spawn in {module}"), (2, "spawn"), (3, "`World.spawn` example"), (4, ""), (5, None)], "query_id long, query string")
+    found = lookup.find_examples(queries, identifiers, chunks, documents, sources)
+    by = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.place)):
+        by.setdefault(r.query_id, []).append((r.document_id, r.linked))
+    assert {d for d, _ in by[1]} == {"d1", "d5"} and {d for d, _ in by[2]} == {"d1", "d2", "d3"}  # all words of a request must stand in a chunk, if they do anywhere
+    assert by[3][0] == ("d5", True) and len({d for d, _ in by[3]}) == len(by[3]) and set(by) == {1, 2, 3}
+    few = lookup.find_examples(queries, identifiers, chunks, documents, sources, SearchOptions(api_package="@other/server"), most=1).collect()
+    assert {(r.query_id, r.document_id, r.truncated) for r in few if not r.linked} >= {(2, "d2", True)} and all(r.place == 1 for r in few)
+
+
 def test_aliases(spark):
     ids = [(1, "World.afterEvents", "property", 1), (2, "WorldAfterEvents.playerSpawn", "event", 1), (3, "World.dimension", "property", 1), (3, "Dimension", "unknown", 0), (3, "World", "unknown", 0), (4, "Dimension.heights", "property", 1), (4, "Range", "unknown", 0), (5, "Range.min", "property", 1), (6, "World.odd", "property", 1), (6, "Range", "unknown", 0), (6, "Dimension", "unknown", 0), (2, "old.alias", "event", 0)]
     content = {1: "readonly afterEvents: WorldAfterEvents;", 3: "the dimension", 4: "heights", 5: "min: number", 6: "odd", 2: "x"}
