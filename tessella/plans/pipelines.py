@@ -14,7 +14,7 @@ from tessella.functions import rules as Y
 from tessella.functions import text as X
 from tessella.operators import lexical, lookup, search, vectors
 from tessella.operators.options import SearchOptions, query_error
-from tessella.sources import build, files, identifiers, ingest, parsers, sections, segments, sinks
+from tessella.sources import build, files, identifiers, ingest, packages, parsers, sections, segments, sinks
 from tessella.streaming import rate, refresh
 
 from .corpus import Corpus, duck
@@ -116,6 +116,33 @@ _SECTIONS = r"""WITH ln AS (SELECT path, i - 1 AS o, len(l) AS n, CASE WHEN (i -
  SELECT path, (row_number() OVER (PARTITION BY path ORDER BY o) - 1)::INT AS ordinal, chunk_type, title, coalesce(heading_path, '') AS heading_path, greatest(o, 0)::INT + 1 AS start_line, coalesce(lead(o) OVER (PARTITION BY path ORDER BY o), n)::INT AS end_line FROM begins LEFT JOIN below USING (path, o)"""
 
 
+def _packages(c: Corpus):
+    """Brands as packages, their parts' versions as published ones, every third a beta; brands of even number are stable."""
+    version = F.concat("actual", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-beta.1."), F.col("p_partkey") % 20, F.lit(".0"))).otherwise(""))
+    rows = c.versions.join(c.table("part").select("p_partkey", F.col("p_brand").alias("name")), "p_partkey").select("name", version.alias("version"), "p_partkey").groupBy("name", "version").agg(F.min("p_partkey").alias("k"))
+    at = F.concat(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("k") % 1000).cast("int")).cast("string"), F.lit("T00:00:00Z"))
+    rows = rows.select("name", "version", at.alias("at"), F.col("version").contains("-").alias("pre"))
+    newest = lambda pre: F.max(F.when(F.col("pre") == pre, F.struct("at", "version")))["version"]
+    own = rows.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("version", F.struct(F.concat("name", F.lit(" "), "at").alias("description"))))).alias("versions"), F.map_from_entries(F.collect_list(F.struct("version", "at"))).alias("time"), newest(False).alias("latest"), newest(True).alias("beta"))
+    metadata = F.to_json(F.struct("name", F.create_map(F.lit("latest"), "latest", F.lit("beta"), "beta").alias("dist-tags"), "versions", "time"))
+    return own.select(F.lower(F.replace("name", F.lit("#"), F.lit("-"))).alias("source_id"), F.when(F.right("name", F.lit(1)).cast("int") % 2 == 0, "stable").otherwise("preview").alias("channel"), F.array(F.lit("latest"), F.lit("beta"), F.lit("next")).alias("tags"), metadata.alias("metadata"))
+
+
+def _snapshot(c: Corpus):
+    """The documents of all packages beside a manifest for each, and files of no manifest, opened again."""
+    root = _scratch(c.spark)
+    made = packages.rendered(packages.tagged(_packages(c)))
+    packages.manifests(made).select("manifest").write.text(f"{root}/manifests")
+    given = made.select("source_id", "path", "content").unionByName(c.documents.select("source_id", "path", F.col("text").alias("content")))
+    return packages.opened(c.spark, f"{root}/manifests", given).select("source_id", "path", "api_version", "product_version", F.length("revision").alias("n"))
+
+
+_PACKAGES = """WITH v AS (SELECT name, version, strftime(DATE '2020-01-01' + (min(k) % 1000)::INT, '%Y-%m-%d') AS day, contains(version, '-') AS pre FROM (SELECT p_brand AS name, p_partkey AS k, actual || CASE WHEN p_partkey % 3 = 0 THEN '-beta.1.' || (p_partkey % 20) || '.0' ELSE '' END AS version FROM c_versions JOIN part USING (p_partkey)) GROUP BY name, version),
+ t AS (SELECT *, CASE WHEN pre THEN 'beta' ELSE 'latest' END AS tag, row_number() OVER (PARTITION BY name, pre ORDER BY day DESC, version DESC) AS r FROM v),
+ n AS (SELECT name, string_agg(version, ' ' ORDER BY day DESC, version DESC) AS recent FROM t WHERE r <= 12 AND pre = (right(name, 1)::INT % 2 = 1) GROUP BY name)
+ SELECT {} FROM t LEFT JOIN n USING (name) WHERE r = 1"""
+
+
 def _plain_files(c: Corpus):
     """The documents as files of plain text."""
     return c.documents.select("doc_id", "source_id", F.regexp_replace("path", "md$", "txt").alias("path"), F.col("text").alias("content"))
@@ -243,6 +270,11 @@ PAIRS = {
         lambda spark, sf_dir: files.render_package(Corpus(spark, sf_dir).versions.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit("latest").alias("tag"), F.col("actual").alias("version"), F.lit("About").alias("description"), F.create_map(F.lit("b"), F.col("actual")).alias("peers"), F.array("actual").alias("recent"))),
         duck("SELECT 'p' || p_partkey AS name, concat_ws(chr(10), '---', 'title: p' || p_partkey || ' latest', 'api_version: ' || actual, '---', '# p' || p_partkey, 'About', '## Peer dependencies', '- `b`: `' || actual || '`', '## Recent versions', '- `' || actual || '`') AS document FROM c_versions"),
     ),
+    "package_tags": (
+        _c(lambda c: packages.tagged(_packages(c)).select("name", "tag", "version", "track", "product_version", "path", F.array_join(F.transform("recent", lambda e: e["version"]), " ").alias("recent"), "description", "known")),
+        duck(_PACKAGES.format("name, tag, version, CASE WHEN pre THEN split_part(version, '-', 1) || '-beta' ELSE version END AS track, CASE WHEN pre THEN split_part(version, '-beta.', 2) END AS product_version, 'metadata/' || name || '/' || tag || '.md' AS path, coalesce(recent, '') AS recent, name || ' ' || day || 'T00:00:00Z' AS description, true AS known")),
+    ),
+    "package_snapshot": (_c(_snapshot), duck(_PACKAGES.format("lower(replace(name, '#', '-')) AS source_id, 'metadata/' || name || '/' || tag || '.md' AS path, version AS api_version, CASE WHEN pre THEN split_part(version, '-beta.', 2) END AS product_version, 71 AS n"))),
     "npm_revision": (
         lambda spark, sf_dir: files.snapshot_revision(spark.createDataFrame([("b", "latest", "2.0.0"), ("a", "beta", "1.0.0")], "name string, tag string, version string")),
         """WITH n AS (SELECT name, sha256('[{"tag":"' || tag || '","version":"' || version || '"}]') AS h, substr(sha256(name), 1, 3) AS b FROM (VALUES ('a', 'beta', '1.0.0'), ('b', 'latest', '2.0.0')) t(name, tag, version)), w AS (SELECT b, sha256(string_agg(name || ' ' || h, chr(10) ORDER BY name)) AS h FROM n GROUP BY b) SELECT sha256(string_agg(b || ' ' || h, chr(10) ORDER BY b)) AS revision FROM w""",

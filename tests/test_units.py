@@ -287,6 +287,34 @@ def test_examples_of_the_package_that_a_request_names(spark):
     assert {(r.query_id, r.document_id, r.truncated) for r in few if not r.linked} >= {(2, "d2", True)} and all(r.place == 1 for r in few)
 
 
+def test_package_documents_and_their_manifest(spark, tmp_path):
+    import json
+
+    from tessella.sources import packages
+
+    versions = {"1.0.0": {"description": "first"}, "1.10.0": {"deprecated": "old", "peerDependencies": {"b": "2.x", "a": "1.x"}}, "2.0.0-beta.1.21.0-preview.3": {}, "2.0.0-RC": {}, "odd": {}}
+    meta = {"name": "@s/pack", "description": "all", "dist-tags": {"latest": "1.10.0", "beta": "2.0.0-beta.1.21.0-preview.3", "rc": "2.0.0-RC", "odd": "odd"}, "versions": versions, "time": {"1.0.0": "2024-01-02T00:00:00Z", "1.10.0": "2024-01-01T00:00:00Z", "odd": "no time"}}
+    schema = "source_id string, channel string, tags array<string>, metadata string"
+    rows = [("one", "stable", ["latest", "beta", "none"], json.dumps(meta)), ("two", "preview", ["rc", "odd"], json.dumps(meta)), ("bad", "stable", ["latest"], "{"), ("null", "stable", ["latest"], None)]
+    tags = {(r.source_id, r.tag): r for r in packages.tagged(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: (r.track, r.product_version) for k, r in tags.items()} == {("one", "latest"): ("1.10.0", None), ("one", "beta"): ("2.0.0-beta", "1.21.0-preview.3"), ("two", "rc"): ("2.0.0-rc", None), ("two", "odd"): (None, None)}
+    assert [e.version for e in tags["one", "latest"].recent] == ["1.0.0", "1.10.0"] and [e.version for e in tags["two", "rc"].recent] == ["odd", "2.0.0-beta.1.21.0-preview.3", "2.0.0-RC"]
+    made = packages.rendered(packages.tagged(spark.createDataFrame(rows, schema)))
+    text = {(r.source_id, r.path): r.content for r in made.collect()}
+    assert text["one", "metadata/pack/latest.md"] == "---\ntitle: @s/pack latest 1.10.0\napi_version: 1.10.0\n---\n# @s/pack latest\nall\nChannel: stable\nTag: `latest`\nVersion: `1.10.0`\nTrack: `1.10.0`\nDeprecated: old\n\n## Dependency\n\n`@s/pack` `1.10.0`\n\n## Peer dependencies\n\n- `a`: `1.x`\n- `b`: `2.x`\n\n## Recent versions\n\n- `1.0.0` (2024-01-02)\n- `1.10.0` (2024-01-01)"
+    assert "Product: `1.21.0-preview.3`" in text["one", "metadata/pack/beta.md"] and "## Prerelease" in text["two", "metadata/pack/rc.md"]
+    for k, r in enumerate(packages.manifests(made).collect()):
+        (tmp_path / f"{k}.json").write_text(r.manifest)
+    given = made.select("source_id", "path", "content").unionByName(spark.createDataFrame([("one", "else.md", "x"), ("two", "metadata/pack/latest.md", "y")], "source_id string, path string, content string"))
+    assert {(r.source_id, r.path, r.api_version) for r in packages.opened(spark, str(tmp_path), given).collect()} == {(r.source_id, r.path, r.version) for r in made.collect()}
+    (tmp_path / "z.json").write_text('{"sourceId": "three", "revision": "sha256:0"}')
+    with pytest.raises(ValueError, match="three"):
+        packages.opened(spark, str(tmp_path), given)
+    gone = json.dumps(meta | {"dist-tags": {"latest": "9.9.9"}})
+    with pytest.raises(Exception, match="points to a missing version"):
+        packages.rendered(packages.tagged(spark.createDataFrame([("one", "stable", ["latest"], gone)], schema))).collect()
+
+
 def test_aliases(spark):
     ids = [(1, "World.afterEvents", "property", 1), (2, "WorldAfterEvents.playerSpawn", "event", 1), (3, "World.dimension", "property", 1), (3, "Dimension", "unknown", 0), (3, "World", "unknown", 0), (4, "Dimension.heights", "property", 1), (4, "Range", "unknown", 0), (5, "Range.min", "property", 1), (6, "World.odd", "property", 1), (6, "Range", "unknown", 0), (6, "Dimension", "unknown", 0), (2, "old.alias", "event", 0)]
     content = {1: "readonly afterEvents: WorldAfterEvents;", 3: "the dimension", 4: "heights", 5: "min: number", 6: "odd", 2: "x"}
