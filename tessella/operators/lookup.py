@@ -109,8 +109,9 @@ def find_examples(queries: DataFrame, identifiers: DataFrame, chunks: DataFrame,
     wide = replace(options, limit=10, kinds=("example", "code"), max_chars=24_000)
     plain = worded if options.api_package else worded.filter("module IS NULL")
     ranked = search.search(plain.select("query_id", "query"), *tables, wide)
-    if not options.api_package:
-        ranked = ranked.unionByName(search.search(worded.filter("module IS NOT NULL").select("query_id", "query", "module"), *tables, wide))
+    packaged = worded.filter("module IS NOT NULL").select("query_id", "query", "module")
+    if not options.api_package and not packaged.isEmpty():  # the requests alone are read for this, the corpus is not
+        ranked = ranked.unionByName(search.search(packaged, *tables, wide))
     both = linked.select("query_id", "chunk_id", "document_id", F.lit(True).alias("linked"), "excerpt", F.col("place").alias("at"))
     rest = ranked.join(linked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     both = both.unionByName(rest.select("query_id", "chunk_id", "document_id", F.lit(False).alias("linked"), "excerpt", F.col("pos").alias("at")))
