@@ -101,6 +101,12 @@ def alias_chains(properties: DataFrame, members: DataFrame, most: int = MAX_CHAI
     on.  A chain is a bounded series of equi-joins on the owner; each step keeps distinct
     (prefix, target).
     """
+    out = chain_steps(properties, members, most)
+    return out.groupBy(*[c for c in out.columns if c != "depth"]).agg(F.min("depth").alias("depth"))
+
+
+def chain_steps(properties: DataFrame, members: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
+    """The rows of ``alias_chains``, each with the depth of every step that gives it."""
     more = [c for c in members.columns if c not in ("owner", "suffix", "member", "target")]
     level, out = properties.select("prefix", "target").distinct(), None
     for step in range(1, most + 1):
@@ -110,35 +116,55 @@ def alias_chains(properties: DataFrame, members: DataFrame, most: int = MAX_CHAI
         out = rows if out is None else out.unionByName(rows)
         if step < most:  # kept, or each step would make all those before it again
             level = kept(made.filter("next is not null").select(F.col("alias").alias("prefix"), F.col("next").alias("target")).distinct())
-    return out.groupBy("alias", "member", *more).agg(F.min("depth").alias("depth"))
+    return out
+
+
+def _own_types(identifiers: DataFrame, chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, types): the primary names of API documents that have an owner, and ``property_types`` of them."""
+    api = identifiers.join(chunks.select("chunk_id", "document_id", "content").join(documents.filter("kind = 'api'").select("document_id"), "document_id").drop("document_id"), "chunk_id")
+    own = api.filter("is_primary = 1").withColumn("owner", X.member_owner(F.col("identifier"))).withColumn("suffix", X.member_leaf(F.col("identifier"))).filter("owner is not null")
+    return own, property_types(own, api.filter("is_primary = 0").select("chunk_id", "identifier"))
 
 
-def derive_aliases(identifiers: DataFrame, edges: DataFrame, chunks: DataFrame, documents: DataFrame, most: int = MAX_ALIASES) -> tuple[DataFrame, DataFrame]:
+def _type_edges(types: DataFrame) -> DataFrame:
+    return types.select(F.col("property").alias("from_identifier"), F.lit("property_type").alias("relation"), F.col("target").alias("to_identifier"), "chunk_id")
+
+
+def type_edges(identifiers: DataFrame, edges: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The edges property_type of ``derive_aliases`` alone, for which no chain is followed."""
+    return _type_edges(_own_types(reset_derived(identifiers, edges)[0], chunks, documents)[1])
+
+
+def derive_aliases(identifiers: DataFrame, edges: DataFrame, chunks: DataFrame, documents: DataFrame, most: int | None = MAX_ALIASES) -> tuple[DataFrame, DataFrame]:
     """(identifiers, edges) with the aliases of property chains of API documents; derived rows of before are dropped first.
 
     ``World.afterEvents`` of type ``WorldAfterEvents``, which owns ``playerSpawn``, gives the
     alias ``World.afterEvents.playerSpawn`` on the chunk of that member, an edge
-    property_type and an edge alias_of.  More than ``most`` aliases raise.
+    property_type and an edge alias_of.  More than ``most`` aliases raise; None: there may be any number, and
+    they are made where they are read.
     """
     identifiers, edges = reset_derived(identifiers, edges)
-    api = identifiers.join(chunks.select("chunk_id", "document_id", "content").join(documents.filter("kind = 'api'").select("document_id"), "document_id").drop("document_id"), "chunk_id")
-    own = api.filter("is_primary = 1").withColumn("owner", X.member_owner(F.col("identifier"))).withColumn("suffix", X.member_leaf(F.col("identifier"))).filter("owner is not null")
-    types = kept(property_types(own, api.filter("is_primary = 0").select("chunk_id", "identifier")))  # read by every step and both results
+    own, types = _own_types(identifiers, chunks, documents)
+    types = kept(types)  # read by every step and both results
     leads = types.select("normalized", F.col("target_normalized").alias("target"))
     members = own.join(leads, "normalized", "left").select(X.normalize_identifier(F.col("owner")).alias("owner"), "suffix", F.col("identifier").alias("member"), "target", "chunk_id", "identifier_kind")
     members = kept(members)
-    chains = alias_chains(types.select(F.col("property").alias("prefix"), F.col("target_normalized").alias("target")), members)
+    chains = chain_steps(types.select(F.col("property").alias("prefix"), F.col("target_normalized").alias("target")), members)
+    # dealt by chunk once; names are made of the rows that are left
+    first = Window.partitionBy("chunk_id", X.normalize_identifier(F.col("alias"))).orderBy("depth", "alias")
+    chains = chains.repartition("chunk_id").withColumn("r", F.row_number().over(first)).filter("r = 1")
     derived = chains.select(
         "chunk_id", F.col("alias").alias("identifier"), X.normalize_identifier(F.col("alias")).alias("normalized"), X.identifier_leaf(F.col("alias")).alias("leaf_name"), "identifier_kind",
         F.lit(0).alias("is_primary"), F.lit("derived-chain").alias("alias_type"), "member", "depth",
     )
-    first = Window.partitionBy("chunk_id", "normalized").orderBy("depth", "identifier")
-    derived = kept(derived.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r"))
-    if derived.limit(most + 1).count() > most:
-        raise ValueError(f"ALIAS_LIMIT_EXCEEDED: more than {most} aliases")
-    made = types.select(F.col("property").alias("from_identifier"), F.lit("property_type").alias("relation"), F.col("target").alias("to_identifier"), "chunk_id")
-    made = made.unionByName(derived.select(F.col("identifier").alias("from_identifier"), F.lit("alias_of").alias("relation"), F.col("member").alias("to_identifier"), "chunk_id"))
-    return identifiers.unionByName(derived.drop("member", "depth"), allowMissingColumns=True), edges.unionByName(made, allowMissingColumns=True).dropDuplicates(["from_identifier", "relation", "to_identifier", "chunk_id"])
+    if most is not None:
+        derived = kept(derived)
+        if derived.limit(most + 1).count() > most:
+            raise ValueError(f"ALIAS_LIMIT_EXCEEDED: more than {most} aliases")
+    # an alias stands once in a chunk and a property has one type, so these edges are distinct, and unlike all that are left of before
+    made = _type_edges(types).unionByName(derived.select(F.col("identifier").alias("from_identifier"), F.lit("alias_of").alias("relation"), F.col("member").alias("to_identifier"), "chunk_id"))
+    edges = edges.dropDuplicates(["from_identifier", "relation", "to_identifier", "chunk_id"])
+    return identifiers.unionByName(derived.drop("member", "depth"), allowMissingColumns=True), edges.unionByName(made, allowMissingColumns=True)
 
 
 def reset_derived(identifiers: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -75,7 +75,7 @@ def _api_names(c: Corpus) -> dict:
 
 def _derived(c: Corpus):
     t = _api_names(c)
-    return graph.derive_aliases(t["identifiers"], t["edges"], t["chunks"], t["documents"], most=10_000_000)
+    return graph.derive_aliases(t["identifiers"], t["edges"], t["chunks"], t["documents"], most=None)
 
 
 def _replaced(c: Corpus) -> dict:
@@ -182,7 +182,7 @@ PAIRS = {
         _c(lambda c: files.synced(c.documents.select(F.col("document_id").alias("name"), F.col("text").alias("document")), c.documents.filter("doc_id % 10 <> 3").select(F.col("document_id").alias("name"), F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("text")).alias("document")))),
         duck("SELECT document_id AS name, CASE WHEN doc_id % 10 = 3 THEN 'created' WHEN doc_id % 9 = 0 THEN 'updated' ELSE 'unchanged' END AS status FROM c_documents"),
     ),
-    "derive_property_types": (_c(lambda c: _derived(c)[1].filter("relation = 'property_type'").select("from_identifier", "to_identifier")), f"WITH RECURSIVE {_API} SELECT property AS from_identifier, 'T' || t AS to_identifier FROM pt"),
+    "derive_property_types": (_c(lambda c: graph.type_edges(**_api_names(c)).select("from_identifier", "to_identifier")), f"WITH RECURSIVE {_API} SELECT property AS from_identifier, 'T' || t AS to_identifier FROM pt"),
     "alias_edges": (_c(lambda c: _derived(c)[1].filter("relation = 'alias_of'").select("from_identifier", "to_identifier")), f"WITH RECURSIVE {_API} SELECT alias AS from_identifier, member AS to_identifier FROM al"),
     "reset_derived": (_c(lambda c: graph.reset_derived(c.identifiers, c.edges.withColumn("chunk_id", F.lit("x")))[0].select("chunk_id", "normalized")), duck("SELECT chunk_id, normalized FROM c_identifiers WHERE alias_type <> 'derived-chain'")),
 }

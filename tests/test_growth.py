@@ -3,8 +3,10 @@
 import json
 import re
 
-from tessella.operators import lexical
-from tessella.sources.segments import Store
+import pytest
+
+from tessella.operators import graph, lexical
+from tessella.sources.segments import EDGES, Store
 
 CHUNKS = "chunk_id string, document_id string, title string, identifier string, content string, heading string, aliases string, path string"
 
@@ -50,3 +52,18 @@ def test_stored_postings_hold_numbers_for_chunks(spark, tmp_path):
     assert json.dumps(store.current()["segments"][0]["schemas"]).count('"n"') == 2 and store.corpus()[0] == 41
     store.compact()
     assert read() == got
+
+
+def test_aliases_without_a_limit(spark):
+    """A property of each owner leads to the next one: more aliases than a limit lets through, and their types without any chain."""
+    names = [(f"k{k}", f"T{k // 2}.m{k % 2}", f"t{k // 2}.m{k % 2}", "property", 1, "exact") for k in range(12)]
+    identifiers = spark.createDataFrame(names, "chunk_id string, identifier string, normalized string, identifier_kind string, is_primary int, alias_type string")
+    texts = spark.createDataFrame([(f"k{k}", "d", f"m{k % 2}: T{k // 2 + 1}" if k % 2 == 0 else "text") for k in range(12)], "chunk_id string, document_id string, content string")
+    given = {"identifiers": identifiers, "edges": spark.createDataFrame([], EDGES), "chunks": texts, "documents": spark.createDataFrame([("d", "api")], "document_id string, kind string")}
+    with pytest.raises(ValueError, match="ALIAS_LIMIT"):
+        graph.derive_aliases(**given, most=5)
+    edges = {(r.from_identifier, r.relation, r.to_identifier) for r in graph.derive_aliases(**given, most=None)[1].collect()}
+    types = {(f"T{k}.m0", "property_type", f"T{k + 1}") for k in range(5)}
+    assert {(r.from_identifier, r.relation, r.to_identifier) for r in graph.type_edges(**given).collect()} == types
+    aliases = {(f"T{a}" + ".m0" * d + f".m{m}", "alias_of", f"T{a + d}.m{m}") for a in range(5) for d in range(1, 5) if a + d <= 5 for m in (0, 1)}
+    assert edges == types | aliases and len(aliases) > 5
