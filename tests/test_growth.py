@@ -67,3 +67,15 @@ def test_aliases_without_a_limit(spark):
     assert {(r.from_identifier, r.relation, r.to_identifier) for r in graph.type_edges(**given).collect()} == types
     aliases = {(f"T{a}" + ".m0" * d + f".m{m}", "alias_of", f"T{a + d}.m{m}") for a in range(5) for d in range(1, 5) if a + d <= 5 for m in (0, 1)}
     assert edges == types | aliases and len(aliases) > 5
+
+
+def test_candidates_go_to_the_texts(spark):
+    """A bounded number of rows for each query is sent to the chunks, which are not shuffled for it."""
+    queries = spark.range(3).withColumnRenamed("id", "query_id")
+    one = chunks(spark).select("chunk_id").repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(lexical.bounded(one, queries).join(chunks(spark), "chunk_id"))
+        assert "BroadcastHashJoin" not in plan(lexical.bounded(one, spark.range(lexical.FEW)).join(chunks(spark), "chunk_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
