@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that one broadcast may hold; larger batches go block by block.
 QUERY_BLOCK = 4096
+#: So many distances a task holds at once.
+CELLS = 1_000_000
 
 
 def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
@@ -40,10 +42,14 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame
                 v = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 own = batch.column("vec_id").to_numpy()
-                far = np.concatenate([far, np.round(1 - q @ v.T, 9)], axis=1)
-                near = np.concatenate([near, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-                best = np.lexsort((near, far), axis=1)[:, :k]
-                far, near = np.take_along_axis(far, best, 1), np.take_along_axis(near, best, 1)
+                width, step = min(k, far.shape[1] + len(own)), max(1, CELLS // (k + len(own)))
+                last, far, near = (far, near), np.empty((len(ids), width)), np.empty((len(ids), width), dtype=np.int64)
+                for a in range(0, len(ids), step):
+                    b = min(a + step, len(ids))
+                    every = np.concatenate([last[0][a:b], np.round(1 - q[a:b] @ v.T, 9)], axis=1)
+                    names = np.concatenate([last[1][a:b], np.broadcast_to(own, (b - a, len(own)))], axis=1)
+                    best = np.lexsort((names, every), axis=1)[:, :k]
+                    far[a:b], near[a:b] = np.take_along_axis(every, best, 1), np.take_along_axis(names, best, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(near.ravel()), pa.array(far.ravel())], names=["query_id", "vec_id", "distance"])
 
         some = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(of, "query_id long, vec_id long, distance double")

@@ -3,9 +3,10 @@
 import json
 import re
 
+import numpy as np
 import pytest
 
-from tessella.operators import graph, lexical
+from tessella.operators import graph, lexical, vectors
 from tessella.sources.segments import EDGES, Store
 
 CHUNKS = "chunk_id string, document_id string, title string, identifier string, content string, heading string, aliases string, path string"
@@ -79,3 +80,15 @@ def test_candidates_go_to_the_texts(spark):
         assert "BroadcastHashJoin" not in plan(lexical.bounded(one, spark.range(lexical.FEW)).join(chunks(spark), "chunk_id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_neighbours_in_pieces(spark):
+    """One block of queries against one batch of rows, which has several times the cells that a task holds at once."""
+    assert 2000 * 2000 > 3 * vectors.CELLS
+    rows = spark.range(2000).selectExpr("id AS vec_id", "array(cast(id % 37 AS double), cast(id % 41 AS double), 1.0D) AS embedding").coalesce(1)
+    got = {(r.query_id, r.pos): r.vec_id for r in vectors.knn_cosine(rows, rows.withColumnRenamed("vec_id", "query_id"), 3).collect()}
+    v = np.array([r.embedding for r in rows.orderBy("vec_id").collect()])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    far = np.round(1 - v @ v.T, 9)
+    want = {(q, p + 1): int(i) for q in range(2000) for p, i in enumerate(np.lexsort((np.arange(2000), far[q]))[:3])}
+    assert sum(got[k] != want[k] for k in want) == 0 and len(got) == len(want)
