@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from .corpus import Corpus, duck
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -124,3 +126,5 @@ def _query(statement: str):
 #: Statements that only check an operator of the library: their queries stand in ``upkeep``.
 CHECKS = "source_unchanged_skip diff_documents agg_incremental_counters sink_upsert_source sink_replace_document sink_remove_document sink_clear input_identity_store registry_select registry_load".split()
 PAIRS = {k: (_query(s), duck(s)) for k, s in STATEMENTS.items() if k not in CHECKS}
+#: An identifier says its document itself: nothing is joined with the chunks, whose words would be shuffled for it.
+PAIRS["agg_distinct_identifiers"] = (lambda spark, sf_dir: Corpus(spark, sf_dir).identifiers.groupBy("document_id").agg(F.countDistinct("normalized").alias("identifiers")), duck(STATEMENTS["agg_distinct_identifiers"]))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tessella.operators import graph, lexical, vectors
+from tessella.plans import registry
 from tessella.sources.segments import EDGES, Store
 
 CHUNKS = "chunk_id string, document_id string, title string, identifier string, content string, heading string, aliases string, path string"
@@ -92,3 +93,8 @@ def test_neighbours_in_pieces(spark):
     far = np.round(1 - v @ v.T, 9)
     want = {(q, p + 1): int(i) for q in range(2000) for p, i in enumerate(np.lexsort((np.arange(2000), far[q]))[:3])}
     assert sum(got[k] != want[k] for k in want) == 0 and len(got) == len(want)
+
+
+def test_names_of_a_document_are_counted_without_its_chunks(spark):
+    found = registry.QUERIES["agg_distinct_identifiers"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(found) and found.columns == ["document_id", "identifiers"]
