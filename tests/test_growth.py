@@ -5,9 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.operators import graph, lexical, vectors
+from tessella.operators import graph, lexical, search, vectors
 from tessella.plans import registry
+from tessella.plans.corpus import Corpus
 from tessella.sources.segments import EDGES, Store
 
 CHUNKS = "chunk_id string, document_id string, title string, identifier string, content string, heading string, aliases string, path string"
@@ -98,3 +100,22 @@ def test_neighbours_in_pieces(spark):
 def test_names_of_a_document_are_counted_without_its_chunks(spark):
     found = registry.QUERIES["agg_distinct_identifiers"](spark, "/root/testdata/sf0.001")
     assert "Join" not in plan(found) and found.columns == ["document_id", "identifiers"]
+
+
+def test_names_go_to_the_identifiers(spark):
+    """Asked names go to the identifiers and what is found to the chunks; many names give the same by a shuffle."""
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    names = c.chunks.select(F.lower("identifier").alias("query")).filter("query IS NOT NULL").distinct().orderBy("query").limit(1500).select(F.monotonically_increasing_id().alias("query_id"), "query").cache()
+    tables = (c.identifiers, c.chunks, c.documents, c.sources)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = search.exact_hits(names.limit(20), *tables)
+        assert not re.search(r"hashpartitioning\(chunk_id", plan(few)) and "BroadcastHashJoin" in plan(few)
+        many = search.exact_hits(names.unionByName(spark.range(10_000, 10_000 + lexical.FEW).select(F.col("id").alias("query_id"), F.lit("no such name").alias("query"))), *tables)
+        assert not re.search(r"BroadcastHashJoin \[normalized", plan(many))
+        key = lambda df: sorted(tuple(r) for r in df.collect())
+        own = {r.query_id for r in names.limit(20).collect()}
+        assert key(few) == [r for r in key(many.select(few.columns)) if r[0] in own] != []
+        assert "BroadcastHashJoin" in plan(lexical.sent(few).join(c.chunks, "chunk_id")) and "BroadcastHashJoin" not in plan(lexical.sent(few, 1).join(c.chunks, "chunk_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
