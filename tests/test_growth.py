@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, lexical, search, vectors
+from tessella.operators import graph, lexical, lookup, search, vectors
 from tessella.plans import registry, retrieval
 from tessella.plans.corpus import Corpus
 from tessella.sources.segments import EDGES, Store
@@ -128,3 +128,16 @@ def test_the_first_words_of_few_queries_go_to_the_identifiers(spark):
         assert re.search(r"BroadcastHashJoin \[normalized", found) and not re.search(r"SortMergeJoin \[normalized", found)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fused_results_go_to_the_texts(spark):
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    stored = c.chunks.groupBy("doc_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id")).join(c.table("embeddings"), F.col("doc_id") == F.col("vec_id")).select("vec_id", "chunk_id", "embedding")
+    asked = c.queries.join(c.table("embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # the last join by chunk_id is the one with the texts
+        found = re.findall(r"(\w+Join) \[chunk_id", plan(lookup.hybrid(c.queries, asked, stored, c.identifiers, c.chunks, c.documents, c.sources)))
+        assert found[0] == "BroadcastHashJoin"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
