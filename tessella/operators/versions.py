@@ -12,15 +12,19 @@ KINDS = {"api": "api_version", "product": "product_version"}
 SNAPSHOT_CHARS = 4000
 
 
-def snapshots(names: DataFrame, identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, kind: str, version: str, preview: bool = False) -> DataFrame:
-    """The best evidence of each normalised name (normalized) in a version: primary first, then tier, channel, lifecycle, ordinal."""
+def snapshots(identifiers: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, kind: str, *versions: str, preview: bool = False) -> DataFrame:
+    """The best evidence of every normalised name (normalized) in each of the versions (column version): primary first, then tier, channel, lifecycle, ordinal.
+
+    All versions come from one reading of the identifiers, and what leaves it are the names in chunks of these versions.
+    """
     rank = lambda c, order: Y.first_of([(F.col(c) == n, F.lit(i)) for i, n in enumerate(order)], F.lit(len(order)))
-    d = documents.filter(F.col(KINDS[kind]) == version).select("document_id", "source_id", "channel")
+    d = documents.filter(F.col(KINDS[kind]).isin(*versions)).select("document_id", "source_id", "channel", F.col(KINDS[kind]).alias("version"))
     symbol = (F.col("symbol_kind") if "symbol_kind" in chunks.columns else F.lit(None).cast("string")).alias("symbol_kind")
     c = chunks.select("chunk_id", "document_id", "ordinal", "content_hash", "stability", "lifecycle", symbol, X.clip_ellipsis(F.col("content"), SNAPSHOT_CHARS).alias("content"))
-    rows = identifiers.join(names.select("normalized").distinct(), "normalized", "left_semi").select("normalized", "is_primary", "chunk_id").join(c, "chunk_id").join(d, "document_id").join(sources.select("source_id", "tier"), "source_id")
-    rows = rows if preview else rows.filter(Y.preview_allowed(F.lit(False), F.col("channel"), F.col("stability")))
-    order = Window.partitionBy("normalized").orderBy(F.desc("is_primary"), "tier", rank("channel", ("stable", "preview")), rank("lifecycle", ("active", "deprecated", "historical", "removed")), "ordinal", "chunk_id")
+    evidence = c.join(d, "document_id").join(sources.select("source_id", "tier"), "source_id")
+    evidence = evidence if preview else evidence.filter(Y.preview_allowed(F.lit(False), F.col("channel"), F.col("stability")))
+    rows = evidence.join(identifiers.select("normalized", "is_primary", "chunk_id"), "chunk_id")
+    order = Window.partitionBy("normalized", "version").orderBy(F.desc("is_primary"), "tier", rank("channel", ("stable", "preview")), rank("lifecycle", ("active", "deprecated", "historical", "removed")), "ordinal", "chunk_id")
     return rows.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
@@ -32,9 +36,10 @@ def compare(requests: DataFrame, identifiers: DataFrame, chunks: DataFrame, docu
         if not 1 <= len(v.strip()) <= 100:
             raise ValueError(f"{name} must have 1 to 100 characters")
     asked = requests.select("query_id", X.normalize_identifier(F.col("identifier")).alias("normalized"))
-    one, two = (snapshots(asked, identifiers, chunks, documents, sources, kind, v, preview) for v in (old, new))
+    best = snapshots(identifiers, chunks, documents, sources, kind, old, new, preview=preview)
     fields = ("chunk_id", "content_hash", "stability", "lifecycle", "symbol_kind")
-    rows = asked.join(one.select("normalized", F.struct(*fields).alias("a")), "normalized", "left").join(two.select("normalized", F.struct(*fields).alias("b")), "normalized", "left")
+    side = lambda v, name: F.first(F.when(F.col("version") == v, F.struct(*fields)), ignorenulls=True).alias(name)
+    rows = asked.join(best.groupBy("normalized").agg(side(old, "a"), side(new, "b")), "normalized", "left")
     a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
 
     def differs(field: str) -> Column:

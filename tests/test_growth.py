@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, lexical, lookup, search, vectors
+from tessella.operators import graph, lexical, lookup, search, vectors, versions
 from tessella.plans import registry, retrieval
 from tessella.plans.corpus import Corpus
 from tessella.sources.segments import EDGES, Store
@@ -141,3 +141,19 @@ def test_fused_results_go_to_the_texts(spark):
         assert found[0] == "BroadcastHashJoin"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_versions_are_compared_in_one_reading(spark):
+    """Both versions' evidence comes from one join of identifiers and chunks."""
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    asked = c.chunks.filter("identifier IS NOT NULL").select(F.lower("identifier").alias("query_id"), "identifier").distinct()
+    tables = (c.identifiers, c.chunks, c.documents, c.sources)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = versions.compare(asked, *tables, "api", "1.1.0", "2.2.0")
+        assert len(re.findall(r"Join \[chunk_id", plan(found))) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # of one version with itself nothing differs, and what has evidence there has it on both sides
+    same = {r.status: r["count"] for r in versions.compare(asked, *tables, "api", "1.1.0", "1.1.0").groupBy("status").count().collect()}
+    assert set(same) == {"unchanged", "not_found"}
