@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 
 from .keep import kept
+from .lexical import sent
 
 MAX_CHAIN, MAX_ALIASES = 4, 200_000
 
@@ -85,12 +86,19 @@ def property_types(members: DataFrame, mentions: DataFrame) -> DataFrame:
     properties = last.filter("identifier_kind = 'property'").withColumn("signature", X.signature_type(F.col("content"), X.identifier_leaf(F.col("identifier"))))
     direct = properties.withColumn("target_normalized", X.normalize_identifier(F.col("signature"))).join(owners, "target_normalized")
     direct = direct.select("normalized", F.col("signature").alias("target"))
-    rest = properties.join(direct.select("normalized"), "normalized", "left_anti").select("normalized", "chunk_id", X.normalize_identifier(F.col("owner")).alias("own"))
+    rest = sent(properties.join(direct.select("normalized"), "normalized", "left_anti").select("normalized", "chunk_id", X.normalize_identifier(F.col("owner")).alias("own")))
+    targets = direct
+    if not rest.isEmpty():  # mentions are read only for properties whose signature names no type
+        targets = direct.unionByName(_mentioned(rest, mentions, owners))
+    found = targets.join(last.select("normalized", F.col("identifier").alias("property"), "chunk_id"), "normalized")
+    return found.withColumn("target_normalized", X.normalize_identifier(F.col("target")))
+
+
+def _mentioned(rest: DataFrame, mentions: DataFrame, owners: DataFrame) -> DataFrame:
+    """(normalized, target): the only simple name in the chunk of each of ``rest`` (normalized, chunk_id, own) that owns members."""
     simple = mentions.filter(F.col("identifier").rlike(r"^[A-Z_$][A-Za-z0-9_$]*$")).select("chunk_id", "identifier", X.normalize_identifier(F.col("identifier")).alias("target_normalized"))
     meant = rest.join(simple, "chunk_id").filter("target_normalized <> own").join(owners, "target_normalized")
-    only = meant.groupBy("normalized").agg(F.collect_set("identifier").alias("all")).filter(F.size("all") == 1).select("normalized", F.col("all")[0].alias("target"))
-    found = direct.unionByName(only).join(last.select("normalized", F.col("identifier").alias("property"), "chunk_id"), "normalized")
-    return found.withColumn("target_normalized", X.normalize_identifier(F.col("target")))
+    return meant.groupBy("normalized").agg(F.collect_set("identifier").alias("all")).filter(F.size("all") == 1).select("normalized", F.col("all")[0].alias("target"))
 
 
 def alias_chains(properties: DataFrame, members: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
@@ -120,10 +128,15 @@ def chain_steps(properties: DataFrame, members: DataFrame, most: int = MAX_CHAIN
 
 
 def _own_types(identifiers: DataFrame, chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, types): the primary names of API documents that have an owner, and ``property_types`` of them."""
-    api = identifiers.join(chunks.select("chunk_id", "document_id", "content").join(documents.filter("kind = 'api'").select("document_id"), "document_id").drop("document_id"), "chunk_id")
-    own = api.filter("is_primary = 1").withColumn("owner", X.member_owner(F.col("identifier"))).withColumn("suffix", X.member_leaf(F.col("identifier"))).filter("owner is not null")
-    return own, property_types(own, api.filter("is_primary = 0").select("chunk_id", "identifier"))
+    """(members, types): the primary names of API documents that have an owner, kept as they are read by all that follows, and ``property_types`` of them.
+
+    Names with an owner are found before any text is read.  Types look for mentions in the chunks of members only,
+    so the mentions need no join of their own with chunks and documents.
+    """
+    named = identifiers.filter("is_primary = 1").withColumn("owner", X.member_owner(F.col("identifier"))).withColumn("suffix", X.member_leaf(F.col("identifier"))).filter("owner is not null")
+    named = sent(named.select("chunk_id", "identifier", "normalized", "identifier_kind", "owner", "suffix"))
+    own = kept(named.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id").join(documents.filter("kind = 'api'").select("document_id"), "document_id").drop("document_id"))
+    return own, property_types(own, identifiers.filter("is_primary = 0").select("chunk_id", "identifier"))
 
 
 def _type_edges(types: DataFrame) -> DataFrame:

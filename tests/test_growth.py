@@ -157,3 +157,11 @@ def test_versions_are_compared_in_one_reading(spark):
     # of one version with itself nothing differs, and what has evidence there has it on both sides
     same = {r.status: r["count"] for r in versions.compare(asked, *tables, "api", "1.1.0", "1.1.0").groupBy("status").count().collect()}
     assert set(same) == {"unchanged", "not_found"}
+
+
+def test_members_are_made_once(spark):
+    """What an alias is derived from is computed before its first reading: no later step goes back to the texts."""
+    names = spark.createDataFrame([("k0", "T0.m0", "t0.m0", "property", 1, "exact")], "chunk_id string, identifier string, normalized string, identifier_kind string, is_primary int, alias_type string")
+    texts = spark.createDataFrame([("k0", "d", "m0: T0")], "chunk_id string, document_id string, content string")
+    own, _ = graph._own_types(names, texts, spark.createDataFrame([("d", "api")], "document_id string, kind string"))
+    assert "InMemoryTableScan" in plan(own) or "Join" not in plan(own)
