@@ -32,7 +32,8 @@ def ingest(files: DataFrame, sources: DataFrame, keep: Callable[[DataFrame], Dat
     for name in ("api_version", "product_version"):
         files = files if name in files.columns else files.withColumn(name, F.lit(None).cast("string"))
     label = Y.classify_path(F.col("path"))
-    about = files.join(sources.select("source_id", "channel"), "source_id").withColumn("label", label)
+    about = files.join(F.broadcast(sources.select("source_id", "channel")), "source_id")  # a registry of few rows
+    about = about.withColumn("label", label)
     about = about.select(
         "source_id", "path", X.stable_public_id("doc", F.col("source_id"), F.col("path")).alias("document_id"), F.col("label.kind").alias("kind"),
         Y.category_for_source(F.col("label.category"), F.col("source_id"), F.col("channel")).alias("category"), F.col("label.language").alias("language"), F.col("label.lifecycle").alias("document_lifecycle"),
@@ -72,5 +73,7 @@ def with_text_fields(chunks: DataFrame, documents: DataFrame, identifiers: DataF
     """
     terms = identifiers.filter("alias_type = 'exact'").select("chunk_id", F.explode(X.identifier_search_terms(F.col("identifier"))).alias("t")).groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("t")), " ").alias("terms"))
     aliases = identifiers.filter("alias_type <> 'exact'").groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("identifier")), " ").alias("aliases"))
-    rows = chunks.drop("aliases", "path").join(terms, "chunk_id", "left").join(aliases, "chunk_id", "left").join(documents.select("document_id", "path"), "document_id")
+    # chunks of the parse have the path of their document
+    placed = chunks.drop("aliases") if "path" in chunks.columns else chunks.drop("aliases").join(documents.select("document_id", "path"), "document_id")
+    rows = placed.join(terms, "chunk_id", "left").join(aliases, "chunk_id", "left")
     return rows.withColumn("name", F.col("identifier")).withColumn("identifier", F.coalesce("terms", F.col("identifier"))).withColumn("heading", F.array_join("heading_path", " ")).drop("terms")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.operators import graph, lexical, lookup, search, vectors, versions
 from tessella.plans import registry, retrieval
 from tessella.plans.corpus import Corpus
+from tessella.sources import ingest
 from tessella.sources.segments import EDGES, Store
 
 CHUNKS = "chunk_id string, document_id string, title string, identifier string, content string, heading string, aliases string, path string"
@@ -165,3 +166,16 @@ def test_members_are_made_once(spark):
     texts = spark.createDataFrame([("k0", "d", "m0: T0")], "chunk_id string, document_id string, content string")
     own, _ = graph._own_types(names, texts, spark.createDataFrame([("d", "api")], "document_id string, kind string"))
     assert "InMemoryTableScan" in plan(own) or "Join" not in plan(own)
+
+
+def test_ingest_shuffles_no_text_for_small_tables(spark):
+    """The registry of sources goes to the files, and chunks keep the path that the parse gave them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([("s", "a/b.md", "# One\n\nWorld text\n\n# Two\n\nmore")], "source_id string, path string, content string")
+        made = ingest.ingest(files, spark.createDataFrame([("s", "stable")], "source_id string, channel string"))
+        assert not re.search(r"SortMergeJoin \[source_id", plan(made["documents"]))
+        text = ingest.with_text_fields(made["chunks"], made["documents"], made["identifiers"])
+        assert not re.search(r"Join \[document_id", plan(text)) and {r.path for r in text.collect()} == {"a/b.md"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
