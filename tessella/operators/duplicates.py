@@ -17,6 +17,8 @@ PERCENT, WORDS = 90, 12
 
 #: Members of a list that one task compares with each other or with as many others.
 BLOCK = 512
+#: One value of a set in so many shows which sets meet no other.
+PART = 4
 
 
 def comparable(a: str, b: str) -> Column:
@@ -46,10 +48,22 @@ def variant_links(nodes: DataFrame) -> DataFrame:
     return rows.join(groups.select(*key, "a"), key).filter("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
+def met(sets: DataFrame, part: int = PART) -> DataFrame:
+    """The sets (set, s) that may have a near duplicate: of one value in ``part`` no more than a tenth of the whole set are in no other set.
+
+    A near duplicate lacks at most a tenth of a set's values, whichever these are, so none is lost;
+    of unlike texts most are known as such by the part, and the other values are never dealt out.
+    """
+    some = sets.select("set", F.explode(F.filter("s", lambda v: F.pmod(v, F.lit(part)) == 0)).alias("v"))
+    alone = some.groupBy("v").agg(F.count("*").alias("df"), F.min("set").alias("set")).filter("df = 1").groupBy("set").agg(F.count("*").alias("alone"))
+    few = 100 * F.coalesce(F.col("alone"), F.lit(0)) <= (100 - PERCENT) * F.size("s")
+    return sets.join(alone, "set", "left").filter(few).drop("alone")
+
+
 def near_duplicates(texts: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, class_id) of texts (doc_id, text and any of the guards): class_id is the smallest doc_id reachable over near-duplicate pairs.
 
-    Texts with equal words and guards are one node.  A pair with 90 % of its 3-word
+    Texts with equal words and guards are one node; sets that meet no other are left out (``met``).  A pair with 90 % of its 3-word
     shingles in common shares one of the rarest tenth (and one) of either set, so that
     nodes meet only in the lists of these; of lists with equal members one is enough.  Each list
     links its members to one, and what is linked makes components.  The sets of lists that still hold several
@@ -60,14 +74,15 @@ def near_duplicates(texts: DataFrame, column: str = "text") -> DataFrame:
     """
     guard = lambda g: F.coalesce(F.lower(g) if g == "identifier" else F.col(g), F.lit("")) if g in texts.columns else F.lit("")
     words = Y.evidence_words(F.coalesce(F.col(column), F.lit("")))
-    # kept before anything asks for the words, so that a text is cut once
-    rows = kept(texts.select(F.col("doc_id").cast("long").alias("doc_id"), *[guard(g).alias(g) for g in GUARDS], words.alias("words")))
-    rows = rows.filter(F.size("words") > 0).withColumn("text", F.sha2(F.array_join("words", " "), 256))
-    nodes = kept(rows.groupBy("text", *GUARDS).agg(F.min("doc_id").alias("node"), F.first("words").alias("words")))
+    once_each = lambda c: F.explode(F.array(c))  # noqa: E731 - a row's own array as it is, made once however often it is asked for
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), *[guard(g).alias(g) for g in GUARDS], once_each(words).alias("words")).filter(F.size("words") > 0)
+    rows = rows.select("doc_id", *GUARDS, F.size("words").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("text"), once_each(F.transform("words", lambda w: F.xxhash64(w))).alias("h"))
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))))
+    rows = kept(rows.select("doc_id", *GUARDS, "text", "n", F.when(F.col("n") >= WORDS, shingles).alias("s")))
+    nodes = kept(rows.groupBy("text", *GUARDS).agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("s").alias("s")))
     same = variant_links(nodes.select("text", "node", *GUARDS))
 
-    shingles = F.array_distinct(F.transform(Y.evidence_shingles(F.col("words")), lambda s: F.xxhash64(s)))
-    sets = kept(nodes.filter(F.size("words") >= WORDS).select("node", *GUARDS, F.size("words").alias("n"), shingles.alias("s")))
+    sets = kept(met(nodes.filter(F.col("n") >= WORDS).select(F.xxhash64("text", *GUARDS).alias("set"), "node", *GUARDS, "n", "s")).drop("set"))
     values = sets.select("node", F.size("s").alias("m"), F.explode("s").alias("v"))
     seen = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("node")
@@ -109,5 +124,5 @@ def near_duplicates(texts: DataFrame, column: str = "text") -> DataFrame:
     label = components(kept(links.unionByName(pairs))).select(F.col("id").alias("node"), "component")
     of_node = nodes.select("text", *GUARDS, "node").join(label, "node", "left").select("text", *GUARDS, F.coalesce("component", "node").alias("class_id"))
     # a doc_id may have several rows: it belongs to the smallest of its classes
-    named = rows.drop("words").join(of_node, ["text", *GUARDS]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    named = rows.drop("n", "s").join(of_node, ["text", *GUARDS]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return texts.select(F.col("doc_id").cast("long").alias("doc_id")).join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

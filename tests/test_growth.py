@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, lexical, lookup, search, vectors, versions
+from tessella.operators import duplicates, graph, lexical, lookup, search, vectors, versions
 from tessella.plans import registry, retrieval
 from tessella.plans.corpus import Corpus
 from tessella.sources import ingest
@@ -179,3 +179,25 @@ def test_ingest_shuffles_no_text_for_small_tables(spark):
         assert not re.search(r"Join \[document_id", plan(text)) and {r.path for r in text.collect()} == {"a/b.md"}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sets_that_meet_no_other_are_left_out(spark):
+    """Of many unlike sets hardly one is dealt out whole; a near duplicate stays even if all that it lacks lies in the part that is looked at."""
+    rng = np.random.default_rng(5)
+    shared, own = [4 * i + 1 for i in range(90)], [4 * i for i in range(11)]
+    rows = [(1, shared + own[:10]), (2, shared), (3, [v + 20_000 for v in own] + [v + 10_000 for v in shared]), (4, [v + 10_000 for v in shared])]
+    rows += [(100 + i, [int(v) for v in rng.choice(1 << 40, 100)]) for i in range(200)]
+    got = duplicates.met(spark.createDataFrame([(i, [v - 5000 for v in s]) for i, s in rows], "set long, s array<long>"))
+    left = {r["set"] for r in got.collect()}
+    # the third has eleven of 101 values alone, those of the part only
+    assert {1, 2, 4} <= left and 3 not in left and len(left) < 13
+
+    seen = []
+    texts = [(i, " ".join(f"w{v}" for v in rng.choice(1 << 40, 60))) for i in range(50)]
+    texts += [(50 + i, texts[0][1] + " tail" * i) for i in (1, 2)]
+    ask = lambda df: seen.append(df) or df.persist()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(duplicates, "kept", ask)
+        found = {r.doc_id: r.class_id for r in duplicates.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == {i: i for i in range(50)} | {51: 0, 52: 0}
+    assert max(df.count() for df in seen if {"node", "s"} <= set(df.columns) and "text" not in df.columns) <= 10
