@@ -136,3 +136,19 @@ def test_tokens_and_cuts_are_never_shuffled(spark):
             plan = p._jdf.queryExecution().executedPlan().toString()
             assert "Join" in plan and "Exchange" not in plan
     kept.drop()
+
+
+def test_units_that_blocks_share_are_kept_once(spark):
+    """Cuts and links are found once for each unit of the corpus, not of each block."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("row"), "doc_id", "text")
+    kept = align.Kept(spark, 4)
+    labels = F.array(*map(F.lit, align.block_labels(spark, 4)))
+    with align.settings(spark):
+        rows = docs.select(F.get(labels, (F.col("row") % 4).cast("int")).cast("long").alias("block"), "*")
+        both = kept.put(rows.repartition(4, "block").sortWithinPartitions("block").mapInArrow(align.numbered(*token_paths()), align.UNITS), "units")
+        units = both.filter("unit IS NOT NULL").select("block", "unit", "key", "a", "b")
+        own = kept.put(align.distinct_units(units), "own")
+        each, once = units.count(), own.select("key").distinct().count()
+        assert own.count() == once == units.select("key").distinct().count() < 0.7 * each
+        assert own.select("block").distinct().count() == 4
+    kept.drop()
