@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
+from functools import cached_property
 
 import numpy as np
 
-from .store import load, save
+from .store import Spool, load_all, save_all
 
 U64 = np.uint64
 BLOCK = 1 << 15
@@ -41,33 +41,44 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
+        """Made a block at a time, so that ``values`` may be a mapping of any size."""
         n = len(values)
         bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
-        values = values.astype(np.uint64)
-        if bits:
-            # a block at a time: a plane of 64-bit values for each bit is many times the sequence
-            planes = (((values[k : k + BLOCK, None] >> np.arange(bits, dtype=U64)) & U64(1)).astype(np.uint8) for k in range(0, n, BLOCK))
-            low = np.concatenate([np.zeros(0, np.uint8), *(np.packbits(x.ravel(), bitorder="little") for x in planes)])
-        else:
-            low = np.zeros(0, np.uint8)
-        up = (values >> U64(bits)).astype(np.int64)
-        unary = np.zeros(n + (universe >> bits) + 2, dtype=np.uint8)
-        unary[up + np.arange(n)] = 1
-        high = np.packbits(unary, bitorder="little")
-        # zeros before each 8 bytes; the tail is padded with zeros
-        high = np.append(high, np.zeros(-len(high) % 8 + 8, np.uint8))
-        zeros = np.append(0, np.cumsum(_ZEROS[high].reshape(-1, 8).sum(axis=1))).astype(np.uint32)
-        return cls(np.append(low, np.zeros(8, np.uint8)), high, zeros, n, bits)
+        low, high, zeros = Spool(np.uint8), Spool(np.uint8), Spool(np.uint32)
+        unary, at, seen = np.zeros(0, np.uint8), 0, 0  # ends of whole blocks of 64 bits are written
+        for k in range(0, max(n, 1), BLOCK):
+            block = values[k : k + BLOCK].astype(U64)
+            if bits:  # BLOCK is a multiple of 8: the planes of a block fill whole bytes
+                low.add(np.packbits(((block[:, None] >> np.arange(bits, dtype=U64)) & U64(1)).astype(np.uint8).ravel(), bitorder="little"))
+            last = k + BLOCK >= n
+            # the tail is padded with zeros, eight bytes of them at least
+            up = (block >> U64(bits)).astype(np.int64) + np.arange(k, k + len(block)) - at
+            end = -(-(n + (universe >> bits) + 2) // 64) * 64 + 64 - at if last else int(up[-1]) + 1
+            unary = np.append(unary, np.zeros(end - len(unary), np.uint8))
+            unary[up] = 1
+            whole = len(unary) // 64 * 64
+            packed = np.packbits(unary[:whole], bitorder="little")
+            high.add(packed)
+            sums = seen + np.append(0, np.cumsum(_ZEROS[packed].reshape(-1, 8).sum(axis=1)))
+            zeros.add(sums[:-1])
+            unary, at, seen = unary[whole:], at + whole, int(sums[-1])
+        zeros.add(np.array([seen]))
+        low.add(np.zeros(8, np.uint8))
+        return cls(low.array(), high.array(), zeros.array(), n, bits)
+
+    def parts(self, name: str) -> dict[str, np.ndarray]:
+        return {f"{name}.meta": np.array([self.n, self.bits]), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.zeros": self.zeros}
+
+    @classmethod
+    def of_parts(cls, found: dict[str, np.ndarray], name: str) -> EliasFano:
+        return cls(found[f"{name}.low"], found[f"{name}.high"], found[f"{name}.zeros"], *found[f"{name}.meta"].tolist())
 
     def save(self, uri: str) -> None:
-        save(f"{uri}.meta", np.frombuffer(json.dumps([self.n, self.bits]).encode(), np.uint8))
-        for name in ("low", "high", "zeros"):
-            save(f"{uri}.{name}", getattr(self, name))
+        save_all(uri, self.parts(""))
 
     @classmethod
     def load(cls, uri: str) -> EliasFano:
-        n, bits = json.loads(load(f"{uri}.meta").tobytes())
-        return cls(load(f"{uri}.low"), load(f"{uri}.high"), load(f"{uri}.zeros"), n, bits)
+        return cls.of_parts(load_all(uri), "")
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         """Low bits of the entries i (57 bits at most)."""
@@ -113,11 +124,15 @@ class EliasFano:
         hit[hit] = self.lows(lo[hit]) == want[hit]
         return lo, hit
 
+    @cached_property
+    def ones(self) -> np.ndarray:
+        """Ones before each 64 bits of the unary part."""
+        return np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """Entries i: the i-th one of the unary part by binary search over the zeros before it."""
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-        word = np.searchsorted(ones, i, side="right") - 1
-        left = i - ones[word]
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        left = i - self.ones[word]
         up = np.zeros(len(i), dtype=np.int64)
         live = np.ones(len(i), dtype=bool)
         for k in range(8):

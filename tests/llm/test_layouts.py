@@ -1,11 +1,12 @@
 """op4 over layouts written by hand, with their text written out; op10 where nothing may be learnt."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import html_text, ngram
+from tessella.llm import html_text, ngram, store
 
 P = "The committee published its long awaited report on the future of the regional railways, and the authors ask for more trains on weekdays and fewer delays."
 LAYOUTS = {
@@ -49,3 +50,21 @@ def test_one_word(spark):
     got = ngram.score_documents(docs).collect()
     assert len(got) == 60 and all(math.isfinite(r.score) and r.n_known == 4 for r in got)
     assert all(r.score > r.base_score for r in got)
+
+
+def test_ngram_files_do_not_grow_with_the_input(spark, monkeypatch):
+    """Hundreds of shards are a bounded number of files; a word in half of all places is dealt to several packs; scores stay what they are."""
+    kept: list[str] = []
+    monkeypatch.setattr(ngram, "remove", lambda root: kept.append(root.removeprefix("file:")))
+    rows = [(k, " ".join(f"the w{(k * j) % 701}" for j in range(1, 60))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in ngram.score_documents(docs, shard_tokens=n).collect()} for n in (1_000_000, 100))
+    files = [sum(len(names) for _, _, names in os.walk(root)) for root in kept]
+    assert files[0] == 2 and ngram.PACKS < files[1] <= 2 * ngram.PACKS
+    packs = [ngram.Trie(kept[1], int(name)) for name in os.listdir(f"{kept[1]}/2")]
+    assert sum(p.words == 1 for p in packs) > 5 and sum(len(p.rows) for p in packs) > 2 * len(packs)
+    for i, r in one.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (many[i].n_tokens, many[i].n_known, many[i].train_tokens) and abs(r.base_score - many[i].base_score) < 1e-6
+        assert abs(r.score_2 - many[i].score_2) < 0.02 * r.n_tokens and abs(r.score - many[i].score) < 0.02 * r.n_tokens
+    for root in kept:
+        store.remove(root)
