@@ -1,7 +1,9 @@
 """Plans that grow with the input and no faster: what is shuffled, and what one task may gather."""
 
+import glob
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +61,30 @@ def test_stored_postings_hold_numbers_for_chunks(spark, tmp_path):
     assert read() == got
 
 
+def test_stored_search_shuffles_what_is_asked_only(spark, tmp_path):
+    """Asked terms go to the postings though all buckets are asked; phrases that share words, or repeat one, score as without an index; a commit leaves no shuffle files."""
+    dirs = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
+    shuffled = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    store, before = Store(spark, str(tmp_path / "i"), buckets=2), shuffled()
+    store.commit({"text": chunks(spark).filter("document_id < 'd2'")})
+    store.commit({"text": chunks(spark).filter("document_id >= 'd2' OR document_id = 'd1'")}, chunks(spark).filter("document_id = 'd1'").select("document_id"))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    asked = [(1, "the-fox"), (2, "fox-and-the-hen"), (3, "the-fox hen-the"), (4, "the-the"), (5, "fox hen"), (6, "wwww"), (7, "hen-the-fox the"), (8, "hen-fox"), (9, "md a")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    score = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = score(lexical.bm25(queries, chunks(spark)))
+    assert score(lexical.bm25_stored(queries, store)) == want and {q for q, _, _ in want} >= {1, 2, 3, 5, 6, 7, 9}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not re.search(r"hashpartitioning\((bucket|term)", plan(store.postings(spark.createDataFrame([("the",), ("fox",), ("hen",), ("and",)], "term string"))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_aliases_without_a_limit(spark):
     """A property of each owner leads to the next one: more aliases than a limit lets through, and their types without any chain."""
     names = [(f"k{k}", f"T{k // 2}.m{k % 2}", f"t{k // 2}.m{k % 2}", "property", 1, "exact") for k in range(12)]
