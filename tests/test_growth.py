@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.operators import duplicates, graph, lexical, lookup, search, vectors, versions
 from tessella.plans import registry, retrieval
 from tessella.plans.corpus import Corpus
-from tessella.sources import ingest
+from tessella.sources import ingest, segments
 from tessella.sources.segments import EDGES, Store
 
 CHUNKS = "chunk_id string, document_id string, title string, identifier string, content string, heading string, aliases string, path string"
@@ -61,8 +61,9 @@ def test_stored_postings_hold_numbers_for_chunks(spark, tmp_path):
     assert read() == got
 
 
-def test_stored_search_shuffles_what_is_asked_only(spark, tmp_path):
-    """Asked terms go to the postings though all buckets are asked; phrases that share words, or repeat one, score as without an index; a commit leaves no shuffle files."""
+def test_stored_search_shuffles_what_is_asked_only(spark, tmp_path, monkeypatch):
+    """Postings are written in several parts; asked terms go to the postings though all buckets are asked; phrases that share words, or repeat one, score as without an index; a commit leaves no shuffle files."""
+    monkeypatch.setattr(segments, "PART", 1)
     dirs = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
     shuffled = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
     store, before = Store(spark, str(tmp_path / "i"), buckets=2), shuffled()
